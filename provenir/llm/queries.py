@@ -8,7 +8,10 @@ from provenir.llm.common import ship
 
 #: Query, module, name of the SQL in it (None: the query is tested against brute force in tests/llm).
 REGISTRY = [
+    ("op3_packing", "packing", None),
     ("op6_sharding", "sharding", None),
+    ("op9_language_id", "langid", None),
+    ("op10_token_counts", "tokencount", None),
 ]
 
 
