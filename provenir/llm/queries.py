@@ -13,6 +13,7 @@ REGISTRY = [
     ("op4_html_extraction", "html", None),
     ("op5_simhash_near_dedup", "simhash", None),
     ("op6_sharding", "sharding", None),
+    ("op7_top_k", "topk", "SQL"),
     ("op9_language_id", "langid", None),
     ("op10_token_counts", "tokencount", None),
 ]
