@@ -14,6 +14,7 @@ REGISTRY = [
     ("op5_simhash_near_dedup", "simhash", None),
     ("op6_sharding", "sharding", None),
     ("op7_top_k", "topk", "SQL"),
+    ("op8_quality_classifier", "quality", None),
     ("op9_language_id", "langid", None),
     ("op10_token_counts", "tokencount", None),
 ]
