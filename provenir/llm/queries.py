@@ -9,6 +9,7 @@ from provenir.llm.common import ship
 #: Query, module, name of the SQL in it (None: the query is tested against brute force in tests/llm).
 REGISTRY = [
     ("op1_chat_formatting", "chat", "SQL"),
+    ("op2_decontamination", "decontam", "SQL"),
     ("op3_packing", "packing", None),
     ("op4_html_extraction", "html", None),
     ("op5_simhash_near_dedup", "simhash", None),
