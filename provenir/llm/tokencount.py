@@ -18,27 +18,31 @@ Other columns of the input are not read, so their names cannot clash.
 from __future__ import annotations
 
 import os
-from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from provenir.llm.common import table, tasks
 
-#: Pre-tokens in more than one of SHARE documents of a block are resolved in place.
-BLOCK, SHARE = 4096, 64
+#: Documents and bytes in a block; pre-tokens in more than one of SHARE of its documents are resolved in place.
+BLOCK, BLOCK_BYTES, SHARE = 4096, 8 << 20, 64
 #: Entries of the table of hot pre-tokens that a worker keeps.
 KEPT = 200_000
+#: White space next to a space: there, cutting a text at single spaces would change its pre-tokens.
+WHITE = " \t\n\r\f\v\x1c-\x1f\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+UNEVEN = f" [{WHITE}]|[{WHITE}] "
 
 ROWS = "token string, base bigint, docs binary, freqs binary, doc_id bigint, n_bytes bigint, n_tokens bigint"
+NAMES = [x.split()[0] for x in ROWS.split(", ")]
 PARTS = "uid bigint, doc_id bigint, n_bytes bigint, n_tokens bigint"
 _loaded: dict[str, tuple] = {}
 
 
 def load(path: str):
-    """The tokenizer of ``path``, its pre-token pattern and its special strings; kept per worker."""
+    """The tokenizer of ``path``, its pre-token pattern, special strings and counts of hot pre-tokens; kept per worker."""
     if path not in _loaded:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import public_tokenizers
@@ -55,6 +59,49 @@ def count_pieces(tok, pieces: list[str]) -> list[int]:
     return [len(e) for e in tok.encode_batch_fast(pieces, add_special_tokens=False)] if pieces else []
 
 
+def pre_tokens(pattern, texts: pa.Array, uneven: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Distinct pre-tokens of ``texts``; the number and the document of each occurrence.
+
+    A single space between other characters always starts a pre-token, so texts
+    are cut there and the pattern runs once for each distinct part.
+    """
+    parts = pc.split_pattern(pc.if_else(pa.array(uneven), "", texts), " ")
+    flat = parts.flatten().dictionary_encode()
+    codes = flat.indices.to_numpy().astype(np.int64)
+    doc = np.repeat(np.arange(len(texts)), np.diff(parts.offsets.to_numpy()))
+    head = np.ones(len(codes), bool)
+    head[1:] = doc[1:] != doc[:-1]
+    number: dict[str, int] = {}
+    lists = [[number.setdefault(t, len(number)) for t in pattern.findall(f" {x}")] for x in flat.dictionary.to_pylist()]
+    sizes = np.array([len(x) for x in lists], np.int64)
+    every = np.fromiter((y for x in lists for y in x), np.int64)
+    starts = np.cumsum(sizes) - sizes
+    rest, doc_rest = codes[~head], doc[~head]
+    n = sizes[rest]
+    token = every[np.repeat(starts[rest] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+    at = np.repeat(doc_rest, n)
+    # First parts have no space before them; uneven texts go through the pattern whole.
+    first = flat.dictionary.take(flat.indices.filter(pa.array(head))).to_pylist()
+    whole = [(i, t) for i, t in zip(np.flatnonzero(uneven).tolist(), texts.filter(pa.array(uneven)).to_pylist())]
+    odd = [(i, number.setdefault(t, len(number))) for i, x in [*enumerate(first), *whole] for t in pattern.findall(x)]
+    if odd:
+        more = np.array(odd, np.int64)
+        token, at = np.concatenate([token, more[:, 1]]), np.concatenate([at, more[:, 0]])
+    return list(number), token, at
+
+
+def blocks(batches):
+    """Slices of at most BLOCK documents and about BLOCK_BYTES of text."""
+    for batch in batches:
+        size = np.cumsum(pc.binary_length(batch.column(1)).to_numpy().astype(np.int64))
+        at = 0
+        while at < batch.num_rows:
+            stop = int(np.searchsorted(size, (size[at - 1] if at else 0) + BLOCK_BYTES, side="right"))
+            stop = min(max(stop, at + 1), at + BLOCK, batch.num_rows)
+            yield batch.slice(at, stop - at)
+            at = stop
+
+
 def postings(path: str):
     """Pass 1: postings of rare pre-tokens, and a row for each document with what is already counted."""
 
@@ -63,61 +110,74 @@ def postings(path: str):
 
         tok, pattern, special, known = load(path)
         first = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 33
-        ids: list = []
-        sizes: list[int] = []
-        done: list[int] = []
-        seen: dict[str, list[int]] = defaultdict(list)
-
-        def flush():
-            nonlocal ids, sizes, done, seen, first
-            done = np.array(done, np.int64)
-            hot = [t for t, p in seen.items() if len(p) > 2 * len(ids) // SHARE and len(p) > 8]
-            new = [t for t in hot if t not in known]
+        for block in blocks(batches):
+            m, texts = block.num_rows, block.column(1)
+            done = np.zeros(m, np.int64)
+            marked = np.zeros(m, bool)
+            for s in special:
+                marked |= pc.match_substring(texts, s).to_numpy(False)
+            if marked.any():
+                done[marked] = count_pieces(tok, texts.filter(pa.array(marked)).to_pylist())
+                plain = pc.if_else(pa.array(marked), "", texts)
+            else:
+                plain = texts
+            tokens, token, at = pre_tokens(pattern, plain, pc.match_substring_regex(plain, UNEVEN).to_numpy(False))
+            pairs, freq = np.unique(token * m + at, return_counts=True)
+            token, at = pairs // m, pairs % m
+            spread = np.bincount(token, minlength=len(tokens))
+            hot = spread > max(m // SHARE, 4)
+            names = [tokens[i] for i in np.flatnonzero(hot)]
+            new = [t for t in names if t not in known]
             if len(known) + len(new) > KEPT:
                 known.clear()
-                new = hot
+                new = names
             known.update(zip(new, count_pieces(tok, new)))
-            for t in hot:
-                p = seen.pop(t)
-                np.add.at(done, p[::2], np.array(p[1::2], np.int64) * known[t])
-            cols = [[], [], []]
-            for t, p in seen.items():
-                p = np.array(p, np.uint32)
-                cols[0].append(t)
-                cols[1].append(p[::2].astype(np.uint16).tobytes())
-                cols[2].append(p[1::2].tobytes() if p[1::2].max() > 255 else p[1::2].astype(np.uint8).tobytes())
-            n, m = len(seen), len(ids)
+            pieces = np.zeros(len(tokens), np.int64)
+            pieces[hot] = [known[t] for t in names]
+            own = hot[token]
+            done += np.bincount(at[own], freq[own] * pieces[token[own]], m).astype(np.int64)
+            token, at, freq = token[~own], at[~own], freq[~own]
+            # A frequency takes one byte; larger ones take several postings.
+            copies = (freq + 254) // 255
+            if (copies > 1).any():
+                last = np.cumsum(copies) - 1
+                token, at, left = np.repeat(token, copies), np.repeat(at, copies), freq - 255 * (copies - 1)
+                freq = np.full(len(token), 255)
+                freq[last] = left
+            heads = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]])) if len(token) else np.zeros(0, np.int64)
+            ends = np.concatenate([heads, [len(token)]])
+            n = len(heads)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(cols[0], pa.string()), pa.array(np.full(n, first)), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.binary()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())],
+                [
+                    pa.array([tokens[i] for i in token[heads]], pa.string()),
+                    pa.array(np.full(n, first)),
+                    binary(at.astype(np.uint16), ends),
+                    binary(freq.astype(np.uint8), ends),
+                    pa.nulls(n, pa.int64()),
+                    pa.nulls(n, pa.int64()),
+                    pa.nulls(n, pa.int64()),
+                ],
                 names=NAMES,
             )
             yield pa.RecordBatch.from_arrays(
-                [pa.nulls(m, pa.string()), pa.array(first + np.arange(m)), pa.nulls(m, pa.binary()), pa.nulls(m, pa.binary()), pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(done)],
+                [pa.nulls(m, pa.string()), pa.array(first + np.arange(m)), pa.nulls(m, pa.binary()), pa.nulls(m, pa.binary()), block.column(0), pc.binary_length(texts).cast(pa.int64()), pa.array(done)],
                 names=NAMES,
             )
             first += m
-            ids, sizes, done, seen = [], [], [], defaultdict(list)
-
-        for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                at = len(ids)
-                ids.append(doc)
-                sizes.append(len(text.encode()))
-                if any(s in text for s in special):
-                    done.append(count_pieces(tok, [text])[0])
-                else:
-                    done.append(0)
-                    for t, k in Counter(pattern.findall(text)).items():
-                        seen[t] += (at, k)
-                if len(ids) == BLOCK:
-                    yield from flush()
-        if ids:
-            yield from flush()
 
     return run
 
 
-NAMES = [x.split()[0] for x in ROWS.split(", ")]
+def binary(values: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Runs of ``values`` as a binary column."""
+    return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer((ends * values.itemsize).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
+
+
+def values(column: pa.Array, kind) -> tuple[np.ndarray, np.ndarray]:
+    """All values of a binary column, and how many each row has."""
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    data = np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
+    return data.view(kind), np.diff(offsets) // np.dtype(kind).itemsize
 
 
 def resolve(path: str):
@@ -128,26 +188,23 @@ def resolve(path: str):
         last, last_n = None, 0
         for batch in batches:
             token = batch.column(0)
-            rest = token.is_null().to_numpy(False)
-            if rest.any():
+            if token.null_count:
                 own = batch.filter(token.is_null())
                 yield pa.RecordBatch.from_arrays([own.column(1), own.column(4), own.column(5), own.column(6)], names=["uid", "doc_id", "n_bytes", "n_tokens"])
                 batch = batch.filter(token.is_valid())
             if not batch.num_rows:
                 continue
-            words = batch.column(0).to_pylist()
-            distinct = list(dict.fromkeys(words))
+            coded = batch.column(0).dictionary_encode()
+            distinct = coded.dictionary.to_pylist()
             if distinct[0] == last:
                 counted = [last_n, *count_pieces(tok, distinct[1:])]
             else:
                 counted = count_pieces(tok, distinct)
             last, last_n = distinct[-1], counted[-1]
-            by = dict(zip(distinct, counted))
-            docs, freqs = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            sizes = np.array([len(d) // 2 for d in docs])
-            at = np.frombuffer(b"".join(docs), np.uint16).astype(np.int64) + np.repeat(batch.column(1).to_numpy(), sizes)
-            freq = np.concatenate([np.frombuffer(f, np.uint8 if len(f) * 2 == len(d) else np.uint32) for d, f in zip(docs, freqs)]).astype(np.int64)
-            got = freq * np.repeat(np.array([by[w] for w in words], np.int64), sizes)
+            docs, sizes = values(batch.column(2), np.uint16)
+            freq, _ = values(batch.column(3), np.uint8)
+            at = docs + np.repeat(batch.column(1).to_numpy(), sizes)
+            got = freq * np.repeat(np.array(counted, np.int64)[coded.indices.to_numpy()], sizes)
             uid, where = np.unique(at, return_inverse=True)
             sums = np.bincount(where, got, len(uid)).astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(uid), pa.nulls(len(uid), pa.int64()), pa.nulls(len(uid), pa.int64()), pa.array(sums)], names=["uid", "doc_id", "n_bytes", "n_tokens"])
