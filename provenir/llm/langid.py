@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from provenir.llm.common import table
 
@@ -119,13 +120,15 @@ def products(protos: np.ndarray) -> np.ndarray:
     return _products[key]
 
 
-def classify(names: list[str], protos: np.ndarray):
+def classify(names: list[str], protos: np.ndarray, column: int):
+    """Append the prediction and its score to each row; ``column``: the text's."""
+
     def run(batches):
         known = products(protos)
         for batch in batches:
             preds, scores = [], []
             for at in range(0, batch.num_rows, 64):
-                texts = [t or "" for t in batch.column(1).slice(at, 64).to_pylist()]
+                texts = [t or "" for t in batch.column(column).slice(at, 64).to_pylist()]
                 g, n = grams_of(texts)
                 new = np.unique(g[np.isnan(known[g, 0])]) if names else g[:0]
                 for i in range(0, len(new), 4096):
@@ -142,14 +145,16 @@ def classify(names: list[str], protos: np.ndarray):
                     pos = np.maximum(cos, 0)
                     preds.append(names[best])
                     scores.append(float(pos[best] / pos.sum()) if pos.sum() > 0 else 0.0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(preds, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(preds, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names, "lang_pred", "score"])
 
     return run
 
 
-def identify(df: DataFrame, model: tuple[list[str], np.ndarray], key: str = "doc_id", text: str = "text") -> DataFrame:
-    """A row for each row of ``df``: ``doc_id``, ``lang_pred`` and ``score`` in [0, 1]."""
-    return df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(classify(*model), "doc_id bigint, lang_pred string, score double")
+def with_language(df: DataFrame, model: tuple[list[str], np.ndarray], text: str = "text") -> DataFrame:
+    """``df`` with ``lang_pred`` and ``score`` in [0, 1]; columns of these names are replaced."""
+    df = df.drop("lang_pred", "score")
+    schema = T.StructType([*df.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    return df.mapInArrow(classify(*model, df.columns.index(text)), schema)
 
 
 def held_out(key: str = "doc_id"):
@@ -159,4 +164,4 @@ def held_out(key: str = "doc_id"):
 def op9_language_id(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = fit(docs.where(~held_out()))
-    return identify(docs, model).withColumn("held_out", held_out()).select("doc_id", "held_out", "lang_pred", "score")
+    return with_language(docs.select("doc_id", "text"), model).withColumn("held_out", held_out()).select("doc_id", "held_out", "lang_pred", "score")

@@ -33,6 +33,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from provenir.llm.common import materialise, table, tasks
 
@@ -62,18 +63,21 @@ def fingerprint(text: str | None, words: int = WORDS) -> int:
     return int(np.packbits(2 * counts > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
-def printer(words: int):
+def printer(words: int, column: int):
+    """Append each row's fingerprint; ``column``: the text's."""
+
     def run(batches):
         for batch in batches:
-            prints = np.array([fingerprint(t, words) for t in batch.column(1).to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view(np.int64))], names=["doc_id", "fp"])
+            prints = np.array([fingerprint(t, words) for t in batch.column(column).to_pylist()], np.uint64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(prints.view(np.int64))], names=[*batch.schema.names, "fp"])
 
     return run
 
 
-def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS) -> DataFrame:
-    """``doc_id`` and ``fp`` (the fingerprint's 64 bits as a long) of each row."""
-    return df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(printer(words), "doc_id bigint, fp bigint")
+def fingerprints(df: DataFrame, text: str = "text", words: int = WORDS) -> DataFrame:
+    """``df`` with ``fp``, the fingerprint's 64 bits as a long."""
+    df = df.drop("fp")
+    return df.mapInArrow(printer(words, df.columns.index(text)), T.StructType([*df.schema.fields, T.StructField("fp", T.LongType())]))
 
 
 def bk_links(points: np.ndarray, radius: int):
@@ -193,7 +197,7 @@ def links(prints: DataFrame, radius: int = RADIUS, shard: int = SHARD) -> DataFr
 
 
 def connect(nodes: DataFrame, edges: DataFrame, most: int = 60) -> DataFrame:
-    """``fp`` and ``label`` (smallest start label reachable over ``edges``) for ``nodes`` (``fp``, ``label``)."""
+    """``fp``, ``label`` (smallest start label reachable over ``edges``) and ``top`` (the fingerprint it started at) for ``nodes`` (``fp``, ``label``)."""
     edges = materialise(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "edges")
     ends = edges.select(F.col("a").alias("fp")).distinct()
     # Only fingerprints with a link take part in the rounds; the label is (id, fingerprint), so null ids come last.
@@ -206,20 +210,41 @@ def connect(nodes: DataFrame, edges: DataFrame, most: int = 60) -> DataFrame:
         new = best.join(jump, F.col("own.top") == F.col("_fp"), "left").select("fp", F.least("own", F.coalesce("up", "own")).alias("own"), "was", "was_top")
         at = materialise(new.select("fp", F.col("own.label").alias("label"), F.col("own.top").alias("top"), ((F.col("own.label") != F.col("was")) | (F.col("own.top") != F.col("was_top"))).alias("moved")), f"labels{k + 1}")
         if not at.where("moved").take(1):
-            return at.select("fp", "label")
+            return at.select("fp", "label", "top")
     raise RuntimeError(f"components did not settle in {most} rounds")
 
 
-def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, radius: int = RADIUS, shard: int = SHARD) -> DataFrame:
-    """A row for each row of ``df``: ``doc_id``, ``fp`` and ``component_id``, the smallest id that links reach."""
-    prints = materialise(fingerprints(df, key, text, words), "fingerprints")
+NO_ID = (1 << 63) - 1
+
+
+def groups(prints: DataFrame, radius: int = RADIUS, shard: int = SHARD) -> DataFrame:
+    """``fp``, ``low`` (smallest id with it), ``component_id`` and ``top`` (a fingerprint that names the component) of each distinct fingerprint of ``prints`` (doc_id, fp)."""
     distinct = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("low")), "distinct")
     # A null id sorts after all others as a label.
-    nodes = distinct.select("fp", F.coalesce("low", F.lit((1 << 63) - 1)).alias("label"))
+    nodes = distinct.select("fp", F.coalesce("low", F.lit(NO_ID)).alias("label"))
     found = connect(nodes, links(distinct.select("fp"), radius, shard))
-    label = F.when(F.col("label") != (1 << 63) - 1, F.col("label"))
-    named = distinct.join(found.select("fp", label.alias("reached")), "fp", "left").select("fp", F.coalesce("reached", "low").alias("component_id"))
-    return prints.join(named, "fp").select("doc_id", "fp", "component_id")
+    label = F.when(F.col("label") != NO_ID, F.col("label"))
+    return distinct.join(found.select("fp", label.alias("reached"), "top"), "fp", "left").select("fp", "low", F.coalesce("reached", "low").alias("component_id"), F.coalesce("top", "fp").alias("top"))
+
+
+def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, radius: int = RADIUS, shard: int = SHARD) -> DataFrame:
+    """A row for each row of ``df``: ``doc_id``, ``fp`` and ``component_id``, the smallest id that links reach."""
+    prints = materialise(fingerprints(df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")), "text", words).drop("text"), "fingerprints")
+    return prints.join(groups(prints, radius, shard).select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+
+
+def first_of_each(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, radius: int = RADIUS, shard: int = SHARD) -> DataFrame:
+    """The rows of ``df`` but for all but one of each group of near copies: the one with the smallest id stays."""
+    # Written with a row number, so that later passes know the rows again even if they are read in other splits.
+    rows = materialise(fingerprints(df.withColumn("_row", F.monotonically_increasing_id()), text, words), "printed")
+    prints = rows.select(F.col(key).cast("long").alias("doc_id"), "fp", "_row")
+    named = groups(prints.select("doc_id", "fp"), radius, shard).select("fp", "top")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row"))
+    per_print = prints.groupBy("fp").agg(first.alias("first")).join(named, "fp")
+    winner = per_print.groupBy("top").agg(F.min("first").alias("win"))
+    wins = materialise(named.join(winner, "top").select("fp", F.col("win._row").alias("_win")), "winners")
+    losers = materialise(prints.join(wins, "fp").where("_row != _win").select(F.col("_row").alias("_lost")), "losers")
+    return rows.join(losers, F.col("_row") == F.col("_lost"), "left_anti").select(*df.columns)
 
 
 def op5_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:
