@@ -190,7 +190,7 @@ def links(prints: DataFrame, radius: int = RADIUS, shard: int = SHARD) -> DataFr
     hot = dealt.join(large, "shard").select("fp").distinct()
     flips = [0] + [sum(1 << i for i in c) for k in range(1, radius // 2 + 1) for c in combinations(range(64), k)]
     # Two fingerprints that link meet halfway, within radius / 2 flips of either.
-    middle = hot.select("fp", F.explode(F.array(*[F.lit(signed(x)) for x in flips])).alias("x")).select("fp", F.col("fp").bitwiseXOR("x").alias("mid"))
+    middle = hot.select("fp", F.explode(F.array(*[F.lit(signed(x)) for x in flips])).alias("x")).select("fp", F.col("fp").bitwiseXOR(F.col("x")).alias("mid"))
     # Points that share a midpoint lie within 2 x (radius / 2) bits of each other, so a star to the smallest one only joins what links.
     star = middle.groupBy("mid").agg(F.min("fp").alias("b"), F.count("*").alias("_n")).where("_n > 1").select("mid", "b")
     return small.unionByName(middle.join(star, "mid").where("fp != b").select(F.col("fp").alias("a"), "b").distinct())
