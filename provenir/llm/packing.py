@@ -29,55 +29,113 @@ from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from provenir.llm.common import materialise, table
 
 #: Distinct words whose ids a worker keeps; later ones are tokenised again when they come.
-KEPT = 500_000
+KEPT = 1_000_000
+#: Bytes of text that are tokenised at once.
+BLOCK_BYTES = 12 << 20
 BINS, DEPTH = 32, 4
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, _task int, _nth bigint"
 PLACED = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint"
-#: ASCII white space only separates pre-tokens whatever Unicode version a library has.
-SPACE = re.compile(r"[ \t\n\r\f\v]+")
+#: Letters that are letters, and stay themselves under normalisation, in every Unicode version; then punctuation without an apostrophe.
+PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@\\[-`{-~]*)")
 _loaded: dict[str, tuple] = {}
 
 
 def load(path: str):
+    """The tokenizer of ``path``, its special strings, which ids end a word, and ids of known words; kept per worker."""
     if path not in _loaded:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         tok = Tokenizer.from_file(path)
-        _loaded[path] = (tok, [t.content for t in tok.get_added_tokens_decoder().values()], {})
+        ends = np.zeros(tok.get_vocab_size(), bool)
+        ends[[i for t, i in tok.get_vocab().items() if t.endswith("</w>")]] = True
+        _loaded[path] = (tok, [t.content for t in tok.get_added_tokens_decoder().values()], ends, {})
     return _loaded[path]
 
 
-def ids_of(path: str, texts: list[str], whole: bool = False) -> list[bytes]:
-    """Little-endian unsigned 32-bit ids of each text.
+def ids_of_each(tok, texts: list[str]) -> list[bytes]:
+    """Little-endian unsigned 32-bit ids of each text, by the library alone."""
+    return [np.array(e.ids, "<u4").tobytes() for e in tok.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
 
-    The tokenizer drops white space and never joins across it, so ids are those
-    of the words in turn; words are tokenised once per worker. ``whole`` sends
-    texts through the library unsplit, as for tokenizers where that does not hold;
-    texts with a special token's string always go that way.
+
+def ids_of_words(tok, ends: np.ndarray, words: list[str], known: dict[str, bytes]) -> list[bytes]:
+    """The same for words without white space, with what ``known`` has of them.
+
+    A run of letters is one pre-token, the same in lower case, whose last id is one
+    that ends a word: many of them, with spaces between, are tokenised as one text
+    and cut apart there.
     """
-    tok, special, known = load(path)
-    out: list = [None] * len(texts)
-    odd = [i for i, t in enumerate(texts) if whole or any(s in t for s in special)]
-    for i, e in zip(odd, tok.encode_batch_fast([texts[i] for i in odd], add_special_tokens=False) if odd else ()):
-        out[i] = np.array(e.ids, "<u4").tobytes()
-    words = {i: SPACE.split(t) for i, t in enumerate(texts) if out[i] is None}
-    new = list({w for x in words.values() for w in x}.difference(known))
-    fresh = {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(new, tok.encode_batch_fast(new, add_special_tokens=False) if new else ())}
+    parts = [(m[1].lower(), m[2]) if m else None for m in map(PLAIN.fullmatch, words)]
+    stems = [w for w in {m[0] for m in parts if m} if w not in known]
+    own: dict[str, bytes] = {"": b""}
+    for at in range(0, len(stems), 2000):
+        part = stems[at : at + 2000]
+        ids = np.array(tok.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+        stops = np.flatnonzero(ends[ids]) + 1
+        if len(stops) != len(part):
+            own.update(zip(part, ids_of_each(tok, part)))
+            continue
+        data, stops = ids.tobytes(), (4 * stops).tolist()
+        own.update((w, data[a:b]) for w, a, b in zip(part, [0, *stops], stops))
+    if len(known) + len(own) <= KEPT:
+        known.update(own)
+        own = known
+    rest = list({m[1] for m in parts if m and m[1]} | {w for w, m in zip(words, parts) if not m})
+    more = dict(zip(rest, ids_of_each(tok, rest)), **{"": b""})
+    return [(own[m[0]] if m[0] in own else known[m[0]]) + more[m[1]] if m else more[w] for w, m in zip(words, parts)]
+
+
+def ids_of(path: str, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all texts in turn, and how many each has.
+
+    The tokenizer drops white space and never joins across it, so a text's ids are
+    those of its words in turn: texts are cut at ASCII white space in Arrow, each
+    distinct word is tokenised once per worker, and ids are gathered in numpy.
+    Texts with a special token's string go through the library whole.
+    """
+    tok, special, ends, known = load(path)
+    marked = np.zeros(len(texts), bool)
+    for s in special:
+        marked |= pc.match_substring(texts, s).to_numpy(False)
+    whole = ids_of_each(tok, texts.filter(pa.array(marked)).to_pylist()) if marked.any() else []
+    parts = pc.ascii_split_whitespace(pc.if_else(pa.array(marked), "", texts) if whole else texts)
+    flat = parts.flatten().dictionary_encode()
+    words = flat.dictionary.to_pylist()
+    new = [w for w in words if w not in known]
+    fresh = dict(zip(new, ids_of_words(tok, ends, new, known)))
     if len(known) + len(fresh) <= KEPT:
         known.update(fresh)
-        for i, x in words.items():
-            out[i] = b"".join([known[w] for w in x])
-    else:
-        for i, x in words.items():
-            out[i] = b"".join([known[w] if w in known else fresh[w] for w in x])
-    return out
+        fresh = known
+    chunks = [known[w] if w in known else fresh[w] for w in words] + whole
+    sizes = np.array([len(c) // 4 for c in chunks], np.int64)
+    starts = np.cumsum(sizes) - sizes
+    every = np.frombuffer(b"".join(chunks), "<u4")
+    codes, offsets = flat.indices.to_numpy(), parts.offsets.to_numpy()
+    if whole:  # a marked text is one empty word so far
+        codes = codes.copy()
+        codes[offsets[:-1][marked]] = len(words) + np.arange(len(whole))
+    n = sizes[codes]
+    total = np.concatenate([[0], np.cumsum(n)])
+    # Positions fit 32 bits: a block has a few MB of text, and a longer one is a single text.
+    kind = np.int32 if total[-1] < 1 << 31 else np.int64
+    ids = every[np.repeat((starts[codes] - total[:-1]).astype(kind), n) + np.arange(total[-1], dtype=kind)]
+    return ids, total[offsets[1:]] - total[offsets[:-1]]
+
+
+def blocks(batch):
+    size = np.cumsum(pc.binary_length(batch.column(1)).to_numpy().astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        stop = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + BLOCK_BYTES, side="right")))
+        yield batch.slice(at, stop - at)
+        at = stop
 
 
 def cut(path: str, width: int, end_id: int):
@@ -89,16 +147,16 @@ def cut(path: str, width: int, end_id: int):
         task = TaskContext.get().partitionId() if TaskContext.get() else 0
         nth: dict[int, int] = defaultdict(int)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                rows = []
-                for doc, ids in zip(part.column(0).to_pylist(), ids_of(path, part.column(1).to_pylist())):
-                    ids += end
-                    for piece, start in enumerate(range(0, len(ids), 4 * width)):
-                        own = ids[start : start + 4 * width]
-                        n = len(own) // 4
-                        rows.append((doc, piece, start // 4, n, zlib.crc32(own), task, nth[n]))
+            for part in blocks(batch):
+                ids, sizes = ids_of(path, part.column(1))
+                data, at, rows = memoryview(ids.astype("<u4", copy=False)).cast("B"), 0, []
+                for doc, size in zip(part.column(0).to_pylist(), sizes.tolist()):
+                    for piece, start in enumerate(range(0, size + 1, width)):
+                        n = min(width, size + 1 - start)
+                        crc = zlib.crc32(data[4 * (at + start) : 4 * min(at + start + n, at + size)])
+                        rows.append((doc, piece, start, n, zlib.crc32(end, crc) if start + n > size else crc, task, nth[n]))
                         nth[n] += 1
+                    at += size
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), SCHEMA.types)], schema=SCHEMA)
 
     return run
