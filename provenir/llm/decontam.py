@@ -9,7 +9,8 @@ their slots hold the same values (``exact``), or each slot value of the item alw
 stands for one and the same value of the document (``renamed``: a re-parameterised
 question). Windows whose slots disagree otherwise count for neither.
 
-Items shorter than a window are one window of their own length. Null and empty
+Items shorter than a window are one window of their own length, which only a
+document of the same words holds. Null and empty
 texts hold nothing; items without words are never found. Rows with the same id are
 one document; a null id is one as well. Repeated items are found each. Empty tables
 give an empty result, or one without findings. Other columns are not read.
@@ -81,7 +82,7 @@ def found_items(docs: DataFrame, bench: DataFrame, key: str = "doc_id", text: st
     seen = hits.groupBy(key, "_item", "hash").agg(F.max(same).alias("same"), F.array_distinct(F.flatten(F.collect_set(pairs))).alias("pairs"))
     summed = seen.groupBy(key, "_item").agg(F.count("*").alias("n"), F.count(F.when(F.col("same"), 1)).alias("n_same"), F.array_distinct(F.flatten(F.collect_list("pairs"))).alias("pairs"))
     consistent = F.size(F.array_distinct(F.transform("pairs", lambda p: p["b"]))) == F.size("pairs")
-    kind = F.when(F.col("n_same") >= share * F.col("_of"), "exact").when((F.col("n") >= share * F.col("_of")) & consistent, "renamed")
+    kind = F.when((F.col("n") >= share * F.col("_of")) & (F.col("n_same") < F.col("n")) & consistent, "renamed").when(F.col("n_same") >= share * F.col("_of"), "exact")
     return summed.join(sizes, "_item").withColumn("kind", kind).where(F.col("kind").isNotNull()).select(key, F.col("_item").alias(item), "kind", (F.when(F.col("kind") == "exact", F.col("n_same")).otherwise(F.col("n")) / F.col("_of")).alias("share"))
 
 
@@ -139,7 +140,7 @@ WITH {_sql("documents", "doc_id").strip()}, {_sql("benchmark", "item_id").strip(
 ), summed AS (
   SELECT doc_id, item_id, count(DISTINCT hash) AS n, count(DISTINCT hash) FILTER (len(slots) = 0 OR list_contains(places, slots)) AS n_same FROM hits GROUP BY ALL
 ), kinds AS (
-  SELECT s.doc_id, s.item_id, CASE WHEN n_same >= {SHARE} * n_of THEN 'exact' WHEN n >= {SHARE} * n_of AND coalesce(ok, true) THEN 'renamed' END AS kind
+  SELECT s.doc_id, s.item_id, CASE WHEN n >= {SHARE} * n_of AND n_same < n AND coalesce(ok, true) THEN 'renamed' WHEN n_same >= {SHARE} * n_of THEN 'exact' END AS kind
   FROM summed AS s JOIN sizes USING (item_id) LEFT JOIN agree AS a ON a.doc_id IS NOT DISTINCT FROM s.doc_id AND a.item_id = s.item_id
 ), bad AS (
   SELECT doc_id, count(*) AS n_items, array_to_string(list_sort(list(item_id)), ',') AS items, min(kind) AS kind FROM kinds WHERE kind IS NOT NULL GROUP BY doc_id

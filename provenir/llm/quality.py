@@ -210,7 +210,7 @@ def logit(x):
 
 
 def posterior(scored: DataFrame, site: DataFrame, mean: dict, host: str, path: str) -> DataFrame:
-    """``scored`` with ``quality``, ``toxic`` (posterior probabilities) and ``keep`` in place of the documents' own."""
+    """``scored`` with ``_quality``, ``_toxic`` now posterior probabilities, and ``_keep``."""
     if site.count() <= SITES:
         site = F.broadcast(site)
     joined = scored.join(site, scored[host].cast("string").eqNullSafe(site["_host"]) & scored[path].cast("string").eqNullSafe(site["_path"]), "left")
@@ -218,14 +218,15 @@ def posterior(scored: DataFrame, site: DataFrame, mean: dict, host: str, path: s
     for c in ("_quality", "_toxic"):
         moved = logit(F.least(F.greatest(F.col(c), F.lit(1e-7)), F.lit(1 - 1e-7))) + WEIGHT * (logit(edge(F.coalesce(F.col(f"p{c}"), F.lit(mean[c])))) - math.log(mean[c] / (1 - mean[c])))
         joined = joined.withColumn(f"n{c}", 1 / (1 + F.exp(-moved)))
-    return joined.select(*[c for c in scored.columns if c not in ("_quality", "_toxic")], F.col("n_quality").alias("quality"), F.col("n_toxic").alias("toxic"), ((F.col("n_quality") >= 0.5) & (F.col("n_toxic") < 0.5)).alias("keep"))
+    return joined.select(*[c for c in scored.columns if c not in ("_quality", "_toxic")], F.col("n_quality").alias("_quality"), F.col("n_toxic").alias("_toxic"), ((F.col("n_quality") >= 0.5) & (F.col("n_toxic") < 0.5)).alias("_keep"))
 
 
 def classify(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", sample: int = SAMPLE) -> DataFrame:
-    """``docs`` without their texts, with ``quality``, ``toxic`` and ``keep``."""
+    """``docs`` without their texts, with ``quality``, ``toxic`` and ``keep``; columns of these names are replaced."""
     model = fit(docs, labels, sample=sample)
     scored = materialise(score(docs, model).drop("text"), "scored")
-    return posterior(scored, *sites(scored, host, path), host, path)
+    out = posterior(scored, *sites(scored, host, path), host, path)
+    return out.drop("quality", "toxic", "keep").withColumnsRenamed({"_quality": "quality", "_toxic": "toxic", "_keep": "keep"})
 
 
 def kept(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", sample: int = SAMPLE) -> DataFrame:
@@ -233,7 +234,7 @@ def kept(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "
     model = fit(docs, labels, sample=sample)
     first = materialise(score(docs, model).select(host, path, "_quality", "_toxic"), "scored")
     out = posterior(score(docs, model), *sites(first, host, path), host, path)
-    return out.where("keep").select(*docs.columns)
+    return out.where("_keep").select(*docs.columns)
 
 
 def op8_quality_classifier(spark, sf_dir: str) -> DataFrame:
