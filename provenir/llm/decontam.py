@@ -1,6 +1,6 @@
 """Benchmark decontamination by template windows, in DataFrame operations only.
 
-Texts become templates: a capitalised word that does not start a sentence is a name
+Texts become templates (control characters 1 to 3 in a text count as slot marks): a capitalised word that does not start a sentence is a name
 slot, a run of digits a number slot, a measure after a number a unit slot, and all
 else is lower-case words. Windows of ``WINDOW`` template tokens are hashed and joined
 with those of the benchmark; a window needs more words than slots. An item is found in
@@ -31,39 +31,29 @@ UNITS = "kg|g|mg|km|m|cm|mm|miles?|feet|foot|inch(?:es)?|hours?|minutes?|seconds
 BROADCAST = 500_000
 
 
-def tokens(text: Column) -> Column:
-    """Words of a text in lower case; a slot is its mark followed by its value."""
-    t = F.regexp_replace(text, "[\\x01-\\x03]", " ")
-    for _ in range(2):  # names next to each other: a match takes the space before the next one
-        t = F.regexp_replace(t, r"([^.!?:\s] )(\p{Lu}\p{Ll}+)", f"$1{NAME}$2")
-    t = F.regexp_replace(F.lower(t), r"(\p{Nd}+)", f" {NUMBER}$1 ")
-    t = F.regexp_replace(t, rf"({NUMBER}\p{{Nd}}+ +)({UNITS})([^\p{{L}}\p{{Nd}}]|$)", f"$1{UNIT}$2$3")
-    return F.filter(F.split(t, r"[^\p{L}\p{Nd}\x01-\x03]+"), lambda w: w != "")
+def tokens(text: Column, values: bool = True) -> Column:
+    """Words of a text in lower case; a slot is its mark, followed by its value if ``values``."""
+    v = "$0" if values else ""
+    t = F.regexp_replace(text, r"(?<=[^.!?:\s] )\p{Lu}\p{Ll}++(?![\p{L}\p{Nd}])", NAME + v)
+    t = F.lower(t)
+    t = F.regexp_replace(t, r"\p{Nd}+", f" {NUMBER}{v} ")
+    t = F.regexp_replace(t, rf"({NUMBER}\p{{Nd}}* +)({UNITS})(?![\p{{L}}\p{{Nd}}])", f"$1{UNIT}$2" if values else f"$1{UNIT}")
+    return F.array_remove(F.split(t, r"[^a-z0-9\p{L}\p{Nd}\x01-\x03]+"), "")
+
+
+def window_hashes(h: Column) -> Column:
+    """A hash for each window of template words ``h``; one for all of them if they are fewer."""
+    at = F.sequence(F.lit(0), F.size(h) - WINDOW)
+    return F.when(F.size(h) >= WINDOW, F.transform(at, lambda i: F.xxhash64(*[F.get(h, i + k) for k in range(WINDOW)]))).when(F.size(h) > 0, F.array(F.xxhash64(F.lit(-1), F.array_join(h, " "))))
 
 
 def windows(df: DataFrame, key: str, text: str) -> DataFrame:
-    """``key``, ``pos``, ``hash`` and ``slots`` (null without any) of each template window."""
-    marks = f"{NUMBER}{NAME}{UNIT}"
-    is_slot = lambda w: F.instr(F.lit(marks), F.substring(w, 1, 1)) > 0
-    t = df.select(F.col(key), tokens(F.col(text)).alias("w")).where(F.size("w") > 0)
-    t = t.select(key, "w", F.transform("w", lambda w: F.xxhash64(F.when(is_slot(w), F.substring(w, 1, 1)).otherwise(w))).alias("h"))
-    n = F.greatest(F.size("h") - (WINDOW - 1), F.lit(1))
-    slotted = F.exists("w", is_slot)
-    at = F.posexplode(F.transform(F.sequence(F.lit(1), n), lambda i: F.when(F.size("h") >= WINDOW, F.xxhash64(*[F.get("h", i - 1 + k) for k in range(WINDOW)])).otherwise(F.xxhash64(F.lit(-1), F.array_join("h", " ")))))
-    plain = t.where(~slotted).select(F.col(key), at.alias("pos", "hash")).withColumn("slots", F.lit(None).cast("array<string>"))
-    part = lambda i: F.slice(F.col("w"), i, WINDOW)
-    own = F.posexplode(
-        F.transform(
-            F.sequence(F.lit(1), n),
-            lambda i: F.struct(
-                F.when(F.size("h") >= WINDOW, F.xxhash64(*[F.get("h", i - 1 + k) for k in range(WINDOW)])).otherwise(F.xxhash64(F.lit(-1), F.array_join("h", " "))).alias("hash"),
-                F.filter(part(i), is_slot).alias("slots"),
-                F.size(part(i)).alias("n"),
-            ),
-        )
-    )
-    mixed = t.where(slotted).select(F.col(key), own.alias("pos", "x")).where(2 * F.size("x.slots") < F.col("x.n")).select(key, "pos", F.col("x.hash").alias("hash"), F.when(F.size("x.slots") > 0, F.col("x.slots")).alias("slots"))
-    return plain.unionByName(mixed)
+    """``key``, ``hash`` and ``slots`` (marks and values in order; empty without any) of each window with more words than slots."""
+    is_slot = lambda w: F.substring(w, 1, 1).isin(NUMBER, NAME, UNIT)
+    t = df.select(F.col(key), tokens(F.col(text)).alias("w"))
+    t = t.withColumn("h", F.transform("w", lambda w: F.when(is_slot(w), F.substring(w, 1, 1)).otherwise(w)))
+    own = t.select(key, "w", F.posexplode(window_hashes(F.col("h"))).alias("i", "hash")).withColumn("w", F.slice("w", F.col("i") + 1, WINDOW))
+    return own.select(key, "hash", F.filter("w", is_slot).alias("slots"), F.size("w").alias("n")).where(2 * F.size("slots") < F.col("n")).drop("n")
 
 
 def found_items(docs: DataFrame, bench: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", share: float = SHARE) -> DataFrame:
@@ -72,18 +62,24 @@ def found_items(docs: DataFrame, bench: DataFrame, key: str = "doc_id", text: st
     sizes = asked.groupBy("_item").agg(F.countDistinct("hash").alias("_of"))
     # One row for each hash and item, with the places' slots: repeats in an item do not multiply matches.
     asked = asked.groupBy("hash", "_item").agg(F.collect_set("slots").alias("_slots"))
-    if asked.count() <= BROADCAST:
-        asked, sizes = F.broadcast(asked), F.broadcast(sizes)
-    said = windows(docs.select(F.col(key), F.col(text)), key, text)
-    hits = said.join(asked, "hash").select(key, "_item", "hash", "slots", "_slots")
-    same = F.col("slots").isNull() | F.array_contains("_slots", F.coalesce("slots", F.array().cast("array<string>")))
-    # Pairs "benchmark value = document value" of the slots, for windows with one place in the item.
-    pairs = F.when(F.col("slots").isNotNull() & (F.size("_slots") == 1), F.zip_with(F.get("_slots", F.lit(0)), "slots", lambda b, d: F.struct(b.alias("b"), d.alias("d"))))
+    small = asked.count() <= BROADCAST
+    bound = F.broadcast if small else (lambda x: x)
+    # First by hashes alone, from templates without values: what holds too few windows is found in no way.
+    own = docs.select(F.col(key), F.col(text))
+    said = own.select(key, tokens(F.col(text), values=False).alias("w")).select(key, F.explode(window_hashes(F.col("w"))).alias("hash"))
+    counts = said.join(bound(asked.select("hash", "_item")), "hash").groupBy(key, "_item").agg(F.countDistinct("hash").alias("n"))
+    close = materialise(counts.join(bound(sizes), "_item").where(F.col("n") >= share * F.col("_of")).select(F.col(key).alias("_key"), "_item"), "close")
+    # Then the slots of the documents that are left.
+    left = own.join(close.select("_key").distinct(), F.col(key).eqNullSafe(F.col("_key")), "left_semi")
+    hits = windows(left, key, text).join(bound(asked), "hash").select(key, "_item", "hash", "slots", "_slots")
+    same = F.array_contains("_slots", F.col("slots"))
+    # Pairs of a benchmark value and a document value of the slots, for windows with one place in the item.
+    pairs = F.when(F.size("_slots") == 1, F.zip_with(F.get("_slots", F.lit(0)), "slots", lambda b, d: F.struct(b.alias("b"), d.alias("d"))))
     seen = hits.groupBy(key, "_item", "hash").agg(F.max(same).alias("same"), F.array_distinct(F.flatten(F.collect_set(pairs))).alias("pairs"))
     summed = seen.groupBy(key, "_item").agg(F.count("*").alias("n"), F.count(F.when(F.col("same"), 1)).alias("n_same"), F.array_distinct(F.flatten(F.collect_list("pairs"))).alias("pairs"))
     consistent = F.size(F.array_distinct(F.transform("pairs", lambda p: p["b"]))) == F.size("pairs")
     kind = F.when((F.col("n") >= share * F.col("_of")) & (F.col("n_same") < F.col("n")) & consistent, "renamed").when(F.col("n_same") >= share * F.col("_of"), "exact")
-    return summed.join(sizes, "_item").withColumn("kind", kind).where(F.col("kind").isNotNull()).select(key, F.col("_item").alias(item), "kind", (F.when(F.col("kind") == "exact", F.col("n_same")).otherwise(F.col("n")) / F.col("_of")).alias("share"))
+    return summed.join(bound(sizes), "_item").withColumn("kind", kind).where(F.col("kind").isNotNull()).select(key, F.col("_item").alias(item), "kind", (F.when(F.col("kind") == "exact", F.col("n_same")).otherwise(F.col("n")) / F.col("_of")).alias("share"))
 
 
 def contaminated(docs: DataFrame, bench: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -106,11 +102,10 @@ def op2_decontamination(spark, sf_dir: str) -> DataFrame:
 
 
 def _sql(name: str, key: str) -> str:
+    names = r"'([^.!?:\s] )(\p{Lu}\p{Ll}+)([^\p{L}\p{Nd}]|$)', '\1' || chr(2) || '\2\3', 'g'"
     return rf"""
-{name}_m AS (
-  SELECT {key} AS id, regexp_replace(text, '[\x01-\x03]', ' ', 'g') AS t FROM {name} WHERE text IS NOT NULL
-), {name}_n AS (
-  SELECT id, lower(regexp_replace(regexp_replace(t, '([^.!?:\s] )(\p{{Lu}}\p{{Ll}}+)', '\1' || chr(2) || '\2', 'g'), '([^.!?:\s] )(\p{{Lu}}\p{{Ll}}+)', '\1' || chr(2) || '\2', 'g')) AS t FROM {name}_m
+{name}_n AS (
+  SELECT {key} AS id, lower(regexp_replace(regexp_replace(text, {names}), {names})) AS t FROM {name} WHERE text IS NOT NULL
 ), {name}_u AS (
   SELECT id, regexp_replace(regexp_replace(t, '(\p{{Nd}}+)', ' ' || chr(1) || '\1 ', 'g'), '(\x01\p{{Nd}}+ +)({UNITS})([^\p{{L}}\p{{Nd}}]|$)', '\1' || chr(3) || '\2\3', 'g') AS t FROM {name}_n
 ), {name}_s AS (
