@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -39,13 +40,28 @@ def tasks(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Rows in an Arrow batch: documents are some KB each, and a worker holds a few batches' worth at a time.
+BATCH = 4000
+
+
 def ship(spark: SparkSession) -> None:
-    """Let Python workers import this package where the driver found it outside PYTHONPATH."""
+    """Let Python workers import this package where the driver found it outside PYTHONPATH; keep batches small."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH))
     home = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     env = spark.sparkContext.environment
     if home not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (home, env.get("PYTHONPATH", "")) if x)
 
 
-def text_or_empty(name: str = "text"):
-    return F.coalesce(F.col(name), F.lit(""))
+def trimmed(run):
+    """``run`` (over Arrow batches), after which the worker gives free memory back: workers are reused by later stages."""
+
+    def wrapped(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except OSError:  # another C library
+            pass
+
+    return wrapped

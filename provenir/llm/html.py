@@ -175,7 +175,7 @@ def extractor(batches):
 
 def extract_main_text(df: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """A row for each page: ``page_id``, ``url`` and ``text``."""
-    return df.select(F.col(key).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.col(html).alias("html")).mapInArrow(extractor, "page_id bigint, url string, text string")
+    return df.select(F.col(key).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.col(html).alias("html")).mapInArrow(trimmed(extractor), "page_id bigint, url string, text string")
 
 
 def op4_html_extraction(spark, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from provenir.llm.common import table
+from provenir.llm.common import table, trimmed
 
 DIMS, GRAM = 2048, 3
 #: Letter codes: 0 a gap, 1 to 26 a to z, other letters by their code point into the rest.
@@ -102,7 +102,7 @@ def fit(df: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_i
     chance = F.pmod(F.xxhash64(F.col(key), F.lit(11)), F.lit(1 << 30)) / float(1 << 30)
     sample = rows.where(chance < share[F.col(lang)]).select(F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang"))
     # Few tasks, so that the sums to add up are few as well: rows of the sample are bounded.
-    sums = sample.repartition(12).mapInArrow(bundle, "lang string, sums array<double>")
+    sums = sample.repartition(12).mapInArrow(trimmed(bundle), "lang string, sums array<double>")
     names = sorted(r["lang"] for r in counts)
     total = {n: np.zeros(DIMS) for n in names}
     for r in sums.collect():  # at most 12 x languages rows
@@ -154,7 +154,7 @@ def with_language(df: DataFrame, model: tuple[list[str], np.ndarray], text: str
     """``df`` with ``lang_pred`` and ``score`` in [0, 1]; columns of these names are replaced."""
     df = df.drop("lang_pred", "score")
     schema = T.StructType([*df.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return df.mapInArrow(classify(*model, df.columns.index(text)), schema)
+    return df.mapInArrow(trimmed(classify(*model, df.columns.index(text))), schema)
 
 
 def held_out(key: str = "doc_id"):

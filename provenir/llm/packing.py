@@ -33,7 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from provenir.llm.common import materialise, table
+from provenir.llm.common import materialise, table, trimmed
 
 #: Distinct words whose ids a worker keeps; later ones are tokenised again when they come.
 KEPT = 1_000_000
@@ -65,7 +65,7 @@ def ids_of_each(tok, texts: list[str]) -> list[bytes]:
     return [np.array(e.ids, "<u4").tobytes() for e in tok.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
 
 
-def ids_of_words(tok, ends: np.ndarray, words: list[str], known: dict[str, bytes]) -> list[bytes]:
+def ids_of_words(tok, ends: np.ndarray, words: list[str], known: dict[str, bytes], kept: int = KEPT) -> list[bytes]:
     """The same for words without white space, with what ``known`` has of them.
 
     A run of letters is one pre-token, the same in lower case, whose last id is one
@@ -84,7 +84,7 @@ def ids_of_words(tok, ends: np.ndarray, words: list[str], known: dict[str, bytes
             continue
         data, stops = ids.tobytes(), (4 * stops).tolist()
         own.update((w, data[a:b]) for w, a, b in zip(part, [0, *stops], stops))
-    if len(known) + len(own) <= KEPT:
+    if len(known) + len(own) <= kept:
         known.update(own)
         own = known
     rest = list({m[1] for m in parts if m and m[1]} | {w for w, m in zip(words, parts) if not m})
@@ -92,7 +92,7 @@ def ids_of_words(tok, ends: np.ndarray, words: list[str], known: dict[str, bytes
     return [(own[m[0]] if m[0] in own else known[m[0]]) + more[m[1]] if m else more[w] for w, m in zip(words, parts)]
 
 
-def ids_of(path: str, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def ids_of(path: str, texts: pa.Array, kept: int = KEPT) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts in turn, and how many each has.
 
     The tokenizer drops white space and never joins across it, so a text's ids are
@@ -109,8 +109,8 @@ def ids_of(path: str, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     flat = parts.flatten().dictionary_encode()
     words = flat.dictionary.to_pylist()
     new = [w for w in words if w not in known]
-    fresh = dict(zip(new, ids_of_words(tok, ends, new, known)))
-    if len(known) + len(fresh) <= KEPT:
+    fresh = dict(zip(new, ids_of_words(tok, ends, new, known, kept)))
+    if len(known) + len(fresh) <= kept:
         known.update(fresh)
         fresh = known
     chunks = [known[w] if w in known else fresh[w] for w in words] + whole
@@ -129,16 +129,16 @@ def ids_of(path: str, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return ids, total[offsets[1:]] - total[offsets[:-1]]
 
 
-def blocks(batch):
+def blocks(batch, block_bytes: int):
     size = np.cumsum(pc.binary_length(batch.column(1)).to_numpy().astype(np.int64))
     at = 0
     while at < batch.num_rows:
-        stop = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + BLOCK_BYTES, side="right")))
+        stop = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + block_bytes, side="right")))
         yield batch.slice(at, stop - at)
         at = stop
 
 
-def cut(path: str, width: int, end_id: int):
+def cut(path: str, width: int, end_id: int, kept: int = KEPT, block_bytes: int = BLOCK_BYTES):
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches):
@@ -147,8 +147,8 @@ def cut(path: str, width: int, end_id: int):
         task = TaskContext.get().partitionId() if TaskContext.get() else 0
         nth: dict[int, int] = defaultdict(int)
         for batch in batches:
-            for part in blocks(batch):
-                ids, sizes = ids_of(path, part.column(1))
+            for part in blocks(batch, block_bytes):
+                ids, sizes = ids_of(path, part.column(1), kept)
                 data, at, rows = memoryview(ids.astype("<u4", copy=False)).cast("B"), 0, []
                 for doc, size in zip(part.column(0).to_pylist(), sizes.tolist()):
                     for piece, start in enumerate(range(0, size + 1, width)):
@@ -323,10 +323,14 @@ def put(ranges: dict):
     return run
 
 
-def pack_documents(df: DataFrame, path: str, width: int = 4096, end_id: int = 1, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """A row for each piece: key, piece, start, length, ids_crc32, sequence_id and offset."""
+def pack_documents(df: DataFrame, path: str, width: int = 4096, end_id: int = 1, key: str = "doc_id", text: str = "text", kept: int = KEPT, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """A row for each piece: key, piece, start, length, ids_crc32, sequence_id and offset.
+
+    ``kept`` words and ``block_bytes`` of text trade a worker's memory (about 200 bytes a
+    word, 20 times the block) for time; results are the same.
+    """
     texts = df.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    pieces = materialise(texts.mapInArrow(cut(path, width, end_id), PIECES), "pieces")
+    pieces = materialise(texts.mapInArrow(trimmed(cut(path, width, end_id, kept, block_bytes)), PIECES), "pieces")
     counts = materialise(pieces.groupBy("_task", "length").agg(F.count("*").alias("_n")), "counts")
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("_n").alias("n")).collect()}  # at most ``width`` rows
     ranges = place(plan(histogram, width))

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from provenir.llm.common import materialise, table
+from provenir.llm.common import materialise, table, trimmed
 
 SAMPLE, WEIGHT = 20_000, 0.5
 #: Word keys of the toxicity model: at most so many, each in so many toxic documents and with such log-odds.
@@ -135,7 +135,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     n = {r["toxic"]: r["count"] for r in marked.groupBy((F.col("toxic") > 0).cast("int").alias("toxic")).count().collect()}
     odds: dict[str, float] = {}
     if n.get(1) and n.get(0):
-        counts = marked.select("text", (F.col("toxic") > 0).alias("toxic")).mapInArrow(word_counts, "k string, t bigint, o bigint").groupBy("k").agg(F.sum("t").alias("t"), F.sum("o").alias("o"))
+        counts = marked.select("text", (F.col("toxic") > 0).alias("toxic")).mapInArrow(trimmed(word_counts), "k string, t bigint, o bigint").groupBy("k").agg(F.sum("t").alias("t"), F.sum("o").alias("o"))
         weight = F.log((F.col("t") + 0.5) / (n[1] + 1)) - F.log((F.col("o") + 0.5) / (n[0] + 1))
         found = counts.where(F.col("t") >= LEAST).withColumn("w", weight).where(F.col("w") >= ODDS).orderBy(F.col("t").desc(), "k").limit(KEYS).collect()
         odds = {r["k"]: r["w"] for r in found}
@@ -171,7 +171,7 @@ def scorer(model: dict, at: int):
 def score(df: DataFrame, model: dict, text: str = "text") -> DataFrame:
     """``df`` with the document classifiers' probabilities ``_quality`` and ``_toxic``."""
     schema = T.StructType([*df.schema.fields, T.StructField("_quality", T.DoubleType()), T.StructField("_toxic", T.DoubleType())])
-    return df.mapInArrow(scorer(model, df.columns.index(text)), schema)
+    return df.mapInArrow(trimmed(scorer(model, df.columns.index(text))), schema)
 
 
 def sites(scored: DataFrame, host: str, path: str) -> tuple[DataFrame, dict]:

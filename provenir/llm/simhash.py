@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from provenir.llm.common import materialise, table, tasks
+from provenir.llm.common import materialise, table, tasks, trimmed
 
 WORDS, RADIUS, SEED = 4, 4, 42
 #: Fingerprints in a shard that one task searches; larger ones are dealt by midpoints.
@@ -77,7 +77,7 @@ def printer(words: int, column: int):
 def fingerprints(df: DataFrame, text: str = "text", words: int = WORDS) -> DataFrame:
     """``df`` with ``fp``, the fingerprint's 64 bits as a long."""
     df = df.drop("fp")
-    return df.mapInArrow(printer(words, df.columns.index(text)), T.StructType([*df.schema.fields, T.StructField("fp", T.LongType())]))
+    return df.mapInArrow(trimmed(printer(words, df.columns.index(text))), T.StructType([*df.schema.fields, T.StructField("fp", T.LongType())]))
 
 
 def bk_links(points: np.ndarray, radius: int):

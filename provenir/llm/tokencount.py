@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from provenir.llm.common import table, tasks
+from provenir.llm.common import table, tasks, trimmed
 
 #: Documents and bytes in a block; pre-tokens in more than one of SHARE of its documents are resolved in place.
 BLOCK, BLOCK_BYTES, SHARE = 4096, 8 << 20, 64
@@ -214,10 +214,10 @@ def resolve(path: str):
 
 def count_tokens(df: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """A row for each row of ``df``: ``doc_id``, ``n_bytes`` (UTF-8) and ``n_tokens``."""
-    rows = df.select(F.col(key).cast("long"), F.coalesce(F.col(text), F.lit("")).alias("text")).mapInArrow(postings(path), ROWS)
+    rows = df.select(F.col(key).cast("long"), F.coalesce(F.col(text), F.lit("")).alias("text")).mapInArrow(trimmed(postings(path)), ROWS)
     n = tasks(df.sparkSession)
     dealt = rows.repartition(n, F.coalesce(F.xxhash64("token"), F.lit(0)) + F.when(F.col("token").isNull(), F.xxhash64("base")).otherwise(F.lit(0))).sortWithinPartitions("token")
-    parts = dealt.mapInArrow(resolve(path), PARTS)
+    parts = dealt.mapInArrow(trimmed(resolve(path)), PARTS)
     # The document's own row has its id and size; all others add tokens to it.
     return parts.groupBy("uid").agg(F.max("doc_id").alias("doc_id"), F.max("n_bytes").alias("n_bytes"), F.sum("n_tokens").alias("n_tokens")).drop("uid")
 
