@@ -5,6 +5,9 @@ Offsets count code points. White space is Unicode white space unless said otherw
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -49,10 +52,6 @@ def slugify(c) -> Column:
 
 def fold_marks():
     """F3's decomposition (NFKD without marks), which Spark has no function for, as an Arrow UDF."""
-    import unicodedata
-
-    import pandas as pd
-
     @F.pandas_udf("string")
     def fold(s: pd.Series) -> pd.Series:
         return s.map(lambda x: None if x is None else "".join(ch for ch in unicodedata.normalize("NFKD", x.lower()) if not "\u0300" <= ch <= "\u036f"))

@@ -65,7 +65,7 @@ def parameter_schema(inputs: DataFrame, by: str) -> DataFrame:
     prop = F.struct(F.when(F.col("many"), "array").otherwise(json_type("type")).alias("type"), F.col("description"))
     return inputs.groupBy(by).agg(
         F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col("name"), prop.alias("schema"))))).alias("properties"),
-        F.array_sort(F.filter(F.collect_list(F.when("required", F.col("name"))), lambda x: x.isNotNull())).alias("required"),
+        F.array_sort(F.filter(F.collect_list(F.when(F.col("required"), F.col("name"))), lambda x: x.isNotNull())).alias("required"),
     )
 
 

@@ -10,11 +10,12 @@ from html import unescape
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from provenir.functions import text as T
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def package_text(content: pd.Series) -> pd.Series:
     """Paragraphs of a word-processor package; anything else is decoded as UTF-8."""
 
