@@ -23,6 +23,8 @@ from provenir.llm.common import materialise, table
 
 #: Buckets in one prefix-sum group, so that no window spans all buckets.
 GROUP = 1024
+#: Buckets up to which their starts (16 bytes each) are broadcast; beyond, they are joined by shuffle.
+STARTS = 500_000
 
 
 def shard_rows(df: DataFrame, n_shards: int, key: str, text: str, seed: int = 42, bucket_bytes: int = 2 << 20) -> DataFrame:
@@ -48,6 +50,8 @@ def shard_rows(df: DataFrame, n_shards: int, key: str, text: str, seed: int = 42
     outer = groups.withColumn("_gbefore", F.sum("_gn").over(Window.orderBy("_group").rowsBetween(Window.unboundedPreceding, -1))).drop("_gn")
     start = inner.join(outer, "_group").select("_bucket", (F.coalesce("_before", F.lit(0)) + F.coalesce("_gbefore", F.lit(0))).alias("_start"))
 
+    if n_buckets <= STARTS:
+        start = F.broadcast(start)
     place = F.col("_start") + F.col("_i")
     return written.join(start, "_bucket").select(*kept, "size", F.pmod(place, F.lit(n_shards)).cast("int").alias("shard"), F.floor(place / n_shards).cast("long").alias("slot"))
 
