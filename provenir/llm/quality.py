@@ -127,9 +127,12 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     """Models of quality and toxicity from ``labels`` (key, quality, toxic)."""
     total = labels.count()
     chance = F.pmod(F.xxhash64(F.col(key), F.lit(5)), F.lit(1 << 30)) / float(1 << 30)
-    own = labels.where(chance < sample / max(total, sample)).select(F.col(key).alias("_key"), "quality", "toxic")
-    # The sample has about ``sample`` rows of a few bytes: a proven bound for the broadcast.
-    rows = docs.join(F.broadcast(own), F.col(key) == F.col("_key")).select(F.coalesce(F.col(text), F.lit("")).alias("text"), "quality", "toxic")
+    # One row for each id, so the sample has about ``sample`` rows of a few bytes: a proven bound for the broadcast.
+    marks = F.min("quality").alias("_q"), F.max("toxic").alias("_t")
+    own = labels.where(chance < sample / max(total, sample)).groupBy(F.col(key).alias("_key")).agg(*marks)
+    rows = docs.select(F.col(key).alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(F.broadcast(own), F.col("_id") == F.col("_key"))
+    # Repeated rows of a document are one example; they collapse before the exchange.
+    rows = rows.groupBy("_key", "text").agg(F.min("_q").alias("quality"), F.max("_t").alias("toxic")).select("text", "quality", "toxic")
     rows = materialise(rows, "labelled")
     marked = rows.where(F.col("toxic").isNotNull())
     n = {r["toxic"]: r["count"] for r in marked.groupBy((F.col("toxic") > 0).cast("int").alias("toxic")).count().collect()}
