@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from provenir.functions.text import line_number, normalize_search
 from provenir.operators.segment import is_boilerplate
+from provenir.sources.tables import keep
 
 #: Least overlap of token sets, and source tokens beyond which windows are not tried.
 FUZZY, MOST_TOKENS = 0.8, 4000
@@ -37,7 +38,8 @@ def contains_pairs(quotes: DataFrame, docs: DataFrame, quote_key: str, doc_key:
 def ground_exact(quotes: DataFrame, docs: DataFrame, quote_key: str = "item_id", doc_key: str = "doc_id", text: str = "text") -> DataFrame:
     """J9, first tier: first occurrence of each quotation in each text, with offsets and line."""
     hits = contains_pairs(quotes, docs, quote_key, doc_key, text, text)
-    # The offset is taken of hits only: a position in the join's condition would be computed for every pair.
+    # Hits are written first: else a later filter on the offset moves into the join and is computed for every pair.
+    hits = keep(hits.select(doc_key, quote_key, "_q", "_t"), "hits")
     at = F.expr("locate(_q, _t)") - 1
     placed = hits.withColumn("char_start", at)
     return placed.select(doc_key, quote_key, "char_start", (F.col("char_start") + F.length("_q")).alias("char_end"), line_number("_t", "char_start").alias("line"))
@@ -47,7 +49,7 @@ def ground_normalized(quotes: DataFrame, docs: DataFrame, quote_key: str = "item
     """J9, second tier: pairs that agree in lower case with single spaces; offsets in the original text by ``map_back``."""
     q = quotes.select(quote_key, normalize_search(text).alias("_n"))
     d = docs.select(doc_key, F.col(text).alias("_o"), normalize_search(text).alias("_n"))
-    hits = contains_pairs(q, d, quote_key, doc_key, "_n", "_n").select(doc_key, quote_key, "_q")
+    hits = keep(contains_pairs(q, d, quote_key, doc_key, "_n", "_n").select(doc_key, quote_key, "_q"), "hits")
     back = hits.join(docs.select(doc_key, F.col(text).alias("_o")), doc_key)
     return back.mapInArrow(map_back, f"{doc_key} bigint, {quote_key} bigint, char_start int, char_end int")
 
