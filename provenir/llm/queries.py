@@ -11,7 +11,7 @@ REGISTRY = [
     ("op1_chat_formatting", "chat", "SQL"),
     ("op2_decontamination", "decontam", "SQL"),
     ("op3_packing", "packing", None),
-    ("op4_html_extraction", "html", None),
+    ("op4_html_extraction", "html", "SQL"),
     ("op5_simhash_near_dedup", "simhash", None),
     ("op6_sharding", "sharding", None),
     ("op7_top_k", "topk", "SQL"),
