@@ -28,14 +28,16 @@ from pyspark.sql import functions as F
 from provenir.llm.common import table, tasks, trimmed
 
 #: Documents and bytes in a block; pre-tokens in more than one of SHARE of its documents are resolved in place.
-BLOCK, BLOCK_BYTES, SHARE = 4096, 8 << 20, 64
+BLOCK, BLOCK_BYTES, SHARE = 4096, 16 << 20, 64
 #: Entries of the table of hot pre-tokens that a worker keeps.
 KEPT = 200_000
 #: White space next to a space: there, cutting a text at single spaces would change its pre-tokens.
 WHITE = " \t\n\r\f\v\x1c-\x1f\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 UNEVEN = f" [{WHITE}]|[{WHITE}] "
 
-ROWS = "token string, base bigint, docs binary, freqs binary, doc_id bigint, n_bytes bigint, n_tokens bigint"
+#: A pre-token's payload: its documents (two bytes each, counted from ``base``), then their frequencies (a byte each).
+#: A document's own row has no token; its payload is four longs: id, whether that is null, bytes, tokens counted so far.
+ROWS = "token string, base bigint, payload binary"
 NAMES = [x.split()[0] for x in ROWS.split(", ")]
 PARTS = "uid bigint, doc_id bigint, n_bytes bigint, n_tokens bigint"
 _loaded: dict[str, tuple] = {}
@@ -146,38 +148,41 @@ def postings(path: str):
                 freq[last] = left
             heads = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]])) if len(token) else np.zeros(0, np.int64)
             ends = np.concatenate([heads, [len(token)]])
-            n = len(heads)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([tokens[i] for i in token[heads]], pa.string()),
-                    pa.array(np.full(n, first)),
-                    binary(at.astype(np.uint16), ends),
-                    binary(freq.astype(np.uint8), ends),
-                    pa.nulls(n, pa.int64()),
-                    pa.nulls(n, pa.int64()),
-                    pa.nulls(n, pa.int64()),
-                ],
-                names=NAMES,
-            )
-            yield pa.RecordBatch.from_arrays(
-                [pa.nulls(m, pa.string()), pa.array(first + np.arange(m)), pa.nulls(m, pa.binary()), pa.nulls(m, pa.binary()), block.column(0), pc.binary_length(texts).cast(pa.int64()), pa.array(done)],
-                names=NAMES,
-            )
+            yield pa.RecordBatch.from_arrays([pa.array([tokens[i] for i in token[heads]], pa.string()), pa.array(np.full(len(heads), first)), payloads(at, freq, ends)], names=NAMES)
+            ids = block.column(0)
+            own = np.stack([ids.fill_null(0).to_numpy(), ids.is_null().to_numpy(False), pc.binary_length(texts).to_numpy(), done], axis=1).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.nulls(m, pa.string()), pa.array(first + np.arange(m)), binary(own, np.arange(m + 1) * 32)], names=NAMES)
             first += m
 
     return run
 
 
-def binary(values: np.ndarray, ends: np.ndarray) -> pa.Array:
-    """Runs of ``values`` as a binary column."""
-    return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer((ends * values.itemsize).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
+def binary(data: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
 
 
-def values(column: pa.Array, kind) -> tuple[np.ndarray, np.ndarray]:
-    """All values of a binary column, and how many each row has."""
-    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
-    data = np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
-    return data.view(kind), np.diff(offsets) // np.dtype(kind).itemsize
+def payloads(at: np.ndarray, freq: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Documents, then frequencies of each run of postings, in one binary value."""
+    n = np.diff(ends)
+    out = np.empty(3 * len(at), np.uint8)
+    run = np.repeat(np.arange(len(n)), n)
+    k = np.arange(len(at)) - ends[run]
+    place = 3 * ends[run]
+    low = place + 2 * k
+    out[low], out[low + 1] = at & 255, at >> 8
+    out[place + 2 * n[run] + k] = freq
+    return binary(out, 3 * ends)
+
+
+def read_payloads(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Documents and frequencies of all postings in turn, and how many each row has."""
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    data = np.frombuffer(column.buffers()[2], np.uint8)
+    n = np.diff(offsets) // 3
+    k = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    place = np.repeat(offsets[:-1], n)
+    low = place + 2 * k
+    return data[low].astype(np.int64) | data[low + 1].astype(np.int64) << 8, data[place + 2 * np.repeat(n, n) + k].astype(np.int64), n
 
 
 def resolve(path: str):
@@ -190,7 +195,8 @@ def resolve(path: str):
             token = batch.column(0)
             if token.null_count:
                 own = batch.filter(token.is_null())
-                yield pa.RecordBatch.from_arrays([own.column(1), own.column(4), own.column(5), own.column(6)], names=["uid", "doc_id", "n_bytes", "n_tokens"])
+                x = np.frombuffer(b"".join(own.column(2).to_pylist()), np.int64).reshape(-1, 4)
+                yield pa.RecordBatch.from_arrays([own.column(1), pa.array(x[:, 0], mask=x[:, 1] > 0), pa.array(x[:, 2]), pa.array(x[:, 3])], names=["uid", "doc_id", "n_bytes", "n_tokens"])
                 batch = batch.filter(token.is_valid())
             if not batch.num_rows:
                 continue
@@ -201,8 +207,7 @@ def resolve(path: str):
             else:
                 counted = count_pieces(tok, distinct)
             last, last_n = distinct[-1], counted[-1]
-            docs, sizes = values(batch.column(2), np.uint16)
-            freq, _ = values(batch.column(3), np.uint8)
+            docs, freq, sizes = read_payloads(batch.column(2))
             at = docs + np.repeat(batch.column(1).to_numpy(), sizes)
             got = freq * np.repeat(np.array(counted, np.int64)[coded.indices.to_numpy()], sizes)
             uid, where = np.unique(at, return_inverse=True)
