@@ -148,7 +148,8 @@ def cover(sentences: DataFrame, intervals: DataFrame, cap: int = 8) -> DataFrame
     i = cells(intervals.select("document_id", "node_id", F.col("char_start"), F.col("char_end"))).select("document_id", "_c", "node_id", F.col("char_start").alias("a"), F.col("char_end").alias("b"))
     first = F.floor(F.greatest("char_start", "a") / cell)
     hit = s.join(i, ["document_id", "_c"]).where((F.col("a") < F.col("char_end")) & (F.col("b") > F.col("char_start")) & (F.col("_c") == first))
-    by = hit.groupBy("document_id", "idx").agg(F.slice(F.array_sort(F.collect_set("node_id")), 1, cap).alias("covered_by"))
+    # Written, so that its size is known: while it is small, the sentences' texts are not moved to meet it.
+    by = keep(hit.groupBy("document_id", "idx").agg(F.slice(F.array_sort(F.collect_set("node_id")), 1, cap).alias("covered_by")), "covered")
     return sentences.join(by, ["document_id", "idx"], "left")
 
 

@@ -8,8 +8,24 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Bytes up to which a table of few files is spread: it may be one row group, and so one task.
+SPREAD = 64 << 20
+#: Tables whose rows are texts, so that work on them outweighs the exchange.
+TEXTS = ("documents", "pages", "conversations")
+
+
 def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    """A table of the folder. Texts in a few small files are dealt to all cores; larger tables have their own splits."""
+    path = f"{folder}/{name}.parquet"
+    df = spark.read.parquet(path)
+    if name not in TEXTS:
+        return df
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(hadoop)
+    cores = spark.sparkContext.defaultParallelism
+    if (1 << 20) < found.getLength() <= SPREAD and found.getFileCount() < cores:
+        return df.repartition(cores)
+    return df
 
 
 def scratch(spark: SparkSession) -> str:
