@@ -36,6 +36,8 @@ SAMPLE, WEIGHT = 20_000, 0.5
 #: Word keys of the toxicity model: at most so many, each in so many toxic documents and with such log-odds.
 KEYS, LEAST, ODDS = 5000, 5, 3.0
 PREFIXES = (3, 4, 5)
+#: Word keys that a task holds before it hands their counts on.
+HELD = 150_000
 #: Sites up to which posteriors are broadcast (some 100 bytes each); beyond, they are joined by shuffle with skew splitting.
 SITES = 100_000
 UPPER = bytes(range(65, 91))
@@ -102,14 +104,21 @@ def predict(model: dict, x: np.ndarray) -> np.ndarray:
 
 
 def word_counts(batches):
-    """Per task: in how many toxic and other sample documents each word key occurs."""
+    """In how many toxic and other sample documents each word key occurs; counts of a key may come in parts."""
     toxic, other = Counter(), Counter()
+
+    def flush():
+        names = list(toxic.keys() | other.keys())
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([toxic[k] for k in names], pa.int64()), pa.array([other[k] for k in names], pa.int64())], names=["k", "t", "o"])
+        toxic.clear()
+        other.clear()
+
     for batch in batches:
         for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             (toxic if label else other).update({k for w in words_of(text) if w for k in keys_of(w)})
-    names = list(toxic.keys() | other.keys())
-    if names:
-        yield pa.RecordBatch.from_arrays([pa.array(names), pa.array([toxic[k] for k in names], pa.int64()), pa.array([other[k] for k in names], pa.int64())], names=["k", "t", "o"])
+            if len(toxic) + len(other) > HELD:
+                yield from flush()
+    yield from flush()
 
 
 def toxic_form(text: str, odds: dict[str, float], starts: frozenset[str]) -> list[float]:
