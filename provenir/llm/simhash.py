@@ -80,9 +80,9 @@ def fingerprints(df: DataFrame, text: str = "text", words: int = WORDS) -> DataF
     return df.mapInArrow(trimmed(printer(words, df.columns.index(text))), T.StructType([*df.schema.fields, T.StructField("fp", T.LongType())]))
 
 
-def bk_links(points: np.ndarray, radius: int):
-    """Arrays of indices of linked pairs, by a BK-tree over distinct ``points`` that all of them search at once."""
-    stack = [(np.arange(len(points)), np.arange(len(points)))]
+def bk_links(points: np.ndarray, radius: int, first: int | None = None):
+    """Arrays of indices of linked pairs, by a BK-tree over ``points`` that all of them search at once; with ``first``, a tree of the first so many that the others search."""
+    stack = [(np.arange(len(points)), np.arange(len(points)))] if first is None else [(np.arange(first), np.arange(first, len(points)))]
     while stack:
         nodes, queries = stack.pop()
         if len(nodes) <= LEAF:
@@ -239,12 +239,17 @@ def first_of_each(df: DataFrame, key: str = "doc_id", text: str = "text", words:
     rows = materialise(fingerprints(df.withColumn("_row", F.monotonically_increasing_id()), text, words), "printed")
     prints = rows.select(F.col(key).cast("long").alias("doc_id"), "fp", "_row")
     named = groups(prints.select("doc_id", "fp"), radius, shard).select("fp", "top")
+    return keep_first(rows, prints, named).select(*df.columns)
+
+
+def keep_first(rows: DataFrame, prints: DataFrame, named: DataFrame) -> DataFrame:
+    """The rows (by ``_row``) that are the smallest of their group: ``prints`` has ``doc_id``, ``fp`` and ``_row``, ``named`` the group ``top`` of each ``fp``."""
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row"))
     per_print = prints.groupBy("fp").agg(first.alias("first")).join(named, "fp")
     winner = per_print.groupBy("top").agg(F.min("first").alias("win"))
     wins = materialise(named.join(winner, "top").select("fp", F.col("win._row").alias("_win")), "winners")
     losers = materialise(prints.join(wins, "fp").where("_row != _win").select(F.col("_row").alias("_lost")), "losers")
-    return rows.join(losers, F.col("_row") == F.col("_lost"), "left_anti").select(*df.columns)
+    return rows.join(losers, F.col("_row") == F.col("_lost"), "left_anti")
 
 
 def op5_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:
