@@ -6,8 +6,11 @@ else is lower-case words. Windows of ``WINDOW`` template tokens are hashed and j
 with those of the benchmark; a window needs more words than slots. An item is found in
 a document if the document holds at least ``SHARE`` of the item's windows and either
 their slots hold the same values (``exact``), or each slot value of the item always
-stands for one and the same value of the document (``renamed``: a re-parameterised
-question). Windows whose slots disagree otherwise count for neither.
+stands for one and the same value (``renamed``: a re-parameterised question). That is
+judged for each occurrence by itself and for the document as a whole, so several
+variants of an item, or a stray window elsewhere, do not hide one another. An
+occurrence is what lies in a band, as wide as the item is long, of document position
+minus item position; bands come twice, half a width apart, so none cuts all of a copy.
 
 Items shorter than a window are one window of their own length, which only a
 document of the same words holds. Null and empty
@@ -48,20 +51,29 @@ def window_hashes(h: Column) -> Column:
 
 
 def windows(df: DataFrame, key: str, text: str) -> DataFrame:
-    """``key``, ``hash`` and ``slots`` (marks and values in order; empty without any) of each window with more words than slots."""
+    """``key``, ``hash``, ``at`` (position), ``slots`` (marks and values in order; empty without any) and ``words`` (in the text) of each window with more words than slots."""
     is_slot = lambda w: F.substring(w, 1, 1).isin(NUMBER, NAME, UNIT)
     t = df.select(F.col(key), tokens(F.col(text)).alias("w"))
     t = t.withColumn("h", F.transform("w", lambda w: F.when(is_slot(w), F.substring(w, 1, 1)).otherwise(w)))
-    own = t.select(key, "w", F.posexplode(window_hashes(F.col("h"))).alias("i", "hash")).withColumn("w", F.slice("w", F.col("i") + 1, WINDOW))
-    return own.select(key, "hash", F.filter("w", is_slot).alias("slots"), F.size("w").alias("n")).where(2 * F.size("slots") < F.col("n")).drop("n")
+    own = t.select(key, "w", F.size("w").alias("words"), F.posexplode(window_hashes(F.col("h"))).alias("at", "hash")).withColumn("w", F.slice("w", F.col("at") + 1, WINDOW))
+    return own.select(key, "hash", "at", F.filter("w", is_slot).alias("slots"), "words", F.size("w").alias("n")).where(2 * F.size("slots") < F.col("n")).drop("n")
+
+
+def occurrences(at: Column, places: Column, words: Column) -> Column:
+    """The bands that a document position falls in, for an item of ``words`` words with the window at ``places``; -1 is the whole document."""
+    # Positions count from the item's own start and can be negative, which floor keeps apart.
+    wide = F.transform(places, lambda p: F.floor((at - p["at"]) / words) * 2)
+    shifted = F.transform(places, lambda p: F.floor((at - p["at"]) / words + 0.5) * 2 + 1)
+    bands = F.transform(F.array_union(wide, shifted), lambda b: F.struct(F.lit(True).alias("one"), b.alias("band")))
+    return F.array_append(bands, F.struct(F.lit(False).alias("one"), F.lit(0).cast("bigint").alias("band")))
 
 
 def found_items(docs: DataFrame, bench: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", share: float = SHARE) -> DataFrame:
     """``key``, ``item``, ``kind`` (exact or renamed), ``share`` of the item's windows: each item found in a document."""
     asked = materialise(windows(bench.select(F.col(item).alias("_item"), F.col(text).alias("_text")), "_item", "_text"), "asked")
     sizes = asked.groupBy("_item").agg(F.countDistinct("hash").alias("_of"))
-    # One row for each hash and item, with the places' slots: repeats in an item do not multiply matches.
-    asked = asked.groupBy("hash", "_item").agg(F.collect_set("slots").alias("_slots"))
+    # One row for each hash and item, with the places and their slots: repeats in an item do not multiply matches.
+    asked = asked.groupBy("hash", "_item").agg(F.collect_set("slots").alias("_slots"), F.collect_set(F.struct("at")).alias("_places"), F.max("words").alias("_words"))
     small = asked.count() <= BROADCAST
     bound = F.broadcast if small else (lambda x: x)
     # First by hashes alone, from templates without values: what holds too few windows is found in no way.
@@ -71,15 +83,18 @@ def found_items(docs: DataFrame, bench: DataFrame, key: str = "doc_id", text: st
     close = materialise(counts.join(bound(sizes), "_item").where(F.col("n") >= share * F.col("_of")).select(F.col(key).alias("_key"), "_item"), "close")
     # Then the slots of the documents that are left.
     left = own.join(close.select("_key").distinct(), F.col(key).eqNullSafe(F.col("_key")), "left_semi")
-    hits = windows(left, key, text).join(bound(asked), "hash").select(key, "_item", "hash", "slots", "_slots")
+    hits = windows(left, key, text).join(bound(asked), "hash").select(key, "_item", "hash", "slots", "_slots", F.explode(occurrences(F.col("at"), F.col("_places"), F.col("_words"))).alias("_band"))
     same = F.array_contains("_slots", F.col("slots"))
     # Pairs of a benchmark value and a document value of the slots, for windows with one place in the item.
     pairs = F.when(F.size("_slots") == 1, F.zip_with(F.get("_slots", F.lit(0)), "slots", lambda b, d: F.struct(b.alias("b"), d.alias("d"))))
-    seen = hits.groupBy(key, "_item", "hash").agg(F.max(same).alias("same"), F.array_distinct(F.flatten(F.collect_set(pairs))).alias("pairs"))
-    summed = seen.groupBy(key, "_item").agg(F.count("*").alias("n"), F.count(F.when(F.col("same"), 1)).alias("n_same"), F.array_distinct(F.flatten(F.collect_list("pairs"))).alias("pairs"))
+    seen = hits.groupBy(key, "_item", "_band", "hash").agg(F.max(same).alias("same"), F.array_distinct(F.flatten(F.collect_set(pairs))).alias("pairs"))
+    summed = seen.groupBy(key, "_item", "_band").agg(F.count("*").alias("n"), F.count(F.when(F.col("same"), 1)).alias("n_same"), F.array_distinct(F.flatten(F.collect_list("pairs"))).alias("pairs"))
     consistent = F.size(F.array_distinct(F.transform("pairs", lambda p: p["b"]))) == F.size("pairs")
     kind = F.when((F.col("n") >= share * F.col("_of")) & (F.col("n_same") < F.col("n")) & consistent, "renamed").when(F.col("n_same") >= share * F.col("_of"), "exact")
-    return summed.join(bound(sizes), "_item").withColumn("kind", kind).where(F.col("kind").isNotNull()).select(key, F.col("_item").alias(item), "kind", (F.when(F.col("kind") == "exact", F.col("n_same")).otherwise(F.col("n")) / F.col("_of")).alias("share"))
+    part = F.when(F.col("kind") == "exact", F.col("n_same")).otherwise(F.col("n")) / F.col("_of")
+    found = summed.join(bound(sizes), "_item").withColumn("kind", kind).where(F.col("kind").isNotNull()).select(key, F.col("_item").alias(item), "kind", part.alias("share"))
+    # One row for each item and document: an exact occurrence before a renamed one.
+    return found.groupBy(key, item).agg(F.min("kind").alias("kind"), F.max_by("share", F.struct(F.col("kind") == "exact", "share")).alias("share"))
 
 
 def contaminated(docs: DataFrame, bench: DataFrame, key: str = "doc_id") -> DataFrame:
