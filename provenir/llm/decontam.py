@@ -3,7 +3,8 @@
 Texts become templates (control characters 1 to 3 in a text count as slot marks): a capitalised word that does not start a sentence is a name
 slot, a run of digits a number slot, a measure after a number a unit slot, and all
 else is lower-case words. Windows of ``WINDOW`` template tokens are hashed and joined
-with those of the benchmark; a window needs more words than slots. An item is found in
+with those of the benchmark. A window without more words than slots says little as a
+template: it counts for ``exact`` only, with its values. An item is found in
 a document if the document holds at least ``SHARE`` of the item's windows and either
 their slots hold the same values (``exact``), or each slot value of the item always
 stands for one and the same value (``renamed``: a re-parameterised question). That is
@@ -12,8 +13,9 @@ variants of an item, or a stray window elsewhere, do not hide one another. An
 occurrence is what lies in a band, as wide as the item is long, of document position
 minus item position; bands come twice, half a width apart, so none cuts all of a copy.
 
-Items shorter than a window are one window of their own length, which only a
-document of the same words holds. Null and empty
+An item shorter than a window is one window of its own length, and documents are cut
+into windows of the lengths of such items as well: an item of one word is found
+wherever that word stands. Null and empty
 texts hold nothing; items without words are never found. Rows with the same id are
 one document; a null id is one as well. Repeated items are found each. Empty tables
 give an empty result, or one without findings. Other columns are not read.
@@ -44,19 +46,35 @@ def tokens(text: Column, values: bool = True) -> Column:
     return F.array_remove(F.split(t, r"[^a-z0-9\p{L}\p{Nd}\x01-\x03]+"), "")
 
 
-def window_hashes(h: Column) -> Column:
-    """A hash for each window of template words ``h``; one for all of them if they are fewer."""
-    at = F.sequence(F.lit(0), F.size(h) - WINDOW)
-    return F.when(F.size(h) >= WINDOW, F.transform(at, lambda i: F.xxhash64(*[F.get(h, i + k) for k in range(WINDOW)]))).when(F.size(h) > 0, F.array(F.xxhash64(F.lit(-1), F.array_join(h, " "))))
+def window_rows(h: Column, lengths: list[int]) -> Column:
+    """``at``, ``size`` and ``hash`` of each window of template words ``h``: of ``WINDOW`` words, and of each of the (shorter) ``lengths``."""
+    row = lambda i, size, x: F.struct(i.alias("at"), F.lit(size).alias("size"), x.alias("hash"))
+    starts = lambda size: F.when(F.size(h) >= size, F.sequence(F.lit(0), F.size(h) - size))
+    cut = lambda n, *mark: F.transform(starts(n), lambda i: row(i, n, F.xxhash64(*mark, *[F.get(h, i + k) for k in range(n)])))
+    out = [cut(WINDOW), *(cut(n, F.lit(-n)) for n in lengths)]
+    return out[0] if len(out) == 1 else F.flatten(F.array_compact(F.array(*out)))
 
 
-def windows(df: DataFrame, key: str, text: str) -> DataFrame:
-    """``key``, ``hash``, ``at`` (position), ``slots`` (marks and values in order; empty without any) and ``words`` (in the text) of each window with more words than slots."""
+def window_hashes(h: Column, lengths: list[int]) -> Column:
+    """The hashes alone."""
+    return F.transform(window_rows(h, lengths), lambda r: r["hash"])
+
+
+def windows(df: DataFrame, key: str, text: str, lengths: list[int] | None = None) -> DataFrame:
+    """``key``, ``hash`` (of the template), ``at`` (position), ``slots`` (marks and values in order; empty without any), ``whole`` (words and values, of windows without more words than slots; else null) and ``words`` (in the text) of each window.
+
+    ``lengths``: of shorter windows; None: a text shorter than a window is one of its own length, and others have none.
+    """
     is_slot = lambda w: F.substring(w, 1, 1).isin(NUMBER, NAME, UNIT)
     t = df.select(F.col(key), tokens(F.col(text)).alias("w"))
     t = t.withColumn("h", F.transform("w", lambda w: F.when(is_slot(w), F.substring(w, 1, 1)).otherwise(w)))
-    own = t.select(key, "w", F.size("w").alias("words"), F.posexplode(window_hashes(F.col("h"))).alias("at", "hash")).withColumn("w", F.slice("w", F.col("at") + 1, WINDOW))
-    return own.select(key, "hash", "at", F.filter("w", is_slot).alias("slots"), "words", F.size("w").alias("n")).where(2 * F.size("slots") < F.col("n")).drop("n")
+    if lengths is None:
+        rows = F.filter(window_rows(F.col("h"), list(range(1, WINDOW))), lambda r: (r["size"] == WINDOW) | (r["size"] == F.size("h")))
+    else:
+        rows = window_rows(F.col("h"), lengths)
+    own = t.select(key, "w", F.size("w").alias("words"), F.explode(rows).alias("r")).select(key, "r.hash", "r.at", "r.size", F.slice("w", F.col("r.at") + 1, F.col("r.size")).alias("w"), "words")
+    own = own.withColumn("slots", F.filter("w", is_slot))
+    return own.select(key, "hash", "at", "slots", F.when(2 * F.size("slots") >= F.col("size"), F.array_join("w", " ")).alias("whole"), "words", "size")
 
 
 def occurrences(at: Column, places: Column, words: Column) -> Column:
@@ -71,27 +89,36 @@ def occurrences(at: Column, places: Column, words: Column) -> Column:
 def found_items(docs: DataFrame, bench: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", share: float = SHARE) -> DataFrame:
     """``key``, ``item``, ``kind`` (exact or renamed), ``share`` of the item's windows: each item found in a document."""
     asked = materialise(windows(bench.select(F.col(item).alias("_item"), F.col(text).alias("_text")), "_item", "_text"), "asked")
-    sizes = asked.groupBy("_item").agg(F.countDistinct("hash").alias("_of"))
-    # One row for each hash and item, with the places and their slots: repeats in an item do not multiply matches.
-    asked = asked.groupBy("hash", "_item").agg(F.collect_set("slots").alias("_slots"), F.collect_set(F.struct("at")).alias("_places"), F.max("words").alias("_words"))
+    lengths = sorted(r["size"] for r in asked.where(F.col("size") < WINDOW).select("size").distinct().collect())  # at most WINDOW - 1
+    plain = F.col("whole").isNull()
+    sizes = asked.groupBy("_item").agg(F.countDistinct(F.when(plain, F.col("hash"))).alias("_of"), F.countDistinct("hash", F.coalesce("whole", F.lit(""))).alias("_all"))
+    # One row for each hash (and values, if slots are many) and item, with the places and their slots: repeats in an item do not multiply matches.
+    asked = asked.groupBy("hash", "_item", "whole").agg(F.collect_set("slots").alias("_slots"), F.collect_set(F.struct("at")).alias("_places"), F.max("words").alias("_words"))
     small = asked.count() <= BROADCAST
     bound = F.broadcast if small else (lambda x: x)
     # First by hashes alone, from templates without values: what holds too few windows is found in no way.
     own = docs.select(F.col(key), F.col(text))
-    said = own.select(key, tokens(F.col(text), values=False).alias("w")).select(key, F.explode(window_hashes(F.col("w"))).alias("hash"))
-    counts = said.join(bound(asked.select("hash", "_item")), "hash").groupBy(key, "_item").agg(F.countDistinct("hash").alias("n"))
-    close = materialise(counts.join(bound(sizes), "_item").where(F.col("n") >= share * F.col("_of")).select(F.col(key).alias("_key"), "_item"), "close")
+    said = own.select(key, tokens(F.col(text), values=False).alias("w")).select(key, F.explode(window_hashes(F.col("w"), lengths)).alias("hash"))
+    weights = asked.groupBy("hash", "_item").agg(F.count(F.when(plain, 1)).alias("_plain"), F.count("*").alias("_any"))
+    held = said.join(bound(weights), "hash").groupBy(key, "_item", "hash").agg(F.max("_plain").alias("_plain"), F.max("_any").alias("_any"))
+    counts = held.groupBy(key, "_item").agg(F.sum("_plain").alias("n"), F.sum("_any").alias("n_any"))
+    enough = ((F.col("n") >= share * F.col("_of")) & (F.col("_of") > 0)) | (F.col("n_any") >= share * F.col("_all"))
+    close = materialise(counts.join(bound(sizes), "_item").where(enough).select(F.col(key).alias("_key"), "_item"), "close")
     # Then the slots of the documents that are left.
     left = own.join(close.select("_key").distinct(), F.col(key).eqNullSafe(F.col("_key")), "left_semi")
-    hits = windows(left, key, text).join(bound(asked), "hash").select(key, "_item", "hash", "slots", "_slots", F.explode(occurrences(F.col("at"), F.col("_places"), F.col("_words"))).alias("_band"))
+    met = windows(left, key, text, lengths).withColumnsRenamed({"whole": "_whole", "hash": "_hash"}).drop("words")
+    hits = met.join(bound(asked), (F.col("hash") == F.col("_hash")) & F.col("whole").eqNullSafe(F.col("_whole")))
+    hits = hits.select(key, "_item", "hash", "whole", "slots", "_slots", F.explode(occurrences(F.col("at"), F.col("_places"), F.col("_words"))).alias("_band"))
     same = F.array_contains("_slots", F.col("slots"))
     # Pairs of a benchmark value and a document value of the slots, for windows with one place in the item.
-    pairs = F.when(F.size("_slots") == 1, F.zip_with(F.get("_slots", F.lit(0)), "slots", lambda b, d: F.struct(b.alias("b"), d.alias("d"))))
-    seen = hits.groupBy(key, "_item", "_band", "hash").agg(F.max(same).alias("same"), F.array_distinct(F.flatten(F.collect_set(pairs))).alias("pairs"))
-    summed = seen.groupBy(key, "_item", "_band").agg(F.count("*").alias("n"), F.count(F.when(F.col("same"), 1)).alias("n_same"), F.array_distinct(F.flatten(F.collect_list("pairs"))).alias("pairs"))
+    pairs = F.when(plain & (F.size("_slots") == 1), F.zip_with(F.get("_slots", F.lit(0)), "slots", lambda b, d: F.struct(b.alias("b"), d.alias("d"))))
+    seen = hits.groupBy(key, "_item", "_band", "hash", "whole").agg(F.max(same).alias("same"), F.array_distinct(F.flatten(F.collect_set(pairs))).alias("pairs"))
+    summed = seen.groupBy(key, "_item", "_band").agg(F.count(F.when(plain, 1)).alias("n"), F.count(F.when(plain & F.col("same"), 1)).alias("n_same"), F.count(F.when(F.col("same"), 1)).alias("n_whole"), F.array_distinct(F.flatten(F.collect_list("pairs"))).alias("pairs"))
     consistent = F.size(F.array_distinct(F.transform("pairs", lambda p: p["b"]))) == F.size("pairs")
-    kind = F.when((F.col("n") >= share * F.col("_of")) & (F.col("n_same") < F.col("n")) & consistent, "renamed").when(F.col("n_same") >= share * F.col("_of"), "exact")
-    part = F.when(F.col("kind") == "exact", F.col("n_same")).otherwise(F.col("n")) / F.col("_of")
+    enough = lambda n: (F.col(n) >= share * F.col("_of")) & (F.col("_of") > 0)
+    whole = F.col("n_whole") >= share * F.col("_all")
+    kind = F.when(enough("n") & (F.col("n_same") < F.col("n")) & consistent, "renamed").when(enough("n_same") | whole, "exact")
+    part = F.when(F.col("kind") == "renamed", F.col("n") / F.col("_of")).when(enough("n_same"), F.col("n_same") / F.col("_of")).otherwise(F.col("n_whole") / F.col("_all"))
     found = summed.join(bound(sizes), "_item").withColumn("kind", kind).where(F.col("kind").isNotNull()).select(key, F.col("_item").alias(item), "kind", part.alias("share"))
     # One row for each item and document: an exact occurrence before a renamed one.
     return found.groupBy(key, item).agg(F.min("kind").alias("kind"), F.max_by("share", F.struct(F.col("kind") == "exact", "share")).alias("share"))

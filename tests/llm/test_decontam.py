@@ -29,3 +29,18 @@ def test_each_occurrence_by_itself(spark):
 
 def test_many_variants_in_a_long_text(spark):
     assert found(spark, [(1, ". ".join(variant(k, n) for k, n in enumerate(["Max", "Jim", "Joe", "Ben"] * 50, 20)))], [(1, ITEM)]) == {(1, 1): "renamed"}
+
+
+def test_slot_heavy_and_short_items(spark):
+    bench = [(1, "compute 12 + 34 - 56 * 78 / 90 + 11 - 22"), (2, "who is it"), (3, "12 kg"), (4, "rain")]
+    docs = [
+        (1, "Please compute 12 + 34 - 56 * 78 / 90 + 11 - 22 now, if you can."),
+        (2, "Please compute 13 + 35 - 57 * 79 / 91 + 12 - 23 now, if you can."),
+        (3, "Somebody asked who is it that calls at the door."),
+        (4, "He took 12 kg and she took 13 of them."),
+        (5, "Rain"),
+        (6, "who was it"),
+        (7, None),
+        (8, ""),
+    ]
+    assert found(spark, docs, bench) == {(1, 1): "exact", (3, 2): "exact", (4, 3): "exact", (5, 4): "exact"}
