@@ -15,6 +15,11 @@ the whole text and nothing else. ``und``: null texts and texts without letters;
 their score is 0. Rows with a null language teach nothing. Repeated rows are rows
 of their own; an empty table gives an empty result, and without any labelled row
 every prediction is ``und``.
+
+``kept`` judges by the evidence for the predicted language: the mean inner product of
+the document's n-grams with its prototype, which does not depend on the length. A text
+stays if that, plus ``NOISE`` standard errors of n-grams that have nothing to do with the
+prototype, reaches ``FLOOR`` of the median of the learned documents of that language.
 """
 
 from __future__ import annotations
@@ -34,6 +39,8 @@ CODES = 128
 PLANES = 0x34000
 #: Languages in a model; labels beyond that are an error rather than a silent cut.
 LANGUAGES = 1000
+#: Share of a language's median evidence that a text needs, and the allowance for few n-grams (a stray one has mean 0, deviation 1).
+FLOOR, NOISE = 0.25, 2.5
 _letters: np.ndarray | None = None
 _products: dict[bytes, np.ndarray] = {}
 
@@ -89,21 +96,28 @@ def bundle(batches):
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array([v.tolist() for v in sums.values()], pa.list_(pa.float64()))], names=["lang", "sums"])
 
 
-def fit(df: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", per_language: int = 4000) -> tuple[list[str], np.ndarray]:
-    """Languages and their unit prototypes, from about ``per_language`` rows of each language at most."""
+def learned(df: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", per_language: int = 4000) -> tuple[list[str], DataFrame | None]:
+    """Languages, and ``text`` and ``lang`` of about ``per_language`` rows of each at most."""
     rows = df.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
     counts = rows.groupBy(F.col(lang).alias("lang")).count().limit(LANGUAGES + 1).collect()
     if len(counts) > LANGUAGES:
         raise ValueError(f"more than {LANGUAGES} languages")
     if not counts:
-        return [], np.zeros((0, DIMS))
+        return [], None
     # The sample bound makes the number of sums that reach the driver independent of the input.
     share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], per_language / max(r["count"], per_language))])
     chance = F.pmod(F.xxhash64(F.col(key), F.lit(11)), F.lit(1 << 30)) / float(1 << 30)
     sample = rows.where(chance < share[F.col(lang)]).select(F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang"))
+    return sorted(r["lang"] for r in counts), sample
+
+
+def fit(df: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", per_language: int = 4000) -> tuple[list[str], np.ndarray]:
+    """Languages and their unit prototypes, from about ``per_language`` rows of each language at most."""
+    names, sample = learned(df, text, lang, key, per_language)
+    if not names:
+        return [], np.zeros((0, DIMS))
     # Few tasks, so that the sums to add up are few as well: rows of the sample are bounded.
     sums = sample.repartition(12).mapInArrow(trimmed(bundle), "lang string, sums array<double>")
-    names = sorted(r["lang"] for r in counts)
     total = {n: np.zeros(DIMS) for n in names}
     for r in sums.collect():  # at most 12 x languages rows
         total[r["lang"]] += np.array(r["sums"])
@@ -120,13 +134,13 @@ def products(protos: np.ndarray) -> np.ndarray:
     return _products[key]
 
 
-def classify(names: list[str], protos: np.ndarray, column: int):
-    """Append the prediction and its score to each row; ``column``: the text's."""
+def classify(names: list[str], protos: np.ndarray, column: int, evidence: bool = False):
+    """Append the prediction and its score to each row (``evidence``: the prediction, its evidence and the number of n-grams); ``column``: the text's."""
 
     def run(batches):
         known = products(protos)
         for batch in batches:
-            preds, scores = [], []
+            preds, scores, levels, grams = [], [], [], []
             for at in range(0, batch.num_rows, 64):
                 texts = [t or "" for t in batch.column(column).slice(at, 64).to_pylist()]
                 g, n = grams_of(texts)
@@ -138,14 +152,20 @@ def classify(names: list[str], protos: np.ndarray, column: int):
                     if not n[k] or not names:
                         preds.append("und")
                         scores.append(0.0)
+                        levels.append(0.0)
+                        grams.append(0)
                         continue
                     cos = known[g[starts[k] : starts[k] + n[k]]].sum(0, dtype=np.float64) / n[k]
                     best = int(np.argmax(cos))
                     # Share of the best among the positive similarities.
                     pos = np.maximum(cos, 0)
                     preds.append(names[best])
+                    levels.append(float(cos[best]))
+                    grams.append(int(n[k]))
                     scores.append(float(pos[best] / pos.sum()) if pos.sum() > 0 else 0.0)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(preds, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names, "lang_pred", "score"])
+            pred = pa.array(preds, pa.string())
+            more = {"_pred": pred, "_level": pa.array(levels, pa.float64()), "_grams": pa.array(grams, pa.int64())} if evidence else {"lang_pred": pred, "score": pa.array(scores, pa.float64())}
+            yield pa.RecordBatch.from_arrays([*batch.columns, *more.values()], names=[*batch.schema.names, *more])
 
     return run
 
@@ -157,6 +177,28 @@ def with_language(df: DataFrame, model: tuple[list[str], np.ndarray], text: str
     return df.mapInArrow(trimmed(classify(*model, df.columns.index(text))), schema)
 
 
+def with_evidence(df: DataFrame, model: tuple[list[str], np.ndarray], text: str = "text") -> DataFrame:
+    """``df`` with ``_pred``, ``_level`` and ``_grams``."""
+    schema = T.StructType([*df.schema.fields, T.StructField("_pred", T.StringType()), T.StructField("_level", T.DoubleType()), T.StructField("_grams", T.LongType())])
+    return df.mapInArrow(trimmed(classify(*model, df.columns.index(text), evidence=True)), schema)
+
+
+def floors(df: DataFrame, model: tuple[list[str], np.ndarray], per_language: int = 500) -> dict[str, float]:
+    """The evidence that each language asks for, from about ``per_language`` documents of each that are predicted as labelled."""
+    names, sample = learned(df, per_language=per_language)
+    if not names:
+        return {}
+    own = with_evidence(sample, model).where(F.col("_pred") == F.col("lang"))
+    return {r["_pred"]: FLOOR * r["m"] for r in own.groupBy("_pred").agg(F.percentile_approx("_level", 0.5).alias("m")).collect()}  # a row for each language
+
+
+def kept(df: DataFrame, model: tuple[list[str], np.ndarray], least: dict[str, float], text: str = "text") -> DataFrame:
+    """The rows of ``df`` in a learned language: with letters, and with the evidence that ``least`` asks for."""
+    judged = with_evidence(df, model, text).where("_grams > 0")
+    asked = F.coalesce(F.create_map(*[F.lit(x) for k in least for x in (k, least[k])])[F.col("_pred")], F.lit(0.0)) if least else F.lit(0.0)
+    return judged.where(F.col("_level") + NOISE / F.sqrt("_grams") >= asked).select(*df.columns)
+
+
 def held_out(key: str = "doc_id"):
     return F.coalesce(F.crc32(F.encode(F.col(key).cast("string"), "UTF-8")) % 4 == 2, F.lit(False))
 
