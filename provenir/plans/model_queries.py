@@ -118,7 +118,7 @@ def k11_phase_status(spark, d):
 @query("""SELECT DISTINCT o_orderpriority AS role, rule_id FROM (SELECT o_orderpriority, l_suppkey AS rule_id FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE l_linenumber = 1 AND o_orderkey % 20 = 0
   UNION ALL SELECT o_orderpriority, p_size + 100000 FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey WHERE o_orderkey % 20 = 0)""")
 def j21_role_rules(spark, d):
-    o = read(spark, d, "orders").where("o_orderkey % 20 = 0").select(F.col("o_orderpriority").alias("role"), F.col("o_orderkey").alias("action_id"))
+    o = read(spark, d, "orders").select(F.col("o_orderpriority").alias("role"), F.col("o_orderkey").alias("action_id"))
     line = read(spark, d, "lineitem").select(F.col("l_orderkey").alias("action_id"), F.col("l_partkey").alias("object_id"), F.col("l_suppkey").alias("rule_id"), "l_linenumber")
     applies = read(spark, d, "part").select(F.col("p_partkey").alias("object_id"), (F.col("p_size") + 100000).cast("bigint").alias("rule_id"))
     return O.role_rules(o, line.where("l_linenumber = 1").select("action_id", "rule_id"), line.select("action_id", "object_id"), applies)
