@@ -18,7 +18,7 @@ def f15_bilingual(spark, d):
 
 @query(r"SELECT doc_id, CASE WHEN regexp_matches(lower(left(text, 500)), '\b(system|platform|service|engine|gateway|portal|database|server|api|app)\b') THEN 'system' ELSE 'data' END AS class FROM documents")
 def f16_object_class(spark, d):
-    return read(spark, d, "documents").select("doc_id", O.object_class(F.left("text", F.lit(500))).alias("class"))
+    return read(spark, d, "documents").select("doc_id", O.object_class(F.col("text")).alias("class"))
 
 
 @query("SELECT n_nationkey, 'IN p_a numeric(10,2)|OUT p_' || n_nationkey || ' text|IN c int' AS args FROM nation")
