@@ -4,34 +4,16 @@ from __future__ import annotations
 
 import ctypes
 import os
-import tempfile
-import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from provenir.sources.tables import read
+from provenir.sources.tables import keep, read
 
 
-def scratch_root(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; a temporary one only where that is unset (tests)."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = tempfile.mkdtemp(prefix="provenir-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet under the shared scratch folder and read it back.
-
-    Cuts the lineage, keeps the rows on storage that survives the loss of an
-    executor, and makes sure that later passes see the very same rows.
-    """
-    spark = df.sparkSession
-    path = f"{scratch_root(spark)}/provenir/{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: Writes a table under the shared folder and reads it back: cuts the lineage, survives lost executors, and later passes see the very same rows.
+materialise = keep
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,6 +24,39 @@ def tasks(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def aside(df: DataFrame, taken: set[str]) -> tuple[DataFrame, dict[str, str]]:
+    """``df`` with its columns of the names ``taken`` renamed, and their old names by the new ones, to give back at the end."""
+    used, moved = {c.lower() for c in df.columns} | taken, {}
+    for c in df.columns:
+        if c.lower() in taken:
+            new = c
+            while new.lower() in used:
+                new += "_"
+            used.add(new.lower())
+            moved[c] = new
+    return df.withColumnsRenamed(moved), {new: c for c, new in moved.items()}
+
+
+#: Rows of a key from which it is a hot one, and how many hot keys there can be.
+HOT, KEYS = 1000, 100_000
+
+
+def look_up(rows: DataFrame, key: str, values: DataFrame) -> DataFrame:
+    """``rows`` left joined with ``values`` (one row for each ``key``).
+
+    Keys with over ``HOT`` rows and over one in ``KEYS`` of all rows, which are ``KEYS`` at
+    most, are joined by broadcast, so that no task receives all rows of a hot key.
+    """
+    sizes = rows.groupBy(key).agg(F.count("*").alias("_rows"))
+    total = sizes.agg(F.sum("_rows")).first()[0] or 0
+    hot = sizes.where(F.col("_rows") > max(HOT, total // KEYS)).select(key)
+    known = materialise(values.join(hot, key), "hot")
+    if not known.take(1):
+        return rows.join(values, key, "left")
+    apart = rows.join(F.broadcast(known.select(key)), key, "left_anti").join(values, key, "left")
+    return apart.unionByName(rows.join(F.broadcast(known), key), allowMissingColumns=False)
+
+
 #: Rows in an Arrow batch: documents are some KB each, and a worker holds a few batches' worth at a time.
 BATCH = 4000
 

@@ -24,13 +24,15 @@ prototype, reaches ``FLOOR`` of the median of the learned documents of that lang
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from provenir.llm.common import table, trimmed
+from provenir.llm.common import aside, table, trimmed
 
 DIMS, GRAM = 2048, 3
 #: Letter codes: 0 a gap, 1 to 26 a to z, other letters by their code point into the rest.
@@ -41,8 +43,10 @@ PLANES = 0x34000
 LANGUAGES = 1000
 #: Share of a language's median evidence that a text needs, and the allowance for few n-grams (a stray one has mean 0, deviation 1).
 FLOOR, NOISE = 0.25, 2.5
+#: Numbers of the table of n-gram products that a worker keeps (4 bytes each), whatever the number of languages.
+KEPT = 32 << 20
 _letters: np.ndarray | None = None
-_products: dict[bytes, np.ndarray] = {}
+_products: dict = {}
 
 
 def letter_table() -> np.ndarray:
@@ -125,12 +129,41 @@ def fit(df: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_i
     return names, protos / np.maximum(np.linalg.norm(protos, axis=1, keepdims=True), 1e-9)
 
 
-def products(protos: np.ndarray) -> np.ndarray:
-    """Inner product of each possible n-gram with each prototype, filled in as n-grams come; row 0 of a gram is NaN until then."""
-    key = protos.tobytes()[:4096]
+class Products:
+    """Inner products of n-grams with each prototype, computed when an n-gram comes first; a full table starts anew."""
+
+    def __init__(self, protos: np.ndarray):
+        self.protos = protos.T.astype(np.float32)
+        self.most = max(1, KEPT // max(1, len(protos)))
+        self.place = np.full(CODES**GRAM, -1, np.int32)
+        self.rows = np.zeros((0, len(protos)), np.float32)
+        self.used = 0
+
+    def of(self, grams: np.ndarray) -> np.ndarray:
+        """A row for each of ``grams``."""
+        distinct, where = np.unique(grams, return_inverse=True)
+        if len(distinct) > self.most:  # more at once than are kept: nothing is
+            return np.concatenate([vectors(distinct[i : i + 4096]).astype(np.float32) @ self.protos for i in range(0, len(distinct), 4096)])[where]
+        new = distinct[self.place[distinct] < 0]
+        if self.used + len(new) > self.most:
+            self.place[:] = -1
+            self.used, new = 0, distinct
+        if self.used + len(new) > len(self.rows):
+            self.rows = np.concatenate([self.rows[: self.used], np.zeros((min(self.most, 2 * (self.used + len(new))) - self.used, self.rows.shape[1]), np.float32)])
+        for i in range(0, len(new), 4096):
+            part = new[i : i + 4096]
+            self.place[part] = np.arange(self.used, self.used + len(part))
+            self.rows[self.used : self.used + len(part)] = vectors(part).astype(np.float32) @ self.protos
+            self.used += len(part)
+        return self.rows[self.place[grams]]
+
+
+def products(names: list[str], protos: np.ndarray) -> Products:
+    """The table of a model, known by all of it; a worker keeps the last one."""
+    key = hashlib.sha256(repr((names, protos.shape)).encode() + np.ascontiguousarray(protos).tobytes()).digest()
     if key not in _products:
         _products.clear()
-        _products[key] = np.full((CODES**GRAM, len(protos)), np.nan, np.float32)
+        _products[key] = Products(protos)
     return _products[key]
 
 
@@ -138,15 +171,13 @@ def classify(names: list[str], protos: np.ndarray, column: int, evidence: bool =
     """Append the prediction and its score to each row (``evidence``: the prediction, its evidence and the number of n-grams); ``column``: the text's."""
 
     def run(batches):
-        known = products(protos)
+        known = products(names, protos)
         for batch in batches:
             preds, scores, levels, grams = [], [], [], []
             for at in range(0, batch.num_rows, 64):
                 texts = [t or "" for t in batch.column(column).slice(at, 64).to_pylist()]
                 g, n = grams_of(texts)
-                new = np.unique(g[np.isnan(known[g, 0])]) if names else g[:0]
-                for i in range(0, len(new), 4096):
-                    known[new[i : i + 4096]] = vectors(new[i : i + 4096]).astype(np.float32) @ protos.T.astype(np.float32)
+                near = known.of(g) if names else None
                 starts = np.concatenate([[0], np.cumsum(n)[:-1]])
                 for k, t in enumerate(texts):
                     if not n[k] or not names:
@@ -155,8 +186,8 @@ def classify(names: list[str], protos: np.ndarray, column: int, evidence: bool =
                         levels.append(0.0)
                         grams.append(0)
                         continue
-                    cos = known[g[starts[k] : starts[k] + n[k]]].sum(0, dtype=np.float64) / n[k]
-                    best = int(np.argmax(cos))
+                    cos = near[starts[k] : starts[k] + n[k]].sum(0, dtype=np.float64) / n[k]
+                    best = int(np.argmax(cos))  # equal cosines: the first language by name
                     # Share of the best among the positive similarities.
                     pos = np.maximum(cos, 0)
                     preds.append(names[best])
@@ -194,9 +225,11 @@ def floors(df: DataFrame, model: tuple[list[str], np.ndarray], per_language: int
 
 def kept(df: DataFrame, model: tuple[list[str], np.ndarray], least: dict[str, float], text: str = "text") -> DataFrame:
     """The rows of ``df`` in a learned language: with letters, and with the evidence that ``least`` asks for."""
+    names = df.columns
+    df, back = aside(df, {"_pred", "_level", "_grams"})
     judged = with_evidence(df, model, text).where("_grams > 0")
     asked = F.coalesce(F.create_map(*[F.lit(x) for k in least for x in (k, least[k])])[F.col("_pred")], F.lit(0.0)) if least else F.lit(0.0)
-    return judged.where(F.col("_level") + NOISE / F.sqrt("_grams") >= asked).select(*df.columns)
+    return judged.where(F.col("_level") + NOISE / F.sqrt("_grams") >= asked).select(*df.columns).withColumnsRenamed(back).select(*names)
 
 
 def held_out(key: str = "doc_id"):

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from provenir.llm.common import materialise, table, trimmed
+from provenir.llm.common import aside, materialise, table, trimmed
 
 SAMPLE, WEIGHT = 20_000, 0.5
 #: Word keys of the toxicity model: at most so many, each in so many toxic documents and with such log-odds.
@@ -40,6 +40,8 @@ PREFIXES = (3, 4, 5)
 HELD = 150_000
 #: Sites up to which posteriors are broadcast (some 100 bytes each); beyond, they are joined by shuffle with skew splitting.
 SITES = 100_000
+#: Working columns; columns of these names in the input are set aside.
+TAKEN = {f"{p}{c}" for c in ("_quality", "_toxic") for p in ("", "p", "n")} | {"_host", "_path", "_keep"}
 UPPER = bytes(range(65, 91))
 LETTERS = UPPER + bytes(range(97, 123))
 SYMBOLS = b"#$%&*+=<>@\\^_`~{}[]"
@@ -236,17 +238,20 @@ def posterior(scored: DataFrame, site: DataFrame, mean: dict, host: str, path: s
 def classify(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", sample: int = SAMPLE) -> DataFrame:
     """``docs`` without their texts, with ``quality``, ``toxic`` and ``keep``; columns of these names are replaced."""
     model = fit(docs, labels, sample=sample)
+    docs, back = aside(docs, TAKEN)
     scored = materialise(score(docs, model).drop("text"), "scored")
     out = posterior(scored, *sites(scored, host, path), host, path)
-    return out.drop("quality", "toxic", "keep").withColumnsRenamed({"_quality": "quality", "_toxic": "toxic", "_keep": "keep"})
+    return out.drop("quality", "toxic", "keep").withColumnsRenamed({"_quality": "quality", "_toxic": "toxic", "_keep": "keep"} | back)
 
 
 def kept(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", sample: int = SAMPLE) -> DataFrame:
-    """The rows of ``docs`` that are to keep. Texts are scored twice rather than written in between."""
+    """The rows of ``docs`` that are to keep. Scored rows are written, since scoring costs far more than that."""
     model = fit(docs, labels, sample=sample)
-    first = materialise(score(docs, model).select(host, path, "_quality", "_toxic"), "scored")
-    out = posterior(score(docs, model), *sites(first, host, path), host, path)
-    return out.where("_keep").select(*docs.columns)
+    names = docs.columns
+    docs, back = aside(docs, TAKEN)
+    scored = materialise(score(docs, model), "scored")
+    out = posterior(scored, *sites(scored, host, path), host, path)
+    return out.where("_keep").select(*docs.columns).withColumnsRenamed(back).select(*names)
 
 
 def op8_quality_classifier(spark, sf_dir: str) -> DataFrame:

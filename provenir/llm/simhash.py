@@ -7,8 +7,8 @@ half of the hashes. Two fingerprints link at ``radius`` or fewer differing bits.
 
 Only distinct fingerprints are searched, so exact copies cost one row however many
 there are. They are cut into shards: the 64 bits are split into ``radius + 2``
-blocks, and two fingerprints that link agree in at least two whole blocks, so each
-fingerprint goes to one shard for each pair of blocks. Each shard is a BK-tree
+blocks (more, as the table grows), and two fingerprints that link agree in all blocks
+but ``radius``, so each fingerprint goes to one shard for each choice of so many blocks. Each shard is a BK-tree
 (children keyed by the Hamming distance to their parent), and a search follows only
 edges within the radius; whole subtrees are searched for all their queries at once
 in numpy. Shard trees travel by a shuffle and not by broadcast, since together
@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from provenir.llm.common import materialise, table, tasks, trimmed
+from provenir.llm.common import aside, look_up, materialise, table, tasks, trimmed
 
 WORDS, RADIUS, SEED = 4, 4, 42
 #: Fingerprints in a shard that one task searches; larger ones are dealt by midpoints.
@@ -163,11 +163,19 @@ def link_batch(got) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
 
-def block_masks(radius: int) -> list[int]:
-    """Masks of each pair of ``radius + 2`` near-equal blocks of the 64 bits."""
-    edges = np.linspace(0, 64, radius + 3).round().astype(int)
+def block_masks(radius: int, n: int) -> list[int]:
+    """Masks of all choices of ``n`` - ``radius`` of ``n`` near-equal blocks of the 64 bits: what differs in ``radius`` bits agrees under one of them."""
+    edges = np.linspace(0, 64, n + 1).round().astype(int)
     blocks = [((1 << int(b)) - 1) ^ ((1 << int(a)) - 1) for a, b in zip(edges[:-1], edges[1:])]
-    return [x | y for x, y in combinations(blocks, 2)]
+    return [sum(c) for c in combinations(blocks, n - radius)]
+
+
+def block_count(radius: int, points: int, shard: int = SHARD) -> int:
+    """Blocks that keep shards of evenly spread points far below ``shard``: 6 for a radius of 4 up to some 10 thousand million points."""
+    n = radius + 2
+    while n < radius + 6 and points >> (64 * (n - radius) // n) > shard // 8:
+        n += 1
+    return n
 
 
 def signed(x: int) -> int:
@@ -179,7 +187,8 @@ def links(prints: DataFrame, radius: int = RADIUS, shard: int = SHARD) -> DataFr
     if radius % 2:
         raise ValueError("radius must be even, for midpoints of large shards")
     n = tasks(prints.sparkSession)
-    keys = F.array(*[F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(signed(m)))) for i, m in enumerate(block_masks(radius))])
+    masks = block_masks(radius, block_count(radius, prints.count()))
+    keys = F.array(*[F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(signed(m)))) for i, m in enumerate(masks)])
     dealt = prints.select(F.explode(keys).alias("shard"), "fp")
     sizes = dealt.groupBy("shard").agg(F.count("*").alias("_n")).where(F.col("_n") > shard).select("shard")
     large = materialise(sizes, "large")
@@ -206,8 +215,9 @@ def connect(nodes: DataFrame, edges: DataFrame, most: int = 60) -> DataFrame:
         # Smallest label among the neighbours' tops, then each hangs below the top of that label's fingerprint.
         seen = edges.join(at.select(F.col("fp").alias("b"), "label", "top"), "b").groupBy(F.col("a").alias("fp")).agg(F.min(F.struct("label", "top")).alias("near"))
         best = at.join(seen, "fp").select("fp", F.least(F.struct("label", "top"), "near").alias("own"), F.col("label").alias("was"), F.col("top").alias("was_top"))
-        jump = best.select(F.col("fp").alias("_fp"), F.col("own").alias("up"))
-        new = best.join(jump, F.col("own.top") == F.col("_fp"), "left").select("fp", F.least("own", F.coalesce("up", "own")).alias("own"), "was", "was_top")
+        best = materialise(best.withColumn("hub", F.col("own.top")), f"best{k}")
+        # In a large component most have the same top.
+        new = look_up(best, "hub", best.select(F.col("fp").alias("hub"), F.col("own").alias("up"))).select("fp", F.least("own", F.coalesce("up", "own")).alias("own"), "was", "was_top")
         at = materialise(new.select("fp", F.col("own.label").alias("label"), F.col("own.top").alias("top"), ((F.col("own.label") != F.col("was")) | (F.col("own.top") != F.col("was_top"))).alias("moved")), f"labels{k + 1}")
         if not at.where("moved").take(1):
             return at.select("fp", "label", "top")
@@ -235,11 +245,14 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", word
 
 def first_of_each(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, radius: int = RADIUS, shard: int = SHARD) -> DataFrame:
     """The rows of ``df`` but for all but one of each group of near copies: the one with the smallest id stays."""
+    names = df.columns
+    df, back = aside(df, {"fp", "_row", "_lost"})
+    key, text = ({c: new for new, c in back.items()}.get(c, c) for c in (key, text))
     # Written with a row number, so that later passes know the rows again even if they are read in other splits.
     rows = materialise(fingerprints(df.withColumn("_row", F.monotonically_increasing_id()), text, words), "printed")
     prints = rows.select(F.col(key).cast("long").alias("doc_id"), "fp", "_row")
     named = groups(prints.select("doc_id", "fp"), radius, shard).select("fp", "top")
-    return keep_first(rows, prints, named).select(*df.columns)
+    return keep_first(rows, prints, named).select(*df.columns).withColumnsRenamed(back).select(*names)
 
 
 def keep_first(rows: DataFrame, prints: DataFrame, named: DataFrame) -> DataFrame:
@@ -247,7 +260,7 @@ def keep_first(rows: DataFrame, prints: DataFrame, named: DataFrame) -> DataFram
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row"))
     per_print = prints.groupBy("fp").agg(first.alias("first")).join(named, "fp")
     winner = per_print.groupBy("top").agg(F.min("first").alias("win"))
-    wins = materialise(named.join(winner, "top").select("fp", F.col("win._row").alias("_win")), "winners")
+    wins = materialise(look_up(materialise(named, "named"), "top", materialise(winner, "winner")).select("fp", F.col("win._row").alias("_win")), "winners")
     losers = materialise(prints.join(wins, "fp").where("_row != _win").select(F.col("_row").alias("_lost")), "losers")
     return rows.join(losers, F.col("_row") == F.col("_lost"), "left_anti")
 
