@@ -29,6 +29,8 @@ from provenir.llm.common import table, tasks, trimmed
 
 #: Documents and bytes in a block; pre-tokens in more than one of SHARE of its documents are resolved in place.
 BLOCK, BLOCK_BYTES, SHARE = 4096, 16 << 20, 64
+#: Documents of a block beyond which a pre-token's postings are dealt to so many places.
+FREQUENT, SALTS = 16, 16
 #: Entries of the table of hot pre-tokens that a worker keeps.
 KEPT = 200_000
 #: White space next to a space: there, cutting a text at single spaces would change its pre-tokens.
@@ -221,7 +223,10 @@ def count_tokens(df: DataFrame, path: str, key: str = "doc_id", text: str = "tex
     """A row for each row of ``df``: ``doc_id``, ``n_bytes`` (UTF-8) and ``n_tokens``."""
     rows = df.select(F.col(key).cast("long"), F.coalesce(F.col(text), F.lit("")).alias("text")).mapInArrow(trimmed(postings(path)), ROWS)
     n = tasks(df.sparkSession)
-    dealt = rows.repartition(n, F.coalesce(F.xxhash64("token"), F.lit(0)) + F.when(F.col("token").isNull(), F.xxhash64("base")).otherwise(F.lit(0))).sortWithinPartitions("token")
+    # A pre-token of many documents of a block is dealt by block as well, so it is counted up to SALTS times.
+    salt = F.when(F.octet_length("payload") > 3 * FREQUENT, F.pmod(F.xxhash64("base"), F.lit(SALTS))).otherwise(F.lit(0))
+    spot = F.when(F.col("token").isNull(), F.xxhash64("base")).otherwise(F.xxhash64("token", salt))
+    dealt = rows.repartition(n, spot).sortWithinPartitions("token")
     parts = dealt.mapInArrow(trimmed(resolve(path)), PARTS)
     # The document's own row has its id and size; all others add tokens to it.
     return parts.groupBy("uid").agg(F.max("doc_id").alias("doc_id"), F.max("n_bytes").alias("n_bytes"), F.sum("n_tokens").alias("n_tokens")).drop("uid")
