@@ -165,16 +165,31 @@ def cut(path: str, width: int, end_id: int, kept: int = KEPT, block_bytes: int =
 SCHEMA = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("_task", pa.int32()), ("_nth", pa.int64())])
 
 
-def nnls(a: np.ndarray, b: np.ndarray, rounds: int = 400) -> np.ndarray:
-    """min ||a x - b|| over x >= 0, by accelerated projected gradients; ``a`` is small."""
-    gram, target = a.T @ a, a.T @ b
-    step = 1.0 / max(np.linalg.norm(gram, 2), 1e-9)
-    x = y = np.zeros(a.shape[1])
-    t = 1.0
-    for _ in range(rounds):
-        new = np.maximum(0, y - step * (gram @ y - target))
-        t_new = (1 + (1 + 4 * t * t) ** 0.5) / 2
-        y, x, t = new + (t - 1) / t_new * (new - x), new, t_new
+def nnls(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """min ||a x - b|| over x >= 0, by the active set method; ``a`` is small."""
+    n = a.shape[1]
+    x, free = np.zeros(n), np.zeros(n, bool)
+    slack = 1e-10 * np.abs(a).sum() * max(1.0, np.abs(b).max())
+    for _ in range(10 * n):
+        gain = np.where(free, -np.inf, a.T @ (b - a @ x))
+        j = int(np.argmax(gain))
+        if gain[j] <= slack:
+            break
+        free[j] = True
+        while True:
+            best = np.zeros(n)
+            best[free] = np.linalg.lstsq(a[:, free], b, rcond=None)[0]
+            low = free & (best <= 0)
+            if not low.any():
+                x = best
+                break
+            # As far towards the optimum of the free ones as none turns negative; what meets zero stays there.
+            step = np.min(x[low] / np.maximum(x[low] - best[low], 1e-300))
+            x = x + step * (best - x)
+            free &= x > 1e-12 * max(1.0, x.max())
+            x[~free] = 0
+            if not free.any():
+                break
     return x
 
 
@@ -236,7 +251,12 @@ def plan(histogram: dict[int, int], width: int, bins: int = BINS, depth: int = D
         for j, p in enumerate(forms):
             for x in p:
                 a[x - 1, j] += 1
-        repeats = np.floor(nnls(a, hist)).astype(np.int64)
+        fitted = np.floor(nnls(a, hist) + 1e-6).astype(np.int64)
+        repeats, rest_of = np.zeros(len(forms), np.int64), hist.copy()
+        for j in np.argsort(-fitted, kind="stable"):  # no bin is asked for more than it has
+            own = a[:, j] > 0
+            repeats[j] = min(fitted[j], int((rest_of[own] // a[own, j]).min()))
+            rest_of -= repeats[j] * a[:, j]
         for j in np.argsort([-p[0] * bins - p[1] for p in forms], kind="stable"):
             left = int(repeats[j])
             while left > 0:
@@ -336,7 +356,8 @@ def pack_documents(df: DataFrame, path: str, width: int = 4096, end_id: int = 1,
     ranges = place(plan(histogram, width))
     # A window here has one row for each task; task blocks keep it short for any number of them.
     before = counts.select("_task", "length", (F.coalesce(F.sum("_n").over(Window.partitionBy("length").orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).alias("_before"))
-    ranked = pieces.join(before, ["_task", "length"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("_before") + F.col("_nth")).alias("rank"))
+    # A row for each task and length: joined by sorting, since it grows with the number of tasks.
+    ranked = pieces.join(before.hint("merge"), ["_task", "length"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("_before") + F.col("_nth")).alias("rank"))
     return ranked.mapInArrow(put(ranges), PLACED)
 
 
