@@ -94,9 +94,10 @@ def test_decontamination(spark, docs, none):
     }
     some = spark.createDataFrame([(k, v, "x") for k, v in texts.items()], "doc_id bigint, text string, hash string")
     got = {(r["doc_id"], r["item_id"]): r["kind"] for r in decontam.found_items(some, bench).collect()}
-    assert got == {(10, 1): "exact", (11, 1): "renamed", (16, 4): "exact"}
+    # Two variants of an item do not hide each other; a short item is found wherever its words stand.
+    assert got == {(10, 1): "exact", (11, 1): "renamed", (14, 1): "renamed", (15, 4): "exact", (16, 4): "exact"}
     left = decontam.clean(some, bench)
-    assert left.columns == some.columns and {r["doc_id"] for r in left.collect()} >= {12, 13, 14}
+    assert left.columns == some.columns and {r["doc_id"] for r in left.collect()} == {12, 13}
     assert decontam.clean(docs, bench).count() == len(ROWS)
     assert decontam.clean(none, bench).count() == 0
     assert decontam.clean(docs, bench.limit(0)).count() == len(ROWS)
