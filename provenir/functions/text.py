@@ -92,27 +92,39 @@ def words(c) -> Column:
     return F.filter(F.split(F.trim(spaced), " "), lambda w: w != "")
 
 
+def tail(w: Column) -> Column:
+    """All but the first character."""
+    return F.right(w, F.greatest(F.length(w) - 1, F.lit(0)))
+
+
 def snake(c) -> Column:
     return F.lower(F.array_join(words(c), "_"))
 
 
 def pascal_snake(c) -> Column:
-    return F.array_join(F.transform(words(c), lambda w: F.concat(F.upper(F.left(w, F.lit(1))), F.lower(F.substring(w, 2, 1 << 20)))), "_")
+    return F.array_join(F.transform(words(c), lambda w: F.concat(F.upper(F.left(w, F.lit(1))), F.lower(tail(w)))), "_")
 
 
 def camel(c) -> Column:
-    joined = F.array_join(F.transform(words(c), lambda w: F.concat(F.upper(F.left(w, F.lit(1))), F.lower(F.substring(w, 2, 1 << 20)))), "")
-    return F.concat(F.lower(F.left(joined, F.lit(1))), F.substring(joined, 2, 1 << 20))
+    joined = F.array_join(F.transform(words(c), lambda w: F.concat(F.upper(F.left(w, F.lit(1))), F.lower(tail(w)))), "")
+    return F.concat(F.lower(F.left(joined, F.lit(1))), tail(joined))
 
 
 def upper_snake(c) -> Column:
     return F.upper(F.array_join(words(c), "_"))
 
 
-def first_clause(c, most: int = 60) -> Column:
-    """up to the first of ``.;:,``, with an ellipsis beyond ``most`` characters."""
-    s = F.trim(F.split(col(c), "[.;:,]")[0])
-    return F.when(F.length(s) > most, F.concat(F.left(s, F.lit(most - 1)), F.lit("…"))).otherwise(s)
+def first_clause(c) -> Column:
+    """up to the first of ``.;:,``."""
+    return strip(F.split(col(c), "[.;:,]")[0])
+
+
+def title_seed(c) -> Column:
+    """up to the first sentence end, colon or line break, shortened to 57 characters beyond 60; else the text's beginning, else ``Rule``."""
+    t = F.coalesce(col(c), F.lit(""))
+    s = strip(F.split(t, "[.!?;:\n]")[0])
+    clipped = F.when(F.length(s) > 60, F.concat(F.left(s, F.lit(57)), F.lit("..."))).otherwise(s)
+    return F.coalesce(F.nullif(clipped, F.lit("")), F.nullif(F.left(t, F.lit(57)), F.lit("")), F.lit("Rule"))
 
 
 def clamp01(c) -> Column:
@@ -133,10 +145,10 @@ def has_word(text, word) -> Column:
 
 
 def json_slice(c) -> Column:
-    """the outermost object or array in a text around it; null where there is none."""
+    """the outermost object or array in a text around it; null where there is none or it does not parse."""
     s = F.regexp_replace(col(c), "(?s)```(?:json)?", "")
     found = F.regexp_extract(s, r"(?s)(\{.*\}|\[.*\])", 1)
-    return F.when(found != "", found)
+    return F.when((found != "") & F.try_parse_json(found).isNotNull(), found)
 
 
 def line_number(text, offset) -> Column:
@@ -146,8 +158,8 @@ def line_number(text, offset) -> Column:
 
 
 def search_tokens(c) -> Column:
-    """distinct lower-case runs of letters and digits of two characters or more."""
-    return F.array_distinct(F.filter(F.split(F.lower(col(c)), r"[^\p{L}\p{N}]+"), lambda w: F.length(w) >= 2))
+    """lower-case runs of a-z, 0-9 and East Asian characters, of two characters or more; repeats stay."""
+    return F.filter(F.split(F.lower(col(c)), r"[^a-z0-9\x{4E00}-\x{9FFF}]+"), lambda w: F.length(w) >= 2)
 
 
 def detect_format(name, mime) -> Column:

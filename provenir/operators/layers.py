@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from provenir.functions.text import col
 from provenir.operators.integrity import issue
+from provenir.operators.matching import numbered
 
 
 def carry(prev: DataFrame, new: DataFrame, key: str, columns: list[str]) -> DataFrame:
@@ -31,18 +32,18 @@ def manifest(steps: DataFrame, actions: DataFrame) -> tuple[DataFrame, DataFrame
 
 
 def layer_issues(rows: DataFrame, key: str, text: str, name: str = "name") -> DataFrame:
-    """Syntax errors, items that are no objects, missing and repeated ids of one layer's items."""
+    """Syntax errors, items that are no objects, missing and repeated ids of one layer's items. Only items with an id are compared with others."""
     v = F.try_parse_json(text)
     t = F.schema_of_variant(v)
     item = rows.select(F.col(key), F.col(text).alias("_t"), t.alias("_k"), F.try_variant_get(v, f"$.{name}", "string").alias("_id"))
-    n = F.count("*").over(Window.partitionBy("_id"))
+    named = F.col("_id").isNotNull() & (F.trim("_id") != "") & F.coalesce(F.col("_k").startswith("OBJECT"), F.lit(False))
     first = F.row_number().over(Window.partitionBy("_id").orderBy(key))
-    item = item.withColumns({"_n": n, "_f": first})
+    item = item.where(named).withColumn("_f", first).unionByName(item.where(~named).withColumn("_f", F.lit(1)))
     kind = (
         F.when(F.col("_t").isNotNull() & F.col("_k").isNull(), "syntax")
         .when(~F.col("_k").startswith("OBJECT"), "not_object")
         .when(F.col("_id").isNull() | (F.trim("_id") == ""), "missing_id")
-        .when((F.col("_n") > 1) & (F.col("_f") > 1), "duplicate_id")
+        .when(F.col("_f") > 1, "duplicate_id")
     )
     return item.withColumn("kind", kind).where(F.col("kind").isNotNull()).select(key, "kind")
 
@@ -55,9 +56,10 @@ def shape_issues(rows: DataFrame, key: str, required: list[str], closed: dict[st
 
 
 def per_stage(rows: DataFrame, by: str, order: list[Column], most: int = 40) -> DataFrame:
-    """The first ``most`` of each group, with how many were left out."""
-    k, n = F.row_number().over(Window.partitionBy(by).orderBy(*order)), F.count("*").over(Window.partitionBy(by))
-    return rows.withColumns({"rank": k, "_n": n}).where(F.col("rank") <= most).withColumn("left_out", F.greatest(F.col("_n") - most, F.lit(0))).drop("_n")
+    """The first ``most`` of each group, with how many were left out. Groups are counted apart, so that ranking stops at ``most`` before the exchange."""
+    first = rows.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(*order))).where(F.col("rank") <= most)
+    sizes = rows.groupBy(by).agg(F.count("*").alias("_n"))
+    return first.join(sizes, by).withColumn("left_out", F.greatest(F.col("_n") - most, F.lit(0))).drop("_n")
 
 
 def endpoints(triples: DataFrame, by: str, order: str) -> DataFrame:
@@ -88,13 +90,13 @@ def excerpt(rows: DataFrame, by: str, order: str, text: str, most: int, sep: str
 
 
 def unwrap(c) -> Column:
-    """The items of a layer document: a bare array, or the first array beside ``metadata``."""
+    """The items of a layer document: a bare array, or the first array beside ``metadata``; null where it does not parse."""
     t = F.trim(col(c))
-    inner = F.regexp_extract(F.regexp_replace(t, r'(?s)"metadata"\s*:\s*\{[^{}]*\}\s*,?', ""), r'(?s)^\s*\{\s*"[^"]+"\s*:\s*(\[.*\])\s*,?\s*\}\s*$', 1)
-    return F.when(t.startswith("["), t).otherwise(F.nullif(inner, F.lit("")))
+    parts = F.from_json(t, "map<string,string>")
+    inner = F.filter(F.map_entries(parts), lambda e: (e["key"] != "metadata") & e["value"].startswith("["))
+    return F.when(t.startswith("[") & F.try_parse_json(t).isNotNull(), t).when(t.startswith("{"), F.get(inner, F.lit(0))["value"])
 
 
 def unique_names(rows: DataFrame, name: str, order: str) -> DataFrame:
-    """Later rows of a name get a number, with a warning flag."""
-    k = F.row_number().over(Window.partitionBy(name).orderBy(order))
-    return rows.withColumn("_k", k).withColumn("unique_name", F.when(F.col("_k") == 1, F.col(name)).otherwise(F.concat(F.col(name), F.col("_k").cast("string")))).withColumn("warned", F.col("_k") > 1).drop("_k")
+    """Later rows of a name get the next number that no earlier row's name has, with a warning flag."""
+    return numbered(rows, F.col(name), order, "unique_name", "").withColumn("warned", F.col("unique_name") != F.col(name))

@@ -10,38 +10,43 @@ from pyspark.sql import functions as F
 from provenir.functions.text import search_tokens, slugify
 
 
-def mint_ids(rows: DataFrame, name: str, order: str, prefix: str = "obj-") -> DataFrame:
-    """``id``, a slug of the name; later ones of a slug get -2, -3, ... in order.
+def numbered(rows: DataFrame, name: Column, order: str, out: str, mark: str) -> DataFrame:
+    """``out``: the name, or with the first number from 2 (after ``mark``) that no earlier row's has.
 
-    A plain slug may itself end in a number ("x-2"): families where that can meet a
-    suffix are numbered one by one in order, all others by a window.
+    A name may itself end in a number ("x-2"): families where that can meet a number
+    are taken one by one in order, all others by a window.
     """
-    base = rows.withColumn("_base", F.concat(F.lit(prefix), slugify(name)))
-    tail = F.regexp_extract("_base", r"-(\d+)$", 1)
-    base = base.withColumn("_family", F.regexp_replace("_base", r"(-\d+)+$", "")).withColumn("_odd", tail != "")
+    base = rows.withColumn("_base", name)
+    number = rf"({mark}\d+)+$" if mark else r"\d+$"
+    base = base.withColumn("_family", F.regexp_replace("_base", number, "")).withColumn("_odd", F.col("_base").rlike(number))
     odd = base.where("_odd").select("_family").distinct()
     w = Window.partitionBy("_base").orderBy(order)
-    plain = base.join(odd, "_family", "left_anti").withColumn("_k", F.row_number().over(w)).withColumn("id", F.when(F.col("_k") == 1, F.col("_base")).otherwise(F.concat_ws("-", "_base", F.col("_k").cast("string"))))
-    cols = [*rows.columns, "id"]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", id string"
+    plain = base.join(odd, "_family", "left_anti").withColumn("_k", F.row_number().over(w)).withColumn(out, F.when(F.col("_k") == 1, F.col("_base")).otherwise(F.concat("_base", F.lit(mark), F.col("_k").cast("string"))))
+    cols = [*rows.columns, out]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + f", `{out}` string"
 
     def one_by_one(pdf):
-        pdf, taken, out = pdf.sort_values(order, kind="stable"), set(), []
+        pdf, taken, got = pdf.sort_values(order, kind="stable"), set(), []
         last: dict[str, int] = {}
         for b in pdf["_base"]:
             i, n = b, last.get(b, 1)
             while i in taken:
                 n += 1
-                i = f"{b}-{n}"
+                i = f"{b}{mark}{n}"
             last[b] = n
             taken.add(i)
-            out.append(i)
-        return pdf.assign(id=out)[cols]
+            got.append(i)
+        return pdf.assign(**{out: got})[cols]
 
     mixed = base.join(odd, "_family", "left_semi").groupBy("_family").applyInPandas(one_by_one, schema)
     return plain.select(*cols).unionByName(mixed)
 
 
+def mint_ids(rows: DataFrame, name: str, order: str, prefix: str = "obj-") -> DataFrame:
+    """``id``, a slug of the name; later ones of a slug get -2, -3, ... in order."""
+    return numbered(rows, F.concat(F.lit(prefix), slugify(name)), order, "id", "-")
+
+
 def resolve_first(rows: DataFrame, ref: str, targets: DataFrame, forms: list[tuple[Column, str]], out: str = "resolved") -> DataFrame:
     """The id of the first form of ``ref`` that a target has; ``forms``: (form of ref, target's column)."""
     found = rows
@@ -53,31 +58,64 @@ def resolve_first(rows: DataFrame, ref: str, targets: DataFrame, forms: list[tup
     return found.withColumn(out, F.coalesce(*names)).drop(*names)
 
 
-def match_names(terms: DataFrame, nodes: DataFrame, least: int = 3) -> DataFrame:
+#: Characters of the pieces by which names that contain each other find each other.
+GRAM = 3
+
+
+def grams(c: str, n: int = GRAM) -> Column:
+    """The distinct pieces of ``n`` characters in turn."""
+    s = F.col(c)
+    return F.array_distinct(F.transform(F.when(F.length(s) >= n, F.sequence(F.lit(1), F.length(s) - n + 1)), lambda i: F.substring(s, i, F.lit(n))))
+
+
+def containing(needles: DataFrame, stacks: DataFrame, needle: str, stack: str, n: int = GRAM) -> DataFrame:
+    """Rows of both sides where ``stack`` contains ``needle`` of at least ``n`` characters.
+
+    A text that holds a needle holds each of its pieces, so the join is by one of them
+    (the last by hash, so that common beginnings do not all meet), at any number of rows.
+    """
+    one = needles.where(F.length(needle) >= n).withColumn("_g", F.array_max(F.transform(grams(needle, n), lambda g: F.struct(F.xxhash64(g).alias("h"), g.alias("g"))))["g"])
+    return stacks.withColumn("_g", F.explode(grams(stack, n))).join(one, "_g").where(F.contains(stack, needle)).drop("_g")
+
+
+def match_names(terms: DataFrame, nodes: DataFrame, least: int = GRAM) -> DataFrame:
     """For each term (``term_id``, ``keys`` in order) the first node (``node_id``, ``ord``, ``name``) whose name equals a key or one contains the other.
 
-    Containment needs ``least`` characters on the shorter side. Vocabularies of nodes
-    are small; above 10,000 names candidates come through shared words.
+    Containment needs ``least`` characters on the shorter side. Pairs come through a
+    shared piece of the shorter side, alike at every number of names.
     """
     keys = terms.select("term_id", F.posexplode("keys").alias("key_pos", "key")).where(F.length("key") > 0)
     n = nodes.select("node_id", "ord", "name")
-    if n.count() <= 10_000:
-        pairs = keys.join(F.broadcast(n), F.contains("key", "name") | F.contains("name", "key"))
-    else:
-        by_word = lambda df, c: df.withColumn("_w", F.explode(search_tokens(c)))
-        pairs = by_word(keys, "key").join(by_word(n, "name"), "_w").where(F.contains("key", "name") | F.contains("name", "key")).drop("_w").distinct()
-    ok = pairs.where((F.col("key") == F.col("name")) | (F.least(F.length("key"), F.length("name")) >= least))
-    return ok.groupBy("term_id").agg(F.min_by("node_id", F.struct("key_pos", "ord")).alias("node_id"))
+    same = keys.join(n, F.col("key") == F.col("name"))
+    inner, outer = containing(n, keys, "name", "key", least), containing(keys, n, "key", "name", least)
+    cols = ["term_id", "key_pos", "node_id", "ord"]
+    pairs = same.select(*cols).unionByName(inner.select(*cols)).unionByName(outer.select(*cols))
+    return pairs.groupBy("term_id").agg(F.min_by("node_id", F.struct("key_pos", "ord")).alias("node_id"))
 
 
 def lexical_seeds(questions: DataFrame, nodes: DataFrame, k: int = 8) -> DataFrame:
-    """Top ``k`` nodes of each question by shared tokens, 2 more if the label stands in the question; ties by ``ord``."""
-    q = questions.select("q_id", "text", F.explode(search_tokens("text")).alias("tok"))
-    n = nodes.select("node_id", "ord", "label", F.explode(search_tokens("label")).alias("tok"))
-    hits = q.join(n, "tok").groupBy("q_id", "node_id").agg(F.count("*").alias("n"), F.first("text").alias("text"), F.first("label").alias("label"), F.first("ord").alias("ord"))
-    scored = hits.withColumn("score", F.col("n") + F.when(F.contains(F.lower("text"), F.lower("label")), 2).otherwise(0))
-    w = Window.partitionBy("q_id").orderBy(F.desc("score"), "ord")
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("q_id", "node_id", "score", "rank")
+    """Top ``k`` nodes of each question: one for each token of label and id (repeats count) that the question has, 2 more if the label stands in it; ties by ``ord``.
+
+    A question that meets no node gets the first ``k`` nodes with score 0.
+    """
+    q = questions.select("q_id", F.explode(F.array_distinct(search_tokens("text"))).alias("tok"))
+    n = nodes.select("node_id", F.explode(search_tokens(F.concat_ws(" ", "label", F.col("node_id").cast("string")))).alias("tok")).groupBy("node_id", "tok").agg(F.count("*").alias("score"))
+    shared = q.join(n, "tok").select("q_id", "node_id", "score")
+    low = questions.select("q_id", F.lower("text").alias("_t"))
+    label = nodes.where(F.length("label") > 0).select("node_id", F.lower("label").alias("_l"))
+    inside = containing(label, low, "_l", "_t").select("q_id", "node_id", F.lit(2).cast("bigint").alias("score"))
+    short = label.where(F.length("_l") < GRAM)
+    # Labels of one or two characters are pieces themselves.
+    for size in range(1, GRAM):
+        piece = low.select("q_id", F.explode(grams("_t", size)).alias("_l"))
+        inside = inside.unionByName(piece.join(short.where(F.length("_l") == size), "_l").select("q_id", "node_id", F.lit(2).cast("bigint").alias("score")))
+    scored = shared.unionByName(inside).groupBy("q_id", "node_id").agg(F.sum("score").alias("score")).join(nodes.select("node_id", "ord"), "node_id")
+    order = Window.partitionBy("q_id").orderBy(F.desc("score"), "ord")
+    best = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("q_id", "node_id", "score", "rank")
+    first = [r["node_id"] for r in nodes.select("ord", "node_id").orderBy("ord").limit(k).collect()]  # k rows
+    none = questions.select("q_id").join(best.select("q_id").distinct(), "q_id", "left_anti")
+    rest = none.select("q_id", F.posexplode(F.array(*map(F.lit, first)) if first else F.array().cast("array<bigint>")).alias("_k", "node_id"))
+    return best.unionByName(rest.select("q_id", "node_id", F.lit(0).cast("bigint").alias("score"), (F.col("_k") + 1).alias("rank")))
 
 
 def nearest(values: DataFrame, value: str, vocabulary: list[str]) -> Column:

@@ -7,10 +7,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from provenir.functions.text import col, search_tokens
+from provenir.functions.text import col, strip
 
-#: Words that make an object a system one.
-SYSTEM_WORDS = "system|platform|service|engine|gateway|portal|database|server|api|app"
+#: Words that make an object a system one; short ones only as whole words.
+SYSTEM_WORDS = r"system|platform|gateway|portal|\bapi\b|\berp\b|\bcrm\b|\brms\b|engine|middleware|database|系统|平台|网关|中台|引擎"
 SEVERITIES = ["block", "warn", "info"]
 
 
@@ -26,9 +26,9 @@ def has_cjk(c) -> Column:
     return col(c).rlike("[\\x{4E00}-\\x{9FFF}]")
 
 
-def object_class(c) -> Column:
-    """F16: ``system`` by its words, else ``data``."""
-    return F.when(F.lower(col(c)).rlike(rf"\b({SYSTEM_WORDS})\b"), "system").otherwise("data")
+def object_class(*names) -> Column:
+    """F16: ``system`` by the words of an object's id and names, else ``data``."""
+    return F.when(F.concat_ws(" ", *names).rlike(f"(?i){SYSTEM_WORDS}"), "system").otherwise("data")
 
 
 def rule_severity(confidence) -> Column:
@@ -53,23 +53,44 @@ def routine_arguments(c) -> Column:
 
 
 def trigger_parts(c) -> tuple[Column, Column]:
-    """timing and events of a trigger's definition."""
+    """timing (AFTER without any) and events of a trigger's definition, which stand between its timing and `` ON ``."""
     d = F.upper(col(c))
-    timing = F.regexp_extract(d, r"\b(BEFORE|AFTER|INSTEAD OF)\b", 1)
-    head = F.regexp_extract(d, r"\b(?:BEFORE|AFTER|INSTEAD OF)\b(.*?)\bON\b", 1)
-    return timing, F.filter(F.array(*map(F.lit, ("INSERT", "UPDATE", "DELETE", "TRUNCATE"))), lambda e: F.contains(head, e))
+    head = F.regexp_extract(d, r"(?s)^.*?\b(?:BEFORE|AFTER|INSTEAD\s+OF)\b", 0)
+    timing = F.regexp_replace(F.regexp_extract(head, r"\b(BEFORE|AFTER|INSTEAD\s+OF)$", 1), r"\s+", " ")
+    on = F.nullif(F.instr(d, " ON "), F.lit(0))
+    body = F.substring(d, F.length(head) + 1, F.greatest(F.coalesce(on - 1, F.length(d)) - F.length(head), F.lit(0)))
+    body = F.when(head == "", d).otherwise(body)
+    events = F.array_compact(F.array(*[F.when(body.rlike(rf"\b{e}\b"), e) for e in ("INSERT", "UPDATE", "DELETE")]))
+    return F.when(timing == "", "AFTER").otherwise(timing), events
 
 
 def relation(c) -> Column:
-    """Targets of ``verb -> A, B (note)`` with the verb before them."""
-    s = F.regexp_replace(col(c), r"\s*\([^)]*\)\s*$", "")
-    verb = F.trim(F.split(s, "→|->")[0])
-    return F.transform(F.filter(F.transform(F.split(F.coalesce(F.get(F.split(s, "→|->"), F.lit(1)), F.lit("")), ","), lambda x: F.trim(x)), lambda x: x != ""), lambda x: F.struct(verb.alias("verb"), x.alias("target")))
+    """Targets of ``verb → A (note), B`` with the verb before them; ``->`` where there is no arrow. Notes in parentheses go from every target."""
+    s = strip(F.coalesce(col(c), F.lit("")))
+    mark = F.when(F.contains(s, F.lit("→")), "→").otherwise("->")
+    at = F.instr(s, "→") + F.when(F.contains(s, F.lit("→")), 0).otherwise(F.instr(s, "->"))
+    verb, rest = strip(F.left(s, F.greatest(at - 1, F.lit(0)))), F.substring(s, at + F.length(mark), F.length(s))
+    targets = F.filter(F.transform(F.split(rest, ","), lambda x: strip(F.regexp_replace(x, r"\([^)\n\r]*\)", ""))), lambda x: x != "")
+    return F.when((at > 0) & (verb != ""), F.transform(targets, lambda x: F.struct(verb.alias("verb"), x.alias("target")))).otherwise(F.array().cast("array<struct<verb:string,target:string>>"))
 
 
-def triple_text(s, p, o) -> Column:
-    """F31."""
-    return F.format_string("%s —%s→ %s", col(s), col(p), col(o))
+def labelled(id_, label) -> Column:
+    """An id, with its label in parentheses if it has another one."""
+    i, n = col(id_), col(label)
+    return F.when(n.isNotNull() & (n != "") & (n != i), F.concat(i, F.lit(' ("'), n, F.lit('")'))).otherwise(i)
+
+
+def triple_text(index, s, p, o, literal, s_label, o_label) -> Column:
+    """a numbered triple; a literal object stands in quotes."""
+    end = F.when(col(literal), F.concat(F.lit('"'), col(o), F.lit('" [lit]'))).otherwise(labelled(o, o_label))
+    return F.concat(col(index).cast("string"), F.lit(". "), labelled(s, s_label), F.lit(" --"), col(p), F.lit("--> "), end)
+
+
+def hops_text(hops: DataFrame, by: str) -> DataFrame:
+    """the hops of each walk (``step``, ``triples``, ``inference``), a line each."""
+    line = F.format_string("Hop %d (%d triples): %s", "step", "triples", "inference")
+    lines = F.transform(F.array_sort(F.collect_list(F.when(F.col("step").isNotNull(), F.struct("step", line.alias("x"))))), lambda h: h["x"])
+    return hops.groupBy(by).agg(F.coalesce(F.nullif(F.array_join(lines, "\n"), F.lit("")), F.lit("(none yet)")).alias("hops"))
 
 
 # Statistics ---------------------------------------------------------------------------------------
@@ -102,13 +123,19 @@ def roles(actions: DataFrame, processes: DataFrame) -> DataFrame:
 
 
 def relationship_prose(edges: DataFrame, names: DataFrame) -> DataFrame:
-    """Ordered distinct sentences of each object's outgoing and incoming relationships; a default without any."""
+    """Ordered distinct sentences of each object's relationships between known objects: outgoing ones with the attribute, or else the name, they go by.
+
+    A default without any; prose that an object (``id``, ``name``, ``prose``) has already stays.
+    """
     n = names.select("id", "name")
     e = edges.join(n.withColumnsRenamed({"id": "source", "name": "_s"}), "source").join(n.withColumnsRenamed({"id": "target", "name": "_t"}), "target")
-    line = F.concat_ws(" ", "_s", "verb", "_t")
-    both = e.select(F.col("source").alias("id"), "ord", line.alias("line")).unionByName(e.select(F.col("target").alias("id"), "ord", line.alias("line")))
-    text = both.groupBy("id").agg(F.concat(F.array_join(F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("ord", "line"))), lambda x: x["line"])), ". "), F.lit(".")).alias("prose"))
-    return n.join(text, "id", "left").select("id", F.coalesce("prose", F.concat("name", F.lit(" has no relationships."))).alias("prose"))
+    out = e.select(F.col("source").alias("id"), "ord", F.concat("_s", F.lit(" references "), "_t", F.lit(" via "), F.coalesce("via", "name"), F.lit(".")).alias("line"))
+    back = e.where("source <> target").select(F.col("target").alias("id"), "ord", F.concat("_s", F.lit(" references "), "_t", F.lit(".")).alias("line"))
+    # Each sentence once, so that an object that very many refer to is gathered by its distinct sentences.
+    once = out.unionByName(back).groupBy("id", "line").agg(F.min("ord").alias("ord"))
+    text = once.groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "line"))), lambda x: x["line"]), " ").alias("_p"))
+    own = F.when(strip(F.col("prose")) != "", F.col("prose"))
+    return names.join(text, "id", "left").select("id", F.coalesce(own, "_p", F.concat("name", F.lit(" has no foreign-key relationships to other tables."))).alias("prose"))
 
 
 def target_objects(*columns: str) -> Column:
@@ -146,9 +173,10 @@ def by_severity(rules: DataFrame) -> DataFrame:
     return rules.withColumn("rank", F.row_number().over(Window.partitionBy("role").orderBy(F.when(rank == 0, 99).otherwise(rank), "id")))
 
 
-def phase_status(lo, hi, cursor) -> Column:
-    """K11."""
-    return F.when(col(cursor) > col(hi), "complete").when(col(cursor) >= col(lo), "running").otherwise("pending")
+def phase_status(lo, hi, cursor, done, steps: int) -> Column:
+    """Of a phase of sub-steps ``lo`` to ``hi`` (from 0) after sub-step ``cursor`` has run; ``done`` counts as all ``steps``."""
+    ran = F.when(col(done), F.lit(steps)).otherwise(col(cursor) + 1)
+    return F.when(col(hi) < ran, "complete").when(col(lo) < ran, "running").otherwise("pending")
 
 
 # Joins and sets -----------------------------------------------------------------------------------
@@ -212,28 +240,64 @@ def joined_quotes(refs: DataFrame, sentences: DataFrame) -> DataFrame:
     return refs.join(t, "ref_id", "left").withColumn("snippet", F.coalesce(F.nullif(F.trim("snippet"), F.lit("")), "_t")).drop("_t")
 
 
-def gaps(findings: DataFrame, round_: int) -> DataFrame:
-    """C4: findings as gaps with their ids."""
-    return findings.select(F.format_string(f"gap:cov-r{round_}-%d", "idx").alias("id"), F.when(F.col("status") == "uncovered", "major").otherwise("minor").alias("severity"), "text")
+def gaps(findings: DataFrame, layer: str, round_: int) -> DataFrame:
+    """C4: findings (``idx``, ``status``, ``text``, ``missing``) as gaps of a layer, described with their sentence in both languages."""
+    idx, text = F.col("idx").cast("string"), F.col("text")
+    lost = lambda words: F.when(F.coalesce(F.col("missing"), F.lit("")) != "", F.concat(F.lit(words), F.col("missing"))).otherwise("")
+    en = F.concat(F.lit("Source sentence "), idx, F.lit(' is not represented: "'), text, F.lit('"'), lost(" — missing: "))
+    zh = F.concat(F.lit("源文第 "), idx, F.lit(' 句未被本体覆盖："'), text, F.lit('"'), lost(" — 缺失："))
+    return findings.select(F.concat(F.lit(f"gap:cov-r{round_}-"), idx).alias("id"), F.lit(layer).alias("layer"), F.when(F.col("status") == "uncovered", "block").otherwise("warn").alias("severity"), en.alias("en"), zh.alias("zh"))
 
 
 def digest(nodes: DataFrame, most: int = 240) -> DataFrame:
-    """One shortened line for each node."""
-    line = F.concat_ws(" | ", "kind", "id", "name", "description")
+    """One line for each node, by its kind, shortened.
+
+    ``nodes``: id, kind, name, name_zh, attributes (array), source, target, title, statement, description, steps (a number).
+    """
+    text = lambda c: F.coalesce(F.col(c), F.lit(""))
+    rest = (
+        F.when(F.col("kind") == "object", F.concat(text("name"), F.lit(" / "), text("name_zh"), F.lit(" | attrs: "), F.array_join(F.slice(F.coalesce("attributes", F.array().cast("array<string>")), 1, 30), ",")))
+        .when(F.col("kind") == "relationship", F.concat(text("name"), F.lit(" | "), text("source"), F.lit(" -> "), text("target")))
+        .when(F.col("kind") == "rule", F.concat(text("title"), F.lit(" | "), text("statement")))
+        .when(F.col("kind") == "process", F.concat(text("name"), F.lit(" | steps: "), F.coalesce("steps", F.lit(0)).cast("string")))
+        .otherwise(F.concat(text("name"), F.lit(" | "), text("description")))
+    )
+    line = F.concat_ws(" | ", "id", "kind", rest)
     return nodes.select("id", F.when(F.length(line) > most, F.concat(F.left(line, F.lit(most - 1)), F.lit("…"))).otherwise(line).alias("line"))
 
 
-def radial_layout(nodes: DataFrame, ring: float = 100.0) -> DataFrame:
-    """Nodes of each kind on a ring of their own."""
-    k = F.row_number().over(Window.partitionBy("kind").orderBy("id")) - 1
-    n = F.count("*").over(Window.partitionBy("kind"))
-    kinds = nodes.select("kind").distinct()  # a closed vocabulary, so one window over it is small
-    tiers = kinds.withColumn("_tier", F.row_number().over(Window.orderBy("kind")))
-    angle = 2 * F.pi() * F.col("_k") / F.col("_n")
-    placed = nodes.join(F.broadcast(tiers), "kind").withColumns({"_k": k, "_n": n, "_r": F.col("_tier") * ring})
-    return placed.select("kind", "id", (F.col("_r") * F.cos(angle)).alias("x"), (F.col("_r") * F.sin(angle)).alias("y"))
-
-
-def question_overlap(question: Column, label: Column) -> Column:
-    """J13's score of one pair."""
-    return F.size(F.array_intersect(search_tokens(question), search_tokens(label)))
+#: Fixed values of the drawings: canvas, order of kinds, radii.
+WIDTH, HEIGHT = 1100, 700
+KINDS = ["object", "rule", "action", "event", "process"]
+INNER, OUTER = 190, 320
+
+
+def layout(nodes: DataFrame, mode: str, order: str = "ord") -> DataFrame:
+    """Places of nodes (``id``, ``kind``, ``order``) as ``radial``, ``hierarchical`` or ``clustered`` drawing. Other kinds have none.
+
+    Each place depends on a node's number in its kind and the kind's size alone.
+    """
+    own = nodes.where(F.col("kind").isin(KINDS)).select("id", "kind", order)
+    sizes = own.groupBy("kind").agg(F.count("*").alias("_n"))  # a row for each kind
+    sizes = sizes.withColumn("_tier", F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")) - 1)
+    whole = Window.partitionBy(F.lit(0))  # a handful of rows, one for each kind
+    sizes = sizes.withColumn("_nth", F.row_number().over(whole.orderBy("_tier")) - 1).withColumn("_kinds", F.count("*").over(whole))
+    k = F.row_number().over(Window.partitionBy("kind").orderBy(order, "id")) - 1
+    placed = own.withColumn("_k", k).join(F.broadcast(sizes), "kind")
+    n, tier, k = F.col("_n"), F.col("_tier"), F.col("_k")
+    share = F.when(n == 1, 0.5).otherwise(k / (n - 1))
+    on_arc = lambda cx, cy, radius, start, end: (cx + radius * F.cos(start + (end - start) * share), cy + radius * F.sin(start + (end - start) * share))
+    cx, cy, turn = F.lit(WIDTH / 2), F.lit(HEIGHT / 2), 2 * F.pi()
+    if mode == "radial":
+        part = turn / (len(KINDS) - 1)
+        start = -F.pi() / 2 + (tier - 1) * part + part * 0.08
+        inner, outer = on_arc(cx, cy, F.lit(INNER), F.lit(0.0), turn), on_arc(cx, cy, F.lit(OUTER), start, start + part * 0.84)
+        x, y = (F.when(tier == 0, a).otherwise(b) for a, b in zip(inner, outer))
+    elif mode == "hierarchical":
+        x, y = 120 + (tier + 0.5) * ((WIDTH - 240) / len(KINDS)), 90 + (k + 0.5) * ((HEIGHT - 180) / n)
+    elif mode == "clustered":
+        angle = -F.pi() / 2 + F.col("_nth") / F.col("_kinds") * turn
+        x, y = on_arc(cx + F.cos(angle) * 230, cy + F.sin(angle) * 170, F.least(F.lit(150), 50 + n * 8), F.lit(0.0), turn)
+    else:
+        raise ValueError(f"no layout {mode}")
+    return placed.select("id", "kind", x.cast("double").alias("x"), y.cast("double").alias("y"))

@@ -45,7 +45,7 @@ def spec_objects(objects: DataFrame, properties: DataFrame) -> DataFrame:
 
 def spec_rules(rules: DataFrame) -> DataFrame:
     """Published rules named by title or first clause."""
-    return rules.select("id", F.coalesce(F.nullif(F.trim("title"), F.lit("")), F.nullif(first_clause("statement", 1 << 20), F.lit("")), "id").alias("businessLogicRuleName"), F.col("statement").alias("standardizedLogicRule"))
+    return rules.select("id", F.coalesce(F.nullif(F.trim("title"), F.lit("")), F.nullif(first_clause("statement"), F.lit("")), "id").alias("businessLogicRuleName"), F.col("statement").alias("standardizedLogicRule"))
 
 
 def spec_events(events: DataFrame) -> DataFrame:

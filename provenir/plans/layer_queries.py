@@ -36,7 +36,7 @@ def j18_manifest_warnings(spark, d):
     return lost.groupBy("from_id", "missing_id").agg(F.count("*").alias("n"))
 
 
-@query("""WITH r AS (SELECT event_id, user_id, event_id % 11 AS m FROM events WHERE event_id < 5000), x AS (SELECT event_id, CASE WHEN m = 1 THEN 'syntax' WHEN m = 2 THEN 'not_object' WHEN m = 3 THEN 'missing_id' END AS k, user_id FROM r),
+@query("""WITH r AS (SELECT event_id, user_id, event_id % 11 AS m FROM events), x AS (SELECT event_id, CASE WHEN m = 1 THEN 'syntax' WHEN m = 2 THEN 'not_object' WHEN m = 3 THEN 'missing_id' END AS k, user_id FROM r),
   y AS (SELECT event_id, k, row_number() OVER (PARTITION BY k IS NULL, user_id ORDER BY event_id) AS f FROM x) SELECT event_id, coalesce(k, 'duplicate_id') AS kind FROM y WHERE k IS NOT NULL OR f > 1""")
 def v14_layer_issues(spark, d):
     m = F.col("event_id") % 11
@@ -79,9 +79,9 @@ def x15_excerpts(spark, d):
     return L.excerpt(read(spark, d, "documents"), "source", "doc_id", "text", 12000)
 
 
-@query("SELECT event_id, '[' || props || ']' AS items FROM events")
+@query("SELECT event_id, '[' || CASE WHEN event_id % 2 = 0 THEN props ELSE replace(props, ': ', ':') END || ']' AS items FROM events")
 def x34_unwrap_layer(spark, d):
-    whole = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("["), F.col("props"), F.lit("]"))).otherwise(F.concat(F.lit('{"metadata": {"version": 1}, "rules": ['), F.col("props"), F.lit("]}")))
+    whole = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("["), F.col("props"), F.lit("]"))).otherwise(F.concat(F.lit('{"metadata": {"version": {"major": [1]}}, "rules": ['), F.col("props"), F.lit("]}")))
     return read(spark, d, "events").select("event_id", L.unwrap(whole).alias("items"))
 
 
@@ -107,7 +107,17 @@ def u7_taken_ids(spark, d):
     return ids("part", "p", "p_partkey").unionByName(ids("customer", "c", "c_custkey")).distinct()
 
 
-@query("SELECT n_nationkey, n_name || ' —references→ ' || r_name AS line FROM nation JOIN region ON r_regionkey = n_regionkey")
+@query("""SELECT n_nationkey, n_nationkey || '. nation:' || n_nationkey || CASE WHEN n_nationkey % 2 = 0 THEN ' ("' || n_name || '")' ELSE '' END || ' --references--> ' || CASE WHEN n_nationkey % 3 = 0 THEN '"' || r_name || '" [lit]' ELSE 'region:' || r_regionkey || ' ("' || r_name || '")' END AS line FROM nation JOIN region ON r_regionkey = n_regionkey""")
 def f31_triple_text(spark, d):
     n = read(spark, d, "nation").join(F.broadcast(read(spark, d, "region")), F.col("r_regionkey") == F.col("n_regionkey"))
-    return n.select("n_nationkey", O.triple_text("n_name", F.lit("references"), "r_name").alias("line"))
+    s, r = F.concat(F.lit("nation:"), "n_nationkey"), F.concat(F.lit("region:"), "r_regionkey")
+    literal = F.col("n_nationkey") % 3 == 0
+    label = F.when(F.col("n_nationkey") % 2 == 0, F.col("n_name")).when(F.col("n_nationkey") % 5 == 0, s)
+    return n.select("n_nationkey", O.triple_text("n_nationkey", s, F.lit("references"), F.when(literal, F.col("r_name")).otherwise(r), literal, label, "r_name").alias("line"))
+
+
+@query("""SELECT o_custkey, md5(coalesce(string_agg(CASE WHEN o_orderstatus <> 'P' THEN 'Hop ' || o_orderkey || ' (' || length(o_orderpriority) || ' triples): ' || o_orderpriority END, chr(10) ORDER BY o_orderkey), '(none yet)')) AS hops FROM orders GROUP BY 1""")
+def f31_hops_text(spark, d):
+    step = F.when(F.col("o_orderstatus") != "P", F.col("o_orderkey"))
+    hops = read(spark, d, "orders").select("o_custkey", step.alias("step"), F.length("o_orderpriority").alias("triples"), F.col("o_orderpriority").alias("inference"))
+    return O.hops_text(hops, "o_custkey").select("o_custkey", F.md5("hops").alias("hops"))

@@ -16,9 +16,9 @@ def f15_bilingual(spark, d):
     return p.select("p_partkey", O.bilingual("e", "z").alias("b")).select("p_partkey", "b.en", "b.zh")
 
 
-@query(r"SELECT doc_id, CASE WHEN regexp_matches(lower(left(text, 500)), '\b(system|platform|service|engine|gateway|portal|database|server|api|app)\b') THEN 'system' ELSE 'data' END AS class FROM documents")
+@query(r"""SELECT doc_id, CASE WHEN regexp_matches(concat_ws(' ', source, text), '(?i)(system|platform|gateway|portal|\bapi\b|\berp\b|\bcrm\b|\brms\b|engine|middleware|database|系统|平台|网关|中台|引擎)') THEN 'system' ELSE 'data' END AS class FROM documents""")
 def f16_object_class(spark, d):
-    return read(spark, d, "documents").select("doc_id", O.object_class(F.col("text")).alias("class"))
+    return read(spark, d, "documents").select("doc_id", O.object_class("source", "text").alias("class"))
 
 
 @query("SELECT n_nationkey, 'IN p_a numeric(10,2)|OUT p_' || n_nationkey || ' text|IN c int' AS args FROM nation")
@@ -28,15 +28,26 @@ def f23_routine_arguments(spark, d):
     return read(spark, d, "nation").select("n_nationkey", F.array_join(F.transform(args, lambda a: F.concat_ws(" ", a["mode"], a["name"], a["type"])), "|").alias("args"))
 
 
-@query("SELECT r_regionkey, 'AFTER' AS timing, 'INSERT,DELETE' AS events FROM region")
+TRIGGERS = [
+    ("CREATE TRIGGER t AFTER INSERT OR DELETE ON r FOR EACH ROW EXECUTE FUNCTION update_it()", "AFTER", "INSERT,DELETE"),
+    ("create trigger t instead   of insert on v for each row execute function f()", "INSTEAD OF", "INSERT"),
+    ("CREATE TRIGGER t BEFORE UPDATE OF a, b ON r", "BEFORE", "UPDATE"),
+    ("CREATE TRIGGER t AFTER TRUNCATE ON r", "AFTER", ""),
+    ("TRIGGER t DELETE OR UPDATE", "AFTER", "UPDATE,DELETE"),
+]
+
+
+@query("SELECT r_regionkey, t.timing, t.events FROM region JOIN (VALUES " + ", ".join(f"({k}, '{t}', '{e}')" for k, (_, t, e) in enumerate(TRIGGERS)) + ") AS t(k, timing, events) ON t.k = r_regionkey % 5")
 def f22_trigger_parts(spark, d):
-    timing, events = O.trigger_parts(F.concat(F.lit("CREATE TRIGGER t AFTER INSERT OR DELETE ON r"), F.col("r_regionkey").cast("string"), F.lit(" FOR EACH ROW EXECUTE FUNCTION update_it()")))
+    texts = F.array(*[F.lit(t) for t, _, _ in TRIGGERS])
+    timing, events = O.trigger_parts(F.get(texts, (F.col("r_regionkey") % 5).cast("int")))
     return read(spark, d, "region").select("r_regionkey", timing.alias("timing"), F.array_join(events, ",").alias("events"))
 
 
-@query("SELECT c_custkey, unnest(['A', 'B ' || c_custkey]) AS target, 'owns' AS verb FROM customer")
+@query("""SELECT c_custkey, replace(t.target, '#', CAST(c_custkey AS VARCHAR)) AS target, 'owns' AS verb FROM customer JOIN (VALUES (0, 'A'), (0, 'B #'), (1, 'A -> B'), (2, 'C #'), (2, 'D')) AS t(k, target) ON t.k = c_custkey % 5""")
 def d12_relations(spark, d):
-    s = F.concat(F.lit("owns → A, B "), F.col("c_custkey").cast("string"), F.lit(" (both)"))
+    n = F.col("c_custkey").cast("string")
+    s = F.get(F.array(F.concat(F.lit("owns → A (x), B "), n, F.lit(" (both)")), F.lit(" owns → A -> B"), F.concat(F.lit("owns -> C "), n, F.lit(", (none), D")), F.lit("owns A, B"), F.lit(" → A")), (F.col("c_custkey") % 5).cast("int"))
     return read(spark, d, "customer").select("c_custkey", F.explode(O.relation(s)).alias("r")).select("c_custkey", "r.target", "r.verb")
 
 
@@ -69,15 +80,21 @@ def a15_roles(spark, d):
     return out.select("role", F.size("actions").alias("actions"), F.size("processes").alias("processes"))
 
 
-@query("""WITH n AS (SELECT 'r' || r_regionkey AS id, r_name AS name FROM region UNION ALL SELECT 'n' || n_nationkey, n_name FROM nation), e AS (SELECT 'n' || n_nationkey AS source, 'r' || n_regionkey AS target, n_nationkey AS ord FROM nation WHERE n_nationkey % 4 <> 0),
-  l AS (SELECT source, target, ord, s.name || ' lies in ' || t.name AS line FROM e JOIN n AS s ON s.id = source JOIN n AS t ON t.id = target), b AS (SELECT source AS id, ord, line FROM l UNION ALL SELECT target, ord, line FROM l),
-  g AS (SELECT id, string_agg(line, '. ' ORDER BY ord) || '.' AS prose FROM b GROUP BY id) SELECT n.id, coalesce(prose, name || ' has no relationships.') AS prose FROM n LEFT JOIN g USING (id)""")
+@query("""WITH n AS (SELECT 'r' || r_regionkey AS id, r_name AS name, CASE WHEN r_regionkey = 2 THEN 'given' END AS prose FROM region UNION ALL SELECT 'n' || n_nationkey, n_name, ' ' FROM nation),
+  e AS (SELECT 'n' || n_nationkey AS source, 'r' || n_regionkey AS target, n_nationkey AS ord, CASE WHEN n_nationkey % 2 = 0 THEN 'n_regionkey' ELSE 'lies in' END AS via FROM nation WHERE n_nationkey % 4 <> 0 UNION ALL SELECT 'n' || n_nationkey, 'nowhere', 100, 'x' FROM nation),
+  l AS (SELECT source, target, ord, s.name || ' references ' || t.name AS line, via FROM e JOIN n AS s ON s.id = source JOIN n AS t ON t.id = target),
+  b AS (SELECT source AS id, ord, line || ' via ' || via || '.' AS line FROM l UNION ALL SELECT target, ord, line || '.' FROM l),
+  g AS (SELECT id, string_agg(line, ' ' ORDER BY ord) AS text FROM (SELECT id, line, min(ord) AS ord FROM b GROUP BY ALL) GROUP BY id)
+  SELECT n.id, coalesce(nullif(trim(prose), ''), text, name || ' has no foreign-key relationships to other tables.') AS prose FROM n LEFT JOIN g USING (id)""")
 def a22_relationship_prose(spark, d):
     r, n = read(spark, d, "region"), read(spark, d, "nation")
     rid = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
-    names = r.select(rid("r", "r_regionkey").alias("id"), F.col("r_name").alias("name")).unionByName(n.select(rid("n", "n_nationkey").alias("id"), F.col("n_name").alias("name")))
-    edges = n.where("n_nationkey % 4 <> 0").select(rid("n", "n_nationkey").alias("source"), rid("r", "n_regionkey").alias("target"), F.lit("lies in").alias("verb"), F.col("n_nationkey").alias("ord"))
-    return O.relationship_prose(edges, names)
+    given = F.when(F.col("r_regionkey") == 2, "given")
+    names = r.select(rid("r", "r_regionkey").alias("id"), F.col("r_name").alias("name"), given.alias("prose")).unionByName(n.select(rid("n", "n_nationkey").alias("id"), F.col("n_name").alias("name"), F.lit(" ").alias("prose")))
+    via = F.when(F.col("n_nationkey") % 2 == 0, "n_regionkey")
+    edges = n.where("n_nationkey % 4 <> 0").select(rid("n", "n_nationkey").alias("source"), rid("r", "n_regionkey").alias("target"), via.alias("via"), F.lit("lies in").alias("name"), F.col("n_nationkey").alias("ord"))
+    lost = n.select(rid("n", "n_nationkey").alias("source"), F.lit("nowhere").alias("target"), F.lit("x").alias("via"), F.lit("y").alias("name"), F.lit(100).alias("ord"))
+    return O.relationship_prose(edges.unionByName(lost), names)
 
 
 @query(CITED + " SELECT p_partkey AS id FROM x WHERE p_size = 3 OR score < 0.2 ORDER BY round(score, 4), p_partkey LIMIT 40")
@@ -110,13 +127,13 @@ def l7_rules_by_severity(spark, d):
     return O.by_severity(read(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("role"), F.when(k == 0, "block").when(k == 1, "warn").when(k == 2, "info").otherwise("odd").alias("severity"))).select("id", "role", "rank")
 
 
-@query("SELECT n_nationkey, CASE WHEN 12 > n_nationkey + 3 THEN 'complete' WHEN 12 >= n_nationkey THEN 'running' ELSE 'pending' END AS status FROM nation")
+@query("SELECT n_nationkey, CASE WHEN n_nationkey % 6 = 5 OR n_nationkey + 3 <= 12 THEN 'complete' WHEN n_nationkey <= 12 THEN 'running' ELSE 'pending' END AS status FROM nation")
 def k11_phase_status(spark, d):
-    return read(spark, d, "nation").select("n_nationkey", O.phase_status("n_nationkey", F.col("n_nationkey") + 3, F.lit(12)).alias("status"))
+    return read(spark, d, "nation").select("n_nationkey", O.phase_status("n_nationkey", F.col("n_nationkey") + 3, F.lit(12), F.col("n_nationkey") % 6 == 5, 29).alias("status"))
 
 
-@query("""SELECT DISTINCT o_orderpriority AS role, rule_id FROM (SELECT o_orderpriority, l_suppkey AS rule_id FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE l_linenumber = 1 AND o_orderkey % 20 = 0
-  UNION ALL SELECT o_orderpriority, p_size + 100000 FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey WHERE o_orderkey % 20 = 0)""")
+@query("""SELECT DISTINCT o_orderpriority AS role, rule_id FROM (SELECT o_orderpriority, l_suppkey AS rule_id FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE l_linenumber = 1
+  UNION ALL SELECT o_orderpriority, p_size + 100000 FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey)""")
 def j21_role_rules(spark, d):
     o = read(spark, d, "orders").select(F.col("o_orderpriority").alias("role"), F.col("o_orderkey").alias("action_id"))
     line = read(spark, d, "lineitem").select(F.col("l_orderkey").alias("action_id"), F.col("l_partkey").alias("object_id"), F.col("l_suppkey").alias("rule_id"), "l_linenumber")
@@ -163,23 +180,52 @@ def x1_joined_quotes(spark, d):
     return O.joined_quotes(refs, s).where("snippet IS NOT NULL").select("ref_id", "snippet")
 
 
-@query("SELECT 'gap:cov-r2-' || doc_id AS id, CASE WHEN lang = 'en' THEN 'major' ELSE 'minor' END AS severity FROM documents")
+@query("""SELECT 'gap:cov-r2-' || doc_id AS id, 'rule' AS layer, CASE WHEN lang = 'en' THEN 'block' ELSE 'warn' END AS severity,
+  md5('Source sentence ' || doc_id || ' is not represented: "' || text || '"' || coalesce(' — missing: ' || nullif(source, ''), '')) AS en, md5('源文第 ' || doc_id || ' 句未被本体覆盖："' || text || '"' || coalesce(' — 缺失：' || nullif(source, ''), '')) AS zh FROM documents""")
 def c4_gaps(spark, d):
-    f = read(spark, d, "documents").select(F.col("doc_id").alias("idx"), F.when(F.col("lang") == "en", "uncovered").otherwise("partial").alias("status"), "text")
-    return O.gaps(f, 2).select("id", "severity")
+    f = read(spark, d, "documents").select(F.col("doc_id").alias("idx"), F.when(F.col("lang") == "en", "uncovered").otherwise("partial").alias("status"), "text", F.col("source").alias("missing"))
+    return O.gaps(f, "rule", 2).select("id", "layer", "severity", F.md5("en").alias("en"), F.md5("zh").alias("zh"))
 
 
-@query("SELECT doc_id AS id, CASE WHEN length(l) > 240 THEN left(l, 239) || '…' ELSE l END AS line FROM (SELECT doc_id, concat_ws(' | ', lang, doc_id, source, text) AS l FROM documents)")
+@query("""WITH n AS (SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN 'object | ' || p_name || ' / ' || p_type || ' | attrs: ' || p_brand || ',' || p_type WHEN 1 THEN 'relationship | ' || p_name || ' | ' || p_brand || ' -> ' || p_type
+  WHEN 2 THEN 'rule | ' || p_brand || ' | ' || repeat(p_name || '; ', 20) WHEN 3 THEN 'action | ' || p_name || ' | ' || p_type WHEN 4 THEN 'event | ' || p_name || ' | ' || p_type ELSE 'process | ' || p_name || ' | steps: ' || p_size END AS t FROM part)
+  SELECT p_partkey AS id, CASE WHEN length(p_partkey || ' | ' || t) > 240 THEN left(p_partkey || ' | ' || t, 239) || '…' ELSE p_partkey || ' | ' || t END AS line FROM n""")
 def x12_digest(spark, d):
-    n = read(spark, d, "documents").select(F.col("lang").alias("kind"), F.col("doc_id").alias("id"), F.col("source").alias("name"), F.col("text").alias("description"))
-    return O.digest(n.withColumn("id", F.col("id").cast("string"))).select(F.col("id").cast("bigint").alias("id"), "line")
+    kinds = F.array(*map(F.lit, ("object", "relationship", "rule", "action", "event", "process")))
+    n = read(spark, d, "part").select(
+        F.col("p_partkey").cast("string").alias("id"), F.get(kinds, (F.col("p_partkey") % 6).cast("int")).alias("kind"), F.col("p_name").alias("name"), F.col("p_type").alias("name_zh"), F.array("p_brand", "p_type").alias("attributes"),
+        F.col("p_brand").alias("source"), F.col("p_type").alias("target"), F.col("p_brand").alias("title"), F.repeat(F.concat("p_name", F.lit("; ")), F.lit(20)).alias("statement"), F.col("p_type").alias("description"), F.col("p_size").alias("steps"),
+    )
+    return O.digest(n).select(F.col("id").cast("bigint").alias("id"), "line")
+
+
+#: Numbers of nodes in their kind, from 0, and the kinds' sizes and places in order.
+DRAWN = """WITH b AS (SELECT p_partkey AS id, ['object', 'rule', 'action', 'event', 'process'][CAST(CASE WHEN p_partkey = 7 THEN 4 WHEN p_partkey % 3 = 2 THEN 4 ELSE p_partkey % 3 END AS BIGINT) + 1] AS kind FROM part),
+  k AS (SELECT *, list_position(['object', 'rule', 'action', 'event', 'process'], kind) - 1 AS tier, row_number() OVER (PARTITION BY kind ORDER BY id) - 1 AS i, count(*) OVER (PARTITION BY kind) AS n FROM b),
+  s AS (SELECT *, CASE WHEN n = 1 THEN 0.5 ELSE i / (n - 1) END AS t, dense_rank() OVER (ORDER BY tier) - 1 AS nth FROM k), p AS (SELECT count(DISTINCT kind) AS kinds FROM b)"""
+
 
+def drawn(spark, d, mode):
+    k = F.when(F.col("p_partkey") == 7, 4).when(F.col("p_partkey") % 3 == 2, 4).otherwise(F.col("p_partkey") % 3)
+    n = read(spark, d, "part").select(F.col("p_partkey").alias("id"), F.get(F.array(*map(F.lit, O.KINDS)), k.cast("int")).alias("kind"), F.col("p_partkey").alias("ord"))
+    return O.layout(n, mode).select("id", (F.round("x", 3) + 0.0).alias("x"), (F.round("y", 3) + 0.0).alias("y"))
 
-@query("""WITH k AS (SELECT n_regionkey AS kind, n_nationkey AS id, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS i, count(*) OVER (PARTITION BY n_regionkey) AS n, dense_rank() OVER (ORDER BY n_regionkey) * 100.0 AS r FROM nation)
-  SELECT kind, id, round(r * cos(2 * pi() * i / n), 3) + 0.0 AS x, round(r * sin(2 * pi() * i / n), 3) + 0.0 AS y FROM k""")
+
+@query(DRAWN + """ SELECT id, round(CASE WHEN tier = 0 THEN 550 + 190 * cos(2 * pi() * t) ELSE 550 + 320 * cos(-pi() / 2 + (tier - 1) * pi() / 2 + 0.04 * pi() + 0.42 * pi() * t) END, 3) + 0.0 AS x,
+  round(CASE WHEN tier = 0 THEN 350 + 190 * sin(2 * pi() * t) ELSE 350 + 320 * sin(-pi() / 2 + (tier - 1) * pi() / 2 + 0.04 * pi() + 0.42 * pi() * t) END, 3) + 0.0 AS y FROM s""")
 def g9_radial_layout(spark, d):
-    n = read(spark, d, "nation").select(F.col("n_regionkey").alias("kind"), F.col("n_nationkey").alias("id"))
-    return O.radial_layout(n).select("kind", "id", (F.round("x", 3) + 0.0).alias("x"), (F.round("y", 3) + 0.0).alias("y"))
+    return drawn(spark, d, "radial")
+
+
+@query(DRAWN + " SELECT id, round(120 + (tier + 0.5) * 172.0, 3) + 0.0 AS x, round(90 + (i + 0.5) * (520.0 / n), 3) + 0.0 AS y FROM s")
+def g9_hierarchical_layout(spark, d):
+    return drawn(spark, d, "hierarchical")
+
+
+@query(DRAWN + """ SELECT id, round(550 + 230 * cos(-pi() / 2 + 2 * pi() * nth / kinds) + least(150, 50 + n * 8) * cos(2 * pi() * t), 3) + 0.0 AS x,
+  round(350 + 170 * sin(-pi() / 2 + 2 * pi() * nth / kinds) + least(150, 50 + n * 8) * sin(2 * pi() * t), 3) + 0.0 AS y FROM s, p""")
+def g9_clustered_layout(spark, d):
+    return drawn(spark, d, "clustered")
 
 
 @query("SELECT o_orderkey, o_custkey FROM orders WHERE (CASE o_orderkey % 3 WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 3 END) > (CASE o_custkey % 3 WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 3 END)")
@@ -192,7 +238,7 @@ def v11_forward_references(spark, d):
 @query("""SELECT event_id, event_type || 's' AS value, event_type AS fix FROM events""")
 def v15_suggestions(spark, d):
     e = read(spark, d, "events")
-    words = sorted(r[0] for r in e.select("event_type").distinct().limit(1000).collect())
+    words = sorted(r[0] for r in e.select("event_type").distinct().collect())  # a closed vocabulary
     rows = e.select("event_id", F.concat("event_type", F.lit("s")).alias("value"))
     return O.suggest(rows, words, "value").select("event_id", "value", "fix")
 
