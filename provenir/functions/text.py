@@ -42,6 +42,9 @@ def normalize_search(c) -> Column:
     return F.lower(strip(F.regexp_replace(col(c), r"(?U)\s+", " ")))
 
 
+search_form = normalize_search
+
+
 def slugify(c) -> Column:
     """F3 for text without combining marks: lower case, other characters to single hyphens, ``x`` for nothing."""
     s = F.regexp_replace(F.lower(F.coalesce(col(c), F.lit(""))), "[^a-z0-9.-]+", "-")
@@ -50,15 +53,63 @@ def slugify(c) -> Column:
     return F.when(s == "", "x").otherwise(s)
 
 
-def fold_marks():
-    """F3's decomposition (NFKD without marks), which Spark has no function for, as an Arrow UDF."""
+def fold_marks(keep: bool = False):
+    """F3's decomposition (NFKD, without marks unless ``keep``), which Spark has no function for, as an Arrow UDF."""
     @F.pandas_udf("string")
     def fold(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: None if x is None else "".join(ch for ch in unicodedata.normalize("NFKD", x.lower()) if not "\u0300" <= ch <= "\u036f"))
+        return s.map(lambda x: None if x is None else "".join(ch for ch in unicodedata.normalize("NFKD", x.lower()) if keep or not "\u0300" <= ch <= "\u036f"))
 
     return fold
 
 
+def local_slug(c) -> Column:
+    """as F3, but characters are not decomposed and runs of dots stay."""
+    s = F.regexp_replace(F.lower(F.coalesce(col(c), F.lit(""))), "[^a-z0-9.-]+", "-")
+    s = F.regexp_replace(F.regexp_replace(s, "-{2,}", "-"), r"^[-.]+|[-.]+$", "")
+    return F.when(s == "", "x").otherwise(s)
+
+
+def file_slug(c) -> Column:
+    """of a file's name without its extension, at most 64 characters. Marks that decomposition sets free become hyphens."""
+    s = fold_marks(keep=True)(F.regexp_replace(col(c), r"(?i)\.[a-z0-9]+$", ""))
+    return F.left(F.regexp_replace(F.regexp_replace(s, "[^a-z0-9]+", "-"), "^-+|-+$", ""), F.lit(64))
+
+
+def model_type(c) -> Column:
+    """published type of a word a model gave; the words are fixed values."""
+    raw = strip(F.coalesce(col(c), F.lit("")))
+    low = F.lower(raw)
+    return (
+        F.when(raw.isin(*PROPERTY_TYPES, "List<String>"), raw)
+        .when(low.rlike("^list<.+>$") | low.isin("enum", "array"), "List<String>")
+        .when(low.isin("integer", "int"), "Integer")
+        .when(low.isin("decimal", "money", "float", "number", "double"), "Float")
+        .when(low.isin("boolean", "bool"), "Boolean")
+        .when(low == "date", "Date")
+        .when(low.isin("datetime", "timestamp"), "Timestamp")
+        .otherwise("String")
+    )
+
+
+def tool_name(c) -> Column:
+    """F32: snake case of a tool's name."""
+    s = F.regexp_replace(strip(col(c)), "([a-z0-9])([A-Z])", "$1_$2")
+    return F.lower(F.regexp_replace(F.regexp_replace(s, "[^a-zA-Z0-9]+", "_"), "^_+|_+$", ""))
+
+
+def table_cell(c) -> Column:
+    """F32: a text as one cell of a Markdown table."""
+    return strip(F.regexp_replace(F.regexp_replace(col(c), "\r?\n", " "), r"\|", r"\\|"))
+
+
+def spread_hash(c) -> Column:
+    """32-bit hash of a text's characters, made positive: times 33, exclusive or."""
+    codes = F.filter(F.split(col(c), ""), lambda ch: ch != "")
+    wrapped = lambda x: F.shiftright(F.shiftleft(x, 32), 32)
+    h = F.aggregate(codes, F.lit(5381).cast("bigint"), lambda acc, ch: wrapped((acc * 33).bitwiseXOR(F.ascii(ch).cast("bigint"))))
+    return F.abs(h)
+
+
 def property_type(c) -> Column:
     """published property type of a raw SQL type."""
     raw = F.lower(F.trim(F.coalesce(col(c), F.lit(""))))

@@ -2,37 +2,70 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from provenir.functions.text import line_number, normalize_search
+from provenir.operators.matching import grams
 from provenir.operators.segment import is_boilerplate
 from provenir.sources.tables import keep
 
 #: Least overlap of token sets, and source tokens beyond which windows are not tried.
 FUZZY, MOST_TOKENS = 0.8, 4000
-#: Characters of a quotation that key the corpus-wide lookup, and quotations up to which they are broadcast.
-BROADCAST = 20_000
+#: Characters that key a quotation without inner words.
+PIECE = 6
+#: Words of a quotation that key the corpus-wide lookup at most.
+ANCHOR = 3
+
+
+def split_words(c) -> Column:
+    return F.split(c, "[^A-Za-z0-9]+")
+
+
+def runs_of(words: Column, n: int) -> Column:
+    """The runs of ``n`` words in turn."""
+    return F.transform(F.when(F.size(words) >= n, F.sequence(F.lit(0), F.size(words) - n)), lambda i: F.array_join(F.slice(words, i + 1, n), " "))
 
 
 def contains_pairs(quotes: DataFrame, docs: DataFrame, quote_key: str, doc_key: str, quote: str, text: str) -> DataFrame:
-    """Pairs where a document's text holds the quotation; both sides in the form to compare.
+    """``doc_key``, ``quote_key``, ``_t`` and ``_q`` where a document's text holds the quotation; both sides in the form to compare.
 
-    A substring condition has no equal keys. A bounded set of quotations is broadcast
-    and each document is read once; a larger one goes through its first word, which a
-    document holds among its words, so that the join is by key.
+    A quotation's inner words stand whole, and in turn, in any text that holds it. One
+    run of up to ``ANCHOR`` of them (the longest, as a guess at the rarest) is its key;
+    documents give the hashes of their runs of those lengths. Candidates are written as
+    pairs of keys, and only then do texts meet. Quotations without an inner word go by
+    the characters they have, cut into pieces.
     """
     q = quotes.select(F.col(quote_key), F.col(quote).alias("_q")).where(F.length("_q") > 0)
     d = docs.select(F.col(doc_key), F.col(text).alias("_t"))
-    if q.count() <= BROADCAST:
-        return d.join(F.broadcast(q), F.contains("_t", "_q"))
-    # Inner words of a quotation stand whole in any text that holds it; the longest is the rarest guess.
-    inner = F.expr("slice(split(_q, '[^A-Za-z0-9]+'), 2, greatest(size(split(_q, '[^A-Za-z0-9]+')) - 2, 0))")
-    keyed = q.withColumn("_w", F.array_max(F.transform(F.filter(inner, lambda w: w != ""), lambda w: F.struct(F.length(w).alias("n"), w.alias("w")))).getField("w"))
-    words = d.withColumn("_w", F.explode(F.array_distinct(F.split("_t", "[^A-Za-z0-9]+"))))
-    short = d.join(F.broadcast(keyed.where(F.col("_w").isNull()).drop("_w")), F.contains("_t", "_q"))
-    return words.join(keyed.where(F.col("_w").isNotNull()), "_w").where(F.contains("_t", "_q")).select(doc_key, "_t", quote_key, "_q").unionByName(short)
+    words = split_words("_q")
+    q = q.withColumn("_w", F.when(F.size(words) > 2, F.slice(words, 2, F.size(words) - 2)).otherwise(F.array().cast("array<string>")))
+    q = q.withColumn("_n", F.least(F.size("_w"), F.lit(ANCHOR)))
+    longest = lambda n: F.array_max(F.transform(runs_of(F.col("_w"), n), lambda r: F.struct(F.length(r).alias("n"), r.alias("r"))))["r"]
+    run = F.when(F.col("_n") == ANCHOR, longest(ANCHOR))
+    for n in range(1, ANCHOR):
+        run = run.when(F.col("_n") == n, longest(n))
+    keyed = keep(q.select(quote_key, "_n", F.length("_q").alias("_size"), F.xxhash64("_n", run).alias("_h"), "_q"), "anchors")
+    lengths = sorted(r["_n"] for r in keyed.select("_n").distinct().collect())  # 0 to ANCHOR
+    parts = [F.transform(runs_of(F.col("_d"), n), lambda r: F.xxhash64(F.lit(n), r)) for n in lengths if n]  # noqa: B023
+    found = []
+    if parts:
+        hashes = F.array_distinct(F.flatten(F.array_compact(F.array(*parts))))
+        said = d.select(doc_key, split_words("_t").alias("_d")).select(doc_key, F.explode(hashes).alias("_h"))
+        found.append(said.join(keyed.where("_n > 0").select(quote_key, "_h"), "_h").select(doc_key, quote_key))
+    if 0 in lengths:
+        short = keyed.where("_n = 0").select(quote_key, "_q", F.least("_size", F.lit(PIECE)).alias("_k"))
+        sizes = sorted(r["_k"] for r in short.select("_k").distinct().collect())  # 1 to PIECE
+        for k in sizes:
+            piece = d.select(doc_key, F.explode(grams("_t", k)).alias("_g"))
+            found.append(piece.join(short.where(F.col("_k") == k).select(quote_key, F.left("_q", F.lit(k)).alias("_g")), "_g").select(doc_key, quote_key))
+    if not found:
+        return d.join(keyed.select(quote_key, "_q"), F.lit(False)).select(doc_key, "_t", quote_key, "_q")
+    pairs = keep(reduce(DataFrame.unionByName, found).distinct(), "candidates")
+    return pairs.join(keyed.select(quote_key, "_q"), quote_key).join(d, doc_key).where(F.contains("_t", "_q")).select(doc_key, "_t", quote_key, "_q")
 
 
 def ground_exact(quotes: DataFrame, docs: DataFrame, quote_key: str = "item_id", doc_key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -116,15 +149,21 @@ def best_window(batches):
 def ground_fuzzy(quotes: DataFrame, docs: DataFrame, quote_key: str = "item_id", doc_key: str = "doc_id", text: str = "text") -> DataFrame:
     """J10 over a corpus: pairs with a window of overlap FUZZY or more; never counts as verified.
 
-    Such a window holds at least FUZZY of the quotation's distinct tokens. Pairs come
-    from an equi-join on tokens, counted per pair, so only pairs that can reach it are scanned.
+    Such a window holds at least FUZZY of the quotation's n distinct tokens, so it holds
+    one of any n - ceil(FUZZY n) + 1 of them. The longest ones, as a guess at the rarest,
+    are what documents are looked up by; texts meet only for the pairs this leaves, and
+    only those are scanned that hold enough of all tokens.
     """
-    q = quotes.select(quote_key, F.col(text).alias("_q"), F.array_distinct(F.split(normalize_search(text), " ")).alias("_a"))
-    asked = q.select(quote_key, F.size("_a").alias("_n"), F.explode("_a").alias("tok")).where("tok <> ''")
-    held = docs.select(doc_key, F.explode(F.array_distinct(F.split(normalize_search(text), " "))).alias("tok"))
-    close = held.join(asked, "tok").groupBy(doc_key, quote_key).agg(F.count("*").alias("c"), F.first("_n").alias("n")).where(F.col("c") >= FUZZY * F.col("n"))
-    pairs = close.join(q.select(quote_key, "_q"), quote_key).join(docs.select(doc_key, F.col(text).alias("_t")), doc_key).select(doc_key, quote_key, "_q", "_t")
-    return pairs.mapInArrow(best_window, f"{doc_key} bigint, {quote_key} bigint, score double, char_start int, char_end int")
+    words = lambda c: F.array_remove(F.array_distinct(F.split(normalize_search(c), " ")), "")
+    q = quotes.select(quote_key, F.col(text).alias("_q"), words(text).alias("_a")).where(F.size("_a") > 0)
+    ranked = F.array_sort("_a", lambda x, y: F.when(F.length(x) != F.length(y), F.length(y) - F.length(x)).when(x < y, -1).when(x > y, 1).otherwise(0))
+    first = F.size("_a") - F.ceil(F.lit(FUZZY) * F.size("_a") - 1e-9).cast("int") + 1
+    asked = q.select(quote_key, F.explode(F.slice(ranked, F.lit(1), first)).alias("tok"))
+    held = docs.select(doc_key, F.explode(words(text)).alias("tok"))
+    pairs = keep(held.join(asked, "tok").select(doc_key, quote_key).distinct(), "candidates")
+    both = pairs.join(q, quote_key).join(docs.select(doc_key, F.col(text).alias("_t")), doc_key)
+    close = both.where(F.size(F.array_intersect("_a", words("_t"))) >= FUZZY * F.size("_a") - 1e-9)
+    return close.select(doc_key, quote_key, "_q", "_t").mapInArrow(best_window, f"{doc_key} bigint, {quote_key} bigint, score double, char_start int, char_end int")
 
 
 def page_of(offsets: DataFrame, pages: DataFrame, doc: str) -> DataFrame:

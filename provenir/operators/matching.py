@@ -42,7 +42,7 @@ def numbered(rows: DataFrame, name: Column, order: str, out: str, mark: str) ->
     return plain.select(*cols).unionByName(mixed)
 
 
-def mint_ids(rows: DataFrame, name: str, order: str, prefix: str = "obj-") -> DataFrame:
+def mint_ids(rows: DataFrame, name: str, order: str, prefix: str = "objectType:") -> DataFrame:
     """``id``, a slug of the name; later ones of a slug get -2, -3, ... in order."""
     return numbered(rows, F.concat(F.lit(prefix), slugify(name)), order, "id", "-")
 

@@ -31,15 +31,32 @@ def object_class(*names) -> Column:
     return F.when(F.concat_ws(" ", *names).rlike(f"(?i){SYSTEM_WORDS}"), "system").otherwise("data")
 
 
+def rule_kind(formal) -> Column:
+    """kind of a rule by the signs in its formal text; the signs are fixed values."""
+    f = F.lower(F.coalesce(col(formal), F.lit("")))
+    has = lambda *signs: F.array_contains(F.array(*[F.contains(f, F.lit(s)) for s in signs]), True)
+    return F.when(has(":="), "state_transition").when(has("block", "∃"), "authorization").when(has("≤", "30d", "60d", "today"), "temporal").when(has("=") & has("σ"), "derivation").otherwise("validation")
+
+
 def rule_severity(confidence) -> Column:
     """by confidence; the thresholds are fixed values."""
     return F.when(col(confidence) >= 0.95, "block").when(col(confidence) >= 0.88, "warn").otherwise("info")
 
 
-def attribute_type(c) -> tuple[Column, Column]:
-    """kind and argument of ``Enum<a|b>``, ``Reference<X>`` or a plain word."""
-    head, arg = F.regexp_extract(col(c), r"^\s*(\w+)", 1), F.regexp_extract(col(c), r"<([^>]*)>", 1)
-    return F.lower(head), F.nullif(arg, F.lit(""))
+#: Scalar words of attribute types.
+SCALARS = {"uuid": "uuid", "string": "string", "text": "string", "integer": "integer", "int": "integer", "decimal": "decimal", "number": "decimal", "money": "money", "currency": "money", "boolean": "boolean", "bool": "boolean", "date": "date", "datetime": "datetime", "timestamp": "datetime", "json": "json", "array": "array"}
+
+
+def attribute_types(rows: DataFrame, raw: str, objects: DataFrame) -> DataFrame:
+    """``type``, ``enum_values`` and ``target`` of ``Enum<a|b>``, ``Reference<X>``, a scalar word or the name of an object; else a string."""
+    s = strip(F.coalesce(raw, F.lit("")))
+    inner = lambda word: F.nullif(F.regexp_extract(s, rf"(?is)^{word}\s*<\s*(.+?)\s*>$", 1), F.lit(""))
+    values = F.filter(F.transform(F.split(inner("enum"), r"\|"), strip), lambda v: v != "")
+    scalar = F.create_map(*[F.lit(x) for kv in SCALARS.items() for x in kv])[F.lower(s)]
+    named = rows.withColumn("_s", s).join(objects.select(F.col("name").alias("_s"), F.col("name").alias("_o")).distinct(), "_s", "left")
+    kind = F.when(inner("enum").isNotNull(), "enum").when(inner("reference").isNotNull(), "reference").otherwise(F.coalesce(scalar, F.when(F.col("_o").isNotNull(), "reference"), F.lit("string")))
+    target = F.coalesce(inner("reference"), F.when(inner("enum").isNull() & scalar.isNull(), F.col("_o")))
+    return named.withColumns({"type": kind, "enum_values": F.when(inner("enum").isNotNull(), F.when(F.size(values) > 0, values).otherwise(F.array(F.lit("value")))), "target": target}).drop("_s", "_o")
 
 
 def routine_arguments(c) -> Column:

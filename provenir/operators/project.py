@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from provenir.functions.text import first_clause, pascal_snake, upper_snake
+from provenir.functions.text import first_clause, pascal_snake, property_type, slugify, upper_snake
+from provenir.operators.matching import numbered
 
 #: Published type of each internal one.
 PUBLISHED = {"string": "String", "integer": "Integer", "decimal": "Float", "money": "Float", "boolean": "Boolean", "date": "Date", "datetime": "Timestamp", "uuid": "String", "enum": "String", "reference": "String", "json": "String", "array": "List<String>"}
 JSON_TYPES = {"String": "string", "Integer": "integer", "Float": "number", "Boolean": "boolean", "Date": "string", "Timestamp": "string"}
-#: Prefixes of ids by layer; a longer one stands before its beginning.
-LAYERS = {"rulegroup-": "rule_groups", "rule-": "rules", "obj-": "objects", "rel-": "relationships", "act-": "actions", "evt-": "events", "proc-": "processes"}
+#: Prefixes of ids by layer.
+LAYERS = {"ruleGroup:": "rule_groups", "rule:": "rules", "objectType:": "objects", "rel:": "relationships", "action:": "actions", "event:": "events", "process:": "processes"}
 
 
 def lookup(table: dict, c, default=None) -> Column:
@@ -36,6 +37,22 @@ def layer_of(c) -> Column:
     return out
 
 
+def bare_id(c) -> Column:
+    """an id without the prefix of its kind."""
+    return F.regexp_replace(F.col(c), "^[^:]*:", "")
+
+
+def coerce_id(rows: DataFrame, id_: str, order: str, prefix: str) -> DataFrame:
+    """``fixed``: the id with the layer's prefix and a slug of its body; one that another row has already gets the next free number."""
+    known = "^(" + "|".join([*LAYERS, "doc:", "ontology:", "inst:", "term:"]) + ")"
+    want = F.concat(F.lit(prefix), slugify(F.regexp_replace(F.col(id_), known, "")))
+    good = rows.withColumn("_want", want)
+    kept = good.where(F.col("_want") == F.col(id_)).withColumn("_first", F.lit(0))
+    moved = good.where(~F.col("_want").eqNullSafe(F.col(id_))).withColumn("_first", F.lit(1))
+    both = kept.unionByName(moved).withColumn("_at", F.format_string("%d %020d", "_first", F.col(order).cast("bigint")))
+    return numbered(both, F.col("_want"), "_at", "fixed", "-").drop("_want", "_first", "_at")
+
+
 def spec_objects(objects: DataFrame, properties: DataFrame) -> DataFrame:
     """Published objects, properties in order."""
     item = F.struct("ord", F.struct("name", published_type("type").alias("type"), "is_foreign_key", "references").alias("p"))
@@ -70,24 +87,38 @@ def parameter_schema(inputs: DataFrame, by: str) -> DataFrame:
 
 
 def routine_actions(routines: DataFrame) -> DataFrame:
-    """Database routines as actions; those that return a trigger are none."""
-    return routines.where(~F.lower(F.coalesce("returns", F.lit(""))).contains("trigger")).select("id", F.col("name"), "params", F.lit("function").alias("tool"), F.col("returns").alias("result"))
+    """Database routines (``params``: mode, name, type) as actions with inputs, outputs and a function tool; those that return a trigger are none."""
+    some = routines.where(~F.lower(F.coalesce("returns", F.lit(""))).contains("trigger"))
+    item = lambda p: F.struct(p["name"].alias("name"), property_type(p["type"]).alias("type"))
+    mode = lambda p: F.coalesce(p["mode"], F.lit("IN"))
+    out = F.transform(F.filter("params", lambda p: mode(p).isin("OUT", "INOUT")), item)
+    result = F.array(F.struct(F.lit("result").alias("name"), property_type("returns").alias("type")))
+    return some.select("id", "name", F.transform(F.filter("params", lambda p: mode(p) != "OUT"), item).alias("inputs"), F.when((F.col("kind") == "function") & (F.coalesce("returns", F.lit("")) != ""), F.concat(out, result)).otherwise(out).alias("outputs"), F.lit("function").alias("tool"))
 
 
 def side_effects(routines: DataFrame, tables: DataFrame) -> DataFrame:
-    """Distinct (routine, kind, table object) of the statements in routine bodies."""
-    pattern = r"(?i)\b(insert\s+into|update|delete\s+from)\s+((?:[A-Za-z_]\w*\.)?[A-Za-z_]\w*)"
-    found = routines.select("id", F.explode(F.arrays_zip(F.regexp_extract_all("body", F.lit(pattern), F.lit(1)).alias("k"), F.regexp_extract_all("body", F.lit(pattern), F.lit(2)).alias("t"))).alias("x"))
-    kind = F.lower(F.regexp_extract("x.k", r"^(\w+)", 1))
-    named = found.select("id", kind.alias("kind"), F.lower(F.element_at(F.split("x.t", r"\."), -1)).alias("_t"))
-    return named.join(tables.select(F.lower("table").alias("_t"), F.col("id").alias("object_id")), "_t").select("id", "kind", "object_id").distinct()
+    """Distinct (routine, kind, table object) of the statements in routine bodies: inserts write, updates and deletes change state.
+
+    A table is found by its name, and by its schema where the statement names one; of several the first by order.
+    """
+    name = r'([A-Za-z0-9_."`]+)'
+    all_of = lambda p: F.regexp_extract_all("body", F.lit(p), F.lit(1))
+    writes, changes = all_of(rf"(?i)\binsert\s+into\s+{name}"), F.concat(all_of(rf"(?i)\bupdate\s+{name}\s+set\b"), all_of(rf"(?i)\bdelete\s+from\s+{name}"))
+    rows = routines.select("id", F.explode(F.concat(F.transform(writes, lambda t: F.struct(F.lit("db_write").alias("kind"), t.alias("t"))), F.transform(changes, lambda t: F.struct(F.lit("state_change").alias("kind"), t.alias("t"))))).alias("x"))
+    parts = F.split(F.regexp_replace("x.t", '["`]', ""), r"\.")
+    named = rows.select("id", F.col("x.kind").alias("kind"), F.element_at(parts, -1).alias("table"), F.when(F.size(parts) >= 2, F.get(parts, F.size(parts) - 2)).alias("_schema")).distinct()
+    own = tables.select("table", F.col("schema").alias("_own"), F.col("id").alias("object_id"), "ord")
+    hits = named.join(own, "table").where(F.col("_schema").isNull() | (F.col("_schema") == "") | (F.col("_schema") == F.col("_own")))
+    return hits.groupBy("id", "kind", "table", "_schema").agg(F.min_by("object_id", "ord").alias("object_id")).select("id", "kind", "object_id").distinct()
 
 
 def trigger_events(triggers: DataFrame) -> DataFrame:
-    """One event for each table and operation of a trigger, named in the past tense."""
-    past = {"insert": "created", "update": "updated", "delete": "deleted"}
-    ops = triggers.select("table", F.explode(F.array_distinct(F.transform(F.regexp_extract_all(F.lower("definition"), F.lit(r"\b(insert|update|delete)\b(?=.*\bon\b)"), F.lit(1)), lambda x: x))).alias("op"))
-    return ops.distinct().select(F.concat(F.lit("evt-"), F.col("table"), F.lit("-"), lookup(past, "op", "changed")).alias("id"), "table", "op")
+    """One event for each table and operation of its triggers, named in the past tense, with the mutation it tells."""
+    from provenir.operators.model import trigger_parts
+
+    past = {"INSERT": "INSERTED", "UPDATE": "UPDATED", "DELETE": "DELETED"}
+    ops = triggers.select("table", F.explode(trigger_parts("definition")[1]).alias("op")).distinct()
+    return ops.select(F.concat(F.lit("event:"), slugify(F.concat("table", F.lit("."), F.lower(lookup(past, "op"))))).alias("id"), F.concat_ws("_", upper_snake("table"), lookup(past, "op")).alias("name"), "table", F.col("op").alias("mutation_type"))
 
 
 def process_steps(steps: DataFrame, actions: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from provenir.functions.text import property_type, slugify
 
 def object_id(schema, table):
     """X22."""
-    return F.concat(F.lit("obj-"), slugify(F.concat_ws("_", schema, table)))
+    return F.concat(F.lit("objectType:"), slugify(F.concat_ws("_", schema, table)))
 
 
 def objects(facts: DataFrame) -> DataFrame:

@@ -189,9 +189,21 @@ def j9_ground_normalized(spark, d):
     return J.ground_normalized(read(spark, d, "benchmark"), read(spark, d, "documents")).where("char_end > char_start").select("doc_id", "item_id")
 
 
-@query(None)
+#: Each window of as many tokens as the quotation, by its place; offsets from the lengths of tokens and of what is between them.
+FUZZY = r"""WITH d AS (SELECT doc_id, regexp_extract_all(text, '\S+') AS w, string_split_regex(text, '\S+') AS gaps FROM documents), b AS (SELECT item_id, regexp_extract_all(lower(text), '\S+') AS q FROM benchmark),
+  c AS (SELECT doc_id, item_id, w, gaps, list_distinct(q) AS asked, len(q) AS n, list_transform(w, lambda x: lower(x)) AS l FROM d, b WHERE len(q) > 0 AND len(w) BETWEEN 1 AND 4000),
+  k AS (SELECT * FROM c WHERE len(list_intersect(asked, l)) >= 0.8 * len(asked)),
+  p AS (SELECT *, unnest(range(0, greatest(len(w) - n, 0) + 1)) AS i FROM k),
+  s AS (SELECT doc_id, item_id, w, gaps, n, i, list_distinct(l[i + 1 : i + n]) AS held, asked FROM p),
+  r AS (SELECT *, len(list_intersect(held, asked)) / (len(held) + len(asked) - len(list_intersect(held, asked))) AS score FROM s),
+  m AS (SELECT * FROM r WHERE score >= 0.8 QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY score DESC, i) = 1),
+  z AS (SELECT *, CAST(list_sum(list_transform(gaps[1 : i + 1], lambda x: length(x))) + coalesce(list_sum(list_transform(w[1 : i], lambda x: length(x))), 0) AS INTEGER) AS char_start FROM m)
+  SELECT doc_id, item_id, round(score, 9) AS score, char_start, CAST(char_start + list_sum(list_transform(w[i + 1 : i + n], lambda x: length(x))) + coalesce(list_sum(list_transform(gaps[i + 2 : i + least(n, len(w))], lambda x: length(x))), 0) AS INTEGER) AS char_end FROM z"""
+
+
+@query(FUZZY)
 def j10_ground_fuzzy(spark, d):
-    return J.ground_fuzzy(read(spark, d, "benchmark"), read(spark, d, "documents"))
+    return J.ground_fuzzy(read(spark, d, "benchmark"), read(spark, d, "documents")).withColumn("score", F.round("score", 9))
 
 
 @query(f"""WITH e AS ({EXACT}), p AS (SELECT doc_id, unnest(range(0, CAST(ceil(length(text) / 2000.0) AS BIGINT))) AS k FROM documents)
@@ -363,7 +375,7 @@ def v10_inverse_mismatch(spark, d):
 SLUG = r"regexp_replace(regexp_replace(lower(p_name), '[^a-z0-9.-]+', '-', 'g'), '^[-.]+|[-.]+$', '', 'g')"
 
 
-@query(f"SELECT p_partkey, CASE WHEN k = 1 THEN b ELSE b || '-' || k END AS id FROM (SELECT p_partkey, b, row_number() OVER (PARTITION BY b ORDER BY p_partkey) AS k FROM (SELECT p_partkey, 'obj-' || {SLUG.replace('p_name', 'p_brand')} AS b FROM part))")
+@query(f"SELECT p_partkey, CASE WHEN k = 1 THEN b ELSE b || '-' || k END AS id FROM (SELECT p_partkey, b, row_number() OVER (PARTITION BY b ORDER BY p_partkey) AS k FROM (SELECT p_partkey, 'objectType:' || {SLUG.replace('p_name', 'p_brand')} AS b FROM part))")
 def k1_mint_ids(spark, d):
     parts = read(spark, d, "part").select("p_partkey", F.regexp_replace("p_brand", r"-?\d+$", "").alias("brand_stem"), "p_brand")
     return M.mint_ids(parts.select("p_partkey", "p_brand"), "p_brand", "p_partkey").select("p_partkey", "id")

@@ -36,7 +36,7 @@ def d6_check_enums(spark, d):
     return facts(spark, d).where("kind = 'column' AND enum_values IS NOT NULL").select(F.col("table").alias("table_name"), "name", F.array_join("enum_values", "|").alias("enum_values"))
 
 
-@query("""SELECT * FROM (VALUES ('obj-public-nation', 'obj-public-region', 'many_to_one'), ('obj-public-customer', 'obj-public-nation', 'many_to_one'), ('obj-public-profile', 'obj-public-customer', 'one_to_one')) AS v(source, target, cardinality)""")
+@query("""SELECT * FROM (VALUES ('objectType:public-nation', 'objectType:public-region', 'many_to_one'), ('objectType:public-customer', 'objectType:public-nation', 'many_to_one'), ('objectType:public-profile', 'objectType:public-customer', 'one_to_one')) AS v(source, target, cardinality)""")
 def a21_fk_cardinality(spark, d):
     out = schema_seed.relationships(facts(spark, d)).select("source", "target", "cardinality")
     return out.select(*[F.replace(c, F.lit("_"), F.lit("-")).alias(c) if c != "cardinality" else F.col(c) for c in out.columns])

@@ -115,7 +115,7 @@ def test_mint_ids_with_natural_suffixes(spark):
     got = [r["id"] for r in matching.mint_ids(df, "n", "k").orderBy("k").collect()]
     taken, want = set(), []
     for n in names:
-        base = f"obj-{n.lower()}"
+        base = f"objectType:{n.lower()}"
         c, k = base, 2
         while c in taken:
             c, k = f"{base}-{k}", k + 1
