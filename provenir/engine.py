@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from provenir.operators import graph, grounding, integrity, matching, project, schema_seed, segment
+from provenir.operators import graph, grounding, integrity, matching, project, schema_seed, segment, stages
 from provenir.sources import ddl, documents, store, tables
 
 
@@ -36,6 +36,10 @@ class Engine:
         """The model of a schema, without a language model."""
         return {"objects": schema_seed.objects(facts), "properties": schema_seed.properties(facts), "relationships": schema_seed.relationships(facts), "rules": schema_seed.rules(facts), "evidence": schema_seed.textualize(facts)}
 
+    def staged(self, run_id: str, steps: dict) -> stages.Run:
+        """A run of named stages that goes on where it stopped."""
+        return stages.Run(self.spark, self.store.folder, run_id, steps)
+
     def sentences(self, docs: DataFrame) -> DataFrame:
         return segment.sentences(docs)
 

@@ -101,17 +101,16 @@ def same_set(a, b):
     return F.array_sort(F.array_distinct(a)).eqNullSafe(F.array_sort(F.array_distinct(b)))
 
 
-def inverse(pairs: DataFrame, left: str, right: str, name: str) -> DataFrame:
-    """For each ``right`` the ordered distinct ``left`` values that name it."""
-    return pairs.where(F.col(right).isNotNull()).groupBy(right).agg(F.array_sort(F.collect_set(left)).alias(name))
+def inverse(pairs: DataFrame, left: str, right: str) -> DataFrame:
+    """The distinct pairs of ``right`` and the ``left`` that names it. Pairs, not a list for each: very many may name one."""
+    return pairs.where(F.col(right).isNotNull() & F.col(left).isNotNull()).select(right, left).distinct()
 
 
 def inverse_mismatch(declared: DataFrame, derived: DataFrame, key: str, column: str) -> DataFrame:
-    """Keys whose declared inverse is not the derived one."""
-    d = derived.select(F.col(key), F.col(column).alias("_d"))
-    empty = F.array().cast(declared.schema[column].dataType)
-    both = declared.join(d, key, "full")
-    return both.where(~same_set(F.coalesce(column, empty), F.coalesce("_d", empty))).select(*issue("warn", "inverse_mismatch", "event", F.col(key), column, F.lit(None)))
+    """Keys whose declared pairs are not the derived ones."""
+    sides = declared.select(key, column, F.lit(1).alias("_a"), F.lit(0).alias("_b")).unionByName(derived.select(key, column, F.lit(0).alias("_a"), F.lit(1).alias("_b")))
+    odd = sides.groupBy(key, column).agg(F.max("_a").alias("_a"), F.max("_b").alias("_b")).where("_a <> _b").select(key).distinct()
+    return odd.select(*issue("warn", "inverse_mismatch", "event", F.col(key), column, F.lit(None)))
 
 
 def rollup(issues: DataFrame) -> DataFrame:

@@ -135,8 +135,10 @@ def merge_witnesses(rows: DataFrame, owner: str) -> DataFrame:
 
 
 def roles(actions: DataFrame, processes: DataFrame) -> DataFrame:
-    """Each role's actions and the processes that use them."""
-    return actions.join(processes, "action_id", "left").where(F.trim("role") != "").groupBy("role").agg(F.array_sort(F.collect_set("action_id")).alias("actions"), F.array_sort(F.collect_set("process_id")).alias("processes"))
+    """(``role``, ``kind``, ``id``): each role's actions and the processes that use them, each once."""
+    own = actions.where(F.trim("role") != "")
+    used = own.join(processes, "action_id").select("role", F.lit("process").alias("kind"), F.col("process_id").cast("string").alias("id"))
+    return own.select("role", F.lit("action").alias("kind"), F.col("action_id").cast("string").alias("id")).unionByName(used).distinct()
 
 
 def relationship_prose(edges: DataFrame, names: DataFrame) -> DataFrame:

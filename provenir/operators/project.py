@@ -69,12 +69,24 @@ def spec_events(events: DataFrame) -> DataFrame:
     return events.select(upper_snake("name").alias("name"), F.coalesce("description", F.lit("")).alias("description"))
 
 
-def layer_file(layer: DataFrame, name: str, project: str, version: int) -> DataFrame:
-    """(path, content) of one layer's document, wrapped with its metadata."""
-    rows = layer.select(F.to_json(F.struct(*layer.columns)).alias("j"))
-    body = rows.agg(F.array_join(F.array_sort(F.collect_list("j")), ",").alias("b"))
+def layer_file(layer: DataFrame, name: str, project: str, version: int, order: str | None = None) -> DataFrame:
+    """(``path``, ``part``, ``ord``, ``line``): the lines of one layer's document, wrapped with its metadata.
+
+    A line is a row, so a layer of any size stays spread; ``write_layer`` puts them in order.
+    """
     meta = F.to_json(F.struct(F.lit(project).alias("project_name"), F.lit(name).alias("document_type"), F.lit(version).alias("version")))
-    return body.select(F.lit(f"{name}.json").alias("path"), F.concat(F.lit('{"metadata":'), meta, F.lit(f',"{name}":['), F.coalesce("b", F.lit("")), F.lit("]}")).alias("content"))
+    row = lambda part, line: layer.sparkSession.range(1).select(F.lit(f"{name}.json").alias("path"), F.lit(part).alias("part"), F.lit("").alias("ord"), line.alias("line"))
+    at = F.col(order).cast("string") if order else F.to_json(F.struct(*layer.columns))
+    items = layer.select(F.lit(f"{name}.json").alias("path"), F.lit(1).alias("part"), at.alias("ord"), F.to_json(F.struct(*layer.columns)).alias("line"))
+    return row(0, F.concat(F.lit('{"metadata":'), meta, F.lit(f',"{name}":['))).unionByName(items).unionByName(row(2, F.lit("]}")))
+
+
+def write_layer(lines: DataFrame, folder: str) -> None:
+    """Text files that, put together in order of their names, are the document: a comma stands before each item but the first. Equal items are one."""
+    lines = lines.dropDuplicates(["part", "ord", "line"])
+    first = lines.where("part = 1").agg(F.min(F.struct("ord", "line")).alias("f")).select("f.*").first()
+    comma = F.when((F.col("part") == 1) & ~((F.col("ord") == F.lit(first["ord"])) & (F.col("line") == F.lit(first["line"]))), ",").otherwise("") if first["ord"] is not None else F.lit("")
+    lines.repartitionByRange("part", "ord", "line").sortWithinPartitions("part", "ord", "line").select(F.concat(comma, "line").alias("value")).write.mode("overwrite").text(folder)
 
 
 def parameter_schema(inputs: DataFrame, by: str) -> DataFrame:

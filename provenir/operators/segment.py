@@ -88,9 +88,12 @@ def clause_split(c) -> Column:
 def number_globally(rows: DataFrame, doc: str, pos: str, name: str = "idx") -> DataFrame:
     """K2: 1-based numbers over all documents in order of (doc, pos), by per-document counts and prefix sums.
 
-    No window spans all rows: counts per document are added up in blocks of documents.
+    No window spans all rows: counts per document are added up in blocks of documents, and
+    blocks are as wide as it takes for there to be some ten thousand of them.
     """
-    counts = rows.groupBy(doc).agg(F.count("*").alias("_n")).withColumn("_block", F.floor(F.col(doc) / 4096))
+    ends = rows.agg(F.min(doc).alias("a"), F.max(doc).alias("b")).first()
+    width = max(4096, ((ends["b"] or 0) - (ends["a"] or 0)) // 16_384)
+    counts = rows.groupBy(doc).agg(F.count("*").alias("_n")).withColumn("_block", F.floor(F.col(doc) / width))
     blocks = counts.groupBy("_block").agg(F.sum("_n").alias("_b"))
     before = blocks.withColumn("_base", F.coalesce(F.sum("_b").over(Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_b")
     inner = Window.partitionBy("_block").orderBy(doc).rowsBetween(Window.unboundedPreceding, -1)
@@ -130,8 +133,8 @@ def aligned_chunks(target: int = 6000, overlap: int = 600):
 
 
 def batches(rows: DataFrame, size: int, *order: str, by: str | None = None) -> DataFrame:
-    """K7: number of the batch of ``size`` rows, in order, in each group of ``by``."""
-    w = Window.partitionBy(by).orderBy(*order) if by else Window.orderBy(*order)
+    """K7: number of the batch of ``size`` rows, in order, in each group of ``by``; without groups, of the one batch run that all rows make."""
+    w = Window.partitionBy(by if by else F.lit(0)).orderBy(*order)
     return rows.withColumn("batch", F.floor((F.row_number().over(w) - 1) / size).cast("long"))
 
 

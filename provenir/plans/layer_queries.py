@@ -109,7 +109,7 @@ def u7_taken_ids(spark, d):
 
 @query("""SELECT n_nationkey, n_nationkey || '. nation:' || n_nationkey || CASE WHEN n_nationkey % 2 = 0 THEN ' ("' || n_name || '")' ELSE '' END || ' --references--> ' || CASE WHEN n_nationkey % 3 = 0 THEN '"' || r_name || '" [lit]' ELSE 'region:' || r_regionkey || ' ("' || r_name || '")' END AS line FROM nation JOIN region ON r_regionkey = n_regionkey""")
 def f31_triple_text(spark, d):
-    n = read(spark, d, "nation").join(F.broadcast(read(spark, d, "region")), F.col("r_regionkey") == F.col("n_regionkey"))
+    n = read(spark, d, "nation").join(read(spark, d, "region"), F.col("r_regionkey") == F.col("n_regionkey"))
     s, r = F.concat(F.lit("nation:"), "n_nationkey"), F.concat(F.lit("region:"), "r_regionkey")
     literal = F.col("n_nationkey") % 3 == 0
     label = F.when(F.col("n_nationkey") % 2 == 0, F.col("n_name")).when(F.col("n_nationkey") % 5 == 0, s)

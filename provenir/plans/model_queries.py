@@ -73,11 +73,10 @@ def a11_merge_witnesses(spark, d):
     return O.merge_witnesses(rows, "l_partkey")
 
 
-@query("""SELECT c_mktsegment AS role, CAST(count(DISTINCT c_custkey) AS INTEGER) AS actions, CAST(count(DISTINCT o_orderpriority) AS INTEGER) AS processes FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1""")
+@query("""SELECT c_mktsegment AS role, 'action' AS kind, CAST(c_custkey AS VARCHAR) AS id FROM customer UNION ALL SELECT DISTINCT c_mktsegment, 'process', o_orderpriority FROM customer JOIN orders ON o_custkey = c_custkey""")
 def a15_roles(spark, d):
     actions = read(spark, d, "customer").select(F.col("c_custkey").alias("action_id"), F.col("c_mktsegment").alias("role"))
-    out = O.roles(actions, read(spark, d, "orders").select(F.col("o_custkey").alias("action_id"), F.col("o_orderpriority").alias("process_id")))
-    return out.select("role", F.size("actions").alias("actions"), F.size("processes").alias("processes"))
+    return O.roles(actions, read(spark, d, "orders").select(F.col("o_custkey").alias("action_id"), F.col("o_orderpriority").alias("process_id")))
 
 
 @query("""WITH n AS (SELECT 'r' || r_regionkey AS id, r_name AS name, CASE WHEN r_regionkey = 2 THEN 'given' END AS prose FROM region UNION ALL SELECT 'n' || n_nationkey, n_name, ' ' FROM nation),

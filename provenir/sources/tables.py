@@ -29,16 +29,33 @@ def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; a temporary one only where that is unset."""
+    """The shared folder of ``spark.checkpoint.dir``; a temporary one only where that is unset and all runs on this machine."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = tempfile.mkdtemp(prefix="provenir-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
 
 
+_folders: dict[tuple, str] = {}
+
+
+def own_folder(spark: SparkSession) -> str:
+    """This application's folder in the shared one; it goes when the application ends."""
+    key = (spark.sparkContext.applicationId, scratch(spark))
+    if key not in _folders:
+        _folders[key] = f"{key[1]}/provenir/{key[0]}-{uuid.uuid4().hex}"
+        path = spark._jvm.org.apache.hadoop.fs.Path(_folders[key])
+        files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+    return _folders[key]
+
+
 def keep(df: DataFrame, name: str) -> DataFrame:
-    """Write a table and read it back: a short plan for what follows, on storage that outlives executors."""
-    path = f"{scratch(df.sparkSession)}/provenir/{uuid.uuid4().hex}/{name}"
+    """Write a table and read it back: a short plan for what follows, on storage that outlives executors, and the very same rows for all later passes."""
+    path = f"{own_folder(df.sparkSession)}/{uuid.uuid4().hex}/{name}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -134,14 +134,10 @@ def test_grounding_tiers(spark):
     assert got[3]["tier"] == "fuzzy" and not got[3]["verified"] and 4 not in got
 
 
-def test_contains_beyond_broadcast(spark):
+def test_contains_pairs(spark):
     docs = spark.createDataFrame([(1, "alpha beta gamma delta"), (2, "gamma")], "d bigint, t string")
     quotes = spark.createDataFrame([(1, "pha beta gam"), (2, "gamma"), (3, "zzz")], "q bigint, t string")
-    was, grounding.BROADCAST = grounding.BROADCAST, 0
-    try:
-        got = {(r["d"], r["q"]) for r in grounding.contains_pairs(quotes, docs, "q", "d", "t", "t").collect()}
-    finally:
-        grounding.BROADCAST = was
+    got = {(r["d"], r["q"]) for r in grounding.contains_pairs(quotes, docs, "q", "d", "t", "t").collect()}
     assert got == {(1, 1), (1, 2), (2, 2)}
 
 
@@ -284,19 +280,21 @@ def test_prompts_degrade(spark):
     assert [r["kind"] for r in enrich.rules_stub(docs).orderBy("idx").collect()] == ["obligation", "prohibition"]
 
 
-def test_projections(spark):
-    ids = spark.createDataFrame([("rulegroup-a",), ("rule-a",), ("evt-x",), ("zzz",)], "id string")
+def test_projections(spark, tmp_path):
+    ids = spark.createDataFrame([("ruleGroup:a",), ("rule:a",), ("event:x",), ("zzz",)], "id string")
     assert [r[0] for r in ids.select(project.layer_of("id")).collect()] == ["rule_groups", "rules", "events", None]
     inputs = spark.createDataFrame([("act", "n", "Integer", True, False, "d"), ("act", "m", "String", False, True, None)], "a string, name string, type string, required boolean, many boolean, description string")
     row = project.parameter_schema(inputs, "a").first()
     assert row["required"] == ["n"] and row["properties"]["m"]["type"] == "array"
     r = spark.createDataFrame([("r1", "INSERT INTO shop.a VALUES (1); update b set x = 1; DELETE FROM a")], "id string, body string")
-    t = spark.createDataFrame([("a", "obj-a"), ("b", "obj-b")], "table string, id string")
-    assert {tuple(x)[1:] for x in project.side_effects(r, t).collect()} == {("insert", "obj-a"), ("update", "obj-b"), ("delete", "obj-a")}
+    t = spark.createDataFrame([("shop", "a", "obj-a", 2), ("old", "a", "obj-o", 1), ("shop", "b", "obj-b", 3)], "schema string, table string, id string, ord int")
+    assert {tuple(x)[1:] for x in project.side_effects(r, t).collect()} == {("db_write", "obj-a"), ("state_change", "obj-b"), ("state_change", "obj-o")}
     rules = spark.createDataFrame([("r", " ", "Pay first. Then ship"), ("q", "Title", "x")], "id string, title string, statement string")
     assert [x[1] for x in project.spec_rules(rules).collect()] == ["Pay first", "Title"]
-    content = json.loads(project.layer_file(rules, "rules", "p", 2).first()["content"])
-    assert content["metadata"]["version"] == 2 and len(content["rules"]) == 2
+    folder = tmp_path / "rules"
+    project.write_layer(project.layer_file(rules, "rules", "p", 2, "id"), str(folder))
+    content = json.loads("".join(p.read_text() for p in sorted(folder.glob("part-*"))))
+    assert content["metadata"]["version"] == 2 and [r["id"] for r in content["rules"]] == ["q", "r"]
 
 
 def test_hops_and_paths(spark):

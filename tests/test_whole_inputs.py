@@ -16,11 +16,11 @@ def test_no_id_subsets(spark, tmp_path):
     for name, (rows, schema) in tables.items():
         spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
     d = str(tmp_path)
-    assert {tuple(r) for r in catalogue.j6_event_inverse(spark, d).select("event_type", "users").collect()} == {("a", "7,10"), ("b", "7")}
+    assert {tuple(r) for r in catalogue.j6_event_inverse(spark, d).select("event_type", "user_id").collect()} == {("a", 7), ("a", 10), ("b", 7)}
     assert {tuple(r) for r in layer_queries.v14_layer_issues(spark, d).select("event_id", "kind").collect()} == {(5501, "syntax"), (5511, "duplicate_id")}
     assert {tuple(r) for r in model_queries.j21_role_rules(spark, d).select("role", "rule_id").collect()} == {("R", 8), ("R", 100003), ("S", 9), ("S", 100003)}
 
 
 def test_object_class_sees_the_whole_text(spark, tmp_path):
-    spark.createDataFrame([(1, "plain words " * 60 + "a database"), (2, "plain words " * 60)], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    assert {tuple(r) for r in model_queries.f16_object_class(spark, str(tmp_path)).collect()} == {(1, "system"), (2, "data")}
+    spark.createDataFrame([(1, "s", "plain words " * 60 + "a database"), (2, "s", "plain words " * 60), (3, "crm", "x"), (4, "scrm", None)], "doc_id bigint, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert {tuple(r) for r in model_queries.f16_object_class(spark, str(tmp_path)).collect()} == {(1, "system"), (2, "data"), (3, "system"), (4, "data")}
