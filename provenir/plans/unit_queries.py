@@ -8,6 +8,7 @@ import zipfile
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 from provenir.engine import Engine
 from provenir.functions import text as T
@@ -38,7 +39,7 @@ def s2_parse_documents(spark, d):
     return documents.parse(raw).select("name", "format", "ref", "content_hash")
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(BinaryType())
 def packaged(texts: pd.Series) -> pd.Series:
     """A word-processor package of a text's lines."""
 
