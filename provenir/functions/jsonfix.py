@@ -109,3 +109,50 @@ def lint_udf():
         return pd.DataFrame([g or (None, None, None, None) for g in got], columns=["pos", "line", "col", "message"]).astype({"pos": "Int32", "line": "Int32", "col": "Int32"})
 
     return f
+
+
+def checked_udf():
+    """The repaired text, whether it parses, and what is wrong if not."""
+    @F.pandas_udf("text string, ok boolean, error string")
+    def f(s: pd.Series) -> pd.DataFrame:
+        fixed = s.map(repair)
+        wrong = [None if y is not None else "no text" if x is None else (locate_error(x) or (0, 0, 0, "Invalid JSON"))[3] for x, y in zip(s, fixed)]
+        return pd.DataFrame({"text": fixed, "ok": fixed.notna(), "error": wrong})
+
+    return f
+
+
+#: A literal of either quote, up to the text's end if it stays open.
+LITERAL = re.compile(r"""(["'])(?:\\.|(?!\1)[^\\])*(?:\1|\\?\Z)""", re.S)
+
+
+def mask_udf():
+    """Begins and ends of the string literals in a text."""
+    @F.pandas_udf("array<array<int>>")
+    def f(s: pd.Series) -> pd.Series:
+        return s.map(lambda x: None if x is None else [[m.start(), m.end()] for m in LITERAL.finditer(x)])
+
+    return f
+
+
+def set_path(target, path: list, value):
+    """a copy of ``target`` with ``value`` at a path of keys and numbers; what is missing on the way is made."""
+    if not path:
+        return value
+    head, *rest = path
+    if isinstance(head, int):
+        out = list(target) if isinstance(target, list) else []
+        out += [None] * (head + 1 - len(out))
+    else:
+        out = dict(target) if isinstance(target, dict) else {}
+    out[head] = set_path(out[head] if isinstance(head, int) else out.get(head), rest, value)
+    return out
+
+
+def patch_udf():
+    """JSON text, JSON path (an array) and JSON value to the patched text."""
+    @F.pandas_udf("string")
+    def f(text: pd.Series, path: pd.Series, value: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None else json.dumps(set_path(json.loads(t), json.loads(p), json.loads(v)), ensure_ascii=False) for t, p, v in zip(text, path, value)])
+
+    return f

@@ -5,6 +5,7 @@ Results of the stand-in are marked ``stub`` and never pass for a model's.
 
 from __future__ import annotations
 
+import re
 import time
 from typing import Protocol
 
@@ -48,6 +49,22 @@ def call(client: Client, prompt: str, wait: float = 2.0) -> tuple[str | None, st
     return None, None
 
 
+def call_json(client: Client, prompt: str, wait: float = 2.0) -> str | None:
+    """A reply that is a JSON object or list, after one more try that asks for nothing else."""
+    from provenir.functions.jsonfix import parses
+
+    said, _ = call(client, prompt, wait)
+    for k in range(2):
+        if said is None:
+            return None
+        found = re.search(r"\{.*\}|\[.*\]", said, re.S)
+        if found and parses(found[0]):
+            return found[0]
+        if not k:
+            said, _ = call(client, f"{prompt}\n\n{said}\n\nYour previous reply was not parseable as JSON. Output ONLY the JSON object now — no prose, no code fences.", wait)
+    return None
+
+
 def run_prompts(prompts: DataFrame, client: Client, in_flight: int = 3, wait: float = 2.0) -> DataFrame:
     """(id, prompt) to (id, reply, error, source), ``in_flight`` tasks at a time."""
 

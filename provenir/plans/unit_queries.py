@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
 from provenir.engine import Engine
+from provenir.functions import jsonfix
 from provenir.functions import text as T
 from provenir.operators import enrich, schema_seed
 from provenir.operators import graph as G
@@ -20,6 +21,7 @@ from provenir.operators import layers as L
 from provenir.operators import matching as M
 from provenir.operators import model as O
 from provenir.operators import project as P
+from provenir.operators import published as B
 from provenir.operators import segment as D
 from provenir.plans.catalogue import EXACT, PARTS, TRIPLES, query, read, star_triples
 from provenir.plans.stage_queries import pick, values
@@ -404,3 +406,162 @@ def t3_versions(spark, d):
 def m2_obliging_sentences(spark, d):
     text = F.concat(F.lit("Customer "), "c_custkey", F.lit(" must pay. Mustard is no word of that kind. It may not wait."))
     return enrich.rules_stub(read(spark, d, "customer").select(F.col("c_custkey").alias("doc_id"), text.alias("text"))).select("document_id", "idx", "kind", "text")
+
+
+# Briefs, view graph, published actions ---------------------------------------------------------------------------
+
+@query("""WITH p AS (SELECT *, row_number() OVER (PARTITION BY lower(p_type) ORDER BY p_partkey) AS k FROM part), m AS (SELECT lower(p_type) AS key, min(p_partkey) AS first FROM part GROUP BY 1)
+  SELECT DISTINCT o_orderkey % 50 AS owner, 'persona-' || regexp_replace(key, '[^a-z0-9.-]+', '-', 'g') AS id FROM orders JOIN part ON p_partkey = o_custkey % 40 + 1 JOIN m ON key = lower(p_type) WHERE o_orderkey % 3 < 2""")
+def j16_merge_brief(spark, d):
+    p = read(spark, d, "part")
+    said = p.select(F.col("p_partkey").alias("ord"), text_key("raw", "p_partkey").alias("raw_id"), F.lit("object").alias("kind"), F.when(F.col("p_partkey") % 2 == 0, F.upper("p_type")).otherwise(F.concat(F.lit(" "), "p_type")).alias("name"))
+    kept, meant = B.merge_entries(said, "persona")
+    o = read(spark, d, "orders").withColumn("p_partkey", F.col("o_custkey") % 40 + 1).join(p.select("p_partkey", "p_type"), "p_partkey")
+    k = F.col("o_orderkey") % 3
+    refs = o.select((F.col("o_orderkey") % 50).alias("owner"), F.col("o_orderkey").alias("ord"), F.when(k == 0, text_key("raw", "p_partkey")).when(k == 1, F.upper("p_type")).otherwise("nobody").alias("ref"))
+    return B.remap_refs(refs, kept, meant).select("owner", "id")
+
+
+@query("""WITH e AS (SELECT 'object:' || p_partkey AS a, 'object:' || p_size AS b, 'rel' AS kind FROM part UNION ALL SELECT 'rule:' || l_suppkey, 'object:' || l_partkey, 'rule' FROM lineitem)
+  SELECT kind, count(*) AS n FROM e WHERE a <> b AND a IN (SELECT 'object:' || p_partkey FROM part WHERE p_partkey % 5 <> 0 UNION ALL SELECT 'rule:' || s_suppkey FROM supplier) AND b IN (SELECT 'object:' || p_partkey FROM part WHERE p_partkey % 5 <> 0) GROUP BY 1""")
+def g8_view_edges(spark, d):
+    p, line = read(spark, d, "part"), read(spark, d, "lineitem")
+    nodes = p.where("p_partkey % 5 <> 0").select(F.lit("object").alias("kind"), F.col("p_partkey").cast("string").alias("id"), F.col("p_name").alias("label"), F.col("p_size").alias("degree"))
+    nodes = nodes.unionByName(read(spark, d, "supplier").select(F.lit("rule").alias("kind"), F.col("s_suppkey").cast("string").alias("id"), F.lit("").alias("label"), F.lit(0).alias("degree")))
+    link = lambda df, sk, s, tk, t: df.select(F.lit(sk).alias("source_kind"), F.col(s).cast("string").alias("source"), F.lit(tk).alias("target_kind"), F.col(t).cast("string").alias("target"))
+    _, edges = B.view_graph(nodes, {"rel": link(p, "object", "p_partkey", "object", "p_size"), "rule": link(line, "rule", "l_suppkey", "object", "l_partkey")})
+    return edges.groupBy("kind").agg(F.count("*").alias("n"))
+
+
+@query("SELECT 'object:' || p_partkey AS id, p_name AS label, p_size + 1 AS weight FROM part UNION ALL SELECT 'rule:rule:' || s_suppkey, 'R' || s_suppkey, 2 FROM supplier UNION ALL SELECT 'process:' || n_nationkey, n_name, 3 FROM nation")
+def g8_view_nodes(spark, d):
+    rows = lambda df, kind, i, label, n: df.select(F.lit(kind).alias("kind"), i.alias("id"), label.alias("label"), n.alias("degree"))
+    nodes = rows(read(spark, d, "part"), "object", F.col("p_partkey").cast("string"), F.col("p_name"), F.col("p_size"))
+    nodes = nodes.unionByName(rows(read(spark, d, "supplier"), "rule", text_key("rule:", "s_suppkey"), F.lit(""), F.lit(0))).unionByName(rows(read(spark, d, "nation"), "process", F.col("n_nationkey").cast("string"), F.col("n_name"), F.lit(0)))
+    none = nodes.limit(0).select(F.col("kind").alias("source_kind"), F.col("id").alias("source"), F.col("kind").alias("target_kind"), F.col("id").alias("target"))
+    return B.view_graph(nodes, {"rel": none})[0].select("id", "label", "weight")
+
+
+@query("SELECT process_id, source, target FROM (SELECT o_custkey AS process_id, o_orderkey AS source, lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS target FROM orders) WHERE target IS NOT NULL AND target % 7 <> 0 AND source % 7 <> 0")
+def g8_step_links(spark, d):
+    from pyspark.sql import Window
+
+    o = read(spark, d, "orders").select(F.col("o_custkey").alias("process_id"), text_key("s", "o_orderkey").alias("step_id"), F.concat_ws("|", F.col("o_custkey").cast("string"), F.col("o_orderkey").cast("string")).alias("action_id"), "o_orderkey")
+    follow = o.withColumn("target_step", F.lead("step_id").over(Window.partitionBy("process_id").orderBy("o_orderkey"))).select("process_id", F.col("step_id").alias("source_step"), "target_step")
+    out = B.step_links(o.where("o_orderkey % 7 <> 0"), follow)
+    part = lambda c, k: F.split_part(c, F.lit("|"), F.lit(k)).cast("bigint")
+    return out.select(part("source", 1).alias("process_id"), part("source", 2).alias("source"), part("target", 2).alias("target"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN 'step' || p_size ELSE 'checkTheOrderLineOf' || p_partkey END AS name FROM part")
+def x6_step_names(spark, d):
+    text = F.when(F.col("p_partkey") % 2 == 1, F.concat(F.lit("Check the orderLine, of "), "p_partkey", F.lit(" and more"))).otherwise("!!")
+    return read(spark, d, "part").select("p_partkey", B.step_name(text, "p_size").alias("name"))
+
+
+@query("""WITH l AS (SELECT l_orderkey AS action_id, 0 AS part, l_linenumber AS ord, l_partkey AS k, '事件 PART_' || l_partkey || ' 已送达' AS line FROM lineitem WHERE l_linenumber < 3 UNION ALL SELECT l_orderkey, 1, l_linenumber, l_suppkey, '规则「' || s_name || '」已满足' FROM lineitem JOIN supplier ON s_suppkey = l_suppkey WHERE l_linenumber > 3 AND s_suppkey % 4 <> 0),
+  n AS (SELECT *, row_number() OVER (PARTITION BY action_id ORDER BY part, ord, line) AS i FROM l) SELECT action_id, string_agg(i || '. ' || line, chr(10) ORDER BY i) AS criteria FROM n GROUP BY 1""")
+def x6_submission_criteria(spark, d):
+    line = read(spark, d, "lineitem")
+    triggers = line.where("l_linenumber < 3").select(F.col("l_orderkey").alias("action_id"), text_key("event:part.", "l_partkey").alias("event_id"), F.col("l_linenumber").alias("ord"))
+    gates = line.where("l_linenumber > 3").select(F.col("l_orderkey").alias("action_id"), F.col("l_suppkey").alias("rule_id"), F.col("l_linenumber").alias("ord"))
+    rules = read(spark, d, "supplier").where("s_suppkey % 4 <> 0").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("title"))
+    return B.submission_criteria(triggers, gates, rules)
+
+
+@query("SELECT l_orderkey AS action_id, l_partkey AS object_id, CASE WHEN l_linenumber % 4 = 0 THEN 'CREATE' ELSE 'MODIFY' END AS change FROM lineitem WHERE l_linenumber % 4 <> 3 AND l_partkey % 7 <> 0")
+def x6_data_changes(spark, d):
+    effects = read(spark, d, "lineitem").select(F.col("l_orderkey").alias("action_id"), F.col("l_partkey").alias("object_id"), pick(["db_write", "state_change", "payment", "notification"], "l_linenumber").alias("kind"), F.lit(" x ").alias("description"))
+    return B.data_changes(effects, read(spark, d, "part").where("p_partkey % 7 <> 0").select(F.col("p_partkey").alias("id"))).select("action_id", "object_id", "change")
+
+
+@query("""WITH t AS (SELECT o_orderkey AS action_id, -1 AS ord, 'db.' || o_orderpriority AS tool FROM orders WHERE o_orderkey % 2 = 0 UNION ALL SELECT l_orderkey, l_linenumber, 'call ' || l_suppkey % 3 FROM lineitem WHERE l_linenumber % 2 = 0), u AS (SELECT action_id, tool, min(ord) AS ord FROM t GROUP BY ALL)
+  SELECT action_id, string_agg(tool, ',' ORDER BY ord, tool) AS tools FROM u GROUP BY 1""")
+def x6_tool_use(spark, d):
+    actions = read(spark, d, "orders").select(F.col("o_orderkey").alias("action_id"), F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit("db."), "o_orderpriority")).otherwise("").alias("integration"))
+    effects = read(spark, d, "lineitem").select(F.col("l_orderkey").alias("action_id"), F.col("l_linenumber").alias("ord"), pick(["external_call", "payment"], "l_linenumber").alias("kind"), F.concat(F.lit(" call "), F.col("l_suppkey") % 3).alias("description"))
+    return B.tool_use(actions, effects).select("action_id", F.array_join("tools", ",").alias("tools"))
+
+
+@query("SELECT o_orderpriority AS role, string_agg(DISTINCT 'e' || o_custkey % 30, ',' ORDER BY 'e' || o_custkey % 30) AS events FROM orders GROUP BY 1")
+def x25_reacts_to(spark, d):
+    t = read(spark, d, "orders").select(F.col("o_orderpriority").alias("role"), F.concat(F.lit("e"), F.col("o_custkey") % 30).alias("event_id"))
+    return B.reacts_to(t, "role").select("role", F.array_join("events", ",").alias("events"))
+
+
+@query("""SELECT n_nationkey, '### `' || CASE WHEN n_nationkey % 2 = 0 THEN 't' || n_nationkey ELSE n_name END || '`' || chr(10) || '**' || n_name || CASE WHEN n_nationkey % 3 = 0 THEN ' / 国' ELSE '' END || '** — execution: `function`' || CASE WHEN n_nationkey % 5 = 0 THEN ' · integration: `x`' ELSE '' END AS head FROM nation""")
+def x25_tool_headings(spark, d):
+    k = F.col("n_nationkey")
+    head = B.tool_heading(F.when(k % 2 == 0, F.concat(F.lit("t"), k)), F.col("n_name"), F.when(k % 3 == 0, "国"), F.lit(None).cast("string"), F.when(k % 5 == 0, "x").otherwise(""))
+    return read(spark, d, "nation").select("n_nationkey", head.alias("head"))
+
+
+@query("SELECT c_custkey, 'You are ' || c_name || CASE WHEN c_custkey % 2 = 0 THEN chr(10) || chr(10) || c_mktsegment ELSE '' END || CASE WHEN c_custkey % 3 = 0 THEN chr(10) || chr(10) || 'web' ELSE '' END AS prompt FROM customer")
+def x17_stage_prompts(spark, d):
+    k = F.col("c_custkey")
+    return read(spark, d, "customer").select("c_custkey", B.stage_prompt(F.concat(F.lit("You are "), "c_name"), F.when(k % 2 == 0, F.col("c_mktsegment")).otherwise(""), F.when(k % 3 == 0, "web")).alias("prompt"))
+
+
+@query("SELECT c_custkey, v.k AS ord, 'o' || v.k AS id, c_mktsegment AS description FROM customer, (VALUES (0), (1)) AS v(k) WHERE c_custkey % 3 = 0")
+def x21_enrichments(spark, d):
+    good = F.format_string('Here:\n```json\n{"enrichments": [{"id": "o0", "description": "%s"}, {"id": "o1", "description": "%s"}]}\n``` bye', "c_mktsegment", "c_mktsegment")
+    reply = F.when(F.col("c_custkey") % 3 == 0, good).when(F.col("c_custkey") % 3 == 1, "no JSON").otherwise('{"enrichments": [oops}')
+    out = B.enrichments(read(spark, d, "customer").select("c_custkey", reply.alias("reply")), "reply")
+    return out.select("c_custkey", "ord", F.col("item")["id"].alias("id"), F.col("item")["description"].alias("description"))
+
+
+@query("SELECT CAST(o_orderkey AS VARCHAR) AS id, md5('- id: ' || o_orderkey || chr(10) || '  table: ' || o_orderpriority || chr(10) || '  columns: ' || coalesce(c, '') || CASE WHEN o_orderkey % 2 = 0 THEN chr(10) || '  comment: ' || o_orderstatus ELSE '' END) AS h FROM orders LEFT JOIN (SELECT l_orderkey, string_agg('p' || l_partkey || ' (Float)', ', ' ORDER BY l_linenumber, 'p' || l_partkey || ' (Float)') AS c FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey")
+def x21_batch_lines(spark, d):
+    objects = read(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("id"), F.col("o_orderpriority").alias("name"), F.when(F.col("o_orderkey") % 2 == 0, F.col("o_orderstatus")).alias("description"))
+    props = read(spark, d, "lineitem").select(F.col("l_orderkey").cast("string").alias("object_id"), F.col("l_linenumber").alias("ord"), text_key("p", "l_partkey").alias("name"), F.lit("Float").alias("type"))
+    return B.batch_lines(objects, props).select("id", F.md5("line").alias("h"))
+
+
+@query("SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber % 2 = 0 THEN 'INSERT' ELSE 'DELETE' END AS event, CASE WHEN l_suppkey % 3 = 0 THEN 'BEFORE' ELSE 'AFTER' END AS timing FROM lineitem WHERE l_linenumber <> 3 AND l_partkey % 5 <> 0")
+def x19_catalog_triggers(spark, d):
+    rows = read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.when(F.col("l_partkey") % 5 > 0, "t").alias("name"), F.lit("tab").alias("table"), F.when(F.col("l_linenumber") == 3, "TRUNCATE").when(F.col("l_linenumber") % 2 == 0, "insert").otherwise("Delete").alias("event"), F.when(F.col("l_suppkey") % 3 == 0, "before").otherwise("odd").alias("timing"))
+    return B.shape_triggers(rows).select("l_orderkey", "l_linenumber", "event", "timing")
+
+
+@query("""WITH p AS (SELECT 'r' || l_orderkey AS name, string_agg(CASE WHEN l_linenumber % 3 = 0 THEN 'OUT' ELSE 'IN' END || ' p' || l_linenumber || ' int', ',' ORDER BY l_linenumber, CASE WHEN l_linenumber % 3 = 0 THEN 'OUT' ELSE 'IN' END) AS params FROM lineitem WHERE l_linenumber <> 2 GROUP BY 1)
+  SELECT 'r' || o_orderkey AS name, CASE WHEN o_orderkey % 2 = 0 THEN 'function' ELSE 'procedure' END AS kind, coalesce(params, '') AS params, CASE WHEN o_orderkey % 2 = 0 THEN 'int' END AS returns FROM orders LEFT JOIN p ON p.name = 'r' || o_orderkey WHERE o_orderkey % 5 <> 0""")
+def x19_catalog_routines(spark, d):
+    k, n = F.col("o_orderkey"), F.col("l_linenumber")
+    routines_ = read(spark, d, "orders").select(F.lit("s").alias("schema"), F.when(k % 5 > 0, text_key("r", "o_orderkey")).otherwise("").alias("name"), F.when(k % 2 == 0, "function").otherwise("odd").alias("kind"), F.when(k % 2 == 0, " int ").otherwise(" ").alias("returns"), F.lit(None).cast("string").alias("comment"))
+    params = read(spark, d, "lineitem").select(text_key("r", "l_orderkey").alias("specific_name"), F.when(n != 2, F.concat(F.lit("p"), n)).alias("name"), F.when(n % 3 == 0, "out").when(n % 3 == 1, "odd").alias("mode"), F.lit("int").alias("sql_type"), n.alias("ord"))
+    out = B.shape_routines(routines_, params)
+    return out.select("name", "kind", F.array_join(F.transform("params", lambda p: F.concat_ws(" ", p["mode"], p["name"], p["type"])), ",").alias("params"), "returns")
+
+
+# Uploads, state and JSON ---------------------------------------------------------------------------------------------
+
+@query("SELECT c_custkey, 'doc:' || CASE WHEN c_custkey % 2 = 0 THEN 'file-' || c_custkey || '.txt' ELSE 'same.html' || CASE WHEN c_custkey = 1 THEN '' ELSE '-' || ((c_custkey + 1) / 2)::INT END END AS id, CASE WHEN c_custkey % 2 = 0 THEN 'text' ELSE 'html' END AS format, CASE WHEN c_custkey % 2 = 0 THEN 'a ' || c_name ELSE c_name END AS text, CASE WHEN c_custkey % 2 = 0 THEN length(c_name) + 3 ELSE length(c_name) + 7 END AS size FROM customer")
+def s7_upload(spark, d):
+    even = F.col("c_custkey") % 2 == 0
+    files = read(spark, d, "customer").select(F.col("c_custkey").alias("ord"), F.when(even, F.concat(F.lit("File "), "c_custkey", F.lit(".txt"))).otherwise("Same.html").alias("name"), F.lit("").alias("mime"), F.base64(F.encode(F.when(even, F.concat(F.lit("a  "), "c_name")).otherwise(F.concat(F.lit("<p>"), "c_name", F.lit("</p>"))), "UTF-8")).alias("data"))
+    sources, texts = documents.upload(files)
+    both = sources.join(texts.select(F.col("document_id").alias("id"), "text"), "id")
+    return both.select(F.regexp_extract("text", r"(\d+)$", 1).cast("bigint").alias("c_custkey"), "id", "format", "text", "size")
+
+
+@query("SELECT 'run:' || c_custkey AS key, CASE WHEN c_custkey % 2 = 0 THEN '{\"cursor\": 2}' ELSE '{\"cursor\": 1}' END AS json FROM customer")
+def s23_side_state(spark, d):
+    s = store.Store(spark, f"{tables.scratch(spark)}/provenir/{uuid.uuid4().hex}/store")
+    c = read(spark, d, "customer")
+    s.put_state(c.select(text_key("run:", "c_custkey").alias("key"), F.lit('{"cursor": 1}').alias("json")))
+    s.put_state(c.where("c_custkey % 2 = 0").select(text_key("run:", "c_custkey").alias("key"), F.lit('{"cursor": 2}').alias("json")))
+    return s.state()
+
+
+@query("SELECT event_id, '{\"k\": ' || json_extract_string(props, '$.k') || ', \"a\": [null, {\"b\": \"' || event_type || '\"}]}' AS patched FROM events WHERE props LIKE '{\"k\": %'")
+def f27_json_patch(spark, d):
+    e = read(spark, d, "events").where("props LIKE '{\"k\": %'")
+    return e.select("event_id", jsonfix.patch_udf()("props", F.lit('["a", 1, "b"]'), F.concat(F.lit('"'), "event_type", F.lit('"'))).alias("patched"))
+
+
+@query("SELECT event_id, event_id % 2 = 0 AS ok, CASE WHEN event_id % 2 = 0 THEN props END AS text, '3,6' AS mask FROM events WHERE props LIKE '{\"k\": %'".replace("'3,6'", "'1,4'"))
+def x38_repair_and_parse(spark, d):
+    e = read(spark, d, "events").where("props LIKE '{\"k\": %'")
+    broken = F.when(F.col("event_id") % 2 == 0, F.regexp_replace("props", r"\}$", ",}")).otherwise(F.regexp_replace("props", r"\}$", ""))
+    r = e.select("event_id", jsonfix.checked_udf()(broken).alias("r"), jsonfix.mask_udf()("props").alias("m"))
+    return r.select("event_id", "r.ok", "r.text", F.array_join(F.transform("m", lambda x: F.array_join(x.cast("array<string>"), ",")), "|").alias("mask"))

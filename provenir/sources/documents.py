@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from provenir.functions import text as T
+from provenir.operators.matching import numbered
 
 
 @F.pandas_udf(StringType())
@@ -38,6 +39,15 @@ def parse(raw: DataFrame) -> DataFrame:
     return out.select("name", "format", "text", T.content_ref("text").alias("ref"), F.concat(F.lit("sha256:"), F.sha2("text", 256)).alias("content_hash"))
 
 
+def upload(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Files (``ord``, ``name``, ``mime``, ``data`` in base64) to sources with ids of their own, and parsed texts by those ids."""
+    raw = files.withColumn("content", F.unbase64("data"))
+    own = numbered(raw.select("ord", "name", "mime", F.octet_length("content").alias("size")), F.concat(F.lit("doc:"), T.slugify("name")), "ord", "id", "-")
+    text = parse(raw.select(F.col("ord").cast("string").alias("name"), "content", F.coalesce(F.nullif("mime", F.lit("")), T.detect_format("name", F.lit(""))).alias("mime")))
+    both = own.join(text.select(F.col("name").cast("bigint").alias("ord"), "format", "text", "ref", "content_hash"), "ord")
+    return both.select("id", "name", "mime", "size", "format", "ref", "content_hash"), both.select("ref", F.col("id").alias("document_id"), "text")
+
+
 def read_folder(spark: SparkSession, folder: str) -> DataFrame:
     """Every file of a folder, parsed; files that are one executor's share are read there."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)

@@ -64,6 +64,17 @@ class Store:
         """One version's nodes; only its partition is read."""
         return self.spark.read.parquet(f"{self.folder}/nodes").where((F.col("model_id") == model_id) & (F.col("version") == version))
 
+    STATE = "key string, json string, at timestamp, nth bigint"
+
+    def put_state(self, rows: DataFrame) -> None:
+        """Side state (``key``, ``json``) as further rows; earlier ones of a key stay behind it."""
+        nth = self._read("state", self.STATE).agg(F.max("nth")).first()[0] or 0
+        rows.select("key", "json", F.current_timestamp().alias("at"), F.lit(nth + 1).cast("bigint").alias("nth")).write.mode("append").parquet(f"{self.folder}/state")
+
+    def state(self) -> DataFrame:
+        """The last value of each key."""
+        return latest(self._read("state", self.STATE), "key", "nth").select("key", "json")
+
     def log(self, run_id: str, message: str) -> None:
         row = self.spark.range(1).select(F.lit(run_id).alias("run_id"), F.current_timestamp().alias("at"), F.lit(message).alias("message"))
         row.write.mode("append").parquet(f"{self.folder}/log")

@@ -96,3 +96,61 @@ def test_ids_that_fix_themselves_do_not_collide(spark):
     df = spark.createDataFrame([(1, "rule:a"), (2, "objectType:A"), (3, "a!"), (4, None)], "k int, id string")
     got = {r["k"]: r["fixed"] for r in project.coerce_id(df, "id", "k", "rule:").collect()}
     assert got == {1: "rule:a", 2: "rule:a-2", 3: "rule:a-3", 4: "rule:x"}
+
+
+def test_repair_within_its_budget():
+    """Some 200 KB of unclosed objects: repaired or given up, and located, within a second and a half."""
+    import time
+
+    from provenir.functions import jsonfix
+
+    text = "[" + ",\n".join('{"id": "node-%d", "name": "n"' % k for k in range(8000))
+    commas = "[" + "\n".join('{"id": %d, "name": "n"}' % k for k in range(8000)) + "]"
+    began = time.perf_counter()
+    assert jsonfix.repair(text) is None and jsonfix.locate_error(text)
+    assert jsonfix.repair(commas) is not None
+    assert time.perf_counter() - began < 1.5
+
+
+def test_paths_and_masks(spark):
+    from provenir.functions import jsonfix
+
+    assert jsonfix.set_path({"a": [1]}, ["a", 2, "b"], 5) == {"a": [1, None, {"b": 5}]}
+    assert jsonfix.set_path("x", [], 1) == 1 and jsonfix.set_path(None, ["k"], 1) == {"k": 1}
+    text = """{"a\\"b": 'c"d', "open"""
+    mask, quote, escaped = [], None, False
+    for ch in text:  # by the definition, one character after the other
+        if quote:
+            mask.append(True)
+            escaped, quote = (False, quote) if escaped else (ch == "\\", quote if ch == "\\" or ch != quote else None)
+        else:
+            mask.append(ch in "\"'")
+            quote = ch if ch in "\"'" else None
+    spans = spark.createDataFrame([(text,)], "t string").select(jsonfix.mask_udf()("t").alias("m")).first()["m"]
+    assert [k for k, m in enumerate(mask) if m] == [k for a, b in spans for k in range(a, b)]
+
+
+def test_one_more_try_for_json():
+    from provenir.operators import enrich
+
+    class Client:
+        name = "c"
+
+        def __init__(self, *said):
+            self.said = list(said)
+
+        def complete(self, prompt):
+            return self.said.pop(0)
+
+    assert enrich.call_json(Client("Sure: {\"a\": 1} ok"), "p") == '{"a": 1}'
+    assert enrich.call_json(Client("no", "[1]"), "p") == "[1]"
+    assert enrich.call_json(Client("no", "neither"), "p") is None
+
+
+def test_layer_schema(spark):
+    from provenir.operators import published
+
+    df = spark.createDataFrame([], "id string, n bigint, ok boolean, parts array<struct<x: double>>")
+    doc = published.layer_schema(df, "^rule:")
+    assert doc["items"]["properties"]["id"] == {"type": "string", "pattern": "^rule:"}
+    assert doc["items"]["properties"]["parts"]["items"]["properties"]["x"]["type"] == "number"
