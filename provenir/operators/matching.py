@@ -119,10 +119,10 @@ def lexical_seeds(questions: DataFrame, nodes: DataFrame, k: int = 8) -> DataFra
 
 
 def nearest(values: DataFrame, value: str, vocabulary: list[str]) -> Column:
-    """vocabulary word that starts with the value or the reverse, else the least edit distance; earlier words win."""
-    v = F.lower(F.col(value))
-    rank = [F.struct((~(F.lit(w).startswith(v) | v.startswith(F.lit(w)))).alias("far"), F.levenshtein(v, F.lit(w)).alias("d"), F.lit(k).alias("k"), F.lit(w).alias("w")) for k, w in enumerate(vocabulary)]
-    return F.array_min(F.array(*rank)).getField("w")
+    """vocabulary word that starts with the value or the reverse, the first of them; else the least edit distance, earlier words first."""
+    from provenir.operators.suggest import nearest_word
+
+    return nearest_word(F.col(value), vocabulary)
 
 
 def merge_by_key(rows: DataFrame, key: Column, order: str, keep: list[str], best: list[str], lists: list[str]) -> DataFrame:

@@ -11,6 +11,7 @@ from provenir.operators import integrity as V
 from provenir.operators import matching as M
 from provenir.operators import scoring as A
 from provenir.operators import segment as D
+from provenir.operators import suggest as W
 from provenir.sources import tables
 
 QUERIES: dict = {}
@@ -87,7 +88,7 @@ def f24_json_extract(spark, d):
 
 @query("""WITH v AS (SELECT event_type, row_number() OVER (ORDER BY event_type) AS k FROM (SELECT DISTINCT event_type FROM events)),
   m AS (SELECT event_type AS t, substr(event_type, 2) || 'x' AS mangled FROM v)
-  SELECT mangled, arg_min(v.event_type, {'far': NOT (starts_with(v.event_type, mangled) OR starts_with(mangled, v.event_type)), 'd': levenshtein(v.event_type, mangled), 'k': k}) AS nearest FROM m, v GROUP BY mangled""")
+  SELECT mangled, arg_min(v.event_type, {'far': NOT (starts_with(v.event_type, mangled) OR starts_with(mangled, v.event_type)), 'd': CASE WHEN starts_with(v.event_type, mangled) OR starts_with(mangled, v.event_type) THEN 0 ELSE levenshtein(v.event_type, mangled) END, 'k': k}) AS nearest FROM m, v GROUP BY mangled""")
 def f25_nearest_enum(spark, d):
     e = read(spark, d, "events").select("event_type").distinct()
     words = sorted(r[0] for r in e.collect())  # a closed vocabulary
@@ -417,10 +418,52 @@ def a12_chunk_merge(spark, d):
     return M.merge_by_key(rows, F.lower("p_brand"), "p_partkey", ["p_type"], ["p_retailprice"], ["p_size"]).select("key", "p_type", "p_retailprice", "members", F.size("p_size").cast("bigint").alias("sizes"))
 
 
-@query("""SELECT coalesce(CASE WHEN p_size > 40 THEN 'large' END, nullif(split_part(p_type, ' ', 2), ''), 'general') AS cluster, count(*) AS n FROM part GROUP BY 1""")
+@query("""SELECT p_partkey AS id, CASE WHEN p_size > 40 THEN 'g' || p_size % 3 WHEN p_size > 25 THEN p_brand WHEN p_size > 10 THEN least(p_brand, p_type) || CASE WHEN p_brand = p_type THEN '' ELSE '|' || greatest(p_brand, p_type) END ELSE 'General' END AS cluster FROM part""")
 def a14_cluster(spark, d):
-    hint = F.nullif(F.split_part("p_type", F.lit(" "), F.lit(2)), F.lit(""))
-    return read(spark, d, "part").groupBy(F.coalesce(F.when(F.col("p_size") > 40, "large"), hint, F.lit("general")).alias("cluster")).agg(F.count("*").alias("n"))
+    p, n = read(spark, d, "part"), F.col("p_size")
+    rules = p.select(F.col("p_partkey").alias("id"), F.when(n > 25, F.col("p_brand")).otherwise(" ").alias("hint"), F.when(n > 10, F.array("p_type", "p_brand", "p_type")).alias("objects"))
+    one = p.where("p_size > 40").select(F.concat(F.lit("g"), n % 3).alias("group_id"), F.col("p_partkey").alias("rule_id"), F.lit(1).alias("ord"))
+    return W.cluster_rules(rules, one.unionByName(one.withColumns({"group_id": F.lit("later"), "ord": F.lit(2)})))
+
+
+@query("""WITH x AS (SELECT doc_id AS id, max(quality) = 1 AS found FROM labels GROUP BY 1), l AS (SELECT DISTINCT d.doc_id % 40 AS case_id, x.id, found FROM documents AS d JOIN x ON x.id = d.doc_id WHERE d.doc_id % 40 % 3 <> 0)
+  SELECT c.case_id, round(coalesce(avg(found::INT), (SELECT avg(found::INT) FROM x)), 9) AS coverage FROM (SELECT DISTINCT doc_id % 40 AS case_id FROM documents) AS c LEFT JOIN l USING (case_id) GROUP BY 1""")
+def a5_use_case_coverage(spark, d):
+    case = (F.col("doc_id") % 40).alias("case_id")
+    expected = read(spark, d, "labels").groupBy(F.col("doc_id").alias("id")).agg((F.max("quality") == 1).alias("found"))
+    docs = read(spark, d, "documents").select(case, F.col("doc_id").alias("entity_id"))
+    out = W.use_case_coverage(docs.where("case_id % 3 <> 0").distinct(), docs.select("case_id").distinct(), expected)
+    return out.select("case_id", F.round("coverage", 9).alias("coverage"))
+
+
+@query("""SELECT l_orderkey AS node_id, l_linenumber AS ord, 'quote_unverified' AS issue FROM lineitem WHERE l_returnflag = 'R' UNION ALL SELECT l_orderkey, l_linenumber, 'missing_source' FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE o_orderkey % 2 = 0 AND o_orderstatus = 'F' AND l_linenumber % 2 = 0""")
+def v2_citation_issues(spark, d):
+    n = F.col("l_linenumber")
+    cites = read(spark, d, "lineitem").select(F.col("l_orderkey").alias("node_id"), n.alias("ord"), F.when(F.col("l_returnflag") == "R", False).when(F.col("l_returnflag") == "A", True).alias("verified"), F.when(n % 2 == 1, F.array(F.lit(1).cast("bigint"))).otherwise(F.array().cast("array<bigint>")).alias("sentence_refs"))
+    nodes = read(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderkey") % 2 == 0, "rule").otherwise("object").alias("kind"), F.when(F.col("o_orderstatus") == "F", "extracted").otherwise("human").alias("provenance"))
+    return W.citation_issues(cites, nodes)
+
+
+@query("""WITH m AS (SELECT p_partkey AS i, p_partkey % 9 AS k FROM part)
+  SELECT i AS index, '#' || i AS node_id, 'item_not_object' AS kind, 'error' AS level, '' AS field, NULL AS fix FROM m WHERE k = 0
+  UNION ALL SELECT i, '#' || i, 'missing_field', 'error', 'id', '"objectType:part-' || i || '"' FROM m WHERE k = 1
+  UNION ALL SELECT i, 'rule:p' || i, 'bad_id_prefix', 'warn', 'id', '"objectType:p' || i || '"' FROM m WHERE k = 2
+  UNION ALL SELECT i, 'objectType:p' || i, 'missing_field', 'warn', f, x FROM m, (VALUES (3, 'confidence', '0.5'), (3, 'sources', '[]'), (4, 'reviewState', '"pending"'), (4, 'provenance', '"human"'), (5, 'nameZh', '"Part"')) AS v(kk, f, x) WHERE k = kk
+  UNION ALL SELECT i, 'objectType:p' || i, 'bad_enum', 'error', f, x FROM m, (VALUES (6, 'reviewState', '"accepted"'), (6, 'provenance', '"human"'), (7, 'properties.1.type', '"Integer"')) AS v(kk, f, x) WHERE k = kk
+  UNION ALL SELECT i, 'objectType:p' || i, 'reference_without_target', 'error', 'properties.0.references', NULL FROM m WHERE k = 8""")
+def v15_suggest_fixes(spark, d):
+    k, i = F.col("p_partkey") % 9, F.col("p_partkey").cast("string")
+    field = lambda when, text: F.when(when, text)
+    parts = F.concat_ws(
+        ", ",
+        F.when(k == 1, F.concat(F.lit('"name": "Part '), i, F.lit('"'))).otherwise('"name": "Part"'),
+        F.when(k == 2, F.concat(F.lit('"id": "rule:p'), i, F.lit('"'))).when(k != 1, F.concat(F.lit('"id": "objectType:p'), i, F.lit('"'))),
+        field(k != 3, '"confidence": 1'), field(k != 3, '"sources": []'), field(k != 5, '"nameZh": "件"'),
+        F.when(k == 6, '"reviewState": "accept"').when(k != 4, '"reviewState": "pending"'), F.when(k == 6, '"provenance": "Humn"').when(k != 4, '"provenance": "human"'),
+        F.when(k == 7, '"properties": [{"type": "List<X>"}, {"type": "Integr"}]').when(k == 8, '"properties": [{"name": "a", "type": "String", "is_foreign_key": true}]'),
+    )
+    items = read(spark, d, "part").select(F.col("p_partkey").alias("index"), F.when(k == 0, "[1]").otherwise(F.concat(F.lit("{"), parts, F.lit("}"))).alias("item"))
+    return W.suggest_fixes(items, "objects")
 
 
 @query("SELECT l_orderkey, string_agg(CAST(l_partkey AS VARCHAR), ',' ORDER BY l_linenumber, l_partkey) AS columns FROM lineitem GROUP BY 1")

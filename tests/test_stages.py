@@ -154,3 +154,17 @@ def test_layer_schema(spark):
     doc = published.layer_schema(df, "^rule:")
     assert doc["items"]["properties"]["id"] == {"type": "string", "pattern": "^rule:"}
     assert doc["items"]["properties"]["parts"]["items"]["properties"]["x"]["type"] == "number"
+
+
+def test_coverage_target():
+    from provenir.operators.suggest import coverage_target
+
+    assert [coverage_target(*a) for a in ((), (0.5,), (7,), (-1,), (None, "0.3"), (None, "x"), (float("nan"),), (0.2, "0.9"))] == [1.0, 0.5, 1.0, 0.0, 0.3, 1.0, 1.0, 0.2]
+
+
+def test_new_ids_are_free(spark):
+    from provenir.operators.suggest import suggest_fixes
+
+    items = [(0, '{"id": "rule:a"}'), (1, '{"id": "a"}'), (2, '{"id": "rule:a-2"}'), (3, '{"name": {"en": "A b"}}'), (4, "oops"), (5, None), (6, '{"id": 5, "name": "B"}')]
+    got = {r["index"]: (r["kind"], r["fix"]) for r in suggest_fixes(spark.createDataFrame(items, "index int, item string"), "rules").collect() if r["field"] in ("id", "")}
+    assert got == {1: ("bad_id_prefix", '"rule:a-3"'), 3: ("missing_field", '"rule:a-b"'), 4: ("item_not_object", None), 5: ("item_not_object", None), 6: ("missing_field", '"rule:b"')}
