@@ -41,20 +41,21 @@ def aside(df: DataFrame, taken: set[str]) -> tuple[DataFrame, dict[str, str]]:
 HOT, KEYS = 1000, 100_000
 
 
-def look_up(rows: DataFrame, key: str, values: DataFrame) -> DataFrame:
-    """``rows`` left joined with ``values`` (one row for each ``key``).
+def look_up(rows: DataFrame, key: str, values: DataFrame, total: int | None = None) -> DataFrame:
+    """``rows`` left joined with ``values`` (one row for each ``key``); ``total``: how many rows there are, where that is known.
 
     Keys with over ``HOT`` rows and over one in ``KEYS`` of all rows, which are ``KEYS`` at
     most, are joined by broadcast, so that no task receives all rows of a hot key.
     """
-    sizes = rows.groupBy(key).agg(F.count("*").alias("_rows"))
-    total = sizes.agg(F.sum("_rows")).first()[0] or 0
-    hot = sizes.where(F.col("_rows") > max(HOT, total // KEYS)).select(key)
+    total = rows.count() if total is None else total
+    if total <= HOT:
+        return rows.join(values, key, "left")
+    hot = rows.groupBy(key).agg(F.count("*").alias("_rows")).where(F.col("_rows") > max(HOT, total // KEYS)).select(key)
     known = materialise(values.join(hot, key), "hot")
     if not known.take(1):
         return rows.join(values, key, "left")
     apart = rows.join(F.broadcast(known.select(key)), key, "left_anti").join(values, key, "left")
-    return apart.unionByName(rows.join(F.broadcast(known), key), allowMissingColumns=False)
+    return apart.unionByName(rows.join(F.broadcast(known), key))
 
 
 #: Rows in an Arrow batch: documents are some KB each, and a worker holds a few batches' worth at a time.

@@ -211,13 +211,14 @@ def connect(nodes: DataFrame, edges: DataFrame, most: int = 60) -> DataFrame:
     ends = edges.select(F.col("a").alias("fp")).distinct()
     # Only fingerprints with a link take part in the rounds; the label is (id, fingerprint), so null ids come last.
     at = materialise(nodes.join(ends, "fp", "left_semi").select("fp", "label", F.col("fp").alias("top")), "labels0")
+    total = at.count()
     for k in range(most):
         # Smallest label among the neighbours' tops, then each hangs below the top of that label's fingerprint.
         seen = edges.join(at.select(F.col("fp").alias("b"), "label", "top"), "b").groupBy(F.col("a").alias("fp")).agg(F.min(F.struct("label", "top")).alias("near"))
         best = at.join(seen, "fp").select("fp", F.least(F.struct("label", "top"), "near").alias("own"), F.col("label").alias("was"), F.col("top").alias("was_top"))
         best = materialise(best.withColumn("hub", F.col("own.top")), f"best{k}")
         # In a large component most have the same top.
-        new = look_up(best, "hub", best.select(F.col("fp").alias("hub"), F.col("own").alias("up"))).select("fp", F.least("own", F.coalesce("up", "own")).alias("own"), "was", "was_top")
+        new = look_up(best, "hub", best.select(F.col("fp").alias("hub"), F.col("own").alias("up")), total).select("fp", F.least("own", F.coalesce("up", "own")).alias("own"), "was", "was_top")
         at = materialise(new.select("fp", F.col("own.label").alias("label"), F.col("own.top").alias("top"), ((F.col("own.label") != F.col("was")) | (F.col("own.top") != F.col("was_top"))).alias("moved")), f"labels{k + 1}")
         if not at.where("moved").take(1):
             return at.select("fp", "label", "top")
