@@ -38,13 +38,27 @@ def test_stage_finds_pairs_beyond_four_bits(spark):
                 root = [a if r == b else r for r in root]
     assert far > 5 and 24 < len(set(root)) < len(texts)
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
-    for tile in (nearcopies.TILE, 4):
-        old, nearcopies.TILE = nearcopies.TILE, tile
-        try:
-            got = {r["doc_id"] for r in corpus_pipeline.simhash_near_dedup(spark, df, "").collect()}
-        finally:
-            nearcopies.TILE = old
-        assert got == set(root)
+    assert {r["doc_id"] for r in corpus_pipeline.simhash_near_dedup(spark, df, "").collect()} == set(root)
+    # In shards of a few points, as in a large corpus: found by the number of tables.
+    assert {r["doc_id"] for r in nearcopies.first_of_each(df, shard=8).collect()} == set(root)
+
+
+def test_group_around_one_text(spark):
+    """Copies of one text that are no copies of each other, in more than one shard."""
+    rng = np.random.default_rng(9)
+    base = " ".join(f"w{x}" for x in rng.integers(0, 5000, 150))
+    texts = [base, *(edited(rng, base, 3) for _ in range(150)), *(" ".join(f"w{x}" for x in rng.integers(0, 5000, 150)) for _ in range(60))]
+    sets = [shingles(t) for t in texts]
+    similar = lambda i, j: len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])
+    assert sum(similar(0, j) for j in range(1, 151)) == 150 and sum(similar(j, j + 1) for j in range(1, 150)) < 75
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    got = {r["doc_id"] for r in nearcopies.first_of_each(df, shard=32).collect()}
+    assert got >= {0, *range(151, 211)} and len(got) <= 61 + 4
+
+
+def test_tables_follow_the_corpus():
+    counts = [nearcopies.table_count(n) for n in (0, 10, 10**4, 10**6, 10**9)]
+    assert counts == sorted(counts) and counts[0] >= 1 and counts[-1] < 400
 
 
 def test_odd_rows(spark, docs, none):
