@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from provenir.llm.common import materialise, table
 
 #: Buckets in one prefix-sum group, so that no window spans all buckets, and in one task of the second pass.
-GROUP, IN_TASK = 1024, 32
+GROUP, IN_TASK = 1024, 8
 #: Buckets up to which their starts (16 bytes each) are broadcast; beyond, they are joined by shuffle.
 STARTS = 500_000
 #: Contents with more copies than both bounds are spread: at most ``SHARE`` of them, so that their hashes (8 bytes each) can be broadcast.
