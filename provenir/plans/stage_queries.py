@@ -343,7 +343,7 @@ def c2_citation_intervals(spark, d):
     from provenir.operators import grounding as J
 
     cited = J.ground_exact(read(spark, d, "benchmark"), read(spark, d, "documents")).select(F.col("doc_id").alias("document_id"), F.col("item_id").alias("node_id"))
-    said = cited.join(read(spark, d, "benchmark").select(F.col("item_id").alias("node_id"), F.concat(F.lit(" "), F.upper("text")).alias("snippet")), "node_id")
+    said = cited.join(read(spark, d, "benchmark").select(F.col("item_id").alias("node_id"), F.concat(F.lit(" "), F.replace("text", F.lit(" "), F.lit("  "))).alias("snippet")), "node_id")
     refs = said.select("document_id", "node_id", F.lit(5).alias("char_start"), F.lit(5).alias("char_end"), "snippet")
     given = docs.select("document_id", F.lit(-1).cast("bigint").alias("node_id"), F.lit(2).alias("char_start"), F.lit(9).alias("char_end"), F.lit(None).cast("string").alias("snippet"))
     return S.citation_intervals(refs.unionByName(given), docs)

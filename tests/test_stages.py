@@ -168,3 +168,80 @@ def test_new_ids_are_free(spark):
     items = [(0, '{"id": "rule:a"}'), (1, '{"id": "a"}'), (2, '{"id": "rule:a-2"}'), (3, '{"name": {"en": "A b"}}'), (4, "oops"), (5, None), (6, '{"id": 5, "name": "B"}')]
     got = {r["index"]: (r["kind"], r["fix"]) for r in suggest_fixes(spark.createDataFrame(items, "index int, item string"), "rules").collect() if r["field"] in ("id", "")}
     assert got == {1: ("bad_id_prefix", '"rule:a-3"'), 3: ("missing_field", '"rule:a-b"'), 4: ("item_not_object", None), 5: ("item_not_object", None), 6: ("missing_field", '"rule:b"')}
+
+
+def careful(text):
+    """Sentences by one character after the other."""
+    words = {"mr", "mrs", "ms", "dr", "prof", "sr", "jr", "st", "vs", "etc", "inc", "ltd", "co", "corp", "no", "fig", "eg", "ie", "al", "dept", "approx", "min", "max", "sec"}
+    ends, closers, out, start, i, n = ".!?。！？", ".!?。！？”’\"')]", [], 0, 0, len(text)
+
+    def give(a, b):
+        while a < b and text[a].isspace():
+            a += 1
+        while b > a and text[b - 1].isspace():
+            b -= 1
+        if a < b:
+            out.append((a, b))
+
+    while i < n:
+        if text[i : i + 2] == "\n\n":
+            give(start, i)
+            while i < n and text[i] == "\n":
+                i += 1
+            start = i
+            continue
+        if text[i] not in ends:
+            i += 1
+            continue
+        if text[i] == ".":
+            k = i
+            while k > max(0, i - 24) and text[k - 1].isascii() and text[k - 1].isalpha():
+                k -= 1
+            decimal = i > 0 and text[i - 1].isdigit() and i + 1 < n and text[i + 1].isdigit()
+            if decimal or i - k == 1 or text[k:i].lower() in words:
+                i += 1
+                continue
+        j = i + 1
+        while j < n and text[j] in closers:
+            j += 1
+        if j == n or text[j].isspace():
+            give(start, j)
+            while j < n and text[j].isspace() and text[j] != "\n":
+                j += 1
+            start = i = j
+        else:
+            i += 1
+    give(start, n)
+    return out
+
+
+def test_careful_sentences_of_all_documents(spark):
+    """The queries without SQL against the scanner above."""
+    import os
+
+    from provenir.plans import catalogue
+
+    folder = "/root/testdata/sf0.001"
+    if not os.path.isdir(folder):
+        pytest.skip("no test data here")
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
+    texts_ = {i: careful(t) for i, t in texts.items()}
+    got = {(r["document_id"], r["idx"]): (r["char_start"], r["char_end"], r["text"]) for r in catalogue.d7_careful_sentences(spark, folder).collect()}
+    assert got == {(i, k): (a, b, texts[i][a:b]) for i, own in texts_.items() for k, (a, b) in enumerate(own)}
+    chunks = {}
+    for i, own in texts_.items():
+        first, k = 0, 0
+        while first < len(own):
+            stop, size = first, 0
+            while stop < len(own) and (stop == first or size + own[stop][1] - own[stop][0] <= 6000):
+                size += own[stop][1] - own[stop][0]
+                stop += 1
+            chunks[i, k] = (own[first][0], own[stop - 1][1])
+            if stop == len(own):
+                break
+            k, back, tail = k + 1, stop, 0
+            while back - 1 > first and tail + own[back - 1][1] - own[back - 1][0] <= 600:
+                back -= 1
+                tail += own[back][1] - own[back][0]
+            first = back
+    assert {(r["document_id"], r["idx"]): (r["char_start"], r["char_end"]) for r in catalogue.k5_aligned_chunks(spark, folder).collect()} == chunks
