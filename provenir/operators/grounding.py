@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_right
 from functools import reduce
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -87,33 +90,34 @@ def ground_normalized(quotes: DataFrame, docs: DataFrame, quote_key: str = "item
     return back.mapInArrow(map_back, f"{doc_key} bigint, {quote_key} bigint, char_start int, char_end int")
 
 
+def place(quote: str, text: str) -> tuple[int, int] | None:
+    """Where ``quote``, in lower case with single spaces, first stands in ``text`` so written; offsets in ``text`` itself."""
+    found = [(m.start(), m[0]) for m in re.finditer(r"\S+", text)]
+    low = [w.lower() for _, w in found]
+    k = " ".join(low).find(quote)
+    if k < 0 or not quote:
+        return None
+    starts = list(accumulate((len(w) + 1 for w in low), initial=0))
+
+    def back(at: int) -> int:
+        i = bisect_right(starts, at) - 1
+        (begin, word), at = found[i], at - starts[i]
+        if len(word) != len(low[i]):  # a few letters have a lower case of two characters
+            at = next(n for n, end in enumerate(accumulate(len(c.lower()) for c in word)) if end > at)
+        return begin + at
+
+    return back(k), back(k + len(quote) - 1) + 1
+
+
 def map_back(batches):
     """Offsets in the original text of a normalised quotation's first occurrence."""
     for b in batches:
-        starts, ends = [], []
-        for quote, text in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
-            chars, at, gap = [], [], False
-            for i, ch in enumerate(text):
-                if ch.isspace():
-                    gap = bool(chars)
-                    continue
-                if gap:
-                    chars.append(" ")
-                    at.append(i)
-                    gap = False
-                low = ch.lower()
-                chars.append(low)
-                at += [i] * len(low)
-            k = "".join(chars).find(quote)
-            starts.append(at[k] if k >= 0 else None)
-            ends.append(at[k + len(quote) - 1] + 1 if k >= 0 else None)
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(starts, pa.int32()), pa.array(ends, pa.int32())], names=[b.schema.names[0], b.schema.names[1], "char_start", "char_end"])
+        got = [place(quote, text) or (None, None) for quote, text in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([x for x, _ in got], pa.int32()), pa.array([y for _, y in got], pa.int32())], names=[b.schema.names[0], b.schema.names[1], "char_start", "char_end"])
 
 
 def best_window(batches):
     """J10 per pair: the first window of as many tokens as the quotation with the highest overlap of token sets."""
-    import re
-
     for b in batches:
         rows = []
         for doc, item, quote, text in zip(*(b.column(k).to_pylist() for k in range(4))):

@@ -245,3 +245,8 @@ def test_careful_sentences_of_all_documents(spark):
                 tail += own[back][1] - own[back][0]
             first = back
     assert {(r["document_id"], r["idx"]): (r["char_start"], r["char_end"]) for r in catalogue.k5_aligned_chunks(spark, folder).collect()} == chunks
+
+
+@pytest.mark.parametrize("quote, text, want", [("b c", "A  b\n C d", (3, 7)), ("i̇x", "a İX b", (2, 4)), ("x", "", None), ("", "a", None), ("a b", "xA b", (1, 4)), ("q", "a", None)])
+def test_places_in_the_original(quote, text, want):
+    assert grounding.place(quote, text) == want
