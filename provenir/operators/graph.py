@@ -50,6 +50,27 @@ def frontier_batch(t: DataFrame, frontier: DataFrame, sent: DataFrame, cap: int
     return every.orderBy("prio", "s", "p", "o").limit(cap)
 
 
+def frontier_rounds(t: DataFrame, seeds: DataFrame, keep, most: int = 4, cap: int = 150, width: int = 12) -> DataFrame:
+    """The batches of a walk without a guide: each round sends its frontier's best ``cap`` unsent triples, and the first ``width`` new ends of their edges are the next frontier.
+
+    ``keep`` writes each round, which has at most ``cap`` rows.
+    """
+    frontier = keep(seeds.select("node").distinct(), "frontier0")
+    visited, sent = frontier, None
+    for k in range(1, most + 1):
+        known = t.limit(0).select("s", "p", "o") if sent is None else sent.select("s", "p", "o")
+        batch = keep(frontier_batch(t, frontier, known, cap).withColumn("round", F.lit(k)), f"round{k}")
+        if batch.isEmpty():
+            break
+        sent = batch if sent is None else sent.unionByName(batch)
+        at = F.struct("s", "p", "o")
+        ends = batch.where("prio = 0").select(F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("s").alias("node")), F.struct(F.lit(1).alias("side"), F.col("o").alias("node")))).alias("e"), at.alias("at")).select("e.node", F.struct("at", "e.side").alias("at"))
+        fresh = ends.groupBy("node").agg(F.min("at").alias("at")).join(visited, "node", "left_anti")
+        frontier = keep(fresh.orderBy("at").limit(width).select("node"), f"frontier{k}")
+        visited = visited.unionByName(frontier)
+    return sent if sent is not None else t.limit(0).select("s", "p", "o", F.lit(0).alias("prio"), F.lit(0).alias("round"))
+
+
 def hops(t: DataFrame, seeds: DataFrame, most: int, keep) -> DataFrame:
     """Least number of hops of every node that edges reach from ``seeds`` (``node``) within ``most``.
 

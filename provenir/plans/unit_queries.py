@@ -565,3 +565,14 @@ def x38_repair_and_parse(spark, d):
     broken = F.when(F.col("event_id") % 2 == 0, F.regexp_replace("props", r"\}$", ",}")).otherwise(F.regexp_replace("props", r"\}$", ""))
     r = e.select("event_id", jsonfix.checked_udf()(broken).alias("r"), jsonfix.mask_udf()("props").alias("m"))
     return r.select("event_id", "r.ok", "r.text", F.array_join(F.transform("m", lambda x: F.array_join(x.cast("array<string>"), ",")), "|").alias("mask"))
+
+
+@query(f"""WITH {TRIPLES}, a AS (SELECT s AS node, o AS other, s, p, o, literal FROM t UNION ALL SELECT o, s, s, p, o, literal FROM t WHERE NOT literal AND s <> o),
+  b1 AS (SELECT s, p, o, min(prio) AS prio FROM (SELECT s, p, o, 0 AS prio FROM a WHERE node = 'region:1' AND NOT literal UNION ALL SELECT s, p, o, 1 FROM a WHERE literal AND p = 'label' AND node IN (SELECT other FROM a WHERE node = 'region:1' AND NOT literal) AND node <> 'region:1' UNION ALL SELECT s, p, o, 2 FROM a WHERE node = 'region:1' AND literal) GROUP BY ALL ORDER BY prio, s, p, o LIMIT 150),
+  f AS (SELECT node FROM (SELECT s AS node, s, p, o, 0 AS side FROM b1 WHERE prio = 0 UNION ALL SELECT o, s, p, o, 1 FROM b1 WHERE prio = 0) WHERE node <> 'region:1' GROUP BY node ORDER BY min((s, p, o, side)) LIMIT 12),
+  u AS (SELECT * FROM a WHERE (s, p, o) NOT IN (SELECT (s, p, o) FROM b1)),
+  b2 AS (SELECT s, p, o, min(prio) AS prio FROM (SELECT s, p, o, 0 AS prio FROM u WHERE node IN (FROM f) AND NOT literal UNION ALL SELECT s, p, o, 1 FROM u WHERE literal AND p = 'label' AND node IN (SELECT other FROM u WHERE node IN (FROM f) AND NOT literal) AND node NOT IN (FROM f) UNION ALL SELECT s, p, o, 2 FROM u WHERE node IN (FROM f) AND literal) GROUP BY ALL ORDER BY prio, s, p, o LIMIT 150)
+  SELECT s, p, o, prio, 1 AS round FROM b1 UNION ALL SELECT s, p, o, prio, 2 FROM b2""")
+def g3_frontier_rounds(spark, d):
+    seeds = spark.createDataFrame([("region:1",)], "node string")
+    return G.frontier_rounds(star_triples(spark, d), seeds, tables.keep, most=2)
