@@ -18,6 +18,7 @@ REGISTRY = [
     ("op8_quality_classifier", "quality", None),
     ("op9_language_id", "langid", None),
     ("op10_token_counts", "tokencount", None),
+    ("op11_minhash_near_dedup", "minhash", "SQL"),
 ]
 
 
