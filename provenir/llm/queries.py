@@ -19,6 +19,8 @@ REGISTRY = [
     ("op9_language_id", "langid", None),
     ("op10_token_counts", "tokencount", None),
     ("op11_minhash_near_dedup", "minhash", "SQL"),
+    ("op12_lexical_search", "lexical", "SQL"),
+    ("op13_vector_codes", "codes", "SQL"),
 ]
 
 
