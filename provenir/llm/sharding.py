@@ -59,7 +59,8 @@ def shard_rows(df: DataFrame, n_shards: int, key: str, text: str, seed: int = 42
     # Pass 2: fixed order first, then Fisher-Yates with a fixed seed. The number of partitions depends on the rows alone,
     # and each draws from its own seed in order of its buckets.
     packed = dealt.repartition(max(1, math.ceil(n_buckets / IN_TASK)), "bucket").groupBy("bucket").agg(F.collect_list(F.struct("hash", "copy", "size", "row")).alias("rows"))
-    before = lambda a, b: F.when(a["hash"] < b["hash"], -1).when(a["hash"] > b["hash"], 1).otherwise(F.when(a["copy"] < b["copy"], -1).otherwise(1))
+    order = lambda x, y, rest: F.when(x < y, -1).when(x > y, 1).otherwise(rest)
+    before = lambda a, b: order(a["hash"], b["hash"], order(a["copy"], b["copy"], F.lit(0)))
     fixed = packed.withColumn("rows", F.array_sort("rows", before)).sortWithinPartitions("bucket")
     mixed = fixed.select("bucket", F.posexplode(F.shuffle("rows", seed)).alias("i", "r"))
     written = materialise(mixed.select("bucket", "i", "r.size", "r.row"), "shuffled")

@@ -114,11 +114,37 @@ def test_main_text_by_density(page, text):
     assert html.extract(page) == text
 
 
+ARTICLE = "<article><h1>Head</h1><p>one of it</p>{}<p>two of it</p></article>"
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        # The end tag of a head is optional.
+        ("<html><head><title>T</title><meta charset=utf-8><body>" + ARTICLE.format(""), "Head\n\none of it\n\ntwo of it"),
+        ("<html><head><style>p {}</style>" + ARTICLE.format(""), "Head\n\none of it\n\ntwo of it"),
+        # Names of other elements may begin like those without text.
+        *[(ARTICLE.format(f"<{x}>here</{x}>"), "Head\n\none of it\n\nhere\n\ntwo of it") for x in ("video-caption", "title-bar", "style-guide", "math-field")],
+        # Without an end tag only the tag goes; fallback text of an object is text.
+        *[(ARTICLE.format(f"<{x}>"), "Head\n\none of it\n\ntwo of it") for x in ("object data=x", "canvas", "svg", "video src=y")],
+        (ARTICLE.format("<object data=x>here</object>"), "Head\n\none of it\n\nhere\n\ntwo of it"),
+        (ARTICLE.format("<svg width=3/><svg><text>no</text></svg>"), "Head\n\none of it\n\ntwo of it"),
+        (ARTICLE.format("<script>if (a < b) x('</p>')</script ><!-- > no --><iframe src=x>no</iframe>"), "Head\n\none of it\n\ntwo of it"),
+        # A quote within a value without quotes, and a sign within a value with them.
+        ("<article><p title=it's>one</p><p title='a>b' class=\"x'y\">two</p></article>", "one\n\ntwo"),
+        ('<article><p "odd" title="it\'s">one</p></article>', "one"),
+    ],
+)
+def test_main_text_keeps_what_is_text(page, text):
+    assert html.extract(page) == text
+
+
 def test_main_text_is_linear():
     took = []
     for n in (5_000, 20_000):
         began = time.process_time()
         html.extract('<div class="ad">' * n + "x")
+        html.extract("<svg><video <!" * n + "x")
         html.extract("<div>" * n + "<p>deep")
         html.extract("<div><p>hello there<div class=ad>x</div>" * n)
         took.append(time.process_time() - began)
@@ -162,6 +188,17 @@ def test_sharding_is_a_function_of_its_rows(spark, docs, monkeypatch):
     assert sum(one.values()) == len(ROWS) + 1400
 
 
+@pytest.mark.parametrize("contents, copies, others", [(33, 900, 300), (33, 300, 100)])
+def test_sharding_of_rows_repeated_in_any_order(spark, contents, copies, others):
+    rows = [(k % contents, f"text {k % contents}") for k in range(contents * copies)] + [(1000 + k, "x") for k in range(others)]
+    np.random.default_rng(5).shuffle(rows)
+    df = spark.createDataFrame([(int(a), str(b)) for a, b in rows], "doc_id bigint, text string").coalesce(1)
+    got = sharding.shard_rows(df, 8, "doc_id", "text").collect()
+    assert Counter((r["doc_id"], r["text"]) for r in got) == Counter((int(a), str(b)) for a, b in rows)
+    for s in range(8):
+        assert sorted(r["slot"] for r in got if r["shard"] == s) == list(range(sum(r["shard"] == s for r in got)))
+
+
 def test_sharding_of_working_names(spark):
     names = ["bucket", "row", "hash", "copy", "i", "start", "_hot", "n"]
     df = spark.range(40).selectExpr("id AS doc_id", "'t' AS text", *[f"concat('{n}', id) AS `{n}`" for n in names])
