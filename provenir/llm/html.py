@@ -15,6 +15,9 @@ article or main element is entered even if that has some, as long as it is less
 quarter of the element's own. Of the container where this ends, an article is kept as
 it is, and of another one its own stretches and its containers with a surge point.
 
+Within an article, too, names decide and not density: a ``<div class="toc">`` is a menu there, a ``<p class="alert">`` a notice.
+Fallback text of an ``object`` is text. A head without an end tag ends by itself, as nothing in it but elements without text may stand there.
+
 Character references are decoded, white space inside a block becomes one space,
 blocks are trimmed and joined by an empty line. ``<br>`` is white space. A null or
 empty page gives an empty text. Nothing is capped, and time is linear in the page;
@@ -39,8 +42,8 @@ WINDOW, SURGE = 3, 80
 #: Share of an article's text below which what surrounds it does not keep it from being entered.
 AROUND = 0.25
 
-#: Elements whose content is never text.
-RAW = "script style noscript template svg math head title object canvas audio video iframe"
+#: Elements whose content is never text: without an end tag the first kind lasts to the end of the page, of the second the tag alone goes.
+RAW, EMBEDDED = "script style title noscript iframe", "template svg math canvas audio video"
 #: Elements that hold boilerplate wherever they are.
 ASIDE = frozenset("nav footer aside form menu button select textarea dialog fieldset datalist".split())
 #: Words of class, id or role that mark boilerplate, and words that may stand beside them in one name.
@@ -63,9 +66,11 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 CONTAINERS = frozenset("body div section article main td center".split())
 HEADINGS = frozenset("h1 h2 h3".split())
 
-DROP = re.compile(rf"<!--.*?(?:-->|\Z)|<(?P<raw>{RAW.replace(' ', '|')})\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)|<[!?][^>]*>", re.S | re.I)
-TAG = re.compile(r"<(/?)([a-zA-Z][\w:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>?")
-ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+START = re.compile(rf"<!--|<(?P<name>{'|'.join(f'{RAW} {EMBEDDED}'.split())})(?=[\s/>])[^>]*>?|<[!?][^>]*>?", re.I)
+END = {name: re.compile(rf"</{name}\s*>", re.I) for name in f"{RAW} {EMBEDDED}".split()}
+#: A quote opens a value only after "="; within a value without quotes it is a character.
+TAG = re.compile(r"""<(/?)([a-zA-Z][\w:-]*)((?:=\s*(?:"[^"]*"|'[^']*'|[^\s"'<>][^\s>]*)?|[^<>=])*)>?""")
+ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>][^\s>]*)))?""")
 PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
@@ -112,8 +117,27 @@ class Page:
         self.heading.append(heading)
 
 
+def stripped(html: str) -> str:
+    """Without comments, declarations and elements whose content is never text."""
+    out, at, unclosed = [], 0, set()
+    while m := START.search(html, at):
+        out += (html[at : m.start()], " ")
+        at, name = m.end(), (m["name"] or "").lower()
+        if m[0] == "<!--":
+            end = html.find("-->", at)
+            at = end + 3 if end >= 0 else len(html)
+        elif name and name not in unclosed and not (name in ("svg", "math") and m[0].endswith("/>")):
+            if end := END[name].search(html, at):
+                at = end.end()
+            elif name in RAW.split():
+                at = len(html)
+            else:
+                unclosed.add(name)
+    return "".join(out) + html[at:]
+
+
 def page_of(html: str) -> Page:
-    parts = TAG.split(DROP.sub(" ", html))
+    parts = TAG.split(stripped(html))
     page = Page()
     last_end: dict[str, int] = {}
     for i in range(1, len(parts), 4):
