@@ -14,11 +14,15 @@ chance, concentrated as for independent ones. Bands of coordinates are hashed to
 
 Documents of equal sets are one point, so exact copies cost a row each and nothing more.
 Points of a key are a bucket. Within a bucket, one bit of each coordinate is compared
-(differing bits must stay within seven deviations of what the threshold lets expect), and the
-sizes of the sets. A first round hands on the shortest spanning forest of what fits, a
-last round hands on all that fits between different components, so no pair that fits is
-left out though few are made. Every pair handed on is confirmed on the full sets. A
-bucket of over ``BLOCK`` points is dealt to tasks by pairs of blocks, so no task holds more than two blocks.
+(differing bits must stay within five deviations of what the threshold lets expect), and the
+sizes of the sets; a bucket hands on the shortest spanning forest of what fits. What such steps connect is
+a cluster, so any pair that may link lies in one, and each point's full set travels once, to its cluster.
+There all pairs that fit are decided on the full sets, and only links that join what was
+apart are handed on: no table of pairs is ever made.
+
+Buckets and clusters over one block go to tasks in blocks of bounded weight. Buckets are compared
+by pairs of blocks. Large clusters are first cut into blocks in two ways, which joins most of a dense group, and
+then only what is outside a cluster's largest component meets all of its blocks.
 
 Result for each row: ``doc_id``, ``n_shingles``, ``component_id`` (smallest id reachable) and
 ``kept``. Repeated rows are rows of their own; a null id counts as the smallest only where
@@ -41,12 +45,14 @@ from provenir.llm.simhash import NO_ID, connect
 
 WORDS, PERCENT = 4, 80
 #: Coordinates of a sketch; one bit of each makes ``BITS`` words of 64.
-T = 320
+T = 192
 BITS = T // 64
 #: Chance that a pair at the threshold shares no band.
 MISS = 1e-6
 #: Points of a bucket that are compared at once, and rows in a comparison.
 BLOCK, ROWS = 2048, 256
+#: Weight of a block of a cluster: its shingles and ``EACH`` for each set.
+WEIGHT, EACH = 1 << 20, 256
 #: Shingles that are sketched at once.
 AT_ONCE = 1 << 19
 NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -61,9 +67,9 @@ def layout(percent: int) -> tuple[int, int]:
 
 
 def most_bits(percent: int) -> int:
-    """Bits in which sketches of linked sets differ at most: seven deviations above the mean at the threshold."""
+    """Bits in which sketches of linked sets differ at most: five deviations above the mean at the threshold."""
     q = (1 - percent / 100) / 2
-    return math.ceil(T * q + 7 * math.sqrt(T * q * (1 - q)))
+    return math.ceil(T * q + 5 * math.sqrt(T * q * (1 - q)))
 
 
 def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
@@ -156,8 +162,8 @@ def sketcher(words: int, bands: int, rows: int):
     return run
 
 
-def near(ids: np.ndarray, n: np.ndarray, comp: np.ndarray, block: np.ndarray, bits: np.ndarray, tile: tuple[int, int], percent: int, most: int):
-    """Arrays ``a``, ``b``, ``d`` (indices and differing bits) of the pairs of a tile that may link: one end in each of its two blocks, in different components."""
+def near(n: np.ndarray, block: np.ndarray, bits: np.ndarray, tile: tuple[int, int], percent: int, most: int):
+    """Arrays ``a``, ``b``, ``d`` (indices and differing bits) of the pairs of a tile that may link: one end in each of its two blocks."""
     first, second = np.flatnonzero(block == tile[0]), np.flatnonzero(block == tile[1])
     for at in range(0, len(first), ROWS):
         own = first[at : at + ROWS]
@@ -167,118 +173,188 @@ def near(ids: np.ndarray, n: np.ndarray, comp: np.ndarray, block: np.ndarray, bi
             d += np.bitwise_count(w[own][:, None] ^ w[other][None, :])
         i, j = np.nonzero(d <= most)
         a, b, d = own[i], other[j], d[i, j].astype(np.int64)
-        ok = (comp[a] != comp[b]) & (100 * np.minimum(n[a], n[b]) >= percent * np.maximum(n[a], n[b]))
+        ok = 100 * np.minimum(n[a], n[b]) >= percent * np.maximum(n[a], n[b])
         if tile[0] == tile[1]:
             ok &= a < b
         yield a[ok], b[ok], d[ok]
 
 
-def searcher(percent: int, whole: bool):
-    """Over rows in order of key and tile: what may link within each; ``whole``: all of it, else its shortest spanning forest."""
-    most = most_bits(percent)
+def ends(ids: np.ndarray, a, b) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[a], ids[b])), pa.array(np.maximum(ids[a], ids[b]))], names=["a", "b"])
 
-    def batch(ids, a, b):
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[a], ids[b])), pa.array(np.maximum(ids[a], ids[b]))], names=["a", "b"])
 
-    def search(rows):
-        _, low, high, block, ids, n, comp, *bits = (np.concatenate(x) for x in zip(*rows))
-        held, count = [], 0
-        for a, b, d in near(ids, n, comp, block, [w.view(np.uint64) for w in bits], (int(low[0]), int(high[0])), percent, most):
-            if whole:
-                if len(a):
-                    yield batch(ids, a, b)
-                continue
-            if len(a):
-                held.append((a, b, d))
-                count += len(a)
-            if count > 1_000_000:
-                held = cut(held)
-                count = len(held[0][0])
-        if held:
-            ((a, b, _),) = cut(held)
-            yield batch(ids, a, b)
-
-    def cut(held):
-        a, b, d = (np.concatenate(x) for x in zip(*held))
-        k = forest(a, b, d)
-        return [(a[k], b[k], d[k])]
+def by_runs(search, keys: int):
+    """Over rows in order of their first ``keys`` columns: ``search`` of the batches of each run."""
 
     def run(batches):
         at, held = None, []
         for got in batches:
-            cols = [c.to_numpy() for c in got.columns]
-            if not len(cols[0]):
+            if not got.num_rows:
                 continue
-            new = np.flatnonzero((np.diff(cols[0]) != 0) | (np.diff(cols[1]) != 0) | (np.diff(cols[2]) != 0)) + 1
-            for x, y in zip([0, *new], [*new, len(cols[0])]):
-                own = tuple(int(c[x]) for c in cols[:3])
+            cols = [c.to_numpy() for c in got.columns[:keys]]
+            new = np.flatnonzero(np.any([np.diff(c) != 0 for c in cols], axis=0)) + 1
+            for x, y in zip([0, *new.tolist()], [*new.tolist(), got.num_rows]):
+                own = tuple(int(c[x]) for c in cols)
                 if held and own != at:
                     yield from search(held)
                     held = []
                 at = own
-                held.append([c[x:y] for c in cols])
+                held.append(got.slice(x, y - x))
         if held:
             yield from search(held)
 
     return run
 
 
-def pairs(members: DataFrame, percent: int, whole: bool, block: int) -> DataFrame:
-    """``a``, ``b``: ids that may link, of the rows ``key``, ``size`` (points of the key), ``id``, ``n``, ``comp`` and bits."""
+def column(held: list, k: int) -> np.ndarray:
+    return np.concatenate([b.column(k).to_numpy() for b in held])
+
+
+def tree(percent: int):
+    """Over the rows of a tile of a bucket: the shortest spanning forest of what may link."""
+    most = most_bits(percent)
+
+    def cut(kept):
+        a, b, d = (np.concatenate(x) for x in zip(*kept))
+        k = forest(a, b, d)
+        return [(a[k], b[k], d[k])]
+
+    def search(held):
+        _, low, high, block, ids, n, *bits = (column(held, k) for k in range(held[0].num_columns))
+        kept, count = [], 0
+        for a, b, d in near(n, block, [w.view(np.uint64) for w in bits], (int(low[0]), int(high[0])), percent, most):
+            if len(a):
+                kept.append((a, b, d))
+                count += len(a)
+            if count > 1_000_000:
+                kept = cut(kept)
+                count = len(kept[0][0])
+        if kept:
+            ((a, b, _),) = cut(kept)
+            yield ends(ids, a, b)
+
+    return search
+
+
+def candidates(members: DataFrame, percent: int, block: int) -> DataFrame:
+    """``a``, ``b``: ids that connect what may link, of the rows ``key``, ``size`` (points of the key), ``id``, ``n`` and bits."""
     blocks = F.ceil(F.col("size") / F.lit(block)).cast("int")
     own = members.withColumn("block", F.pmod(F.xxhash64("id"), blocks).cast("int"))
     tiles = own.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    tiles = tiles.select("key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "id", "n", "comp", *W)
+    tiles = tiles.select("key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "id", "n", *W)
     dealt = tiles.repartition(tasks(members.sparkSession), "key", "low", "high").sortWithinPartitions("key", "low", "high", "id")
-    return dealt.mapInArrow(trimmed(searcher(percent, whole)), "a bigint, b bigint").distinct()
+    return dealt.mapInArrow(trimmed(by_runs(tree(percent), 3)), "a bigint, b bigint").distinct()
+
+
+def decide(percent: int):
+    """Over the rows of a tile of a cluster: links, confirmed on the full sets, that join what is apart."""
+    most = most_bits(percent)
+
+    def search(held):
+        _, low, high, block, ids, n, comp, *bits = (column(held, k) for k in range(7 + BITS))
+        bits = [w.view(np.uint64) for w in bits]
+        lists = [b.column(7 + BITS) for b in held]
+        flat = np.unique(np.concatenate([x.flatten().to_numpy() for x in lists]), return_inverse=True)[1]
+        starts = np.concatenate([[0], np.cumsum(n)])
+        mark = np.zeros(int(flat.max(initial=0)) + 1, bool)
+        label = np.unique(comp, return_inverse=True)[1]
+        first, second = np.flatnonzero(block == low[0]), np.flatnonzero(block == high[0])
+        a_of, b_of = [], []
+        for a in first.tolist():
+            other = second[second > a] if low[0] == high[0] else second
+            other = other[(label[other] != label[a]) & (100 * np.minimum(n[a], n[other]) >= percent * np.maximum(n[a], n[other]))]
+            d = np.zeros(len(other), np.uint16)
+            for w in bits:
+                d += np.bitwise_count(w[a] ^ w[other])
+            other = other[d <= most]
+            if not len(other):
+                continue
+            own = flat[starts[a] : starts[a + 1]]
+            mark[own] = True
+            size = n[other]
+            at = np.cumsum(size) - size
+            common = np.add.reduceat(mark[flat[np.repeat(starts[other] - at, size) + np.arange(size.sum())]], at, dtype=np.int64)
+            mark[own] = False
+            linked = other[100 * common >= percent * (n[a] + size - common)]
+            if len(linked):
+                found, at = np.unique(label[linked], return_index=True)
+                a_of += [a] * len(at)
+                b_of += linked[at].tolist()
+                label[np.isin(label, found)] = label[a]
+        if a_of:
+            yield ends(ids, np.array(a_of), np.array(b_of))
+
+    return search
+
+
+def confirmed(tiles: DataFrame, percent: int, name: str) -> DataFrame:
+    """Links within ``tiles``: rows ``cluster``, ``low``, ``high``, ``block``, ``id``, ``n``, ``comp``, bits and ``shingles``."""
+    dealt = tiles.select("cluster", "low", "high", "block", "id", "n", "comp", *W, "shingles").repartition(tasks(tiles.sparkSession), "cluster", "low", "high").sortWithinPartitions("cluster", "low", "high", "id")
+    return materialise(dealt.mapInArrow(trimmed(by_runs(decide(percent), 3)), "a bigint, b bigint"), name)
 
 
 def set_maker(words: int):
+    """Over rows that end with a text: its set in the text's place."""
+
     def run(batches):
         for batch in batches:
-            sets = [shingles(t, words).view(np.int64) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["id", "shingles"])
+            sets = [shingles(t, words).view(np.int64) for t in batch.column(batch.num_columns - 1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(sets, pa.list_(pa.int64()))], names=[*batch.schema.names[:-1], "shingles"])
 
     return run
 
 
-def confirmed(found: DataFrame, rows: DataFrame, words: int, percent: int, name: str) -> DataFrame:
-    """The pairs ``found`` that link, by their full sets; ``rows``: id and text."""
-    found = materialise(found, f"{name}_pairs")
-    ends = found.select(F.col("a").alias("id")).union(found.select(F.col("b").alias("id"))).distinct()
-    sets = materialise(rows.join(ends, "id", "left_semi").select("id", "text").mapInArrow(trimmed(set_maker(words)), "id bigint, shingles array<bigint>"), f"{name}_sets")
-    own = lambda c: sets.select(F.col("id").alias(c), F.col("shingles").alias(f"_{c}"))
-    common = F.size(F.array_intersect("_a", "_b"))
-    both = found.join(own("a"), "a").join(own("b"), "b").select("a", "b", common.alias("c"), (F.size("_a") + F.size("_b")).alias("s"))
-    return materialise(both.where(100 * F.col("c") >= percent * (F.col("s") - F.col("c"))).select("a", "b"), name)
-
-
-def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
+def whole_clusters(gathered: DataFrame, nodes: DataFrame, percent: int, weight: int) -> DataFrame:
+    """All links that matter within clusters; ``gathered``: rows ``cluster``, ``blocks`` (of its weight), ``id``, ``n``, bits and ``shingles``."""
+    one = lambda df, seed: df.withColumn("block", F.pmod(F.xxhash64("id", F.lit(seed)), F.col("blocks")).cast("int")).withColumns({"low": F.col("block"), "high": F.col("block")})
+    links = confirmed(one(gathered.withColumn("comp", F.col("id")), 1), percent, "linked")
+    large = gathered.where("blocks > 1")
+    if not large.take(1):
+        return links
+    # The same again by another hash: components of blocks meet.
+    found = connect(nodes, links)
+    placed = lambda: large.join(found.select(F.col("fp").alias("id"), "top"), "id", "left").withColumn("comp", F.coalesce("top", "id")).drop("top")
+    links = links.union(confirmed(one(placed(), 2), percent, "linked2"))
+    found = connect(nodes, links)
+    rows = materialise(placed(), "large")
+    # What is outside the largest component of its cluster meets all blocks; clusters are few beside their rows, which are over a block each.
+    sizes = rows.groupBy("cluster", "comp").agg(F.count("*").alias("m"), F.sum(F.col("n") + EACH).alias("w"))
+    big = sizes.groupBy("cluster").agg(F.max_by("comp", F.struct("m", "comp")).alias("most"), F.sum("w").alias("all"), F.max_by("w", F.struct("m", "comp")).alias("own"))
+    parts = lambda c: F.ceil(c / F.lit(weight)).cast("int")
+    big = materialise(big.select("cluster", "most", parts(F.col("own")).alias("inside"), parts(F.col("all") - F.col("own")).alias("outside")).where("outside > 0"), "big")
+    rows = look_up(rows, "cluster", big).where("outside IS NOT NULL")
+    of = lambda c: F.pmod(F.xxhash64("id", F.lit(3)), F.col(c)).cast("int")
+    rows = rows.withColumn("block", F.when(F.col("comp") == F.col("most"), F.col("outside") + of("inside")).otherwise(of("outside")))
+    others = F.when(F.col("block") < F.col("outside"), F.sequence(F.lit(0), F.col("outside") + F.col("inside") - 1)).otherwise(F.sequence(F.lit(0), F.col("outside") - 1))
+    tiles = rows.withColumn("other", F.explode(others)).withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")})
+    return links.union(confirmed(tiles, percent, "rest"))
+
+
+def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT, block: int = BLOCK, weight: int = WEIGHT) -> DataFrame:
     """A row for each row of ``df``: ``doc_id``, ``n_shingles``, ``component_id``, ``kept``."""
     bands, width = layout(percent)
     named = df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), F.monotonically_increasing_id().alias("id"))
     rows = materialise(named.mapInArrow(trimmed(sketcher(words, bands, width)), PRINTED), "sketched")
     points = materialise(rows.where("n > 0").groupBy("sig").agg(F.min("id").alias("id"), F.min("doc_id").alias("low")), "points")
 
-    reps = rows.join(points.select("id"), "id", "left_semi")
+    # Hints keep the plan the same at all sizes.
+    bits = [F.col("bits")[k].alias(w) for k, w in enumerate(W)]
+    reps = materialise(rows.select("id", F.col("n").cast("int").alias("n"), "keys", *bits).join(points.select("id"), "id", "left_semi"), "representatives")
     dealt = reps.select(F.explode("keys").alias("key"), "id")
-    buckets = materialise(dealt.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "buckets")
-    shared = materialise(dealt.join(buckets.select("key"), "key", "left_semi"), "shared")
-    sized = look_up(shared, "key", buckets).select("key", "size", "id")
-    bits = reps.select("id", F.col("n").cast("int").alias("n"), *[F.col("bits")[k].alias(w) for k, w in enumerate(W)])
-    members = materialise(sized.join(bits, "id"), "members")
+    buckets = materialise(dealt.groupBy("key").agg(F.count("*").cast("int").alias("size")).where("size > 1"), "buckets")
+    shared = materialise(dealt.join(buckets.select("key").hint("merge"), "key", "left_semi"), "shared")
+    members = look_up(shared, "key", buckets).select("key", "size", "id").join(reps.drop("keys"), "id")
+    maybe = candidates(members, percent, block)
 
     nodes = points.select(F.col("id").alias("fp"), F.coalesce("low", F.lit(NO_ID)).alias("label"))
-    links = confirmed(pairs(members.withColumn("comp", F.col("id")), percent, False, block), rows, words, percent, "linked")
-    found = connect(nodes, links)
-    # What a bucket still holds apart is compared whole.
-    placed = members.join(found.select(F.col("fp").alias("id"), "top"), "id", "left").withColumn("comp", F.coalesce("top", "id")).drop("top")
-    placed = materialise(placed, "placed")
-    apart = materialise(placed.groupBy("key").agg(F.min("comp").alias("_x"), F.max("comp").alias("_y")).where("_x <> _y").select("key", F.lit(True).alias("_apart")), "apart")
-    rest = look_up(placed, "key", apart).where("_apart").drop("_apart")
-    more = confirmed(pairs(rest, percent, True, block), rows, words, percent, "more")
-    if more.take(1):
-        found = connect(nodes, links.union(more))
+    clusters = connect(nodes, maybe).select(F.col("fp").alias("id"), F.col("top").alias("cluster")).join(reps.drop("keys"), "id")
+    clusters = materialise(clusters, "clusters")
+    sizes = materialise(clusters.groupBy("cluster").agg(F.ceil(F.sum(F.col("n") + EACH) / F.lit(weight)).cast("int").alias("blocks")), "cluster_sizes")
+    sized = look_up(clusters, "cluster", sizes)
+    gathered = sized.join(rows.select("id", "text"), "id").select("cluster", "blocks", "id", "n", *W, "text")
+    schema = "cluster bigint, blocks int, id bigint, n int, " + ", ".join(f"{w} bigint" for w in W) + ", shingles array<bigint>"
+    gathered = materialise(gathered.mapInArrow(trimmed(set_maker(words)), schema), "gathered")
+    found = connect(nodes, whole_clusters(gathered, nodes, percent, weight))
 
     label = F.when(F.col("label") != NO_ID, F.col("label"))
     groups = points.join(found.select(F.col("fp").alias("id"), label.alias("reached"), F.lit(True).alias("linked")), "id", "left")

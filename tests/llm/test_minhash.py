@@ -89,10 +89,10 @@ def test_layout_misses_nothing_in_practice():
         minhash.layout(2)
 
 
-@pytest.mark.parametrize("block", [minhash.BLOCK, 5])
-def test_components_by_all_pairs(spark, block):
+@pytest.mark.parametrize("block, weight", [(minhash.BLOCK, minhash.WEIGHT), (5, 2000)])
+def test_components_by_all_pairs(spark, block, weight):
     rows = group_rows(4, 6, 14, 7)
-    got = found(spark, rows, block=block)
+    got = found(spark, rows, block=block, weight=weight)
     assert got == brute(rows)
     assert 6 <= sum(n for (*_, kept), n in got.items() if kept) < len(rows)
 
@@ -101,7 +101,7 @@ def test_group_around_the_threshold(spark):
     """Chains: each text shares just enough with the next, the ends share little."""
     words = [f"t{k}" for k in range(400)]
     rows = [(k, " ".join(words[10 * k : 10 * k + 100])) for k in range(30)]
-    assert found(spark, rows, block=4) == brute(rows)
+    assert found(spark, rows, block=4, weight=1500) == brute(rows)
 
 
 def test_cases(spark, docs, none):
