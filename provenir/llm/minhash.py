@@ -53,8 +53,8 @@ MISS = 1e-6
 BLOCK, ROWS = 2048, 256
 #: Weight of a block of a cluster: its shingles and ``EACH`` for each set.
 WEIGHT, EACH = 1 << 20, 256
-#: Shingles that are sketched at once.
-AT_ONCE = 1 << 19
+#: Shingles that are sketched at once, and rows of keys that a task sorts.
+AT_ONCE, SORTED = 1 << 17, 1 << 20
 NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -162,6 +162,31 @@ def sketcher(words: int, bands: int, rows: int):
     return run
 
 
+def meet(batches):
+    """Over rows ``key``, ``id`` in order of keys: those whose key is a neighbour's, and those of the first and the last key, which may go on in other tasks."""
+    first, held = None, None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key, id_ = (c.to_numpy() for c in batch.columns)
+        if held is not None:
+            key, id_ = np.concatenate([held[0], key]), np.concatenate([held[1], id_])
+        else:
+            first = key[0]
+        same = key[1:] == key[:-1]
+        keep = key == first
+        keep[1:] |= same
+        keep[:-1] |= same
+        keep[-1] = False  # comes with the next batch, or at the end
+        if held is not None and held[2]:
+            keep[0] = True
+        if keep.any():
+            yield pa.RecordBatch.from_arrays([pa.array(key[keep]), pa.array(id_[keep])], names=["key", "id"])
+        held = (key[-1:], id_[-1:], bool(len(same) and same[-1]))
+    if held is not None:
+        yield pa.RecordBatch.from_arrays([pa.array(held[0]), pa.array(held[1])], names=["key", "id"])
+
+
 def near(n: np.ndarray, block: np.ndarray, bits: np.ndarray, tile: tuple[int, int], percent: int, most: int):
     """Arrays ``a``, ``b``, ``d`` (indices and differing bits) of the pairs of a tile that may link: one end in each of its two blocks."""
     first, second = np.flatnonzero(block == tile[0]), np.flatnonzero(block == tile[1])
@@ -337,13 +362,14 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", word
     rows = materialise(named.mapInArrow(trimmed(sketcher(words, bands, width)), PRINTED), "sketched")
     points = materialise(rows.where("n > 0").groupBy("sig").agg(F.min("id").alias("id"), F.min("doc_id").alias("low")), "points")
 
-    # Hints keep the plan the same at all sizes.
     bits = [F.col("bits")[k].alias(w) for k, w in enumerate(W)]
     reps = materialise(rows.select("id", F.col("n").cast("int").alias("n"), "keys", *bits).join(points.select("id"), "id", "left_semi"), "representatives")
-    dealt = reps.select(F.explode("keys").alias("key"), "id")
-    buckets = materialise(dealt.groupBy("key").agg(F.count("*").cast("int").alias("size")).where("size > 1"), "buckets")
-    shared = materialise(dealt.join(buckets.select("key").hint("merge"), "key", "left_semi"), "shared")
-    members = look_up(shared, "key", buckets).select("key", "size", "id").join(reps.drop("keys"), "id")
+    # Sorted by ranges of key and id, so that no task receives all rows of a key, and only rows that share a key go on.
+    parts = max(tasks(df.sparkSession), -(-reps.count() * bands // SORTED))
+    dealt = reps.select(F.explode("keys").alias("key"), "id").repartitionByRange(parts, "key", "id").sortWithinPartitions("key", "id")
+    shared = materialise(dealt.mapInArrow(trimmed(meet), "key bigint, id bigint"), "shared")
+    buckets = materialise(shared.groupBy("key").agg(F.count("*").cast("int").alias("size")).where("size > 1"), "buckets")
+    members = look_up(shared, "key", buckets).where("size > 1").select("key", "size", "id").join(reps.drop("keys"), "id")
     maybe = candidates(members, percent, block)
 
     nodes = points.select(F.col("id").alias("fp"), F.coalesce("low", F.lit(NO_ID)).alias("label"))

@@ -89,6 +89,19 @@ def test_layout_misses_nothing_in_practice():
         minhash.layout(2)
 
 
+def test_rows_that_share_a_key_go_on():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(4)
+    key = np.sort(rng.integers(0, 60, 100))
+    for size in (1, 2, 7, 100):
+        batches = [pa.RecordBatch.from_arrays([pa.array(key[k : k + size]), pa.array(np.arange(k, min(k + size, 100)))], names=["key", "id"]) for k in range(0, 100, size)]
+        got = np.concatenate([b.column(1).to_numpy() for b in minhash.meet(iter(batches))])
+        values, counts = np.unique(key, return_counts=True)
+        want = [i for i, k in enumerate(key) if counts[values == k][0] > 1 or k in (key[0], key[-1])]
+        assert got.tolist() == want
+
+
 @pytest.mark.parametrize("block, weight", [(minhash.BLOCK, minhash.WEIGHT), (5, 2000)])
 def test_components_by_all_pairs(spark, block, weight):
     rows = group_rows(4, 6, 14, 7)
