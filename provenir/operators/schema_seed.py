@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from provenir.functions.text import property_type, slugify
@@ -47,10 +47,14 @@ def rules(facts: DataFrame) -> DataFrame:
     return check.unionByName(wide)
 
 
-def textualize(facts: DataFrame) -> DataFrame:
-    """One line of evidence per fact; lines serve as quotations."""
+#: Order of a table's lines.
+LINES = ("table", "view", "column", "primary_key", "unique", "foreign_key", "check")
+
+
+def line_of():
+    """The line of evidence of a fact."""
     where = F.concat_ws(".", "schema", "table")
-    line = (
+    return (
         F.when(F.col("kind") == "table", F.concat(F.lit("TABLE "), where))
         .when(F.col("kind") == "column", F.concat(F.lit("  "), F.concat_ws(" ", "name", "sql_type", F.when(~F.col("nullable"), "NOT NULL"))))
         .when(F.col("kind") == "primary_key", F.concat(F.lit("  PRIMARY KEY "), F.array_join("columns", ", ")))
@@ -59,7 +63,51 @@ def textualize(facts: DataFrame) -> DataFrame:
         .when(F.col("kind") == "check", F.concat(F.lit("  CHECK "), F.col("expression")))
         .when(F.col("kind") == "view", F.concat(F.lit("VIEW "), where))
     )
-    rank = F.array_position(F.array(*map(F.lit, ("table", "view", "column", "primary_key", "unique", "foreign_key", "check"))), F.col("kind"))
-    rows = facts.withColumn("line", line).where("line IS NOT NULL")
-    item = F.struct("schema", "table", rank.alias("r"), F.coalesce("ord", F.lit(0)).alias("o"), "line")
+
+
+def line_rank():
+    return F.array_position(F.array(*map(F.lit, LINES)), F.col("kind"))
+
+
+def textualize(facts: DataFrame) -> DataFrame:
+    """One line of evidence per fact; lines serve as quotations."""
+    rows = facts.withColumn("line", line_of()).where("line IS NOT NULL")
+    item = F.struct("schema", "table", line_rank().alias("r"), F.coalesce("ord", F.lit(0)).alias("o"), "line")
     return rows.groupBy("file").agg(F.array_join(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["line"]), "\n").alias("text"))
+
+
+def evidence_index(facts: DataFrame) -> DataFrame:
+    """The lines of that text with their places: ``file``, ``node_id``, ``node_kind``, ``line`` (from 1), ``char_start``, ``char_end``, ``text``.
+
+    Places are prefix sums in two steps, within a table and over tables, so no window holds more than a
+    table's lines or one row for each table of a file. Equal facts are equal lines, each with its own place.
+    """
+    rows = facts.select("*", line_of().alias("text"), line_rank().alias("_r"), F.coalesce("ord", F.lit(0)).alias("_o")).where("text IS NOT NULL")
+    own = Window.partitionBy("file", "schema", "table").orderBy("_r", "_o", "text")
+    size = F.length("text") + 1
+    inner = rows.select("*", F.row_number().over(own).alias("_n"), (F.sum(size).over(own.rowsBetween(Window.unboundedPreceding, 0)) - size).alias("_at"))
+    tables = rows.groupBy("file", "schema", "table").agg(F.count("*").alias("_lines"), F.sum(size).alias("_size"))
+    before = Window.partitionBy("file").orderBy("schema", "table").rowsBetween(Window.unboundedPreceding, -1)
+    starts = tables.select("file", "schema", "table", F.coalesce(F.sum("_lines").over(before), F.lit(0)).alias("_l"), F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_s"))
+    same = [F.col(f"i.{c}").eqNullSafe(F.col(f"t.{c}")) for c in ("file", "schema", "table")]
+    placed = inner.alias("i").join(starts.alias("t"), same[0] & same[1] & same[2]).select("i.*", "_l", "_s")
+    start = F.col("_s") + F.col("_at")
+    kind = F.when(F.col("kind").isin("table", "view"), "object").when(F.col("kind") == "column", "property").when(F.col("kind") == "foreign_key", "relationship").when(F.col("kind").isin("check", "unique"), "rule").otherwise("key")
+    part = F.when(F.col("kind").isin("table", "view"), "").otherwise(F.concat(F.lit("."), F.when(F.col("kind") == "column", F.col("name")).otherwise(F.concat_ws(":", "kind", F.coalesce(F.array_join("columns", ","), F.lit("")), F.coalesce("expression", F.concat_ws(".", "ref_schema", "ref_table"))))))
+    node = F.concat(object_id("schema", "table"), part)
+    return placed.select("file", node.alias("node_id"), kind.alias("node_kind"), (F.col("_l") + F.col("_n")).alias("line"), start.alias("char_start"), (start + F.length("text")).alias("char_end"), "text")
+
+
+def citations(index: DataFrame) -> DataFrame:
+    """What each seeded node cites: its own line without the indent."""
+    indent = F.length("text") - F.length(F.ltrim("text"))
+    return index.where("node_kind <> 'key'").select("file", "node_id", "node_kind", "line", (F.col("char_start") + indent).alias("char_start"), "char_end", F.ltrim("text").alias("snippet"))
+
+
+def survival(cites: DataFrame, index: DataFrame) -> DataFrame:
+    """``cites`` with ``verified``: whether the slice at its place is the snippet. A place is looked up by its line, so nothing is searched; outside its line or file nothing is verified."""
+    lines = index.select("file", "line", F.col("char_start").alias("_s"), F.col("text").alias("_t"))
+    at = cites.join(lines, ["file", "line"], "left")
+    slice_ = F.substring(F.col("_t"), (F.col("char_start") - F.col("_s") + 1).cast("int"), (F.col("char_end") - F.col("char_start")).cast("int"))
+    inside = (F.col("char_start") >= F.col("_s")) & (F.col("char_end") <= F.col("_s") + F.length("_t")) & (F.col("char_end") > F.col("char_start"))
+    return at.select(*cites.columns, F.coalesce(inside & (slice_ == F.col("snippet")), F.lit(False)).alias("verified"))
