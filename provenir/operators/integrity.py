@@ -68,15 +68,65 @@ def dangling(tables: dict[str, DataFrame], paths: list[Path]) -> DataFrame:
     for p in paths:
         if p.owner not in tables or p.target not in tables or p.column not in tables[p.owner].columns:
             continue
-        own = tables[p.owner].select(F.col(p.key).alias("_from"), F.col(p.column).alias("_ref"))
-        if own.schema["_ref"].dataType.typeName() == "array":
-            own = own.select("_from", F.explode("_ref").alias("_ref"))
+        own = references(tables, p)
         ids = tables[p.target].select(F.col(p.target_key).alias("_ref")).distinct()
         lost = own.where(F.col("_ref").isNotNull()).join(ids, "_ref", "left_anti")
         parts.append(lost.select(*issue(p.level, p.kind, p.owner, F.col("_from"), p.column, F.col("_ref"))))
     return reduce(DataFrame.unionByName, parts)
 
 
+def revalidate(old: dict[str, DataFrame], new: dict[str, DataFrame], paths: list[Path], before: DataFrame, touched: set[str] | None = None) -> DataFrame:
+    """The issues of ``dangling(new, paths)`` from those ``before`` (of ``old``) and the differences between the two models.
+
+    Only paths are read whose owner or target table is in ``touched`` (all, if not given). Of such a path, owners
+    whose references changed are checked again, other owners only against targets that went; issues whose
+    target came are dropped. All other issues stand.
+    """
+    touched = touched if touched is not None else set(old) | set(new)
+    out = []
+    for p in paths:
+        at = (F.col("owner") == p.owner) & (F.col("field") == p.column)
+        known = lambda t: p.owner in t and p.target in t and p.column in t[p.owner].columns
+        was = before.where(at)
+        if not known(new):
+            continue
+        if not {p.owner, p.target} & touched and known(old):
+            out.append(was)
+            continue
+        if not known(old):
+            out.append(dangling(new, [p]))
+            continue
+        refs, lost_ids, new_ids, again = references(new, p), None, None, None
+        if p.owner in touched:
+            sides = references(old, p).withColumn("_n", F.lit(-1)).unionByName(refs.withColumn("_n", F.lit(1)))
+            changed = sides.groupBy("_from", "_ref").agg(F.sum("_n").alias("_n")).where("_n <> 0").select("_from").distinct()
+            was = was.join(changed.select(F.col("_from").cast("string").alias("from_id")), "from_id", "left_anti")
+            again = refs.join(changed, "_from", "left_semi")
+            refs = refs.join(changed, "_from", "left_anti")
+        ids = lambda t: t[p.target].select(F.col(p.target_key).alias("_ref")).where("_ref IS NOT NULL").distinct()
+        if p.target in touched:
+            lost_ids, new_ids = ids(old).join(ids(new), "_ref", "left_anti"), ids(new).join(ids(old), "_ref", "left_anti")
+            was = was.join(new_ids.select(F.col("_ref").cast("string").alias("missing_id")), "missing_id", "left_anti")
+        row = issue(p.level, p.kind, p.owner, F.col("_from"), p.column, F.col("_ref"))
+        out.append(was.select(*ISSUE))
+        if again is not None:
+            out.append(again.where("_ref IS NOT NULL").join(ids(new), "_ref", "left_anti").select(*row))
+        if lost_ids is not None:
+            out.append(refs.join(lost_ids, "_ref", "left_semi").select(*row))
+    return reduce(DataFrame.unionByName, [x.select(*ISSUE) for x in out]) if out else before.limit(0)
+
+
+def references(tables: dict[str, DataFrame], p: Path) -> DataFrame:
+    """``_from`` and ``_ref`` of a path's owners, arrays taken apart; an owner without references has none."""
+    own = tables[p.owner].select(F.col(p.key).alias("_from"), F.col(p.column).alias("_ref"))
+    return own.select("_from", F.explode("_ref").alias("_ref")) if own.schema["_ref"].dataType.typeName() == "array" else own
+
+
+def issues_of_stage(issues: DataFrame, prefixes: list[str]) -> DataFrame:
+    """The issues that come from ids of a stage."""
+    return issues.where(reduce(lambda a, b: a | b, [F.col("from_id").startswith(x) for x in prefixes]))
+
+
 def duplicate_ids(nodes: DataFrame, key: str = "id", order: str = "ord") -> DataFrame:
     """V1: every row of an id but the first."""
     w = Window.partitionBy(key).orderBy(order)

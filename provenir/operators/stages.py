@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+import json
+import time
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from provenir.functions.text import camel, col, search_form, slugify, strip, upper_snake
-from provenir.operators.model import KINDS, has_cjk, relation
+from provenir.operators import integrity
 from provenir.operators.matching import numbered
+from provenir.operators.model import KINDS, has_cjk, relation
 from provenir.operators.project import layer_of
+from provenir.sources.store import Files, name_of
+from provenir.sources.tables import keep
 
 #: Stages in order, the kind that each makes, and the prefixes of what it owns.
 STAGES = ["objects", "rules", "actions", "events", "processes"]
@@ -397,3 +403,85 @@ class Run:
         while self.next_stage() and status == "complete":
             _, status = self.step()
         return status
+
+    def rerun(self, stage: str, model, paths: list, prefixes: list[str], before: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+        """A stage again: its layer, and its issues from the differences alone.
+
+        ``model`` makes the tables of a model from layers; ``before``: the issues of the model so far (computed, if not given).
+        """
+        done = {r["stage"] for r in self.state() if r["status"] == "complete"}
+        # The layer is written over, so what it was is kept for the comparison.
+        old = {s: keep(self.layer(s), f"before_{s}") if s == stage else self.layer(s) for s in self.stages if s in done}
+        was = model(old)
+        before = integrity.dangling(was, paths) if before is None else before
+        before = keep(before, "issues_before")
+        _, status = self.step(stage)
+        if status != "complete":
+            raise RuntimeError(self.state()[-1]["detail"])
+        layer = self.layer(stage)
+        now = model({**old, stage: layer})
+        issues = integrity.revalidate(was, now, paths, before)
+        return layer, integrity.issues_of_stage(issues, prefixes)
+
+
+class StepFailed(Exception):
+    """A sub-step that has come to its end without a result: it is noted and the run goes on."""
+
+
+class Cursor:
+    """A run that its clients pace, one sub-step a call, any number of them at once.
+
+    The cursor is a row of files that can each be created once, so a call moves it by one or not at all. A
+    sub-step is claimed before it runs; a client that meets a claim is told ``busy`` until the
+    claim's ``lease`` is over (its client has crashed), then it may take the sub-step over. A call that raises does not move the
+    cursor; a sub-step that raises ``StepFailed`` does. What it wrote counts only once the cursor has moved, so of two that
+    ran the same sub-step one counts.
+    """
+
+    def __init__(self, spark, folder: str, run_id: str, steps: list[tuple[str, Callable]], lease: float = 600, clock: Callable = time.time):
+        self.spark, self.steps, self.lease, self.clock = spark, steps, lease, clock
+        self.files = Files(spark, f"{folder.rstrip('/')}/cursors/{name_of(run_id)}")
+
+    def done(self) -> list[dict]:
+        """The sub-steps that count, in order."""
+        return [json.loads(self.files.read(f"cursor/{n}")) for n in self.files.names("cursor") if n.endswith(".json") and not n.startswith(".")]
+
+    def results(self) -> dict[str, DataFrame]:
+        """What the sub-steps so far have written."""
+        return {d["step"]: self.spark.read.parquet(f"{self.files.folder}/out/{d['data']}") for d in self.done() if d["data"]}
+
+    def _claim(self, at: int) -> str | None:
+        held = [n for n in self.files.names("claims") if n.startswith(f"{at:06d}.") and n.endswith(".json")]
+        if held and not self.files.exists(f"claims/{held[-1][:-5]}.free") and json.loads(self.files.read(f"claims/{held[-1]}"))["until"] > self.clock():
+            return None
+        name = f"claims/{at:06d}.{len(held):06d}"
+        return name if self.files.create_once(f"{name}.json", json.dumps({"until": self.clock() + self.lease})) else None
+
+    def advance(self, expected: int | None = None) -> dict:
+        """Run the next sub-step: ``cursor`` (sub-steps done), ``status`` (``running``, ``complete``, ``busy``, or ``behind`` where the cursor is not ``expected``; then nothing ran) and the last ``step``."""
+        done = self.done()
+        at = len(done)
+        tell = lambda status, d: {"cursor": len(d), "status": status, "step": d[-1]["step"] if d else None}
+        if at >= len(self.steps):
+            return tell("complete", done)
+        if expected is not None and expected != at:
+            return tell("behind", done)
+        claim = self._claim(at)
+        if claim is None:
+            return tell("busy", done)
+        # Another client may have moved on between the look and the claim.
+        if len(self.done()) != at:
+            return tell("behind", self.done())
+        name, work = self.steps[at]
+        data, note = uuid.uuid4().hex, {"step": name, "status": "complete", "detail": ""}
+        try:
+            work(self.results()).write.parquet(f"{self.files.folder}/out/{data}")
+        except StepFailed as e:
+            data, note = None, {"step": name, "status": "failed", "detail": str(e)[:500]}
+        except BaseException:
+            self.files.create_once(f"{claim}.free", "{}")
+            raise
+        if not self.files.create_once(f"cursor/{at + 1:06d}.json", json.dumps({**note, "data": data})) and data:
+            self.files.delete(f"out/{data}")
+        done = self.done()
+        return tell("complete" if len(done) >= len(self.steps) else "running", done)

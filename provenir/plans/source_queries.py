@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+import uuid
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from provenir.operators import integrity as V
 from provenir.operators import schema_seed as S
+from provenir.operators import stages
 from provenir.plans.catalogue import query, read
 from provenir.sources import catalogs as C
+from provenir.sources import store, tables
 
 #: Orders as relations and their lines as columns; an order refers to the customer's order before it, by lines of either in an order of their own.
 CATALOG = """rel AS (
@@ -126,3 +133,92 @@ def v16_grounding_survival(spark, d):
     false = F.regexp_extract("node_id", r"order-(\d+)", 1).cast("bigint") % 97 == 0
     planted = cites.withColumn("snippet", F.when(false, F.concat("snippet", F.lit("?"))).otherwise(F.col("snippet")))
     return S.survival(planted, index).drop("node_id")
+
+
+# Store ----------------------------------------------------------------------------------------------------
+
+def folder(spark) -> str:
+    return f"{tables.own_folder(spark)}/{uuid.uuid4().hex}"
+
+
+@query("SELECT CAST(v AS INTEGER) AS version, c_nationkey % 3 AS part, count(*) AS n FROM customer, range(1, 4) AS t(v) GROUP BY ALL")
+def s18_concurrent_versions(spark, d):
+    s = store.Store(spark, folder(spark))
+    rows = read(spark, d, "customer").select(F.lit("object").alias("kind"), F.col("c_custkey").cast("string").alias("id"), (F.col("c_nationkey") % 3).alias("part"))
+    with ThreadPoolExecutor(3) as pool:
+        versions = list(pool.map(lambda _: s.save("m", "Model", "retail", rows), range(3)))
+    saved = reduce(DataFrame.unionByName, [s.nodes("m", v) for v in versions])
+    return saved.groupBy("version", "part").agg(F.count("*").alias("n"))
+
+
+def graph_parts(spark, d, seq: int):
+    """Customers and nations as a graph: in the second import a third of the customers are missing and the names are new."""
+    c = read(spark, d, "customer").where((F.lit(seq) == 1) | (F.col("c_custkey") % 3 != 0))
+    text = lambda p, k: F.concat(F.lit(p), F.col(k).cast("string"))
+    nodes = c.select(F.lit("Customer").alias("label"), text("c", "c_custkey").alias("id"), F.to_json(F.struct(F.concat("c_name", F.lit(f" {seq}")).alias("name"))).alias("props"))
+    nations = read(spark, d, "nation").where("n_nationkey < 20").select(F.lit("Nation").alias("label"), text("n", "n_nationkey").alias("id"), F.lit("{}").alias("props"))
+    edges = c.select(F.lit("IN").alias("type"), text("c", "c_custkey").alias("source"), text("n", "c_nationkey").alias("target"), F.lit(f'{{"seq":{seq}}}').alias("props"))
+    # Rows come more than once, and some edges have no end.
+    return nodes.unionByName(nations).unionByName(nodes), edges.unionByName(edges)
+
+
+@query("""SELECT k AS run, 'Customer' AS label, 'c' || c_custkey AS id, '{"name":"' || c_name || CASE WHEN c_custkey % 3 <> 0 THEN ' 2"}' ELSE ' 1"}' END AS props, CASE WHEN c_nationkey < 20 THEN 'n' || c_nationkey END AS target, CASE WHEN c_nationkey < 20 THEN '{"seq":' || CASE WHEN c_custkey % 3 <> 0 THEN 2 ELSE 1 END || '}' END AS edge
+  FROM customer, range(2) AS t(k) UNION ALL SELECT k, 'Nation', 'n' || n_nationkey, '{}', NULL, NULL FROM nation, range(2) AS t(k) WHERE n_nationkey < 20""")
+def s19_graph_merge(spark, d):
+    out = []
+    for run, order in enumerate(([1, 2, 1], [2, 1])):
+        g = store.Graph(spark, folder(spark), buckets=8)
+        for seq in order:
+            g.merge(*graph_parts(spark, d, seq), "model", seq)
+        if run:
+            g.compact("nodes", 1)
+        edges = g.edges().select(F.col("source").alias("id"), "target", F.col("props").alias("edge"))
+        out.append(g.nodes().join(edges, "id", "left").select(F.lit(run).cast("bigint").alias("run"), "label", "id", "props", "target", "edge"))
+    return out[0].unionByName(out[1])
+
+
+@query("SELECT 'run' || o_custkey % 5 AS run_id, '[' || strftime(TIMESTAMP '2024-01-01' + to_milliseconds(o_orderkey), '%Y-%m-%d %H:%M:%S.%g') || ' +0000] [llm] task=t' || o_orderkey || ' provider=p model=m' || CASE WHEN o_orderkey % 2 = 0 THEN ' tokens(prompt=' || o_custkey || ', completion=0, total=' || o_orderkey || ')' ELSE '' END || ' ' || o_custkey || 'ms ' || CASE WHEN o_orderstatus = 'F' THEN 'ERROR: no reply' ELSE 'ok' END || CASE WHEN o_orderkey % 3 = 0 THEN ' [retry]' ELSE '' END AS line FROM orders")
+def s20_run_log(spark, d):
+    log = store.RunLog(spark, folder(spark))
+    o = read(spark, d, "orders")
+    even = lambda c: F.when(F.col("o_orderkey") % 2 == 0, F.col(c))
+    message = store.call_line(
+        F.concat(F.lit("t"), F.col("o_orderkey").cast("string")), F.lit("p"), F.lit("m"), F.col("o_orderstatus") != "F", prompt=even("o_custkey"), total=even("o_orderkey"), millis=F.col("o_custkey"),
+        error=F.lit("no\nreply "), note=F.when(F.col("o_orderkey") % 3 == 0, "retry"),
+    )
+    lines = o.select(F.concat(F.lit("run"), (F.col("o_custkey") % 5).cast("string")).alias("run_id"), F.timestamp_millis(F.lit(1_704_067_200_000) + F.col("o_orderkey")).alias("at"), F.lit("llm").alias("category"), message.alias("message"), (F.col("o_orderkey") % 3).alias("block"))
+    for k in range(3):
+        log.append(lines.where(F.col("block") == k))
+    log.compact()
+    return store.stamped(log.rows()).select("run_id", "line")
+
+
+@query("SELECT c_custkey, c_nationkey + 2 AS value, 3 AS cursor FROM customer WHERE c_custkey % 2 = 0")
+def t1_client_paced_run(spark, d):
+    c = read(spark, d, "customer")
+    steps = [
+        ("read", lambda got: c.select("c_custkey", F.col("c_nationkey").cast("int").alias("value"))),
+        ("filter", lambda got: got["read"].where("c_custkey % 2 = 0")),
+        ("add", lambda got: got["filter"].withColumn("value", F.col("value") + 2)),
+    ]
+    place = folder(spark)
+    clients = [stages.Cursor(spark, place, "run", steps) for _ in range(2)]
+    told = {"cursor": 0, "status": "running"}
+    for k in range(12):  # two clients in turn; what comes late or twice changes nothing
+        if told["status"] == "complete":
+            break
+        told = clients[k % 2].advance(told["cursor"])
+    return clients[0].results()["add"].withColumn("cursor", F.lit(told["cursor"]))
+
+
+@query("""WITH c AS (SELECT c_custkey AS id FROM customer WHERE c_custkey % 7 <> 0 UNION SELECT c_custkey + 1000000 FROM customer WHERE c_custkey % 11 = 0), e AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 5 = 0 THEN o_custkey + 1000000 ELSE o_custkey END AS source, o_custkey % 13 AS target FROM orders)
+  SELECT 'relationship' AS owner, CAST(id AS VARCHAR) AS from_id, 'source' AS field, CAST(source AS VARCHAR) AS missing_id FROM e WHERE source NOT IN (SELECT id FROM c)
+  UNION ALL SELECT 'relationship', CAST(id AS VARCHAR), 'target', CAST(target AS VARCHAR) FROM e WHERE target NOT IN (SELECT id FROM c)""")
+def x37_issues_of_a_rerun(spark, d):
+    c, o = read(spark, d, "customer"), read(spark, d, "orders")
+    edges = lambda far: o.select(F.col("o_orderkey").alias("id"), F.when((F.col("o_orderkey") % 5 == 0) & far, F.col("o_custkey") + 1_000_000).otherwise(F.col("o_custkey")).alias("source"), (F.col("o_custkey") % 13).alias("target"))
+    old = {"object_type": c.select(F.col("c_custkey").alias("id")), "relationship": edges(F.lit(False))}
+    more = c.where("c_custkey % 11 = 0").select((F.col("c_custkey") + 1_000_000).alias("id"))
+    new = {"object_type": old["object_type"].where("id % 7 <> 0").unionByName(more), "relationship": edges(F.lit(True))}
+    before = tables.keep(V.dangling(old, V.MODEL_PATHS), "issues")
+    return V.revalidate(old, new, V.MODEL_PATHS, before).select("owner", "from_id", "field", "missing_id")
