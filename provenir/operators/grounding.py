@@ -22,43 +22,58 @@ FUZZY, MOST_TOKENS = 0.8, 4000
 PIECE = 6
 #: Words of a quotation that key the corpus-wide lookup at most.
 ANCHOR = 3
+#: Keys of quotations up to which they are broadcast (some 16 bytes each, tokens some 30); beyond, they are joined by shuffle.
+FEW = 200_000
 
 
 def split_words(c) -> Column:
     return F.split(c, "[^A-Za-z0-9]+")
 
 
-def runs_of(words: Column, n: int) -> Column:
-    """The runs of ``n`` words in turn."""
-    return F.transform(F.when(F.size(words) >= n, F.sequence(F.lit(0), F.size(words) - n)), lambda i: F.array_join(F.slice(words, i + 1, n), " "))
+def run_hashes(words: Column, n: int) -> Column:
+    """Hashes of the runs of ``n`` words in turn."""
+    first = F.slice(words, F.lit(1), F.greatest(F.size(words) - (n - 1), F.lit(0)))
+    return F.transform(first, lambda w, i: F.xxhash64(F.lit(n), w, *[F.get(words, i + k) for k in range(1, n)]))
 
 
-def contains_pairs(quotes: DataFrame, docs: DataFrame, quote_key: str, doc_key: str, quote: str, text: str) -> DataFrame:
-    """``doc_key``, ``quote_key``, ``_t`` and ``_q`` where a document's text holds the quotation; both sides in the form to compare.
+def bounded(df: DataFrame, n: int) -> DataFrame:
+    """``df`` (a column of keys or two) of ``n`` rows, to be broadcast where these are few."""
+    return F.broadcast(df) if n <= FEW else df
 
-    A quotation's inner words stand whole, and in turn, in any text that holds it. One
-    run of up to ``ANCHOR`` of them (the longest, as a guess at the rarest) is its key;
-    documents give the hashes of their runs of those lengths. Candidates are written as
-    pairs of keys, and only then do texts meet. Quotations without an inner word go by
-    the characters they have, cut into pieces.
+
+def contains_pairs(quotes: DataFrame, docs: DataFrame, quote_key: str, doc_key: str, quote: str, text: str, form=F.col) -> DataFrame:
+    """``doc_key``, ``quote_key``, ``_t`` and ``_q`` where a document's text holds the quotation; ``form`` makes the form of a text to compare.
+
+    A quotation's inner words stand whole, and in turn, in any text that holds it. Documents
+    give the hashes of their runs of up to ``ANCHOR`` words that are runs of some quotation (runs
+    of no quotation go no further); these are counted, and each quotation's rarest run is its key.
+    Candidates are written as pairs of keys, and only then do texts meet. Quotations without an
+    inner word go by the characters they have, cut into pieces.
     """
-    q = quotes.select(F.col(quote_key), F.col(quote).alias("_q")).where(F.length("_q") > 0)
-    d = docs.select(F.col(doc_key), F.col(text).alias("_t"))
+    q = quotes.select(F.col(quote_key), form(quote).alias("_q")).where(F.length("_q") > 0)
+    d = docs.select(F.col(doc_key), form(text).alias("_t"))
     words = split_words("_q")
     q = q.withColumn("_w", F.when(F.size(words) > 2, F.slice(words, 2, F.size(words) - 2)).otherwise(F.array().cast("array<string>")))
     q = q.withColumn("_n", F.least(F.size("_w"), F.lit(ANCHOR)))
-    longest = lambda n: F.array_max(F.transform(runs_of(F.col("_w"), n), lambda r: F.struct(F.length(r).alias("n"), r.alias("r"))))["r"]
-    run = F.when(F.col("_n") == ANCHOR, longest(ANCHOR))
-    for n in range(1, ANCHOR):
-        run = run.when(F.col("_n") == n, longest(n))
-    keyed = keep(q.select(quote_key, "_n", F.length("_q").alias("_size"), F.xxhash64("_n", run).alias("_h"), "_q"), "anchors")
+    runs = F.lit(None).cast("array<bigint>")
+    for n in range(1, ANCHOR + 1):
+        runs = F.when(F.col("_n") == n, run_hashes(F.col("_w"), n)).otherwise(runs)
+    keyed = keep(q.select(quote_key, "_n", F.length("_q").alias("_size"), F.array_distinct(runs).alias("_runs"), "_q"), "quotations")
     lengths = sorted(r["_n"] for r in keyed.select("_n").distinct().collect())  # 0 to ANCHOR
-    parts = [F.transform(runs_of(F.col("_d"), n), lambda r: F.xxhash64(F.lit(n), r)) for n in lengths if n]  # noqa: B023
+    parts = [run_hashes(F.col("_d"), n) for n in lengths if n]
     found = []
     if parts:
-        hashes = F.array_distinct(F.flatten(F.array_compact(F.array(*parts))))
+        asked = keyed.where("_n > 0").select(quote_key, F.explode("_runs").alias("_h"))
+        every = keep(asked.select("_h").distinct(), "runs")
+        hashes = F.array_distinct(F.flatten(F.array(*parts))) if len(parts) > 1 else F.array_distinct(parts[0])
         said = d.select(doc_key, split_words("_t").alias("_d")).select(doc_key, F.explode(hashes).alias("_h"))
-        found.append(said.join(keyed.where("_n > 0").select(quote_key, "_h"), "_h").select(doc_key, quote_key))
+        said = keep(said.join(bounded(every, every.count()), "_h", "left_semi"), "said")
+        times = said.groupBy("_h").agg(F.count("*").alias("_times"))
+        rarest = asked.join(times, "_h").groupBy(quote_key).agg(F.count("*").alias("_found"), F.min(F.struct("_times", "_h")).alias("_r"))
+        # A text that holds a quotation holds all of its runs: one that no text has is in none.
+        whole = rarest.join(keyed.select(quote_key, F.size("_runs").alias("_all")), quote_key).where("_found = _all")
+        anchors = keep(whole.select(quote_key, F.col("_r._h").alias("_h")), "anchors")
+        found.append(said.join(bounded(anchors, anchors.count()), "_h").select(doc_key, quote_key))
     if 0 in lengths:
         short = keyed.where("_n = 0").select(quote_key, "_q", F.least("_size", F.lit(PIECE)).alias("_k"))
         sizes = sorted(r["_k"] for r in short.select("_k").distinct().collect())  # 1 to PIECE
@@ -68,7 +83,9 @@ def contains_pairs(quotes: DataFrame, docs: DataFrame, quote_key: str, doc_key:
     if not found:
         return d.join(keyed.select(quote_key, "_q"), F.lit(False)).select(doc_key, "_t", quote_key, "_q")
     pairs = keep(reduce(DataFrame.unionByName, found).distinct(), "candidates")
-    return pairs.join(keyed.select(quote_key, "_q"), quote_key).join(d, doc_key).where(F.contains("_t", "_q")).select(doc_key, "_t", quote_key, "_q")
+    # The form is made again for the candidates alone.
+    met = pairs.join(keyed.select(quote_key, "_q"), quote_key).join(docs.select(doc_key, F.col(text).alias("_raw")), doc_key)
+    return met.select(doc_key, form("_raw").alias("_t"), quote_key, "_q").where(F.contains("_t", "_q"))
 
 
 def ground_exact(quotes: DataFrame, docs: DataFrame, quote_key: str = "item_id", doc_key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -83,9 +100,7 @@ def ground_exact(quotes: DataFrame, docs: DataFrame, quote_key: str = "item_id",
 
 def ground_normalized(quotes: DataFrame, docs: DataFrame, quote_key: str = "item_id", doc_key: str = "doc_id", text: str = "text") -> DataFrame:
     """J9, second tier: pairs that agree in lower case with single spaces; offsets in the original text by ``map_back``."""
-    q = quotes.select(quote_key, normalize_search(text).alias("_n"))
-    d = docs.select(doc_key, F.col(text).alias("_o"), normalize_search(text).alias("_n"))
-    hits = keep(contains_pairs(q, d, quote_key, doc_key, "_n", "_n").select(doc_key, quote_key, "_q"), "hits")
+    hits = keep(contains_pairs(quotes, docs, quote_key, doc_key, text, text, normalize_search).select(doc_key, quote_key, "_q"), "hits")
     back = hits.join(docs.select(doc_key, F.col(text).alias("_o")), doc_key)
     return back.mapInArrow(map_back, f"{doc_key} bigint, {quote_key} bigint, char_start int, char_end int")
 
@@ -154,20 +169,27 @@ def ground_fuzzy(quotes: DataFrame, docs: DataFrame, quote_key: str = "item_id",
     """J10 over a corpus: pairs with a window of overlap FUZZY or more; never counts as verified.
 
     Such a window holds at least FUZZY of the quotation's n distinct tokens, so it holds
-    one of any n - ceil(FUZZY n) + 1 of them. The longest ones, as a guess at the rarest,
-    are what documents are looked up by; texts meet only for the pairs this leaves, and
-    only those are scanned that hold enough of all tokens.
+    one of any n - ceil(FUZZY n) + 1 of them. Documents give their tokens that are some quotation's;
+    these are counted, and the rarest ones of a quotation are what it looks documents up by. Texts meet only
+    for the pairs this leaves, and only those are scanned that hold enough of all tokens.
     """
     words = lambda c: F.array_remove(F.array_distinct(F.split(normalize_search(c), " ")), "")
-    q = quotes.select(quote_key, F.col(text).alias("_q"), words(text).alias("_a")).where(F.size("_a") > 0)
-    ranked = F.array_sort("_a", lambda x, y: F.when(F.length(x) != F.length(y), F.length(y) - F.length(x)).when(x < y, -1).when(x > y, 1).otherwise(0))
-    first = F.size("_a") - F.ceil(F.lit(FUZZY) * F.size("_a") - 1e-9).cast("int") + 1
-    asked = q.select(quote_key, F.explode(F.slice(ranked, F.lit(1), first)).alias("tok"))
-    held = docs.select(doc_key, F.explode(words(text)).alias("tok"))
-    pairs = keep(held.join(asked, "tok").select(doc_key, quote_key).distinct(), "candidates")
-    both = pairs.join(q, quote_key).join(docs.select(doc_key, F.col(text).alias("_t")), doc_key)
-    close = both.where(F.size(F.array_intersect("_a", words("_t"))) >= FUZZY * F.size("_a") - 1e-9)
-    return close.select(doc_key, quote_key, "_q", "_t").mapInArrow(best_window, f"{doc_key} bigint, {quote_key} bigint, score double, char_start int, char_end int")
+    q = keep(quotes.select(quote_key, F.col(text).alias("_q"), words(text).alias("_a")).where(F.size("_a") > 0), "quotations")
+    own = q.select(quote_key, F.explode("_a").alias("tok"))
+    every = keep(own.select("tok").distinct(), "tokens")
+    held = keep(docs.select(doc_key, F.explode(words(text)).alias("tok")).join(bounded(every, every.count()), "tok", "left_semi"), "held")
+    times = held.groupBy("tok").agg(F.count("*").alias("n"))
+    # A quotation's tokens, rarest first.
+    ranked = own.join(times, "tok", "left").groupBy(quote_key).agg(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "tok"))).alias("r"))
+    first = F.size("r") - F.ceil(F.lit(FUZZY) * F.size("r") - 1e-9).cast("int") + 1
+    asked = keep(ranked.select(quote_key, F.explode(F.slice("r", F.lit(1), first)).alias("x")).select(quote_key, "x.tok"), "asked")
+    pairs = held.join(bounded(asked, asked.count()), "tok").select(doc_key, quote_key).distinct()
+    # Enough of all tokens, from the tokens alone.
+    size = q.select(quote_key, F.size("_a").alias("_n"))
+    common = pairs.join(own, quote_key).join(held, [doc_key, "tok"], "left_semi").groupBy(doc_key, quote_key).agg(F.count("*").alias("_c"))
+    pairs = keep(common.join(size, quote_key).where(F.col("_c") >= FUZZY * F.col("_n") - 1e-9).select(doc_key, quote_key), "candidates")
+    both = pairs.join(q.select(quote_key, "_q"), quote_key).join(docs.select(doc_key, F.col(text).alias("_t")), doc_key)
+    return both.select(doc_key, quote_key, "_q", "_t").mapInArrow(best_window, f"{doc_key} bigint, {quote_key} bigint, score double, char_start int, char_end int")
 
 
 def page_of(offsets: DataFrame, pages: DataFrame, doc: str) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from provenir.functions.text import col
 from provenir.operators.integrity import issue
 from provenir.operators.matching import numbered
+from provenir.operators.segment import starts_within
 
 
 def carry(prev: DataFrame, new: DataFrame, key: str, columns: list[str]) -> DataFrame:
@@ -82,8 +83,9 @@ def related_entity(c) -> Column:
 def excerpt(rows: DataFrame, by: str, order: str, text: str, most: int, sep: str = "\n\n") -> DataFrame:
     """Texts of a group in order, joined and cut at ``most`` characters.
 
-    Only what can fall within the cut is gathered: running lengths decide before the texts move together.
+    Only what can fall within the cut is gathered: running lengths decide before any text moves.
     """
+    rows = starts_within(rows, by, order, F.coalesce(F.length(text), F.lit(0)) + len(sep), most)
     w = Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     near = rows.withColumn("_b", F.coalesce(F.sum(F.length(text) + len(sep)).over(w), F.lit(0))).where(F.col("_b") < most)
     return near.groupBy(by).agg(F.left(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(text).alias("t")))), lambda x: x["t"]), sep), F.lit(most)).alias("excerpt"))

@@ -10,18 +10,36 @@ from pyspark.sql import functions as F
 from provenir.functions.text import search_tokens, slugify
 
 
+def contested(bases: DataFrame, mark: str) -> DataFrame:
+    """``_base`` of those names (``_base``, ``_n`` rows each) whose numbering can meet another name or another's numbering.
+
+    A name c = b + mark + k can be met by b only if b's rows get as far as k. Each of b's rows takes one
+    number, and passes over those that are names themselves: where c is the i-th such name, k - 1 - i numbers
+    before it are free, so b needs more rows than that. All other names are numbered by their own count.
+    """
+    digits = F.regexp_extract("_base", r"(\d+)$", 1)
+    if mark:
+        parts = bases.select(F.col("_base").alias("_c"), F.regexp_extract("_base", rf"(?s)^(.*){mark}([1-9]\d{{0,17}})$", 1).alias("_b"), F.regexp_extract("_base", rf"(?s)^(.*){mark}([1-9]\d{{0,17}})$", 2).alias("_k"))
+    else:
+        tail = F.least(F.length(digits), F.lit(18))
+        each = bases.where(F.length(digits) > 0).select(F.col("_base").alias("_c"), F.explode(F.sequence(F.lit(1), tail)).alias("_l"))
+        parts = each.select("_c", F.expr("left(_c, length(_c) - _l)").alias("_b"), F.expr("right(_c, _l)").alias("_k")).where(~F.col("_k").startswith("0"))
+    forms = parts.where("_k <> ''").withColumn("_k", F.col("_k").cast("long")).join(bases.select(F.col("_base").alias("_b"), "_n"), "_b")
+    met = forms.withColumn("_i", F.row_number().over(Window.partitionBy("_b").orderBy("_k"))).where("_k - 1 - _i < _n")
+    return met.select(F.explode(F.array("_b", "_c")).alias("_base")).distinct()
+
+
 def numbered(rows: DataFrame, name: Column, order: str, out: str, mark: str) -> DataFrame:
     """``out``: the name, or with the first number from 2 (after ``mark``) that no earlier row's has.
 
-    A name may itself end in a number ("x-2"): families where that can meet a number
-    are taken one by one in order, all others by a window.
+    A name may itself end in a number ("x-2"). Names that such numbering can meet (``contested``) are taken one by
+    one in order, in groups by what is before their numbers; all others are counted.
     """
     base = rows.withColumn("_base", name)
     number = rf"({mark}\d+)+$" if mark else r"\d+$"
-    base = base.withColumn("_family", F.regexp_replace("_base", number, "")).withColumn("_odd", F.col("_base").rlike(number))
-    odd = base.where("_odd").select("_family").distinct()
+    odd = contested(base.where("_base IS NOT NULL").groupBy("_base").agg(F.count("*").alias("_n")), mark)
     w = Window.partitionBy("_base").orderBy(order)
-    plain = base.join(odd, "_family", "left_anti").withColumn("_k", F.row_number().over(w)).withColumn(out, F.when(F.col("_k") == 1, F.col("_base")).otherwise(F.concat("_base", F.lit(mark), F.col("_k").cast("string"))))
+    plain = base.join(odd, "_base", "left_anti").withColumn("_k", F.row_number().over(w)).withColumn(out, F.when(F.col("_k") == 1, F.col("_base")).otherwise(F.concat("_base", F.lit(mark), F.col("_k").cast("string"))))
     cols = [*rows.columns, out]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + f", `{out}` string"
 
@@ -38,7 +56,7 @@ def numbered(rows: DataFrame, name: Column, order: str, out: str, mark: str) ->
             got.append(i)
         return pdf.assign(**{out: got})[cols]
 
-    mixed = base.join(odd, "_family", "left_semi").groupBy("_family").applyInPandas(one_by_one, schema)
+    mixed = base.join(odd, "_base", "left_semi").groupBy(F.regexp_replace("_base", number, "")).applyInPandas(one_by_one, schema)
     return plain.select(*cols).unionByName(mixed)
 
 

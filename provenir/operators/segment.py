@@ -138,10 +138,31 @@ def batches(rows: DataFrame, size: int, *order: str, by: str | None = None) -> D
     return rows.withColumn("batch", F.floor((F.row_number().over(w) - 1) / size).cast("long"))
 
 
+#: Parts of a group whose running sizes are taken side by side.
+SIDES = 64
+
+
+def starts_within(rows: DataFrame, by: str, order: str, size: Column, limit: int) -> DataFrame:
+    """Rows of each group with at most ``limit`` of ``size`` before them in order, and no text moved to find them.
+
+    Sizes and order alone are summed, first in ``SIDES`` parts of each group: what a part holds before a row is no more than
+    what the group holds, so a row over the limit there is over it in the group, and of those the first of each part
+    goes on, which is enough to stop what follows it. What is left gives the place where each group ends.
+    """
+    own = rows.select(F.col(by).alias("_g"), F.col(order).alias("_o"), size.alias("_n"))
+    before = lambda *keys: F.coalesce(F.sum("_n").over(Window.partitionBy(*keys).orderBy("_o").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    part = own.withColumn("_p", F.pmod(F.xxhash64("_o"), F.lit(SIDES)))
+    near = part.withColumn("_b", before("_g", "_p")).where(F.col("_b") <= limit)
+    ends = near.withColumn("_b", before("_g")).where(F.col("_b") > limit).groupBy("_g").agg(F.min("_o").alias("_end"))
+    cut = rows.join(ends, F.col(by).eqNullSafe(F.col("_g")), "left").where(F.col("_end").isNull() | (F.col(order) < F.col("_end")))
+    return cut.select(*[rows[c] for c in rows.columns])
+
+
 def budget_prefix(rows: DataFrame, budget: int, by: str, order: str, text: str) -> DataFrame:
     """K8: rows of each group while the running length stays within ``budget``."""
     w = Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("running", F.sum(F.length(text)).over(w)).where(F.col("running") <= budget)
+    near = starts_within(rows, by, order, F.coalesce(F.length(text), F.lit(0)), budget)
+    return near.withColumn("running", F.sum(F.length(text)).over(w)).where(F.col("running") <= budget)
 
 
 def is_boilerplate(c) -> Column:

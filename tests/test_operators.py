@@ -1,6 +1,7 @@
 """Small cases of operators that the driver's tables do not show."""
 
 import json
+import random
 from datetime import datetime
 
 import pytest
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from provenir.engine import Engine
 from provenir.functions import jsonfix
 from provenir.functions import text as T
-from provenir.operators import enrich, graph, grounding, integrity, matching, project, segment
+from provenir.operators import enrich, graph, grounding, integrity, layers, matching, project, segment
 from provenir.sources import ddl, documents
 from provenir.streaming import follow
 
@@ -323,3 +324,59 @@ def test_merge_and_remap(spark):
     assert got == ["1", "2", "4", "6"]
     moved = spark.createDataFrame([("1", "9")], "old string, new string")
     assert {tuple(r) for r in matching.remap(spark.createDataFrame([("1", "2"), ("2", "1")], "a string, b string"), ["a", "b"], moved).collect()} == {("9", "2"), ("2", "9")}
+
+
+def brute_numbers(names, mark):
+    """The rule itself: the first free one of name, name-2, name-3, ... in order."""
+    taken, out = set(), []
+    for n in names:
+        i, k = n, 1
+        while i in taken:
+            k += 1
+            i = f"{n}{mark}{k}"
+        taken.add(i)
+        out.append(i)
+    return out
+
+
+@pytest.mark.parametrize("mark", ["-", ""])
+def test_numbers_by_the_rule(spark, mark):
+    rng = random.Random(7)
+    for words in (["x", "x-2", "x-3", "x-2-2", "y"], ["x", "x1", "x2", "x12", "x02", "12", "2"], ["a", "a-2", "a2", "a-10", "a10", "a-010"]):
+        names = [rng.choice(words) for _ in range(60)] + [f"{words[0]}{mark}{k}" for k in range(2, 30)] + [words[0]] * 40
+        rng.shuffle(names)
+        got = matching.numbered(spark.createDataFrame(list(enumerate(names)), "at int, name string").repartition(3), F.col("name"), "at", "id", mark)
+        assert [r["id"] for r in got.orderBy("at").collect()] == brute_numbers(names, mark)
+
+
+def test_names_of_one_stem_are_no_group(spark):
+    """Names that only look numbered are counted like all others; a name that numbering can meet is not."""
+    rows = spark.range(20_000).select(F.col("id").alias("at"), F.format_string("Customer#%09d", "id").alias("plain"), F.concat(F.lit("item-"), (F.col("id") + 2).cast("string")).alias("dashed"))
+    for column, mark in (("plain", ""), ("plain", "-"), ("dashed", "-")):
+        bases = rows.groupBy(F.col(column).alias("_base")).agg(F.count("*").alias("_n"))
+        assert matching.contested(bases, mark).count() == 0
+    more = rows.select(F.col("dashed").alias("_base")).union(spark.createDataFrame([("item",)] * 3, "_base string")).groupBy("_base").agg(F.count("*").alias("_n"))
+    # Three rows pass over all names before them, so all can be met; with gaps only those before the third gap.
+    assert matching.contested(more, "-").count() == 20_001
+    gaps = more.where("_base = 'item' OR CAST(substring(_base, 6) AS INT) % 3 = 0")
+    assert sorted(r["_base"] for r in matching.contested(gaps, "-").collect()) == ["item", "item-3"]
+
+
+def test_budgets_by_lengths_alone(spark):
+    rng = random.Random(3)
+    rows = [(g, k, "x" * rng.choice([0, 0, 3, 9, 40])) for g in ("a", "b", None) for k in range(150)] + [("c", 1, "x" * 500), ("c", 2, "y"), ("d", 1, None), ("d", 2, "z")]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "g string, k int, t string").repartition(4)
+    want, cut = set(), {}
+    for g in ("a", "b", None, "c", "d"):
+        own, total = sorted((k, t) for x, k, t in rows if x == g and t is not None), 0
+        for k, t in own:
+            total += len(t)
+            if total <= 100:
+                want.add((g, k, total))
+        cut[g] = "|".join(t for _, t in own)[:100]
+    got = segment.budget_prefix(df.where("t IS NOT NULL"), 100, "g", "k", "t")
+    assert {(r["g"], r["k"], r["running"]) for r in got.collect()} == want
+    assert {r["g"]: r["excerpt"] for r in layers.excerpt(df.where("t IS NOT NULL"), "g", "k", "t", 100, "|").collect()} == cut
+    near = segment.starts_within(df.where("t IS NOT NULL"), "g", "k", F.length("t"), 100)
+    assert near.count() < 150
