@@ -9,6 +9,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from provenir.operators import bundle as BU
 from provenir.operators import integrity as V
 from provenir.operators import schema_seed as S
 from provenir.operators import stages
@@ -222,3 +223,57 @@ def x37_issues_of_a_rerun(spark, d):
     new = {"object_type": old["object_type"].where("id % 7 <> 0").unionByName(more), "relationship": edges(F.lit(True))}
     before = tables.keep(V.dangling(old, V.MODEL_PATHS), "issues")
     return V.revalidate(old, new, V.MODEL_PATHS, before).select("owner", "from_id", "field", "missing_id")
+
+
+# Bundle ---------------------------------------------------------------------------------------------------
+
+def bundle_model(spark, d) -> dict[str, DataFrame]:
+    """Brands as objects, suppliers as rules, orders as actions, priorities as events, customers as processes over their orders."""
+    p, o, li, c = (read(spark, d, t) for t in ("part", "orders", "lineitem", "customer"))
+    key = lambda prefix, name: F.concat(F.lit(prefix), F.col(name).cast("string"))
+    level = F.lower(F.split_part("o_orderpriority", F.lit("-"), F.lit(1)))
+    none = F.lit(None).cast("string")
+    first = li.groupBy("l_orderkey").agg(F.min_by("l_partkey", F.struct("l_linenumber", "l_partkey")).alias("p_partkey")).join(p.select("p_partkey", "p_brand"), "p_partkey")
+    return {
+        "object": p.select(key("objectType:", "p_brand").alias("id"), F.col("p_brand").alias("name"), none.alias("description"), F.lit("p_partkey").alias("primary_key")).distinct(),
+        "property": p.select(key("objectType:", "p_brand").alias("object_id"), F.col("p_partkey").alias("ord"), key("p", "p_partkey").alias("name"), F.lit("integer").alias("type"), F.lit(False).alias("is_foreign_key"), none.alias("references")),
+        "rule": read(spark, d, "supplier").select(key("rule:", "s_suppkey").alias("id"), F.col("s_name").alias("title"), F.lit("x").alias("statement")),
+        "gate": li.select(key("action:", "l_orderkey").alias("action_id"), key("rule:", "l_suppkey").alias("rule_id"), F.col("l_linenumber").alias("ord")),
+        "action": o.select(key("action:", "o_orderkey").alias("id"), F.concat(F.lit("ship "), F.col("o_orderkey").cast("string")).alias("name"), F.col("o_orderstatus").alias("description"), F.when(F.col("o_orderkey") % 3 == 0, "human").alias("actor_kind"), F.when(F.col("o_orderkey") % 5 == 0, "erp").alias("integration")),
+        "trigger": o.select(key("action:", "o_orderkey").alias("action_id"), F.concat(F.lit("event:"), level).alias("event_id"), F.lit(1).alias("ord")),
+        "effect": first.select(key("action:", "l_orderkey").alias("action_id"), F.lit(1).alias("ord"), F.when(F.col("l_orderkey") % 2 == 0, "db_write").otherwise("state_change").alias("kind"), key("objectType:", "p_brand").alias("object_id"), F.lit(" made ").alias("description")),
+        "emit": o.select(key("action:", "o_orderkey").alias("action_id"), F.lit(1).alias("ord"), F.concat(F.lit("event:"), F.when(F.col("o_orderkey") % 7 == 0, "unknown").otherwise(level)).alias("event_id")),
+        "event": o.select(F.concat(F.lit("event:"), level).alias("id"), level.alias("name"), none.alias("description")).distinct(),
+        "process": c.select(key("process:", "c_custkey").alias("id"), none.alias("name"), F.col("c_name").alias("description")),
+        "step": o.select(key("process:", "o_custkey").alias("process_id"), F.col("o_orderkey").alias("ord"), key("action:", "o_orderkey").alias("action_id"), F.when(F.col("o_orderkey") % 2 == 0, " if ").alias("condition")),
+        "process_trigger": c.select(key("process:", "c_custkey").alias("process_id"), F.lit(1).alias("ord"), F.when(F.col("c_custkey") % 2 == 0, "schedule").otherwise("event").alias("kind"), F.when(F.col("c_custkey") % 3 == 0, "event:nothing").otherwise("event:1").alias("event_id")),
+        "actor": c.where("c_custkey % 4 = 0").select(key("process:", "c_custkey").alias("process_id"), F.lit(1).alias("ord"), F.col("c_mktsegment").alias("role")),
+    }
+
+
+@query(r"""WITH o AS (SELECT *, lower(split_part(o_orderpriority, '-', 1)) AS level FROM orders), e AS (SELECT DISTINCT level FROM o), f AS (SELECT l_orderkey, arg_min(l_partkey, (l_linenumber, l_partkey)) AS p_partkey FROM lineitem GROUP BY 1),
+  g AS (SELECT l_orderkey, string_agg((n + 1) || '. 规则「' || s_name || '」已满足', chr(10) ORDER BY n) AS held FROM (SELECT l_orderkey, s_name, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, s_name) AS n FROM lineitem JOIN supplier ON s_suppkey = l_suppkey) GROUP BY 1),
+  brand AS (SELECT p_brand, count(*) AS n FROM part GROUP BY 1),
+  ev AS (SELECT o_custkey, level, min(o_orderkey) AS k FROM o WHERE o_orderkey % 7 <> 0 GROUP BY ALL)
+  SELECT 'objects' AS layer, array_to_string(list_transform(string_split(p_brand, '#'), lambda x: upper(x[1]) || lower(x[2:])), '_') AS id, p_brand AS name, CAST(n AS VARCHAR) AS detail FROM brand
+  UNION ALL SELECT 'rules', CAST(s_suppkey AS VARCHAR), s_name, '' FROM supplier WHERE s_suppkey NOT IN (SELECT l_suppkey FROM lineitem WHERE l_orderkey % 3 = 0 AND l_orderkey IN (SELECT o_orderkey FROM orders))
+  UNION ALL SELECT 'rules', CAST(s_suppkey AS VARCHAR), s_name, 'human' FROM supplier WHERE s_suppkey IN (SELECT l_suppkey FROM lineitem WHERE l_orderkey % 3 = 0 AND l_orderkey IN (SELECT o_orderkey FROM orders))
+  UNION ALL SELECT 'events', NULL, upper(level), '' FROM e
+  UNION ALL SELECT 'actions', CAST(o_orderkey AS VARCHAR), 'ship' || o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'human' ELSE 'agent' END || '|1. 事件 ' || upper(level) || ' 已送达' || coalesce(chr(10) || held, '') || '|' || coalesce(p_brand || ':' || CASE WHEN o_orderkey % 2 = 0 THEN 'CREATE' ELSE 'MODIFY' END || ':made', '') || '|' || CASE WHEN o_orderkey % 5 = 0 THEN 'erp' ELSE '' END || '|' || CASE WHEN o_orderkey % 7 = 0 THEN '' ELSE upper(level) END
+    FROM o LEFT JOIN g ON g.l_orderkey = o_orderkey LEFT JOIN f ON f.l_orderkey = o_orderkey LEFT JOIN part USING (p_partkey)
+  UNION ALL SELECT 'workflows', CAST(c_custkey AS VARCHAR), CAST(c_custkey AS VARCHAR), CASE WHEN c_custkey % 4 = 0 THEN c_mktsegment ELSE 'Agent' END || '|' || CASE WHEN c_custkey % 2 = 0 THEN 'SCHEDULED_SYNC' WHEN c_custkey % 3 = 0 THEN '' ELSE '1' END || '|'
+    || coalesce((SELECT string_agg(o_orderkey || ':ship' || o_orderkey || ':' || o_orderstatus || ':' || CASE WHEN o_orderkey % 3 = 0 THEN 'manual' WHEN o_orderkey % 5 = 0 THEN 'tool' ELSE 'logic' END || ':' || CASE WHEN o_orderkey % 2 = 0 THEN 'if' ELSE '' END, ';' ORDER BY o_orderkey) FROM orders WHERE o_custkey = c_custkey), '') || '|'
+    || coalesce((SELECT string_agg(upper(level), ';' ORDER BY k, level) FROM ev WHERE o_custkey = c_custkey), '') FROM customer""")
+def p1_bundle(spark, d):
+    model = bundle_model(spark, d)
+    out = BU.bundle(model)
+    flat = lambda c, *fields: F.array_join(F.transform(c, lambda x: F.concat_ws(":", *[x[f] for f in fields])), ";")
+    row = lambda layer, id_, name, *detail: out[layer].select(F.lit(layer).alias("layer"), id_.cast("string").alias("id"), F.col(name).alias("name"), F.concat_ws("|", *detail).alias("detail"))
+    parts = [
+        row("objects", F.col("id"), "name", F.size("properties").cast("string")),
+        row("rules", F.col("id"), "businessLogicRuleName", F.col("executor")),
+        row("events", F.lit(None), "name", F.lit("")),
+        row("actions", F.col("id"), "name", F.col("actor"), F.col("submission_criteria"), flat("data_changes", "object", "change", "description"), F.array_join("tool_use", ";"), F.array_join("triggered_event", ";")),
+        row("workflows", F.col("id"), "name", F.array_join("actor", ";"), F.array_join("trigger", ";"), flat("actions", "order", "name", "description", "type", "condition"), F.array_join("triggered_event", ";")),
+    ]
+    return reduce(DataFrame.unionByName, parts)
