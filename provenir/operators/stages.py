@@ -10,11 +10,11 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from provenir.functions.text import camel, col, search_form, slugify, strip, upper_snake
+from provenir.functions.text import camel, col, json_slice, search_form, slugify, strip, upper_snake
 from provenir.operators import integrity
 from provenir.operators.matching import numbered
 from provenir.operators.model import KINDS, has_cjk, relation
-from provenir.operators.project import layer_of
+from provenir.operators.project import PUBLISHED, layer_of
 from provenir.sources.store import Files, name_of
 from provenir.sources.tables import keep
 
@@ -136,6 +136,28 @@ def coerce_verdicts(replies: DataFrame, known: DataFrame, most: int = 8) -> Data
     return last.select("idx", "status", ids.alias("covered_by"), kinds.alias("expected_kinds"), text_or_null("missing").alias("missing"))
 
 
+#: Kinds of terms; anything else is ``other``.
+TERM_KINDS = ["entity", "attribute", "metric", "role", "status", "document", "system", "abbreviation", "event", "process", "other"]
+TERMS = "terms array<struct<term:struct<en:string,zh:string>,definition:struct<en:string,zh:string>,kind:string,dataTypeHint:string,enumValuesHint:array<string>,aliases:array<string>,snippet:string>>"
+
+
+def coerce_terms(replies: DataFrame, reply: str) -> DataFrame:
+    """The terms of ``{"terms": [...]}`` in replies, a row each with ``ord``: both names are needed; unknown kinds are ``other``, unknown types none; lists hold each text once, and empty ones are none. Numbers count as their text.
+
+    A reply that is cut or no such object gives no terms.
+    """
+    said = replies.select(*[c for c in replies.columns if c != reply], F.posexplode(F.from_json(json_slice(reply), TERMS)["terms"]).alias("ord", "t")).where("t IS NOT NULL")
+    one = lambda c: F.trim(F.coalesce(F.col(c), F.lit("")))
+    full = lambda c: F.when(F.size(F.array_remove(F.transform(c, lambda x: F.trim(x)), "")) > 0, F.array_distinct(F.array_compact(F.array_remove(F.transform(c, lambda x: F.trim(x)), ""))))
+    kind = F.when(one("t.kind").isin(TERM_KINDS), one("t.kind")).otherwise("other")
+    hint = F.when(one("t.dataTypeHint").isin(list(PUBLISHED)), one("t.dataTypeHint"))
+    rows = said.select(
+        *[c for c in replies.columns if c != reply], "ord", one("t.term.en").alias("term_en"), one("t.term.zh").alias("term_zh"), one("t.definition.en").alias("definition_en"), one("t.definition.zh").alias("definition_zh"),
+        kind.alias("kind"), hint.alias("data_type"), full(F.col("t.enumValuesHint")).alias("enum_values"), full(F.col("t.aliases")).alias("aliases"), one("t.snippet").alias("snippet"),
+    )
+    return rows.where("term_en <> '' AND term_zh <> ''")
+
+
 def derive_name(source_name, model_id) -> Column:
     """The first source's name, else the id as a title."""
     bare = F.trim(F.regexp_replace(F.regexp_replace(col(model_id), "^ontology:", ""), "[.-]+", " "))

@@ -277,3 +277,17 @@ def p1_bundle(spark, d):
         row("workflows", F.col("id"), "name", F.array_join("actor", ";"), F.array_join("trigger", ";"), flat("actions", "order", "name", "description", "type", "condition"), F.array_join("triggered_event", ";")),
     ]
     return reduce(DataFrame.unionByName, parts)
+
+
+@query("""SELECT p_partkey, CAST(v.ord AS INTEGER) AS ord, v.en || p_name AS term_en, '名' || p_partkey AS term_zh, CASE WHEN p_partkey % 3 = 0 THEN 'metric' ELSE 'other' END AS kind, CASE WHEN p_partkey % 2 = 0 THEN 'money' END AS data_type, CASE WHEN p_partkey % 5 <> 0 THEN p_type || '|b' END AS aliases
+  FROM part, (VALUES (0, ''), (2, 'the ')) AS v(ord, en) WHERE p_partkey % 7 <> 0""")
+def x13_coerce_terms(spark, d):
+    k, p = F.col("p_partkey"), read(spark, d, "part")
+    term = lambda en: F.struct(
+        F.struct(F.concat(F.lit(en), "p_name").alias("en"), F.concat(F.lit("名"), k.cast("string")).alias("zh")).alias("term"), F.when(k % 3 == 0, " metric ").otherwise("thing").alias("kind"),
+        F.when(k % 2 == 0, "money").otherwise("gold").alias("dataTypeHint"), F.when(k % 5 == 0, F.array(F.lit(" "))).otherwise(F.array(F.col("p_type"), F.lit(" b "), F.lit("b"))).alias("aliases"),
+    )
+    alone = F.to_json(F.struct(F.struct(F.col("p_name").alias("en")).alias("term")))
+    body = F.concat(F.lit('Here: {"terms":['), F.to_json(term(" ")), F.lit(","), alone, F.lit(","), F.to_json(term("the ")), F.lit("]} done"))
+    replies = p.select("p_partkey", F.when(k % 7 == 0, F.lit('{"terms": 5}')).otherwise(body).alias("reply"))
+    return stages.coerce_terms(replies, "reply").select("p_partkey", "ord", "term_en", "term_zh", "kind", "data_type", F.array_join("aliases", "|").alias("aliases"))

@@ -1,5 +1,7 @@
 """A resumable run, and cases that tell two readings of an operator apart."""
 
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -250,3 +252,13 @@ def test_careful_sentences_of_all_documents(spark):
 @pytest.mark.parametrize("quote, text, want", [("b c", "A  b\n C d", (3, 7)), ("i̇x", "a İX b", (2, 4)), ("x", "", None), ("", "a", None), ("a b", "xA b", (1, 4)), ("q", "a", None)])
 def test_places_in_the_original(quote, text, want):
     assert grounding.place(quote, text) == want
+
+
+def test_terms_of_replies(spark):
+    """Half-said terms go, wrong kinds and types are none, lists are cleaned; a reply that is no object gives none."""
+    said = json.dumps({"terms": [{"term": {"en": " Order ", "zh": "订单"}, "kind": "entity", "dataTypeHint": "uuid", "aliases": ["a", " a", "", None], "enumValuesHint": [], "snippet": " s "}, {"term": {"en": "x"}}, {"term": "x"}, None, {"term": {"en": "y", "zh": "z"}, "kind": 7, "definition": {"en": "d"}}]})
+    rows = spark.createDataFrame([(1, "so: " + said), (2, "no"), (3, None), (4, '{"terms": []}'), (5, said[:60])], "k int, reply string")
+    got = stages.coerce_terms(rows, "reply").collect()
+    assert [(r["k"], r["ord"], r["term_en"], r["term_zh"], r["kind"], r["data_type"], r["aliases"], r["enum_values"], r["definition_en"], r["snippet"]) for r in got] == [
+        (1, 0, "Order", "订单", "entity", "uuid", ["a"], None, "", "s"), (1, 4, "y", "z", "other", None, None, None, "d", ""),
+    ]
