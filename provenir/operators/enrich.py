@@ -61,7 +61,7 @@ def call_json(client: Client, prompt: str, wait: float = 2.0) -> str | None:
         if found and parses(found[0]):
             return found[0]
         if not k:
-            said, _ = call(client, f"{prompt}\n\n{said}\n\nYour previous reply was not parseable as JSON. Output ONLY the JSON object now — no prose, no code fences.", wait)
+            said, _ = call(client, f"{prompt}\n\n{said}\n\nThat could not be read as JSON. Answer once more with nothing but the JSON value.", wait)
     return None
 
 

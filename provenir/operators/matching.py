@@ -136,13 +136,6 @@ def lexical_seeds(questions: DataFrame, nodes: DataFrame, k: int = 8) -> DataFra
     return best.unionByName(rest.select("q_id", "node_id", F.lit(0).cast("bigint").alias("score"), (F.col("_k") + 1).alias("rank")))
 
 
-def nearest(values: DataFrame, value: str, vocabulary: list[str]) -> Column:
-    """vocabulary word that starts with the value or the reverse, the first of them; else the least edit distance, earlier words first."""
-    from provenir.operators.suggest import nearest_word
-
-    return nearest_word(F.col(value), vocabulary)
-
-
 def merge_by_key(rows: DataFrame, key: Column, order: str, keep: list[str], best: list[str], lists: list[str]) -> DataFrame:
     """One row per key: first non-empty ``keep`` values in order, greatest ``best``, ordered unions of ``lists``."""
     aggs = [F.min_by(c, F.when(F.col(c).isNotNull() & (F.col(c).cast("string") != ""), F.col(order))).alias(c) for c in keep]

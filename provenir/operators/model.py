@@ -247,9 +247,9 @@ def forward_references(refs: DataFrame, layer_order: list[str]) -> DataFrame:
 
 def suggest(rows: DataFrame, allowed: list[str], value: str) -> DataFrame:
     """Rows whose value is outside a vocabulary, with the nearest word as the fix."""
-    from provenir.operators.matching import nearest
+    from provenir.operators.suggest import nearest_word
 
-    return rows.where(~F.col(value).isin(allowed)).withColumn("fix", nearest(rows, value, allowed))
+    return rows.where(~F.col(value).isin(allowed)).withColumn("fix", nearest_word(F.col(value), allowed))
 
 
 def joined_quotes(refs: DataFrame, sentences: DataFrame) -> DataFrame:

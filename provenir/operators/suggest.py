@@ -18,6 +18,18 @@ RULE_KINDS = ["validation", "constraint", "derivation", "state_transition", "aut
 ROW = ["index", "node_id", "kind", "level", "field", "fix"]
 
 
+#: Words of a closed vocabulary at most: each is an expression of the plan.
+WORDS = 500
+
+
+def closed_vocabulary(rows: DataFrame, column: str, most: int = WORDS) -> list[str]:
+    """The distinct values of a column, sorted; an error where they are too many to be a closed vocabulary."""
+    words = [r[0] for r in rows.select(column).where(F.col(column).isNotNull()).distinct().limit(most + 1).collect()]
+    if len(words) > most:
+        raise ValueError(f"{column} has over {most} values: no closed vocabulary")
+    return sorted(words)
+
+
 def nearest_word(value: Column, vocabulary: list[str]) -> Column:
     """the first word that begins with the value or the reverse, else the one of least edit distance; earlier words win."""
     v = F.lower(value)

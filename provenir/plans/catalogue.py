@@ -91,9 +91,9 @@ def f24_json_extract(spark, d):
   SELECT mangled, arg_min(v.event_type, {'far': NOT (starts_with(v.event_type, mangled) OR starts_with(mangled, v.event_type)), 'd': CASE WHEN starts_with(v.event_type, mangled) OR starts_with(mangled, v.event_type) THEN 0 ELSE levenshtein(v.event_type, mangled) END, 'k': k}) AS nearest FROM m, v GROUP BY mangled""")
 def f25_nearest_enum(spark, d):
     e = read(spark, d, "events").select("event_type").distinct()
-    words = sorted(r[0] for r in e.collect())  # a closed vocabulary
+    words = W.closed_vocabulary(e, "event_type")
     m = e.select(F.concat(F.expr("substr(event_type, 2)"), F.lit("x")).alias("mangled"))
-    return m.select("mangled", M.nearest(m, "mangled", words).alias("nearest"))
+    return m.select("mangled", W.nearest_word(F.col("mangled"), words).alias("nearest"))
 
 
 @query(r"""SELECT page_id, CAST(length(t) AS BIGINT) AS n, md5(t) AS h FROM (SELECT page_id, replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from provenir.operators import matching
 from provenir.operators import model as O
 from provenir.operators import segment as D
+from provenir.operators.suggest import closed_vocabulary
 from provenir.plans.catalogue import CITED, PARTS, query, read, scored_parts
 
 
@@ -237,7 +238,7 @@ def v11_forward_references(spark, d):
 @query("""SELECT event_id, event_type || 's' AS value, event_type AS fix FROM events""")
 def v15_suggestions(spark, d):
     e = read(spark, d, "events")
-    words = sorted(r[0] for r in e.select("event_type").distinct().collect())  # a closed vocabulary
+    words = closed_vocabulary(e, "event_type")
     rows = e.select("event_id", F.concat("event_type", F.lit("s")).alias("value"))
     return O.suggest(rows, words, "value").select("event_id", "value", "fix")
 

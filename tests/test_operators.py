@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from provenir.engine import Engine
 from provenir.functions import jsonfix
 from provenir.functions import text as T
-from provenir.operators import enrich, graph, grounding, integrity, layers, matching, project, segment
+from provenir.operators import enrich, graph, grounding, integrity, layers, matching, project, segment, suggest
 from provenir.sources import ddl, documents
 from provenir.streaming import follow
 
@@ -380,3 +380,10 @@ def test_budgets_by_lengths_alone(spark):
     assert {r["g"]: r["excerpt"] for r in layers.excerpt(df.where("t IS NOT NULL"), "g", "k", "t", 100, "|").collect()} == cut
     near = segment.starts_within(df.where("t IS NOT NULL"), "g", "k", F.length("t"), 100)
     assert near.count() < 150
+
+
+def test_a_closed_vocabulary_is_small(spark):
+    rows = spark.createDataFrame([("b",), ("a",), ("b",), (None,)], "w string")
+    assert suggest.closed_vocabulary(rows, "w") == ["a", "b"]
+    with pytest.raises(ValueError):
+        suggest.closed_vocabulary(rows, "w", 1)
