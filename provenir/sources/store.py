@@ -236,13 +236,14 @@ class RunLog:
     def flush(self) -> None:
         lines, self.held = self.held, []
         if lines:
-            self.append(self.spark.createDataFrame(lines, self.ROW).coalesce(1))
+            self.append(lambda: self.spark.createDataFrame(lines, self.ROW).coalesce(1))
 
-    def append(self, rows: DataFrame) -> None:
-        """A block of lines that a job makes (``run_id``, ``at``, ``category``, ``message``)."""
+    def append(self, rows) -> None:
+        """A block of lines that a job makes (``run_id``, ``at``, ``category``, ``message``), or a function that gives them."""
         if self.off:
             return
         try:
+            rows = rows() if callable(rows) else rows
             self._write(rows.select(*[c.split()[0] for c in self.ROW.split(", ")]), f"blocks/{uuid.uuid4().hex}")
             if len(self._blocks()) > self.MOST:
                 self.compact()
