@@ -1,7 +1,9 @@
 """Benchmark decontamination by template windows, in DataFrame operations only.
 
-Texts become templates (control characters 1 to 3 in a text count as slot marks): a capitalised word that does not start a sentence is a name
-slot, a run of digits a number slot, a measure after a number a unit slot, and all
+Texts become templates (control characters 1 to 5 in a text count as spaces). One number is one number
+slot, with its points, grouping, fraction or percent ("3.5", "1,000", "3/4", "5%") or as a run of lower-case number
+words ("twenty-five"; "one" only before another); a run of capitalised words that does not start a sentence is one name
+slot, a measure after a number a unit slot, a sign between two numbers a word ("7 + 9" is slot, "+", slot), and all
 else is lower-case words. Windows of ``WINDOW`` template tokens are hashed and joined
 with those of the benchmark. A window without more words than slots says little as a
 template: it counts for ``exact`` only, with its values. An item is found in
@@ -29,8 +31,12 @@ from pyspark.sql import functions as F
 from provenir.llm.common import materialise, table
 
 WINDOW, SHARE = 5, 0.5
-#: Marks of slots in a template: number, name, unit. Control characters, so that no word holds them.
-NUMBER, NAME, UNIT = "\x01", "\x02", "\x03"
+#: Marks of slots in a template: number, name, unit; the end of a slot's value; a sign. Control characters, so that no word holds them.
+NUMBER, NAME, UNIT, END, SIGN = "\x01", "\x02", "\x03", "\x04", "\x05"
+TENS = "twenty|thirty|forty|fifty|sixty|seventy|eighty|ninety"
+NUMERALS = f"two|three|four|five|six|seven|eight|nine|ten|eleven|twelve|thirteen|fourteen|fifteen|sixteen|seventeen|eighteen|nineteen|{TENS}|hundred|thousand|million|billion"
+DIGITS = r"\p{Nd}+(?:[.,/]\p{Nd}+)*%?"
+SIGNS = "[-+*/=×÷]"
 UNITS = "kg|g|mg|km|m|cm|mm|miles?|feet|foot|inch(?:es)?|hours?|minutes?|seconds?|days?|weeks?|months?|years?|dollars?|euros?|pounds?|cents?|percent|liters?|litres?|ml|l|degrees?"
 #: Benchmark windows up to which they are broadcast (about 60 bytes each); beyond, they are joined by shuffle.
 BROADCAST = 500_000
@@ -38,12 +44,15 @@ BROADCAST = 500_000
 
 def tokens(text: Column, values: bool = True) -> Column:
     """Words of a text in lower case; a slot is its mark, followed by its value if ``values``."""
-    v = "$0" if values else ""
-    t = F.regexp_replace(text, r"(?<=[^.!?:\s] )\p{Lu}\p{Ll}++(?![\p{L}\p{Nd}])", NAME + v)
-    t = F.lower(t)
-    t = F.regexp_replace(t, r"\p{Nd}+", f" {NUMBER}{v} ")
-    t = F.regexp_replace(t, rf"({NUMBER}\p{{Nd}}* +)({UNITS})(?![\p{{L}}\p{{Nd}}])", f"$1{UNIT}$2" if values else f"$1{UNIT}")
-    return F.array_remove(F.split(t, r"[^a-z0-9\p{L}\p{Nd}\x01-\x03]+"), "")
+    slot = lambda mark, value: mark + (value if values else "") + END
+    edge = r"(?![\p{L}\p{Nd}])"
+    spoken = rf"(?<![\p{{L}}\p{{Nd}}])(?=[efhmnost])(?:one[ -])?(?:{NUMERALS}){edge}(?:[ -](?:{NUMERALS}){edge})*"
+    t = F.regexp_replace(F.translate(text, NUMBER + NAME + UNIT + END + SIGN, " " * 5), f"{spoken}|{DIGITS}", slot(NUMBER, "$0"))
+    t = F.regexp_replace(t, rf"(?<=[^.!?:\s] )\p{{Lu}}\p{{Ll}}++(?: \p{{Lu}}\p{{Ll}}++)*(?![\p{{L}}\p{{Nd}}{NUMBER}])", slot(NAME, "$0"))
+    t = F.regexp_replace(F.lower(t), rf"({NUMBER}[^{END}]*{END}) *({SIGNS}) *(?={NUMBER})", f"$1{SIGN}$2")
+    t = F.regexp_replace(t, rf"({NUMBER}[^{END}]*{END} *)({UNITS}){edge}", "$1" + slot(UNIT, "$2"))
+    marked = rf"[{NUMBER}-{UNIT}][^{END}]*{END}" if values else f"[{NUMBER}-{UNIT}]"
+    return F.regexp_extract_all(t, F.lit(rf"{marked}|{SIGN}.|[\p{{L}}\p{{Nd}}]+"), F.lit(0))
 
 
 def window_rows(h: Column, lengths: list[int]) -> Column:
@@ -144,14 +153,21 @@ def op2_decontamination(spark, sf_dir: str) -> DataFrame:
 
 
 def _sql(name: str, key: str) -> str:
-    names = r"'([^.!?:\s] )(\p{Lu}\p{Ll}+)([^\p{L}\p{Nd}]|$)', '\1' || chr(2) || '\2\3', 'g'"
+    one = f"chr(6) || '(?:{NUMERALS})' || chr(7)"
+    spoken = f"'(?:' || chr(6) || 'one' || chr(7) || '[ -])?' || {one} || '(?:[ -]' || {one} || ')*'"
+    names = r"'([^.!?:\s] )(\p{Lu}\p{Ll}+(?: \p{Lu}\p{Ll}+)*)([^\p{L}\p{Nd}\x01]|$)', '\1' || chr(2) || '\2' || chr(4) || '\3', 'g'"
+    signs = rf"'(\x01[^\x04]*\x04) *({SIGNS}) *\x01', '\1' || chr(5) || '\2' || chr(1), 'g'"
     return rf"""
-{name}_n AS (
-  SELECT {key} AS id, lower(regexp_replace(regexp_replace(text, {names}), {names})) AS t FROM {name} WHERE text IS NOT NULL
+{name}_v AS (
+  SELECT {key} AS id, regexp_replace(translate(text, chr(1) || chr(2) || chr(3) || chr(4) || chr(5) || chr(6) || chr(7), '       '), '([\p{{L}}\p{{Nd}}]+)', chr(6) || '\1' || chr(7), 'g') AS t FROM {name} WHERE text IS NOT NULL
+), {name}_d AS (
+  SELECT id, regexp_replace(translate(regexp_replace(t, {spoken}, chr(1) || '\0' || chr(4), 'g'), chr(6) || chr(7), ''), '{DIGITS}', chr(1) || '\0' || chr(4), 'g') AS t FROM {name}_v
+), {name}_n AS (
+  SELECT id, lower(regexp_replace(regexp_replace(t, '([^\p{{L}}\p{{Nd}}.!?:\s\x01-\x05])( \p{{Lu}})', '\1\1\2', 'g'), {names})) AS t FROM {name}_d
 ), {name}_u AS (
-  SELECT id, regexp_replace(regexp_replace(t, '(\p{{Nd}}+)', ' ' || chr(1) || '\1 ', 'g'), '(\x01\p{{Nd}}+ +)({UNITS})([^\p{{L}}\p{{Nd}}]|$)', '\1' || chr(3) || '\2\3', 'g') AS t FROM {name}_n
+  SELECT id, regexp_replace(regexp_replace(regexp_replace(t, {signs}), {signs}), '(\x01[^\x04]*\x04 *)({UNITS})([^\p{{L}}\p{{Nd}}]|$)', '\1' || chr(3) || '\2' || chr(4) || '\3', 'g') AS t FROM {name}_n
 ), {name}_s AS (
-  SELECT row_number() OVER () AS r, id, list_filter(string_split_regex(t, '[^\p{{L}}\p{{Nd}}\x01-\x03]+'), lambda w: w <> '') AS w FROM {name}_u
+  SELECT row_number() OVER () AS r, id, regexp_extract_all(t, '[\x01-\x03][^\x04]*\x04|\x05.|[\p{{L}}\p{{Nd}}]+') AS w FROM {name}_u
 ), {name}_t AS (
   SELECT r, id, w, list_transform(w, lambda x: CASE WHEN x[1] IN (chr(1), chr(2), chr(3)) THEN x[1] ELSE x END) AS h FROM {name}_s WHERE len(w) > 0
 ), {name}_e AS (

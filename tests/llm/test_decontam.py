@@ -1,5 +1,7 @@
 """Occurrences, slot-heavy windows and short items of decontamination."""
 
+from pyspark.sql import functions as F
+
 from provenir.llm import decontam
 
 from .test_rest import ITEM
@@ -42,5 +44,37 @@ def test_slot_heavy_and_short_items(spark):
         (6, "who was it"),
         (7, None),
         (8, ""),
+        (9, "Please compute 13 + 35 * 57 - 79 / 91 - 12 + 23 now, if you can."),
+    ]
+    # The signs of (2) are the item's, so it is the item with other numbers; those of (9) are not.
+    assert found(spark, docs, bench) == {(1, 1): "exact", (2, 1): "renamed", (3, 2): "exact", (4, 3): "exact", (5, 4): "exact"}
+
+
+def words(spark, text, values=True):
+    df = spark.createDataFrame([(text,)], "t string").select(decontam.tokens(F.col("t"), values).alias("w"))
+    return [w.rstrip(decontam.END) for w in df.first()["w"]]
+
+
+def test_one_slot_for_a_number_a_name_and_a_unit(spark):
+    n, p, u, s = decontam.NUMBER, decontam.NAME, decontam.UNIT, decontam.SIGN
+    assert words(spark, "3.5, 1,000. 3/4 5%") == [n + "3.5", n + "1,000", n + "3/4", n + "5%"]
+    assert words(spark, "four or twenty-five or one hundred, none, often, one more") == [n + "four", "or", n + "twenty-five", "or", n + "one hundred", "none", "often", "one", "more"]
+    assert words(spark, "Then Tom Smith, Max and Ann McRay left. She sold 12kg, four miles") == ["then", p + "tom smith", p + "max", "and", p + "ann", "mcray", "left", "she", "sold", n + "12", u + "kg", n + "four", u + "miles"]
+    assert words(spark, "7+9 - 2 = x-3") == [n + "7", s + "+", n + "9", s + "-", n + "2", "x", n + "3"]
+    assert words(spark, "a\x01b\x04c 2\x05") == ["a", "b", "c", n + "2"]
+    for text in ("7+9 of Tom Smith, 12kg", "", "?!"):
+        assert [w[0] if w[0] in n + p + u else w for w in words(spark, text)] == words(spark, text, False)
+    assert spark.createDataFrame([(None,)], "t string").select(decontam.tokens(F.col("t")).alias("w")).first()["w"] is None
+
+
+def test_variants_with_other_forms_of_numbers_and_names(spark):
+    item = "a farmer called Tom Smith picks 3 apples and 5 pears and sells 2 kg of them to his friend Bob at noon"
+    docs = [
+        (1, item.replace("3 apples", "3.5 apples").replace("5 pears", "1,000 pears")),
+        (2, item.replace("3 apples", "four apples").replace("Tom Smith", "Max").replace("Bob", "Mary Ann Lee")),
+        (3, item),
+        (4, "a farmer called on us and sells pears to his friend at noon"),
+        (5, "Tell me: what is 7 + 9?"),
+        (6, "what is 7 * 9?"),
     ]
-    assert found(spark, docs, bench) == {(1, 1): "exact", (3, 2): "exact", (4, 3): "exact", (5, 4): "exact"}
+    assert found(spark, docs, [(1, item), (2, "What is 2 + 3?")]) == {(1, 1): "renamed", (2, 1): "renamed", (3, 1): "exact", (5, 2): "renamed"}
