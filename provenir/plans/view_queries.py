@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from provenir.operators import interfaces as I
 from provenir.operators import views as V
 from provenir.plans.catalogue import query, read
 
@@ -53,3 +54,61 @@ def p13_view_actions(spark, d):
     CASE WHEN doc_id % 100 >= 95 THEN 'block' WHEN doc_id % 100 >= 88 THEN 'warn' ELSE 'info' END AS severity FROM (SELECT *, coalesce(lower(text), '') AS t FROM documents)""")
 def p13_view_rules(spark, d):
     return V.from_view(view(spark, d))["rule"].select("title", F.md5(F.col("en").cast("binary")).alias("en_md5"), "document", "kind", "severity")
+
+
+# Interfaces ----------------------------------------------------------------------------------------------
+
+def tool_model(spark, d) -> dict[str, DataFrame]:
+    """Customers as objects with their orders as properties, orders as actions over the parts and suppliers of their lines."""
+    c, o, li = (read(spark, d, t) for t in ("customer", "orders", "lineitem"))
+    key = lambda name: text("objectType:", F.col(name))
+    own = F.col("l_partkey") % 4 != 0
+    return {
+        "objects": c.select(key("c_custkey").alias("id"), F.col("c_custkey").alias("ord"), F.col("c_mktsegment").alias("name")),
+        "properties": o.select(key("o_custkey").alias("object_id"), F.col("o_orderkey").alias("ord"), text("order", F.col("o_orderkey")).alias("name"), F.lit("Float").alias("type"), F.when(F.col("o_orderkey") % 3 == 0, text("objectType:", F.col("o_custkey") * 5)).alias("references"), (F.col("o_orderkey") % 2 == 0).alias("primary_key")),
+        "actions": o.select(text("action:", F.col("o_orderkey")).alias("id"), F.col("o_orderkey").alias("ord"), F.lit(None).cast("string").alias("tool"), text("Handle ", F.col("o_orderkey")).alias("name")),
+        "ios": li.select(text("action:", F.col("l_orderkey")).alias("action_id"), F.when(F.col("l_linenumber") % 3 == 0, "output").otherwise("input").alias("side"), F.col("l_linenumber").alias("ord"), text("part ", F.col("l_partkey")).alias("name"), F.lit("Integer").alias("type"), F.when(own, key("l_partkey")).alias("object_id"), (F.col("l_linenumber") % 2 == 0).alias("required"), (F.col("l_quantity") > 25).alias("many")),
+        "gates": li.select(text("action:", F.col("l_orderkey")).alias("action_id"), F.col("l_linenumber").alias("ord"), text("rule:", F.col("l_suppkey")).alias("rule_id"), F.when(F.col("l_returnflag") == "R", "block").alias("severity")),
+    }
+
+
+INTERFACES = """n AS (SELECT c_custkey AS k, c_mktsegment || CASE WHEN r = 1 THEN '' ELSE CAST(r AS VARCHAR) END AS interface FROM (SELECT *, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_custkey) AS r FROM customer))"""
+TOOLS = f"""{INTERFACES}, p AS (
+  SELECT l_orderkey AS k, l_linenumber AS ord, l_linenumber % 3 = 0 AS outward, CASE WHEN l_partkey % 4 = 0 THEN 'number' ELSE coalesce(interface, 'unknown') END || CASE WHEN l_quantity > 25 THEN '[]' ELSE '' END AS type, 'part_' || l_partkey || CASE WHEN l_linenumber % 2 = 0 THEN '' ELSE '?' END AS field FROM lineitem LEFT JOIN n ON n.k = l_partkey
+), t AS (
+  SELECT o_orderkey AS k, count(*) FILTER (outward) AS outs, max(type) FILTER (outward) AS one, coalesce(bool_or(NOT outward), false) AS takes FROM orders LEFT JOIN p ON p.k = o_orderkey GROUP BY 1
+)"""
+
+
+@query(f"WITH {INTERFACES} SELECT DISTINCT 'action:' || l_orderkey AS action_id, interface FROM lineitem JOIN n ON k = l_partkey WHERE l_partkey % 4 <> 0")
+def x24_imported_interfaces(spark, d):
+    m = tool_model(spark, d)
+    return I.imported(m["ios"], I.interface_names(m["objects"]))
+
+
+@query(f"""WITH {INTERFACES}, o AS (SELECT c_custkey AS k, o_orderkey, CASE WHEN o_orderkey % 3 <> 0 THEN 'number' ELSE coalesce(interface, 'string') END AS type FROM customer JOIN orders ON o_custkey = c_custkey LEFT JOIN n ON n.k = 5 * c_custkey)
+  SELECT k AS of, 0 AS part, 0 AS ord, 'export interface ' || interface || ' {{' AS line FROM n UNION ALL SELECT k, 2, 0, '}}' FROM n
+  UNION ALL SELECT k, 1, o_orderkey, '  order' || o_orderkey || CASE WHEN o_orderkey % 2 = 0 THEN ': ' ELSE '?: ' END || type || ';' FROM o
+  UNION ALL SELECT k, 1, 0, '  [key: string]: unknown;' FROM n WHERE k NOT IN (SELECT o_custkey FROM orders)""")
+def x24_type_document(spark, d):
+    m = tool_model(spark, d)
+    return I.type_lines(m["objects"], m["properties"]).select("at.of", "at.part", "at.ord", "line")
+
+
+@query(f"""WITH {TOOLS}, l AS (
+  SELECT k, 0 AS part, 0 AS ord, 'import type {{ ' || string_agg(DISTINCT interface, ', ' ORDER BY interface) || ' }} from ''../types.js'';' AS line FROM (SELECT l_orderkey AS k, interface FROM lineitem JOIN n ON n.k = l_partkey WHERE l_partkey % 4 <> 0) GROUP BY k
+  UNION ALL SELECT k, 1, 0, 'export interface Handle' || k || 'Input {{' FROM t UNION ALL SELECT k, 2, ord, '  ' || field || ': ' || type || ';' FROM p WHERE NOT outward UNION ALL SELECT k, 3, 0, '}}' FROM t
+  UNION ALL SELECT k, 4, 0, 'export interface Handle' || k || 'Output {{' FROM t WHERE outs > 1 UNION ALL SELECT k, 5, ord, '  ' || field || ': ' || type || ';' FROM p JOIN t USING (k) WHERE outward AND outs > 1 UNION ALL SELECT k, 6, 0, '}}' FROM t WHERE outs > 1
+  UNION ALL SELECT k, 7, 0, 'export async function handle_' || k || '(' || CASE WHEN takes THEN 'input: Handle' || k || 'Input' ELSE '' END || '): Promise<' || CASE outs WHEN 0 THEN 'void' WHEN 1 THEN one ELSE 'Handle' || k || 'Output' END || '> {{' FROM t
+  UNION ALL SELECT l_orderkey, 8, l_linenumber, '  assertPrecondition(''rule:' || l_suppkey || ''', ''' || CASE WHEN l_returnflag = 'R' THEN 'block' ELSE 'info' END || ''', true);' FROM lineitem
+  UNION ALL SELECT k, 9, 0, '  throw new Error(''Not implemented: handle_' || k || ''');' FROM t UNION ALL SELECT k, 10, 0, '}}' FROM t
+) SELECT 'tools/handle_' || k || '.ts' AS file, part, CAST(ord AS BIGINT) AS ord, line FROM l WHERE k IN (SELECT o_orderkey FROM orders)""")
+def x24_tool_documents(spark, d):
+    m = tool_model(spark, d)
+    return I.tool_lines(m["actions"], m["objects"], m["ios"], m["gates"]).select("file", "at.part", "at.ord", "line")
+
+
+@query("""SELECT CAST(0 AS BIGINT) AS of, 1 AS part, 'export const tools = {' AS line UNION ALL SELECT 0, 3, '} as const;' UNION ALL SELECT 0, 4, 'export type ToolName = keyof typeof tools;'
+  UNION ALL SELECT 0, 0, 'import { handle_' || o_orderkey || ' } from ''./handle_' || o_orderkey || '.js'';' FROM orders UNION ALL SELECT 0, 2, '  handle_' || o_orderkey || ',' FROM orders""")
+def x24_registry(spark, d):
+    return I.registry_lines(tool_model(spark, d)["actions"]).select("at.of", "at.part", "line")
