@@ -2,10 +2,32 @@
 
 from __future__ import annotations
 
+import uuid
+
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from provenir.sources import tables
+
+
+def arrivals(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A table of the folder as a stream of its files."""
+    path = f"{folder}/{name}.parquet"
+    # As a pattern, since a stream's plain path must be a folder, and a table may be one file.
+    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{folder}/{name}.parque[t]")
+
+
+def drained(stream: DataFrame, name: str) -> DataFrame:
+    """What a stream gives for all that has arrived, in append mode: rows that later arrivals could still change are not in it.
+
+    Rows and checkpoint stand in the application's shared folder, so a lost executor costs its tasks only.
+    """
+    place = f"{tables.own_folder(stream.sparkSession)}/{uuid.uuid4().hex}"
+    run = stream.writeStream.outputMode("append").format("parquet").option("path", f"{place}/{name}").option("checkpointLocation", f"{place}/checkpoint").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{place}/{name}")
+
 
 def windowed_counts(events: DataFrame, time: str = "ts", event: str = "event_type", size: str = "1 hour", late: str = "2 hours") -> DataFrame:
     """Events per type and window; rows later than ``late`` are dropped by the watermark."""

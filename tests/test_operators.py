@@ -317,6 +317,15 @@ def test_streams(spark, tmp_path):
     assert sorted(tuple(r) for r in spark.table("pairs").collect()) == [("a", "b"), ("a", "b"), ("b", "a")]
 
 
+def test_drained_stream_holds_closed_windows_only(spark, tmp_path):
+    rows = [(datetime(2024, 1, 1, h, m), "a") for h, m in ((0, 5), (0, 50), (1, 0), (2, 0), (3, 30))]
+    spark.createDataFrame(rows, "ts timestamp, event_type string").write.parquet(str(tmp_path / "seen.parquet"))
+    got = follow.drained(follow.windowed_counts(follow.arrivals(spark, str(tmp_path), "seen")), "w")
+    assert sorted((r["start"].hour, r["n"]) for r in got.collect()) == [(0, 2)]  # the watermark stands at 1:30
+    spark.createDataFrame([], "ts timestamp, event_type string").write.parquet(str(tmp_path / "none.parquet"))
+    assert follow.drained(follow.windowed_counts(follow.arrivals(spark, str(tmp_path), "none")), "w").count() == 0
+
+
 def test_merge_and_remap(spark):
     old = spark.createDataFrame([("1", "a", 0), ("2", "", 1)], "id string, name string, ord int")
     new = spark.createDataFrame([("1", "zz", 0), ("3", "a", 1), ("4", "b", 2), ("5", "b", 3), ("2", "", 4), ("6", "", 5)], "id string, name string, ord int")
