@@ -40,6 +40,15 @@ def test_savers_at_once_get_versions_of_their_own(spark, tmp_path):
         s.nodes("m/ü ", 9)
 
 
+def test_marks_and_state_written_at_once_are_all_kept(spark, tmp_path):
+    s = store.Store(spark, str(tmp_path))
+    state = lambda k: spark.createDataFrame([(f"k{k}", str(k))], "key string, json string")
+    with ThreadPoolExecutor(8) as pool:
+        list(pool.map(lambda k: (s._mark(f"m{k}", k % 2 == 0), s.put_state(state(k))), range(16)))
+    assert {(r["id"], r["deleted"]) for r in s._read("deleted", "id string, deleted boolean, at timestamp").collect()} == {(f"m{k}", k % 2 == 0) for k in range(16)}
+    assert {(r["key"], r["json"]) for r in s.state().collect()} == {(f"k{k}", str(k)) for k in range(16)}
+
+
 def test_lost_race_leaves_nothing_visible(spark, tmp_path, monkeypatch):
     s = store.Store(spark, str(tmp_path))
     s.save("m", "Model", "d", nodes(spark, 3))
