@@ -2,7 +2,7 @@
 
 import datetime
 
-from provenir.plans import catalogue, layer_queries, model_queries
+from provenir.plans import catalogue, layer_queries, model_queries, more
 
 
 def test_no_id_subsets(spark, tmp_path):
@@ -24,3 +24,11 @@ def test_no_id_subsets(spark, tmp_path):
 def test_object_class_sees_the_whole_text(spark, tmp_path):
     spark.createDataFrame([(1, "s", "plain words " * 60 + "a database"), (2, "s", "plain words " * 60), (3, "crm", "x"), (4, "scrm", None)], "doc_id bigint, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert {tuple(r) for r in model_queries.f16_object_class(spark, str(tmp_path)).collect()} == {(1, "system"), (2, "data"), (3, "system"), (4, "data")}
+
+
+def test_the_first_of_equal_lines_is_the_first_in_the_files(spark, tmp_path):
+    # The later file is the larger one, which Spark reads first.
+    for part, rows in enumerate([[(k, 100 - k, 1) for k in range(100)], [(k % 100, 1000 + k, 1) for k in range(40_000)]]):
+        spark.createDataFrame(rows, "l_orderkey bigint, l_partkey bigint, l_linenumber int").coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet/part={part}")
+    got = {tuple(r) for r in more.k3_first_wins(spark, str(tmp_path)).collect()}
+    assert got == {(k, 100 - k) for k in range(100)}
