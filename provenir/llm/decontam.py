@@ -35,6 +35,7 @@ WINDOW, SHARE = 5, 0.5
 NUMBER, NAME, UNIT, END, SIGN = "\x01", "\x02", "\x03", "\x04", "\x05"
 TENS = "twenty|thirty|forty|fifty|sixty|seventy|eighty|ninety"
 NUMERALS = f"two|three|four|five|six|seven|eight|nine|ten|eleven|twelve|thirteen|fourteen|fifteen|sixteen|seventeen|eighteen|nineteen|{TENS}|hundred|thousand|million|billion"
+#: Runs in the patterns for Spark are possessive: a long one ("1/2/3/...") would else take a stack frame for each part.
 DIGITS = r"\p{Nd}+(?:[.,/]\p{Nd}+)*%?"
 SIGNS = "[-+*/=×÷]"
 UNITS = "kg|g|mg|km|m|cm|mm|miles?|feet|foot|inch(?:es)?|hours?|minutes?|seconds?|days?|weeks?|months?|years?|dollars?|euros?|pounds?|cents?|percent|liters?|litres?|ml|l|degrees?"
@@ -46,9 +47,11 @@ def tokens(text: Column, values: bool = True) -> Column:
     """Words of a text in lower case; a slot is its mark, followed by its value if ``values``."""
     slot = lambda mark, value: mark + (value if values else "") + END
     edge = r"(?![\p{L}\p{Nd}])"
-    spoken = rf"(?<![\p{{L}}\p{{Nd}}])(?=[efhmnost])(?:one[ -])?(?:{NUMERALS}){edge}(?:[ -](?:{NUMERALS}){edge})*"
-    t = F.regexp_replace(F.translate(text, NUMBER + NAME + UNIT + END + SIGN, " " * 5), f"{spoken}|{DIGITS}", slot(NUMBER, "$0"))
-    t = F.regexp_replace(t, rf"(?<=[^.!?:\s] )\p{{Lu}}\p{{Ll}}++(?: \p{{Lu}}\p{{Ll}}++)*(?![\p{{L}}\p{{Nd}}{NUMBER}])", slot(NAME, "$0"))
+    spoken = rf"(?<![\p{{L}}\p{{Nd}}])(?=[efhmnost])(?:one[ -])?(?:{NUMERALS}){edge}(?:[ -](?:{NUMERALS}){edge})*+"
+    digits = DIGITS.replace(")*", ")*+")
+    named = rf"\p{{Lu}}\p{{Ll}}++(?![\p{{L}}\p{{Nd}}{NUMBER}])"
+    t = F.regexp_replace(F.translate(text, NUMBER + NAME + UNIT + END + SIGN, " " * 5), f"{spoken}|{digits}", slot(NUMBER, "$0"))
+    t = F.regexp_replace(t, rf"(?<=[^.!?:\s] ){named}(?: {named})*+", slot(NAME, "$0"))
     t = F.regexp_replace(F.lower(t), rf"({NUMBER}[^{END}]*{END}) *({SIGNS}) *(?={NUMBER})", f"$1{SIGN}$2")
     t = F.regexp_replace(t, rf"({NUMBER}[^{END}]*{END} *)({UNITS}){edge}", "$1" + slot(UNIT, "$2"))
     marked = rf"[{NUMBER}-{UNIT}][^{END}]*{END}" if values else f"[{NUMBER}-{UNIT}]"

@@ -78,3 +78,11 @@ def test_variants_with_other_forms_of_numbers_and_names(spark):
         (6, "what is 7 * 9?"),
     ]
     assert found(spark, docs, [(1, item), (2, "What is 2 + 3?")]) == {(1, 1): "renamed", (2, 1): "renamed", (3, 1): "exact", (5, 2): "renamed"}
+
+
+def test_long_runs_need_no_stack(spark):
+    # Each took a stack frame for a part of the run, and the overflow ended the executor.
+    texts = ["1/2," * 20000 + "3", "two " * 20000 + "x", "the " + "Foo " * 20000 + "BarBaz", "one " + "twenty-" * 20000]
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string").repartition(1).select("k", decontam.tokens(F.col("t"), values=False).alias("w")).collect()
+    got = {r["k"]: r["w"] for r in rows}
+    assert got == {0: [decontam.NUMBER], 1: [decontam.NUMBER, "x"], 2: ["the", decontam.NAME, "barbaz"], 3: [decontam.NUMBER]}
