@@ -262,3 +262,18 @@ def test_terms_of_replies(spark):
     assert [(r["k"], r["ord"], r["term_en"], r["term_zh"], r["kind"], r["data_type"], r["aliases"], r["enum_values"], r["definition_en"], r["snippet"]) for r in got] == [
         (1, 0, "Order", "订单", "entity", "uuid", ["a"], None, "", "s"), (1, 4, "y", "z", "other", None, None, None, "d", ""),
     ]
+
+
+def test_sentences_come_in_bounded_blocks():
+    import pyarrow as pa
+
+    from provenir.operators import segment
+
+    texts = ["One two three. " * 40_000, None, "", "a. b. c.", *["Some words here. And more.\n"] * 30_000]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["id", "text"])
+    for rule in (segment.spans, segment.careful_spans, segment.aligned_chunks()):
+        blocks = list(segment.splitter(rule)([batch]))
+        # One batch in gave one block out, however long its texts.
+        assert max(b.nbytes for b in blocks) < 4 * segment.CHARS
+        got = [r for b in blocks for r in zip(*(c.to_pylist() for c in b.columns))]
+        assert got == [(i, k, t[a:b], a, b) for i, t in enumerate(texts) if t for k, (a, b) in enumerate(rule(t))]
