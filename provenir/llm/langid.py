@@ -9,8 +9,7 @@ prototype is computed once per worker, and a document's cosines are sums over
 its letters divided by the prototypes' norms (the document's own norm is common
 to all languages, so it drops out).
 
-Prototypes are learned from text and language of a bounded sample: at most about
-``per_language`` documents of each language, by a hash of the id. Prediction uses
+Prototypes are learned from text and language of all rows given. Prediction uses
 the whole text and nothing else. ``und``: null texts and texts without letters;
 their score is 0. Rows with a null language teach nothing. Repeated rows are rows
 of their own; an empty table gives an empty result, and without any labelled row
@@ -85,46 +84,62 @@ def vectors(grams: np.ndarray, seed: int = 7) -> np.ndarray:
     return out
 
 
+#: Distinct n-grams that a task counts before they are bundled.
+COUNTED = 1 << 19
+
+
 def bundle(batches):
-    """Prototype parts: per language, the sum of its n-grams' vectors and how many there are."""
-    sums: dict[str, np.ndarray] = {}
+    """Prototype parts: per language, the sum of its n-grams' vectors. n-grams are counted first, so that each vector is made once for many."""
+    place: dict[str, int] = {}
+    sums, parts, held = {}, [], 0
+
+    def fold(last: bool):
+        """Counts of equal n-grams together; all into the sums, once they are many or at the end."""
+        keys, where = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+        counts = np.bincount(where, np.concatenate([n for _, n in parts]), len(keys))
+        if not last and len(keys) < COUNTED:
+            return [(keys, counts)], len(keys)
+        for lang, k in place.items():
+            own = slice(*np.searchsorted(keys, [k * CODES**GRAM, (k + 1) * CODES**GRAM]))
+            for at in range(own.start, own.stop, 1024):
+                these = slice(at, min(at + 1024, own.stop))
+                sums[lang] = sums.get(lang, 0) + counts[these] @ vectors(keys[these] % CODES**GRAM).astype(np.float64)
+        return [], 0
+
     for batch in batches:
-        texts, langs = batch.column(0).to_pylist(), np.array(batch.column(1).to_pylist(), object)
-        for lang in set(langs.tolist()):
-            g, _ = grams_of([t for t, x in zip(texts, langs) if x == lang])
-            u, n = np.unique(g, return_counts=True)
-            for at in range(0, len(u), 4096):
-                part = n[at : at + 4096].astype(np.float64) @ vectors(u[at : at + 4096]).astype(np.float64)
-                sums[lang] = sums.get(lang, 0) + part
-    if sums:
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array([v.tolist() for v in sums.values()], pa.list_(pa.float64()))], names=["lang", "sums"])
-
-
-def learned(df: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", per_language: int = 4000) -> tuple[list[str], DataFrame | None]:
-    """Languages, and ``text`` and ``lang`` of about ``per_language`` rows of each at most."""
-    rows = df.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    counts = rows.groupBy(F.col(lang).alias("lang")).count().limit(LANGUAGES + 1).collect()
-    if len(counts) > LANGUAGES:
+        for at in range(0, batch.num_rows, 128):
+            texts, langs = (batch.column(k).slice(at, 128).to_pylist() for k in (0, 1))
+            own = [place.setdefault(x, len(place)) for x in langs]
+            g, n = grams_of(texts)
+            parts.append(np.unique(np.repeat(np.array(own, np.int64), n) * CODES**GRAM + g, return_counts=True))
+            held += len(parts[-1][0])
+            if held >= 2 * COUNTED:
+                parts, held = fold(False)
+    if parts:
+        fold(True)
+    if place:
+        yield pa.RecordBatch.from_arrays([pa.array(list(place), pa.string()), pa.array([np.broadcast_to(sums.get(x, 0.0), DIMS).tolist() for x in place], pa.list_(pa.float64()))], names=["lang", "sums"])
+
+
+def learned(df: DataFrame, text: str = "text", lang: str = "lang") -> tuple[list[str], DataFrame]:
+    """Languages, and ``text`` and ``lang`` of every row that has both."""
+    rows = df.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang"))
+    names = [r["lang"] for r in rows.select("lang").distinct().limit(LANGUAGES + 1).collect()]
+    if len(names) > LANGUAGES:
         raise ValueError(f"more than {LANGUAGES} languages")
-    if not counts:
-        return [], None
-    # The sample bound makes the number of sums that reach the driver independent of the input.
-    share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], per_language / max(r["count"], per_language))])
-    chance = F.pmod(F.xxhash64(F.col(key), F.lit(11)), F.lit(1 << 30)) / float(1 << 30)
-    sample = rows.where(chance < share[F.col(lang)]).select(F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang"))
-    return sorted(r["lang"] for r in counts), sample
-
-
-def fit(df: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", per_language: int = 4000) -> tuple[list[str], np.ndarray]:
-    """Languages and their unit prototypes, from about ``per_language`` rows of each language at most."""
-    names, sample = learned(df, text, lang, key, per_language)
+    return sorted(names), rows
+
+
+def fit(df: DataFrame, text: str = "text", lang: str = "lang") -> tuple[list[str], np.ndarray]:
+    """Languages and their unit prototypes, from all rows."""
+    names, rows = learned(df, text, lang)
     if not names:
         return [], np.zeros((0, DIMS))
-    # Few tasks, so that the sums to add up are few as well: rows of the sample are bounded.
-    sums = sample.repartition(12).mapInArrow(trimmed(bundle), "lang string, sums array<double>")
+    # Tasks' sums are added up by Spark (whole numbers, so in any order): the driver gets one of each language.
+    sums = rows.mapInArrow(trimmed(bundle), "lang string, sums array<double>").select("lang", F.posexplode("sums").alias("at", "x"))
     total = {n: np.zeros(DIMS) for n in names}
-    for r in sums.collect():  # at most 12 x languages rows
-        total[r["lang"]] += np.array(r["sums"])
+    for r in sums.groupBy("lang", "at").agg(F.sum("x").alias("x")).collect():
+        total[r["lang"]][r["at"]] = r["x"]
     protos = np.array([total[n] for n in names])
     return names, protos / np.maximum(np.linalg.norm(protos, axis=1, keepdims=True), 1e-9)
 
@@ -214,12 +229,12 @@ def with_evidence(df: DataFrame, model: tuple[list[str], np.ndarray], text: str
     return df.mapInArrow(trimmed(classify(*model, df.columns.index(text), evidence=True)), schema)
 
 
-def floors(df: DataFrame, model: tuple[list[str], np.ndarray], per_language: int = 500) -> dict[str, float]:
-    """The evidence that each language asks for, from about ``per_language`` documents of each that are predicted as labelled."""
-    names, sample = learned(df, per_language=per_language)
+def floors(df: DataFrame, model: tuple[list[str], np.ndarray]) -> dict[str, float]:
+    """The evidence that each language asks for, from all documents that are predicted as labelled."""
+    names, rows = learned(df)
     if not names:
         return {}
-    own = with_evidence(sample, model).where(F.col("_pred") == F.col("lang"))
+    own = with_evidence(rows, model).where(F.col("_pred") == F.col("lang"))
     return {r["_pred"]: FLOOR * r["m"] for r in own.groupBy("_pred").agg(F.percentile_approx("_level", 0.5).alias("m")).collect()}  # a row for each language
 
 

@@ -16,3 +16,24 @@ def test_stage_rejects_other_scripts_and_gibberish(spark):
     assert out.columns == df.columns
     assert {r["doc_id"] for r in out.collect()} == {*range(120), 200}
     assert corpus_pipeline.language_id(spark, df.limit(0), "").count() == 0
+
+
+def test_every_row_teaches(spark, monkeypatch):
+    from provenir.llm import langid
+
+    rng = np.random.default_rng(5)
+    rows = [(k, "".join(rng.choice(list("abcdefgh"), 6)), "xy"[k % 2]) for k in range(10_000)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string").repartition(3)
+    names, protos = langid.fit(df)
+    assert names == ["x", "y"]
+    for lang, proto in zip(names, protos):
+        grams, counts = np.unique(langid.grams_of([t for _, t, x in rows if x == lang])[0], return_counts=True)
+        whole = counts @ langid.vectors(grams).astype(np.float64)
+        assert np.allclose(proto, whole / np.linalg.norm(whole))
+    # The same when counts are folded in between.
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array([t for _, t, _ in rows]), pa.array([x for *_, x in rows])], names=["text", "lang"])
+    once = next(langid.bundle([batch])).to_pylist()
+    monkeypatch.setattr(langid, "COUNTED", 50)
+    assert next(langid.bundle([batch])).to_pylist() == once
