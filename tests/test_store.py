@@ -128,6 +128,16 @@ def test_many_lines_make_few_files(spark, tmp_path):
     assert store.RunLog(spark, str(tmp_path)).rows().count() == 100_000
 
 
+def test_a_large_base_is_written_by_many_tasks(spark, tmp_path):
+    log = store.RunLog(spark, str(tmp_path))
+    lines = spark.range(40_000).select(F.lit("r").alias("run_id"), F.current_timestamp().alias("at"), F.lit("llm").alias("category"), F.sha2(F.col("id").cast("string"), 256).alias("message"))
+    log.FILE = 256 << 10
+    log.append(lines)
+    assert log.compact() and log.rows().select("message").distinct().count() == 40_000
+    sizes = [os.path.getsize(os.path.join(p, f)) for p, _, fs in os.walk(tmp_path / "merged") for f in fs if f.endswith(".parquet")]
+    assert len(sizes) > 4 and max(sizes) < 2 * log.FILE
+
+
 def test_log_never_stops_a_run(spark, tmp_path):
     (tmp_path / "file").write_text("x")
     log = store.RunLog(spark, str(tmp_path / "file" / "log"))
