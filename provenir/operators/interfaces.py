@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from provenir.functions.text import tool_name
 from provenir.operators.matching import numbered
 from provenir.operators.views import looked_up, pascal
+from provenir.sources.tables import keep
 
 #: Types of the generated language by published type; all others are strings.
 TYPES = {"Integer": "number", "Float": "number", "Boolean": "boolean", "List<String>": "string[]"}
@@ -49,14 +50,17 @@ def bare(c: str) -> Column:
 
 def interface_names(objects: DataFrame) -> DataFrame:
     """``object_id``, ``ord``, ``interface``: each object's own name."""
-    named = numbered(objects.select("id", "ord", "name"), type_name(given(F.col("name"), bare("id"))), "ord", "interface", "")
+    # Written: each use of a name would else make it anew, many times a row.
+    wanted = keep(objects.select("id", "ord", type_name(given(F.col("name"), bare("id"))).alias("_wanted")), "wanted")
+    named = numbered(wanted, F.col("_wanted"), "ord", "interface", "")
     return named.select(F.col("id").alias("object_id"), "ord", "interface")
 
 
 def tool_names(actions: DataFrame) -> DataFrame:
     """``action_id``, ``ord``, ``tool``, ``renamed`` (an earlier action has its name)."""
     base = field_name(given(F.col("tool"), F.col("name"), bare("id")))
-    named = numbered(actions.select("id", "ord", base.alias("_wanted")), F.col("_wanted"), "ord", "tool", "_")
+    wanted = keep(actions.select("id", "ord", base.alias("_wanted")), "wanted")
+    named = numbered(wanted, F.col("_wanted"), "ord", "tool", "_")
     return named.select(F.col("id").alias("action_id"), "ord", "tool", (F.col("tool") != F.col("_wanted")).alias("renamed"))
 
 
@@ -73,10 +77,15 @@ def fields(properties: DataFrame, names: DataFrame) -> DataFrame:
 
 def parameters(ios: DataFrame, names: DataFrame) -> DataFrame:
     """``action_id``, ``side``, ``ord``, ``field``, ``type``, ``optional``: inputs and outputs; ``unknown`` for a missing object or no type."""
+    return typed(ios, names).drop("interface")
+
+
+def typed(ios: DataFrame, names: DataFrame) -> DataFrame:
+    """``parameters`` and the ``interface`` that each mentions, if any."""
     rows = looked_up(ios, "object_id", names, "interface")
     one = F.when(F.col("object_id").isNotNull(), F.coalesce("interface", F.lit("unknown"))).when(given(F.col("type")).isNotNull(), language_type("type")).otherwise("unknown")
     kind = F.when(F.coalesce("many", F.lit(False)) & ~F.endswith(one, F.lit("[]")), F.concat(one, F.lit("[]"))).otherwise(one)
-    return rows.select("action_id", "side", "ord", field_name("name").alias("field"), kind.alias("type"), (~F.coalesce("required", F.lit(False))).alias("optional"))
+    return rows.select("action_id", "side", "ord", field_name("name").alias("field"), kind.alias("type"), (~F.coalesce("required", F.lit(False))).alias("optional"), "interface")
 
 
 def imported(ios: DataFrame, names: DataFrame) -> DataFrame:
@@ -99,9 +108,9 @@ def warnings(actions: DataFrame, gates: DataFrame, rules: DataFrame) -> DataFram
     return renamed.unionByName(lost.select("action_id", F.lit("missing rule").alias("kind"), F.col("rule_id").alias("detail")))
 
 
-def lines(rows: DataFrame, file: Column, of, part: int, line: Column, ord_="ord") -> DataFrame:
+def lines(rows: DataFrame, file: Column, of, part: int | Column, line: Column, ord_="ord") -> DataFrame:
     number = lambda c: F.col(c).cast("long") if isinstance(c, str) else F.lit(c).cast("long")
-    return rows.select(file.alias("file"), F.struct(number(of).alias("of"), F.lit(part).alias("part"), number(ord_).alias("ord")).alias("at"), line.alias("line"))
+    return rows.select(file.alias("file"), F.struct(number(of).alias("of"), F.lit(part).cast("int").alias("part"), number(ord_).alias("ord")).alias("at"), line.alias("line"))
 
 
 def field_line() -> Column:
@@ -114,7 +123,7 @@ def opening(name: Column) -> Column:
 
 def type_lines(objects: DataFrame, properties: DataFrame, file: str = "types.ts") -> DataFrame:
     """An interface for each object, in order; one without properties takes any field."""
-    names, at = interface_names(objects), F.lit(file)
+    names, at = keep(interface_names(objects), "interfaces"), F.lit(file)
     own = names.select("object_id", F.col("ord").alias("of"), "interface")
     rows = fields(properties, names).join(own.drop("interface"), "object_id")
     none = own.join(properties.select("object_id").distinct(), "object_id", "left_anti")
@@ -127,25 +136,28 @@ def type_lines(objects: DataFrame, properties: DataFrame, file: str = "types.ts"
 def tool_lines(actions: DataFrame, objects: DataFrame, ios: DataFrame, gates: DataFrame) -> DataFrame:
     """A document for each tool: what it imports, its parameters, outputs if several, signature, and preconditions in order."""
     names, tools = interface_names(objects), tool_names(actions).drop("ord", "renamed")
-    params = parameters(ios, names)
-    file = F.concat(F.lit("tools/"), "tool", F.lit(".ts"))
-    uses = tools.join(imported(ios, names), "action_id").withColumn("ord", F.lit(0))
-    inside = params.join(tools, "action_id").join(results(params, tools), "action_id")
-    several = inside.where("side = 'output'").join(params.where("side = 'output'").groupBy("action_id").count().where("count > 1"), "action_id", "left_semi")
-    takes = inside.where("side = 'input'")
-    asked = tools.join(takes.select("action_id", F.lit(True).alias("_in")).distinct(), "action_id", "left").join(results(params, tools), "action_id")
-    name = type_name("tool")
-    signature = F.concat(F.lit("export async function "), "tool", F.lit("("), F.when(F.col("_in"), F.concat(F.lit("input: "), name, F.lit("Input"))).otherwise(""), F.lit("): Promise<"), "result", F.lit("> {"))
+    params = keep(typed(ios, names), "parameters")
+    out = F.col("side") == "output"
+    own = params.groupBy("action_id").agg(F.count_if(out).alias("n"), F.first(F.when(out, F.col("type")), ignorenulls=True).alias("one"), F.max(F.col("side") == "input").alias("takes"), F.array_join(F.array_sort(F.collect_set("interface")), ", ").alias("names"))
+    # What each tool needs, once: its own lines come from this row, and those of its parameters and rules by its id.
+    each = keep(tools.join(own, "action_id", "left"), "tools")
+    file, name = F.concat(F.lit("tools/"), "tool", F.lit(".ts")), type_name("tool")
+    result = F.when(F.col("n") == 1, F.col("one")).when(F.col("n") > 1, F.concat(name, F.lit("Output"))).otherwise("void")
+    signature = F.concat(F.lit("export async function "), "tool", F.lit("("), F.when(F.col("takes"), F.concat(F.lit("input: "), name, F.lit("Input"))).otherwise(""), F.lit("): Promise<"), result, F.lit("> {"))
+    several = F.col("n") > 1
+    own_lines = [
+        (0, F.when(F.col("names") != "", F.concat(F.lit("import type { "), "names", F.lit(" } from '../types.js';")))),
+        (1, opening(F.concat(name, F.lit("Input")))), (3, F.lit("}")), (4, F.when(several, opening(F.concat(name, F.lit("Output"))))), (6, F.when(several, F.lit("}"))),
+        (7, signature), (9, F.concat(F.lit("  throw new Error('Not implemented: "), "tool", F.lit("');"))), (10, F.lit("}")),
+    ]
+    text = each.select(file.alias("file"), F.explode(F.array(*[F.struct(F.lit(part).alias("part"), line.alias("line")) for part, line in own_lines])).alias("l")).where("l.line IS NOT NULL")
+    inside = params.drop("interface").join(each.select("action_id", "tool", "n"), "action_id")
     quoted = F.concat(F.lit("'"), F.regexp_replace(F.regexp_replace("rule_id", r"([\\'])", r"\\$1"), r"\r?\n", " "), F.lit("'"))
-    checks = gates.join(tools, "action_id")
-    listed = uses.groupBy("tool").agg(F.array_join(F.array_sort(F.collect_set("interface")), ", ").alias("names"))
-    many = several.select("tool").distinct()
+    checks = gates.join(each.select("action_id", "tool"), "action_id")
     return reduce(DataFrame.unionByName, [
-        lines(listed, file, 0, 0, F.concat(F.lit("import type { "), "names", F.lit(" } from '../types.js';")), 0),
-        lines(tools, file, 0, 1, opening(F.concat(name, F.lit("Input"))), 0), lines(takes, file, 0, 2, field_line()), lines(tools, file, 0, 3, F.lit("}"), 0),
-        lines(many, file, 0, 4, opening(F.concat(name, F.lit("Output"))), 0), lines(several, file, 0, 5, field_line()), lines(many, file, 0, 6, F.lit("}"), 0),
-        lines(asked, file, 0, 7, signature, 0), lines(checks, file, 0, 8, F.concat(F.lit("  assertPrecondition("), quoted, F.lit(", '"), F.coalesce("severity", F.lit("info")), F.lit("', true);"))),
-        lines(tools, file, 0, 9, F.concat(F.lit("  throw new Error('Not implemented: "), "tool", F.lit("');")), 0), lines(tools, file, 0, 10, F.lit("}"), 0),
+        lines(text, F.col("file"), 0, F.col("l.part"), F.col("l.line"), 0),
+        lines(inside.where((F.col("side") == "input") | (out & several)), file, 0, F.when(out, 5).otherwise(2), field_line()),
+        lines(checks, file, 0, 8, F.concat(F.lit("  assertPrecondition("), quoted, F.lit(", '"), F.coalesce("severity", F.lit("info")), F.lit("', true);"))),
     ])
 
 
@@ -154,5 +166,6 @@ def registry_lines(actions: DataFrame, file: str = "tools/index.ts") -> DataFram
     tools, at = tool_names(actions), F.lit(file)
     edge = actions.sparkSession.createDataFrame([(1, "export const tools = {"), (3, "} as const;"), (4, "export type ToolName = keyof typeof tools;")], "part int, line string")
     edges = edge.select(at.alias("file"), F.struct(F.lit(0).cast("long").alias("of"), "part", F.lit(0).cast("long").alias("ord")).alias("at"), "line")
-    uses = lines(tools, at, 0, 0, F.concat(F.lit("import { "), "tool", F.lit(" } from './"), "tool", F.lit(".js';")))
-    return uses.unionByName(lines(tools, at, 0, 2, F.concat(F.lit("  "), "tool", F.lit(",")))).unionByName(edges)
+    said = [(0, F.concat(F.lit("import { "), "tool", F.lit(" } from './"), "tool", F.lit(".js';"))), (2, F.concat(F.lit("  "), "tool", F.lit(",")))]
+    uses = tools.select("ord", F.explode(F.array(*[F.struct(F.lit(part).alias("part"), line.alias("line")) for part, line in said])).alias("l"))
+    return lines(uses, at, 0, F.col("l.part"), F.col("l.line")).unionByName(edges)

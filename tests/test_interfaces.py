@@ -65,3 +65,10 @@ def test_documents(spark):
 def test_an_empty_model(spark):
     objects, properties, actions, ios, gates = tables(spark, empty=True)
     assert I.type_lines(objects, properties).count() == 0 and I.tool_lines(actions, objects, ios, gates).count() == 0 and I.registry_lines(actions).count() == 3
+
+
+def test_names_are_made_once(spark):
+    """A name's expression stands in no plan more often than it is asked for: before, each use made it anew."""
+    actions = spark.createDataFrame([(f"action:{k}", k, None, f"Handle {k}") for k in range(4)], "id string, ord long, tool string, name string")
+    plan = I.tool_names(actions)._jdf.queryExecution().optimizedPlan().toString()
+    assert "[^a-zA-Z0-9]" not in plan
