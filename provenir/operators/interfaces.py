@@ -27,8 +27,8 @@ TYPES = {"Integer": "number", "Float": "number", "Boolean": "boolean", "List<Str
 
 
 def identifier(c: Column, empty: str) -> Column:
-    named = F.when(F.coalesce(c, F.lit("")) == "", F.lit(empty)).otherwise(c)
-    return F.when(F.rlike(named, F.lit("^[0-9]")), F.concat(F.lit("_"), named)).otherwise(named)
+    # ``c`` stands here once: each further use would make the name anew.
+    return F.regexp_replace(F.regexp_replace(F.coalesce(c, F.lit("")), r"\A\z", empty), r"\A(?=[0-9])", "_")
 
 
 def type_name(c) -> Column:
@@ -140,8 +140,8 @@ def tool_lines(actions: DataFrame, objects: DataFrame, ios: DataFrame, gates: Da
     out = F.col("side") == "output"
     own = params.groupBy("action_id").agg(F.count_if(out).alias("n"), F.first(F.when(out, F.col("type")), ignorenulls=True).alias("one"), F.max(F.col("side") == "input").alias("takes"), F.array_join(F.array_sort(F.collect_set("interface")), ", ").alias("names"))
     # What each tool needs, once: its own lines come from this row, and those of its parameters and rules by its id.
-    each = keep(tools.join(own, "action_id", "left"), "tools")
-    file, name = F.concat(F.lit("tools/"), "tool", F.lit(".ts")), type_name("tool")
+    each = keep(tools.join(own, "action_id", "left").withColumn("name", type_name("tool")), "tools")
+    file, name = F.concat(F.lit("tools/"), "tool", F.lit(".ts")), F.col("name")
     result = F.when(F.col("n") == 1, F.col("one")).when(F.col("n") > 1, F.concat(name, F.lit("Output"))).otherwise("void")
     signature = F.concat(F.lit("export async function "), "tool", F.lit("("), F.when(F.col("takes"), F.concat(F.lit("input: "), name, F.lit("Input"))).otherwise(""), F.lit("): Promise<"), result, F.lit("> {"))
     several = F.col("n") > 1
