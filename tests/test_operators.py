@@ -396,3 +396,22 @@ def test_a_closed_vocabulary_is_small(spark):
     assert suggest.closed_vocabulary(rows, "w") == ["a", "b"]
     with pytest.raises(ValueError):
         suggest.closed_vocabulary(rows, "w", 1)
+
+
+def test_candidates_hold_both_sure_tiers(spark):
+    """Words part at ASCII marks alone; one lookup serves the text as it is and the normalised one, final sigma and quotations without an inner word too."""
+    said = ["before ΟΔΟΣ'Α ΤΗΣ ΝΕΑΣ after", "x Größe der  Straße, heute y", "one.two..three four", "ΟΔΟΣΑ", "a   b", "none"]
+    docs = spark.createDataFrame(list(enumerate(said)), "doc_id long, text string")
+    quotes = spark.createDataFrame([(0, "ΟΔΟΣ'Α ΤΗΣ"), (1, "größe der straße, heute"), (2, ".two..three "), (3, "ΟΔΟΣ"), (4, "   "), (5, "Größe der  Straße, heute")], "item_id long, text string")
+    pairs = {tuple(r) for r in grounding.candidates(quotes, docs, "item_id", "doc_id", "text", "text", T.normalize_search, F.col).select("doc_id", "item_id").collect()}
+    exact = {(i, k) for k, q in quotes.collect() for i, t in enumerate(said) if q in t}
+    assert (3, 3) in exact and exact | {(1, 1)} <= pairs
+    found = {(r["doc_id"], r["item_id"]): r["tier"] for r in Engine(spark).ground(quotes, docs).collect()}
+    assert {p for p, tier in found.items() if tier == "exact"} == exact and found[1, 1] == "normalized"
+
+
+def test_plain_sentences_are_no_boilerplate(spark):
+    """The quick search agrees with the full rule wherever it finds three words."""
+    texts = ["One two three", "one two", "1 2 3", "1. a 2", "- x × y", "Über das Maß hinaus", "第1章 a b", "a b c", "(a) b c", "", "× ÷ ×"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert all(r[0] == r[1] for r in df.select(segment.is_boilerplate("t"), segment.short_of_words("t")).collect())
