@@ -114,16 +114,21 @@ def keys_by_position(constraints: DataFrame, attributes: DataFrame, relations: D
 
     A foreign key's position needs both columns to be known; a constraint whose relation is unknown has no rows.
     """
-    pairs = F.posexplode(F.arrays_zip(F.col("conkey"), F.coalesce("confkey", F.array().cast("array<int>")).alias("confkey"))).alias("at", "pair")
     kind = by_code("kind", {k: v for k, v in KINDS.items() if len(k) == 1})
-    rows = constraints.select("constraint_name", kind.alias("kind"), "relid", "ref_relid", by_code("on_delete", ACTIONS).alias("on_delete"), by_code("on_update", ACTIONS).alias("on_update"), pairs).where("kind IS NOT NULL")
-    rows = rows.select("*", (F.col("at") + 1).alias("ordinal_position"), F.col("pair.conkey").alias("num"), F.col("pair.confkey").alias("ref_num")).drop("at", "pair")
-    names, own = attributes.select("relid", "num", "column_name"), relations.select("relid", "table_schema", "table_name")
-    rows = rows.join(names, ["relid", "num"]).join(own, "relid")
-    far = names.toDF("ref_relid", "ref_num", "ref_column").join(own.toDF("ref_relid", "ref_schema", "ref_table"), "ref_relid")
+    # A relation's columns, as many as databases bound, meet its constraints as one list: constraints move once to either end, and not once for each position.
+    listed = attributes.groupBy("relid").agg(F.collect_list(F.struct("num", F.col("column_name").alias("name"))).alias("_cols"))
+    ends = relations.select("relid", "table_schema", "table_name").join(listed, "relid")
+    rows = constraints.select("constraint_name", kind.alias("kind"), "relid", "ref_relid", by_code("on_delete", ACTIONS).alias("on_delete"), by_code("on_update", ACTIONS).alias("on_update"), "conkey", F.coalesce("confkey", F.array().cast("array<int>")).alias("confkey")).where("kind IS NOT NULL")
+    own = rows.join(ends, "relid")
+    # Each known column of a position; one of no known column has no row.
+    named = lambda num, cols, out: F.explode(F.transform(F.filter(cols, lambda x: x["num"] == F.col(num)), lambda x: x["name"])).alias(out)
+    at = F.posexplode(F.arrays_zip("conkey", "confkey")).alias("at", "pair")
+    place = [(F.col("at") + 1).alias("ordinal_position"), F.col("pair.conkey").alias("num"), F.col("pair.confkey").alias("ref_num")]
     # Only foreign keys have a far end.
-    fk = rows.where("kind = 'foreign_key'").join(far, ["ref_relid", "ref_num"])
-    rest = rows.where("kind <> 'foreign_key'").select("*", *[F.lit(None).cast("string").alias(c) for c in ("ref_schema", "ref_table", "ref_column")]).withColumns({"on_delete": F.lit(None).cast("string"), "on_update": F.lit(None).cast("string")})
+    far = ends.toDF("ref_relid", "ref_schema", "ref_table", "_far")
+    fk = own.where("kind = 'foreign_key'").join(far, "ref_relid").select("*", at).select("*", *place).select("*", named("num", "_cols", "column_name")).select("*", named("ref_num", "_far", "ref_column"))
+    rest = own.where("kind <> 'foreign_key'").select("*", at).select("*", *place).select("*", named("num", "_cols", "column_name"))
+    rest = rest.select("*", *[F.lit(None).cast("string").alias(c) for c in ("ref_schema", "ref_table", "ref_column")]).withColumns({"on_delete": F.lit(None).cast("string"), "on_update": F.lit(None).cast("string")})
     return fk.select(*KEYS).unionByName(rest.select(*KEYS))
 
 
