@@ -36,10 +36,16 @@ def pascal(c: Column) -> Column:
     return F.array_join(F.transform(F.regexp_extract_all(c, F.lit("([a-zA-Z0-9]+)"), F.lit(1)), lambda w: F.concat(F.upper(F.left(w, F.lit(1))), F.right(w, F.greatest(F.length(w) - 1, F.lit(0))))), "")
 
 
+#: Places that rows without a key are dealt to.
+PLACES = 4096
+
+
 def looked_up(rows: DataFrame, key: str, table: DataFrame, out: str) -> DataFrame:
-    """``out`` of the table's row of the same ``key`` (one at most); rows without a key stay out of the join."""
-    asked = rows.where(F.col(key).isNotNull()).join(table.select(key, out), key, "left")
-    return asked.select(*rows.columns, out).unionByName(rows.where(F.col(key).isNull()).withColumn(out, F.lit(None).cast("string")))
+    """``out`` of the table's row of the same ``key`` (one at most). Rows without a key meet nothing and are dealt by their own values, so that they are made once, in one pass with the others, and do not come in one task."""
+    place = F.pmod(F.xxhash64(*rows.columns), F.lit(PLACES)).cast("string")
+    known = table.select(F.col(key).alias("_known"), out)
+    dealt = rows.withColumn("_asked", F.coalesce(F.col(key), place))
+    return dealt.join(known, (F.col("_asked") == F.col("_known")) & F.col(key).isNotNull(), "left").select(*rows.columns, out)
 
 
 def known_names(objects: DataFrame) -> DataFrame:
@@ -100,8 +106,11 @@ def mentioned(rows: DataFrame, own: Column, out: str, names: DataFrame) -> DataF
     return each.join(names, "_name").select(out, "ord", F.col("_id").alias("object_id"))
 
 
-def from_view(view: dict[str, DataFrame]) -> dict[str, DataFrame]:
-    """The model's tables: object, property, relationship, rule, rule_object, process, process_object, actor, step, action, trigger, emit, event."""
+def from_view(view: dict[str, DataFrame], keep=None) -> dict[str, DataFrame]:
+    """The model's tables: object, property, relationship, rule, rule_object, process, process_object, actor, step, action, trigger, emit, event.
+
+    ``keep`` (a function of DataFrame and name) writes the steps, of which five of these are made; without it each makes them anew.
+    """
     o, r, p = view["objects"], view["rules"], view["processes"]
     names = known_names(o)
     key = F.get(F.filter("attrs", lambda a: a["role"] == "pk"), F.lit(0))["name"]
@@ -118,6 +127,7 @@ def from_view(view: dict[str, DataFrame]) -> dict[str, DataFrame]:
     event = lambda i, s: F.concat(F.lit("event:"), F.concat_ws(".", "_pid", i.cast("string"), slugify(s["obj"]), F.lit("done")))
     before = F.get("_all", F.col("_i") - 1)
     steps = steps.select("process_id", F.col("_i").alias("ord"), action(F.col("_i"), F.col("s")).alias("action_id"), event(F.col("_i"), F.col("s")).alias("event_id"), F.when(F.col("_i") > 0, event(F.col("_i") - 1, before)).alias("trigger_id"), F.col("s.en").alias("en"), F.col("s.zh").alias("zh"), F.col("s.obj").alias("_name"))
+    steps = keep(steps, "steps") if keep else steps
     actions = looked_up(steps, "_name", names, "_id").select(F.col("action_id").alias("id"), "en", "zh", F.col("_id").alias("object_id"), "event_id").distinct()
     events = actions.groupBy(F.col("event_id").alias("id")).agg(F.min_by(F.struct("en", "object_id"), "id").alias("f"))
     return {

@@ -8,22 +8,24 @@ from pyspark.sql import functions as F
 from provenir.operators import interfaces as I
 from provenir.operators import views as V
 from provenir.plans.catalogue import query, read
+from provenir.sources import tables
 
 
 def text(*parts):
     return F.concat(*[F.lit(x) if isinstance(x, str) else x.cast("string") for x in parts])
 
 
-def view(spark, d) -> dict[str, DataFrame]:
-    """Customers as objects with their orders as attributes, and as processes with these as steps; documents as rules."""
+def view(spark, d, keep=None) -> dict[str, DataFrame]:
+    """Customers as objects with their orders as attributes, and as processes with these as steps; documents as rules. ``keep`` writes the customers with their lists, which a model reads several times."""
     c, o, k = read(spark, d, "customer"), read(spark, d, "orders"), F.col("o_custkey")
     kinds = [F.lit("Money"), F.lit("Enum<a|b>"), text("Reference<C", k + 1, ">"), text("C", k * 7), F.lit("date")]
     kind = F.element_at(F.array(*kinds), (F.col("o_orderkey") % 5 + 1).cast("int"))
     attr = F.struct(text("order_", F.col("o_orderkey")).alias("name"), kind.alias("type"), F.lit("fk").alias("role"))
     step = F.struct(text("handle ", F.col("o_orderkey")).alias("en"), F.col("o_orderstatus").alias("zh"), text("C", k * 3).alias("obj"))
     lists = o.groupBy(k.alias("c_custkey")).agg(F.array_sort(F.collect_list(F.struct("o_orderkey", attr.alias("a"), step.alias("s")))).alias("l"))
-    attrs = F.transform("l", lambda x, i: x["a"].withField("role", F.when(i == 0, "pk").when(x["o_orderkey"] % 2 == 0, "fk")))
+    attrs = F.transform(F.col("l"), lambda x, i: x["a"].withField("role", F.when(i == 0, "pk").when(x["o_orderkey"] % 2 == 0, "fk")))
     all_ = c.join(lists, "c_custkey", "left").withColumn("k", F.col("c_custkey"))
+    all_ = keep(all_, "customers") if keep else all_
     relation = F.array(text("buys after → C", F.col("k") + 1, " (next), C", F.col("k") - 1), F.lit("nothing"))
     return {
         "objects": all_.select(F.col("k").alias("ord"), text("C", F.col("k")).alias("name"), F.col("c_mktsegment").alias("zh"), F.lit(0.5).alias("confidence"), attrs.alias("attrs"), relation.alias("relations")),
@@ -36,7 +38,7 @@ def view(spark, d) -> dict[str, DataFrame]:
   SELECT 'c' || c_custkey AS id, 'C' || c_custkey AS name, c_mktsegment AS zh, coalesce((SELECT string_agg('buys after → C' || n.c_custkey, ';' ORDER BY n.c_custkey DESC) FROM customer AS n WHERE abs(n.c_custkey - c.c_custkey) = 1), '') AS relations, 'order_' || o_orderkey AS attr, type, CASE WHEN first THEN 'pk' WHEN type LIKE 'Ref%' THEN 'fk' END AS role
   FROM customer AS c LEFT JOIN o ON o_custkey = c_custkey""")
 def p13_view_objects(spark, d):
-    v = V.to_view(V.from_view(view(spark, d)))["objects"]
+    v = V.to_view(V.from_view(view(spark, d, tables.keep)))["objects"]
     return v.select("id", "name", "zh", F.array_join("relations", ";").alias("relations"), F.explode_outer("attrs").alias("a")).select("id", "name", "zh", "relations", F.col("a.name").alias("attr"), "a.type", "a.role")
 
 
@@ -44,7 +46,7 @@ def p13_view_objects(spark, d):
   SELECT 'process:' || k || '-' || lower(c_mktsegment) AS process_id, CAST(i AS INTEGER) AS ord, 'action:' || k || '-' || i || '-handle-' || o_orderkey AS action_id, o_orderstatus AS zh, CASE WHEN 3 * k IN (SELECT c_custkey FROM customer) THEN 'objectType:c' || 3 * k END AS object_id,
     'event:' || k || '.' || i || '.c' || 3 * k || '.done' AS event_id, k || '_' || i || '_C' || 3 * k || '_DONE' AS event, CASE WHEN i > 0 THEN 'event:' || k || '.' || (i - 1) || '.c' || 3 * k || '.done' END AS trigger_id FROM s""")
 def p13_view_actions(spark, d):
-    m = V.from_view(view(spark, d))
+    m = V.from_view(view(spark, d), tables.keep)
     act = m["action"].select(F.col("id").alias("action_id"), "zh", "object_id")
     event = m["event"].select(F.col("id").alias("event_id"), F.col("name").alias("event"))
     return m["step"].join(act, "action_id").join(m["emit"], "action_id").join(event, "event_id").join(m["trigger"].withColumnRenamed("event_id", "trigger_id"), "action_id", "left").select("process_id", "ord", "action_id", "zh", "object_id", "event_id", "event", "trigger_id")

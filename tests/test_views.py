@@ -71,3 +71,19 @@ def test_steps_become_a_chain_of_actions_and_events(spark):
 def test_an_empty_view(spark):
     m = V.from_view(view(spark))
     assert all(df.count() == 0 for df in [*m.values(), *V.to_view(m).values()])
+
+
+def test_rows_without_a_key_are_made_once(spark):
+    """A look-up reads its rows once; a missing key meets nothing, not even a name that looks like a place."""
+    rows = spark.range(6).selectExpr("id", "CASE WHEN id < 2 THEN 'a' WHEN id = 2 THEN 'b' END AS _name", "array(named_struct('x', id)) AS more")
+    table = spark.createDataFrame([("a", "A")] + [(str(k), "wrong") for k in range(V.PLACES)], "_name string, _id string")
+    out = V.looked_up(rows, "_name", table, "_id")
+    assert sorted((r["id"], r["_id"]) for r in out.collect()) == [(0, "A"), (1, "A"), (2, None), (3, None), (4, None), (5, None)]
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Range (") == 1
+
+
+def test_steps_are_written_for_all_that_is_made_of_them(spark):
+    from provenir.plans import catalogue, view_queries  # noqa: F401
+
+    for name in ("p13_view_actions", "p13_view_objects"):
+        assert "orders" not in catalogue.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
