@@ -415,3 +415,21 @@ def test_plain_sentences_are_no_boilerplate(spark):
     texts = ["One two three", "one two", "1 2 3", "1. a 2", "- x × y", "Über das Maß hinaus", "第1章 a b", "a b c", "(a) b c", "", "× ÷ ×"]
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     assert all(r[0] == r[1] for r in df.select(segment.is_boilerplate("t"), segment.short_of_words("t")).collect())
+
+
+def test_repeated_triples_make_no_difference(spark):
+    """Paths and batches take triples as they come; an edge is one row for both directions, and a missing end is no edge."""
+    rows = [("a", "label", "b", False), ("a", "label", "b", False), ("a", "label", "n", True), ("c", "kind", "c", False), (None, "kind", "d", False)]
+    t = graph.every([spark.createDataFrame(rows[:2], "s string, p string, o string, literal boolean"), spark.createDataFrame(rows[2:], "s string, p string, o string, literal boolean")])
+    paths = spark.createDataFrame([("1", ["b", "label", "a"]), ("2", ["c", "kind", "c"]), ("3", ["d", "kind", "d"]), ("4", [None, "kind", "c"]), ("5", ["a", "label", "n"])], "path_id string, path array<string>")
+    out = graph.check_paths(t, paths, ["label", "kind"])
+    assert {(r["path_id"], r["held"], r["valid"]) for r in out.collect()} == {("1", 1, True), ("2", 1, True), ("3", 0, False), ("4", 0, False), ("5", 0, False)}
+    batch = graph.frontier_batch(t, spark.createDataFrame([("b",)], "node string"), t.limit(0))
+    assert [tuple(r) for r in batch.collect()] == [("a", "label", "b", 0), ("a", "label", "n", 1)]
+
+
+def test_walk_and_paths_do_not_drop_repeated_triples_first(spark):
+    from provenir.plans import catalogue
+
+    for name in ("l2_priority_topk", "g6_path_verify"):
+        assert "first(literal" not in catalogue.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
