@@ -76,13 +76,23 @@ def step_name(text, order) -> Column:
     return F.when(F.size(words) == 0, F.concat(F.lit("step"), col(order).cast("string"))).otherwise(F.array_join(cap, ""))
 
 
-def submission_criteria(triggers: DataFrame, gates: DataFrame, rules: DataFrame) -> DataFrame:
-    """Numbered Chinese lines of what an action waits for: its events, then the known rules that gate it."""
-    events = triggers.select("action_id", F.lit(0).alias("part"), "ord", F.concat(F.lit("事件 "), upper_snake(F.regexp_replace("event_id", "^event:", "")), F.lit(" 已送达")).alias("line"))
+def criteria_lines(triggers: DataFrame, gates: DataFrame, rules: DataFrame) -> DataFrame:
+    """Chinese lines of what an action waits for: its events (part 0), then the known rules that gate it, with their ids."""
+    events = triggers.select("action_id", F.lit(0).alias("part"), "ord", F.concat(F.lit("事件 "), upper_snake(F.regexp_replace("event_id", "^event:", "")), F.lit(" 已送达")).alias("line"), F.lit(None).cast(gates.schema["rule_id"].dataType).alias("rule_id"))
     known = gates.join(rules.select(F.col("id").alias("rule_id"), F.coalesce(F.nullif("title", F.lit("")), F.col("id").cast("string")).alias("shown")), "rule_id")
-    held = known.select("action_id", F.lit(1).alias("part"), "ord", F.concat(F.lit("规则「"), "shown", F.lit("」已满足")).alias("line"))
-    lines = F.transform(F.array_sort(F.collect_list(F.struct("part", "ord", "line"))), lambda x, i: F.concat((i + 1).cast("string"), F.lit(". "), x["line"]))
-    return events.unionByName(held).groupBy("action_id").agg(F.array_join(lines, "\n").alias("criteria"))
+    held = known.select("action_id", F.lit(1).alias("part"), "ord", F.concat(F.lit("规则「"), "shown", F.lit("」已满足")).alias("line"), "rule_id")
+    return events.unionByName(held)
+
+
+def numbered_lines(lines: Column) -> Column:
+    """The text of an action's lines in order."""
+    return F.array_join(F.transform(lines, lambda x, i: F.concat((i + 1).cast("string"), F.lit(". "), x["line"])), "\n")
+
+
+def submission_criteria(triggers: DataFrame, gates: DataFrame, rules: DataFrame) -> DataFrame:
+    """Numbered Chinese lines of what an action waits for."""
+    lines = criteria_lines(triggers, gates, rules).groupBy("action_id").agg(F.sort_array(F.collect_list(F.struct("part", "ord", "line"))).alias("lines"))
+    return lines.select("action_id", numbered_lines(F.col("lines")).alias("criteria"))
 
 
 def data_changes(effects: DataFrame, objects: DataFrame) -> DataFrame:
@@ -91,12 +101,16 @@ def data_changes(effects: DataFrame, objects: DataFrame) -> DataFrame:
     return own.select("action_id", "object_id", F.when(F.col("kind") == "db_write", "CREATE").otherwise("MODIFY").alias("change"), strip(F.coalesce("description", F.lit(""))).alias("description"))
 
 
-def tool_use(actions: DataFrame, effects: DataFrame) -> DataFrame:
-    """An action's integration and what it calls outside, each once in order."""
+def tools_of(actions: DataFrame, effects: DataFrame) -> DataFrame:
+    """An action's integration and what it calls outside, each once with its first place."""
     own = actions.where(F.coalesce("integration", F.lit("")) != "").select("action_id", F.lit(-1).cast("bigint").alias("ord"), F.col("integration").alias("tool"))
     calls = effects.where((F.col("kind") == "external_call") & (F.coalesce("description", F.lit("")) != "")).select("action_id", F.col("ord").cast("bigint").alias("ord"), strip("description").alias("tool"))
-    once = own.unionByName(calls).groupBy("action_id", "tool").agg(F.min("ord").alias("ord"))
-    return once.groupBy("action_id").agg(ordered(F.col("tool")).alias("tools"))
+    return own.unionByName(calls).groupBy("action_id", "tool").agg(F.min("ord").alias("ord"))
+
+
+def tool_use(actions: DataFrame, effects: DataFrame) -> DataFrame:
+    """An action's tools in order."""
+    return tools_of(actions, effects).groupBy("action_id").agg(ordered(F.col("tool")).alias("tools"))
 
 
 def reacts_to(triggers: DataFrame, by: str) -> DataFrame:

@@ -59,3 +59,32 @@ def test_issues_of_a_bundle(spark):
     assert sorted(r["message"] for r in B.issues(layers, m).collect()) == ['workflows[p].actions: unknown action "gone"', 'workflows[p].trigger: unknown event "PAID"']
     spoilt = {**layers, "workflows": layers["workflows"].withColumn("triggered_event", F.array(F.lit("LOST")))}
     assert 'workflows[q].triggered_event: unknown event "LOST"' in [r["message"] for r in B.issues(spoilt, m).collect()]
+
+
+def test_actions_are_made_once_for_all_layers(spark):
+    plan = B.bundle(full(spark))["actions"]._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+
+
+def test_an_action_that_stands_twice_is_published_twice(spark):
+    m = full(spark)
+    m["action"] = m["action"].unionByName(m["action"].where("id = 'action:pay'"))
+    layers = B.bundle(m)
+    assert sorted(r["id"] for r in layers["actions"].collect()) == ["pay", "pay", "ship"]
+    assert [s["name"] for s in layers["workflows"].where("id = 'p'").first()["actions"]] == ["pay", "pay", "shipOrder", "gone"]
+
+
+def test_lists_are_those_of_grouped_rows(spark):
+    # Groups of many Arrow batches, of one row, of no row in a part; null keys and values.
+    key = F.when(F.col("id") % 40_000 < 25_000, "k:big").when(F.col("id") % 7 > 0, F.concat(F.lit("k:"), (F.col("id") % 4_000).cast("string")))
+    rows = spark.range(45_000).select(key.alias("k"), (F.col("id") * 7919 % 45_000).alias("n"), F.when(F.col("id") % 3 > 0, F.col("id").cast("string")).alias("s"))
+    few = rows.where("n % 11 = 0").select("k", F.col("s").alias("t"))
+    got = B.lists("k", {"a": rows, "b": few}, {"a": ["n", "s"], "b": ["t"]}, "b")
+    array = lambda *c: F.sort_array(F.collect_list(F.struct(*c)))
+    want_a, want_b = rows.groupBy("k").agg(array("n", "s").alias("a")), few.groupBy("k").agg(array("t").alias("b"))
+    assert {(r["k"], tuple(r["a"])) for r in got.select("k", "a").collect()} == {(r["k"], tuple(r["a"])) for r in want_a.collect()}
+    b = {r["k"]: r for r in got.select("k", "b", "text").collect()}
+    want = {r["k"]: [x["t"] for x in r["b"]] for r in want_b.collect()}
+    assert len(b) == got.count() and {k for k, r in b.items() if r["b"]} == set(want)
+    for k, values in want.items():
+        assert b[k]["b"] == values and b[k]["text"] == "\n".join(f"{i}. {v}" for i, v in enumerate(values, 1) if v is not None)
