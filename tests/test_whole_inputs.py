@@ -2,6 +2,8 @@
 
 import datetime
 
+import duckdb
+
 from provenir.plans import catalogue, layer_queries, model_queries, more
 
 
@@ -32,3 +34,12 @@ def test_the_first_of_equal_lines_is_the_first_in_the_files(spark, tmp_path):
         spark.createDataFrame(rows, "l_orderkey bigint, l_partkey bigint, l_linenumber int").coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet/part={part}")
     got = {tuple(r) for r in more.k3_first_wins(spark, str(tmp_path)).collect()}
     assert got == {(k, 100 - k) for k in range(100)}
+
+
+def test_lines_without_a_number_or_a_part_lose(spark, tmp_path):
+    rows = [(1, None, 1), (1, 5, 2), (2, 7, None), (2, 8, 3), (3, 9, None), (4, None, None), (None, 3, 2), (None, 4, 1), (5, None, 1), (5, None, 2), (6, 1, 1), (6, None, 1)]
+    spark.createDataFrame(rows, "l_orderkey bigint, l_partkey bigint, l_linenumber int").coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = {tuple(r) for r in more.k3_first_wins(spark, str(tmp_path)).collect()}
+    con = duckdb.connect()
+    con.execute(f"SET threads = 1; CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    assert got == set(con.sql(catalogue.SQL["k3_first_wins"]).fetchall()) == {(1, 5), (2, 8), (3, None), (4, None), (None, 4), (5, None), (6, 1)}
