@@ -40,8 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from provenir.llm.common import look_up, materialise, table, tasks, trimmed
-from provenir.llm.nearcopies import forest
-from provenir.llm.simhash import NO_ID, connect
+from provenir.llm.simhash import NO_ID, connect, forest
 
 WORDS, PERCENT = 4, 80
 #: Coordinates of a sketch; one bit of each makes ``BITS`` words of 64.
@@ -329,18 +328,19 @@ def set_maker(words: int):
     return run
 
 
-def whole_clusters(gathered: DataFrame, nodes: DataFrame, percent: int, weight: int) -> DataFrame:
-    """All links that matter within clusters; ``gathered``: rows ``cluster``, ``blocks`` (of its weight), ``id``, ``n``, bits and ``shingles``."""
+def whole_clusters(gathered: DataFrame, nodes: DataFrame, percent: int, weight: int, known: DataFrame | None = None) -> DataFrame:
+    """All links that matter within clusters; ``gathered``: rows ``cluster``, ``blocks`` (of its weight), ``id``, ``n``, bits and ``shingles``. ``known``: links found before, with ``comp`` in ``gathered``: their components."""
     one = lambda df, seed: df.withColumn("block", F.pmod(F.xxhash64("id", F.lit(seed)), F.col("blocks")).cast("int")).withColumns({"low": F.col("block"), "high": F.col("block")})
-    links = confirmed(one(gathered.withColumn("comp", F.col("id")), 1), percent, "linked")
+    links = confirmed(one(gathered if known is not None else gathered.withColumn("comp", F.col("id")), 1), percent, "linked")
+    joined = lambda: connect(nodes, links if known is None else links.union(known))
     large = gathered.where("blocks > 1")
     if not large.take(1):
         return links
     # The same again by another hash: components of blocks meet.
-    found = connect(nodes, links)
+    found = joined()
     placed = lambda: large.join(found.select(F.col("fp").alias("id"), "top"), "id", "left").withColumn("comp", F.coalesce("top", "id")).drop("top")
     links = links.union(confirmed(one(placed(), 2), percent, "linked2"))
-    found = connect(nodes, links)
+    found = joined()
     rows = materialise(placed(), "large")
     # What is outside the largest component of its cluster meets all blocks; clusters are few beside their rows, which are over a block each.
     sizes = rows.groupBy("cluster", "comp").agg(F.count("*").alias("m"), F.sum(F.col("n") + EACH).alias("w"))

@@ -120,6 +120,30 @@ def components(n: int, links) -> np.ndarray:
     return parent
 
 
+def forest(a: np.ndarray, b: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """Which of the edges make a shortest spanning forest."""
+    ends, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    a, b = at[: len(a)], at[len(a) :]
+    parent = list(range(len(ends)))
+
+    def find(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    kept = []
+    for level in np.unique(d):
+        own = np.flatnonzero(d == level)
+        root = np.array([find(x) for x in range(len(ends))])
+        for k in own[root[a[own]] != root[b[own]]].tolist():
+            x, y = find(int(a[k])), find(int(b[k]))
+            if x != y:
+                parent[max(x, y)] = min(x, y)
+                kept.append(k)
+    return np.array(kept, np.int64)
+
+
 def search(radius: int):
     """Over rows sorted by shard: the star links of each shard."""
 
