@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from provenir.sources.tables import keep, read
+from provenir.sources.tables import forget, keep, read  # noqa: F401
 
 
 #: Writes a table under the shared folder and reads it back: cuts the lineage, survives lost executors, and later passes see the very same rows.
